@@ -190,7 +190,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     met = reps.join(leaf.select("rec").distinct(), "rec", "left_semi").select("rec", "at")
     per_doc = met.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
     texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(_pick, "rec long, text string").dropDuplicates(["rec"]), "texts")
-    comp = linked(scratch, leaf, sigs.select("rec", "sketch"), texts, line_sets, PERCENT, LOW)
+    comp = linked(scratch, leaf, sigs.select("rec", F.lit(1).alias("size"), "sketch"), texts, line_sets, PERCENT, LOW)
     member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
     member = scratch.store(member, "members")
     keeper = member.groupBy("component").agg(F.min("at").alias("keep"))

@@ -7,8 +7,8 @@ with equal sets form one class; the search runs over one document a class.
 Search: in each of ``trees`` independent trees the root and every node too
 large to compare pick two of the minwise tokens, by the node's own hash, and
 branch into one child per token value.  Two sets of similarity 0.75 stay
-together down any number of levels with probability 0.88 a tree, so eight
-trees miss such a pair with probability 1e-7.  Small nodes are compared
+together down any number of levels with probability 0.88 a tree, so six
+trees miss such a pair with probability 3e-6.  Small nodes are compared
 exhaustively on sketches of one byte a token; the pairs that matter are
 confirmed on full sets.
 
@@ -33,11 +33,13 @@ from .nodes import leaves, linked
 
 WORDS = 5
 PERCENT = 75
-SLOTS = 128
-TREES = 8
+#: Minwise tokens a document: the first TOKENS choose paths, one byte of each of SKETCH makes the sketch.
+TOKENS = 128
+SKETCH = 256
+TREES = 6
 LEVELS = 7
-#: Least share of agreeing sketch bytes for a pair to be confirmed: 0.75 less 3.9 standard errors.
-LOW = 0.60
+#: Least share of agreeing sketch bytes for a pair to be confirmed: 0.75 less 3.7 standard errors.
+LOW = 0.65
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +58,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.diff(starts)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(tb.mix64(value ^ np.uint64(salt)))]) for salt in (0, 0x5BD1E995)]
             f1, f2 = ((s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
-            sig = tb.minhash(value, starts, SLOTS)
-            sig_array = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * SLOTS + 1, SLOTS, dtype=np.int32)), pa.array(sig.view(np.int32).ravel()))
+            sig = tb.minhash(value, starts, SKETCH)
+            tokens = np.ascontiguousarray(sig[:, :TOKENS]).view(np.int32)
+            sig_array = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * TOKENS + 1, TOKENS, dtype=np.int32)), pa.array(tokens.ravel()))
             sketch = pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, rows), pa.array(count.astype(np.int64)), pa.array(f1), pa.array(f2), sig_array, sketch], ["doc_id", "n_shingles", "f1", "f2", "sig", "sketch"]
@@ -68,7 +71,7 @@ def _branch(node: Column, sig: Column) -> Column:
     """Two children of a node: its hash picks the tokens, their values name the children."""
     kids = []
     for k in (1, 2):
-        slot = F.pmod(F.xxhash64(node, F.lit(k)), F.lit(SLOTS)).cast("int")
+        slot = F.pmod(F.xxhash64(node, F.lit(k)), F.lit(TOKENS)).cast("int")
         kids.append(F.xxhash64(node, slot, F.element_at(sig, slot + 1)))
     return F.array(*kids)
 
@@ -88,7 +91,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     feats = scratch.store(texts.mapInArrow(_features, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>, sketch binary"), "features")
     full = feats.where("n_shingles > 0 and doc_id is not null").withColumn("rec", F.xxhash64("f1", "f2", "n_shingles"))
     klass = scratch.store(full.groupBy("rec").agg(F.min("doc_id").alias("doc_id")), "classes")
-    reps = scratch.store(full.join(klass, ["rec", "doc_id"]).dropDuplicates(["rec"]).select("rec", "doc_id", "f1", "sig", "sketch"), "records")
+    reps = scratch.store(full.join(klass, ["rec", "doc_id"]).dropDuplicates(["rec"]).select("rec", "doc_id", "f1", F.col("n_shingles").alias("size"), "sig", "sketch"), "records")
     roots = F.array(*(F.xxhash64(F.lit(t), F.lit("tree")) for t in range(TREES)))
     nodes = reps.select(F.explode(F.array_distinct(F.flatten(F.transform(roots, lambda r: _branch(r, F.col("sig")))))).alias("node"), "rec")
     leaf = leaves(scratch, nodes, reps, _branch, LEVELS)
@@ -96,7 +99,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     if not feats.groupBy("doc_id").count().where("count > 1").isEmpty():
         wanted = wanted.mapInArrow(_with_record, "rec long, text string").dropDuplicates(["rec"])
     wanted = scratch.store(wanted.select("rec", "text"), "texts")
-    comp = linked(scratch, leaf, reps.select("rec", "sketch"), wanted, shingle_sets, PERCENT, LOW)
+    comp = linked(scratch, leaf, reps.select("rec", "size", "sketch"), wanted, shingle_sets, PERCENT, LOW)
     member = scratch.store(klass.join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "doc_id", F.coalesce("component", "rec").alias("component")), "members")
     first = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = member.join(first, "component").select("rec", "component_id")

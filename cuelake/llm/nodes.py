@@ -27,10 +27,13 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
 
     ``nodes`` has (node, rec).  Nodes of one record vanish; nodes over LEAF
     branch again by ``branch(node, sig)``, an array of child nodes, for at most
-    ``levels`` levels.  What is then still large is dense, and is split into
-    blocks of which every two meet in one leaf, so no pair of a node is lost.
+    ``levels`` levels.  A large node that keeps more than half of its parent's
+    records is dense: branching would not thin it out.  Dense nodes, and what
+    is large on the last level, are split into blocks of which every two meet
+    in one leaf, so no pair of a node is lost.
     """
-    done = None
+    done = dense = None
+    nodes = nodes.withColumn("above", F.lit(None).cast("long"))
     for level in range(levels):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = scratch.store(nodes.join(sizes, "node"), "nodes")
@@ -38,16 +41,17 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
         done = small if done is None else done.unionByName(small)
         big = sized.where(F.col("n") > LEAF)
         if big.isEmpty():
-            big = None
             break
-        if level < levels - 1:
-            nodes = big.join(signatures.select("rec", "sig"), "rec").select(F.explode(F.array_distinct(branch(F.col("node"), F.col("sig")))).alias("node"), "rec")
+        stuck = F.lit(True) if level == levels - 1 else F.coalesce(F.col("n") * 2 > F.col("above"), F.lit(False))
+        full = big.where(stuck).select("node", "rec", "n")
+        dense = full if dense is None else dense.unionByName(full)
+        nodes = big.where(~stuck).join(signatures.select("rec", "sig"), "rec").select(F.explode(F.array_distinct(branch(F.col("node"), F.col("sig")))).alias("node"), "rec", F.col("n").alias("above"))
     sets = done.groupBy("node").agg(F.sort_array(F.collect_list("rec")).alias("members")).select("members").distinct()
     out = sets.select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rec"))
-    if big is not None:
+    if dense is not None:
         blocks = F.ceil(F.col("n") * 2 / LEAF).cast("long")
-        own = F.pmod(F.xxhash64("rec", "node"), blocks)
-        cut = big.select("node", "rec", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        own = F.pmod(F.xxhash64("rec"), blocks)
+        cut = dense.select("node", "rec", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
         pair = cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "rec")
         out = out.unionByName(pair)
     return scratch.store(out, "leaves")
@@ -57,25 +61,29 @@ def _estimates(sketch: np.ndarray, i: int) -> np.ndarray:
     return (sketch[i + 1 :] == sketch[i]).mean(axis=1)
 
 
-def _compare(low: float, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(low: float, percent: int, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs of each leaf whose sketches agree in a share of at least ``low``.
 
     First pass: a maximum spanning forest of each leaf, the pairs most likely
-    to be links.  Second pass: every pair whose records are not yet connected.
+    to be links.  Second pass: every pair whose records are not yet connected,
+    in the first only of the leaves that hold both.  A pair whose sizes alone
+    rule it out is skipped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for row in batch.column(0):
+            for number, row in enumerate(batch.column(0)):
                 rows = row.values
                 rec = rows.field("rec").to_numpy(zero_copy_only=False)
+                size = rows.field("size").to_numpy(zero_copy_only=False)
                 group = rows.field("component").to_numpy(zero_copy_only=False)
                 sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(rec), -1)
                 found = []
                 for i in range(len(rec) - 1):
                     near = _estimates(sketch, i)
-                    at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]))
+                    fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
+                    at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]) & fits)
                     if len(at):
                         found.append((np.full(len(at), i), at + i + 1, near[at]))
                 if not found:
@@ -94,6 +102,10 @@ def _compare(low: float, first: bool) -> Callable[[Iterator[pa.RecordBatch]], It
                             parent[b] = a
                             keep.append(k)
                     i, j = i[keep], j[keep]
+                else:
+                    here, held = batch.column(1)[number].as_py(), [set(x) for x in rows.field("leaves").to_pylist()]
+                    keep = [k for k in range(len(i)) if min(held[i[k]] & held[j[k]]) == here]
+                    i, j = i[keep], j[keep]
                 out_a.append(np.minimum(rec[i], rec[j]))
                 out_b.append(np.maximum(rec[i], rec[j]))
             if out_a:
@@ -133,23 +145,25 @@ def linked(
 ) -> DataFrame:
     """(node, component) of records linked through any chain of confirmed pairs.
 
-    ``sketches`` has (rec, sketch).  Two passes over the leaves: spanning pairs
+    ``sketches`` has (rec, size, sketch); ``size`` is that of the full set.  Two passes over the leaves: spanning pairs
     first; then every remaining pair between records that those have not
     connected.  Both are confirmed on full sets.
     """
 
     def groups(component: DataFrame | None) -> DataFrame:
-        rows = leaf.join(sketches, "rec")
+        rows, fields = leaf.join(sketches, "rec"), ["rec", "component", "size", "sketch"]
         if component is None:
             rows = rows.withColumn("component", F.col("rec"))
         else:
             rows = rows.join(component.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
-        out = rows.groupBy("leaf").agg(F.collect_list(F.struct("rec", "component", "sketch")).alias("rows"))
-        return out.where("size(rows) > 1 and array_min(rows.component) < array_max(rows.component)").select("rows")
+            rows = rows.join(leaf.groupBy("rec").agg(F.collect_set("leaf").alias("leaves")), "rec")
+            fields.append("leaves")
+        out = rows.groupBy("leaf").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+        return out.where("size(rows) > 1 and array_min(rows.component) < array_max(rows.component)").select("rows", "leaf")
 
-    pairs = scratch.store(groups(None).mapInArrow(_compare(low, True), "a long, b long").distinct(), "pairs")
+    pairs = scratch.store(groups(None).mapInArrow(_compare(low, percent, True), "a long, b long").distinct(), "pairs")
     sure = scratch.store(confirm(pairs, texts, sets, percent), "links")
     so_far = components(scratch, sure)
-    rest = groups(so_far).mapInArrow(_compare(low, False), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = groups(so_far).mapInArrow(_compare(low, percent, False), "a long, b long").join(pairs, ["a", "b"], "left_anti")
     more = scratch.store(confirm(scratch.store(rest, "pairs"), texts, sets, percent), "links")
     return components(scratch, sure.unionByName(more))
