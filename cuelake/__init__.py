@@ -1,0 +1 @@
+"""Time-aligned transcript analytics on Spark."""

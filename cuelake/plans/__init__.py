@@ -1,11 +1,5 @@
-"""Registered queries over transcripts and media."""
+"""Registered queries over transcripts and media, each with the same query in DuckDB's SQL."""
 
-from __future__ import annotations
+from .transcripts import oracle_sql, queries
 
-
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
