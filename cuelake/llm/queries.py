@@ -63,7 +63,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.placed(spark, _table(spark, sf_dir, "documents"))
-    return placed.sort(F.try_element_at("positions", F.lit(1))).select("doc_id", "size", "source_size", "target", "taken")
+    return placed.sort(F.try_element_at("positions", F.lit(1)), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
