@@ -5,8 +5,8 @@ metadata view has what is known about the page: language, source, size, line
 layout and shares of character classes.  Each view has its own logistic
 regression.  In each round, both score a pool of documents, and what one is
 confident about becomes training rows of the other.  Both are calibrated on
-labelled rows that no round trains on, and the mean of the calibrated log-odds
-scores every document.
+labelled rows that no round trains on, and a blend of the calibrated log-odds,
+fitted on those rows too, scores every document.
 
 Fitting uses at most MAX_LABELLED labelled and MAX_POOL other documents, the
 first by a hash of the id; these bounds are parameters.  Scoring takes all
@@ -141,18 +141,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int =
     return w, float(b)
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling: slope and shift of the log-odds, by a few Newton steps with softened targets."""
+def calibrate(margins: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Platt scaling: slopes of the columns of ``margins`` and a shift, by Newton steps with softened targets."""
     up, down = y.sum(), len(y) - y.sum()
     goal = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    x = np.stack([margin, np.ones_like(margin)], axis=1)
-    theta = np.array([0.5, 0.0])
+    x = np.column_stack([margins, np.ones(len(y))])
+    theta = np.append(np.full(x.shape[1] - 1, 0.5), 0.0)
     for _ in range(50):
         p = _sigmoid(x @ theta)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - goal) + 1e-3 * theta)
-        theta = theta - np.clip(step, -1, 1)
-    return float(theta[0]), float(theta[1])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(theta))
+        theta = theta - np.clip(np.linalg.solve(h, x.T @ (p - goal) + 1e-3 * theta), -1, 1)
+    return theta
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray) -> dict:
@@ -175,7 +174,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.nda
             own[k] = np.where(known, own[k], np.where(sure, (p >= 0.5).astype(int), -1))
     at = known & held
     scale = [calibrate(x[at] @ w + b, label[at].astype(float)) for x, (w, b) in zip(views, models, strict=True)]
-    return {"models": models, "scale": scale}
+    odds = np.column_stack([s * (x[at] @ w + b) + t for x, (w, b), (s, t) in zip(views, models, scale, strict=True)])
+    return {"models": models, "scale": scale, "blend": calibrate(odds, label[at].astype(float))}
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,8 @@ def _scorer(model):
             (w, b), (w2, b2) = fitted["models"]
             margins = [np.bincount(row, value * w[feature], n) + b, meta @ w2 + b2]
             odds = [s * m + t for m, (s, t) in zip(margins, fitted["scale"], strict=True)]
-            for p, o in zip(parts, (*odds, (odds[0] + odds[1]) / 2), strict=True):
+            u, v, shift = fitted["blend"]
+            for p, o in zip(parts, (*odds, u * odds[0] + v * odds[1] + shift), strict=True):
                 p.append(_sigmoid(o))
         return [np.concatenate(p) if p else np.zeros(0) for p in parts]
 
