@@ -20,6 +20,8 @@ from .components import components
 
 #: A node of at most so many records is compared exhaustively.
 LEAF = 400
+#: A larger node is split into blocks at once up to this size, each record then being in at most 2 * FEW / LEAF leaves of it.
+FEW = 4 * LEAF
 
 
 def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Callable[[Column, Column], Column], levels: int) -> DataFrame:
@@ -28,9 +30,9 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
     ``nodes`` has (node, rec).  Nodes of one record vanish; nodes over LEAF
     branch again by ``branch(node, sig)``, an array of child nodes, for at most
     ``levels`` levels.  A large node that keeps more than half of its parent's
-    records is dense: branching would not thin it out.  Dense nodes, and what
-    is large on the last level, are split into blocks of which every two meet
-    in one leaf, so no pair of a node is lost.
+    records is dense: branching would not thin it out.  Dense nodes, nodes of
+    at most FEW records and what is large on the last level are split into
+    blocks of which every two meet in one leaf, so no pair of a node is lost.
     """
     done = dense = None
     nodes = nodes.withColumn("above", F.lit(None).cast("long"))
@@ -42,7 +44,7 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
         big = sized.where(F.col("n") > LEAF)
         if big.isEmpty():
             break
-        stuck = F.lit(True) if level == levels - 1 else F.coalesce(F.col("n") * 2 > F.col("above"), F.lit(False))
+        stuck = F.lit(True) if level == levels - 1 else (F.col("n") <= FEW) | F.coalesce(F.col("n") * 2 > F.col("above"), F.lit(False))
         full = big.where(stuck).select("node", "rec", "n")
         dense = full if dense is None else dense.unionByName(full)
         nodes = big.where(~stuck).join(signatures.select("rec", "sig"), "rec").select(F.explode(F.array_distinct(branch(F.col("node"), F.col("sig")))).alias("node"), "rec", F.col("n").alias("above"))
@@ -150,6 +152,8 @@ def linked(
     connected.  Both are confirmed on full sets.
     """
 
+    sketches = scratch.store(sketches.join(leaf.select("rec").distinct(), "rec", "left_semi"), "sketches")
+
     def groups(component: DataFrame | None) -> DataFrame:
         rows, fields = leaf.join(sketches, "rec"), ["rec", "component", "size", "sketch"]
         if component is None:
