@@ -36,8 +36,9 @@ PERCENT = 75
 ROWS = 4
 BANDS = 8
 SLOTS = ROWS * BANDS
-#: Least share of equal sketch bytes for an exact comparison: 0.75 less 3 standard errors of 32 values.
-LOW = 0.52
+#: Minwise values, a byte each, of lines that meet others; the least share of equal ones for an exact comparison: 0.75 less 2.8 standard errors.
+SKETCH = 64
+LOW = 0.60
 
 
 def _line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,14 +147,20 @@ def line_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rec, text) of the wanted lines of each text: columns text, lines, recs."""
+    """(rec, text, size, sketch) of the wanted lines of each text: columns text, lines, recs."""
     for batch in batches:
         rec, out = [], []
         for text, lines, recs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             parts = text.split("\n")
             rec += recs
             out += [parts[i] for i in lines]
-        yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
+        picked = pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
+        for first, end, raw, off in tb.blocks(picked.column(1)):
+            row, value = line_sets(raw, off)
+            starts = np.searchsorted(row, np.arange(end - first + 1))
+            sketch = tb.minhash(value, starts, SKETCH).astype(np.uint8)
+            part = picked.slice(first, end - first)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(starts)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rec", "text", "size", "sketch"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +195,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     leaf = leaves(scratch, nodes, reps.select("rec", F.col("blob").alias("sig")), _branch, 3)
     met = scratch.store(reps.join(leaf.select("rec").distinct(), "rec", "left_semi"), "met")
     per_doc = met.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
-    texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(_pick, "rec long, text string").dropDuplicates(["rec"]), "texts")
-    comp = linked(scratch, leaf, met.select("rec", F.lit(1).alias("size"), F.col("blob").alias("sketch")), texts, line_sets, PERCENT, LOW)
+    texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(_pick, "rec long, text string, size long, sketch binary").dropDuplicates(["rec"]), "texts")
+    comp = linked(scratch, leaf, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), line_sets, PERCENT, LOW)
     member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
     member = scratch.store(member, "members")
     keeper = member.groupBy("component").agg(F.min("at").alias("keep"))
