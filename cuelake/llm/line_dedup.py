@@ -133,8 +133,8 @@ def _branch(node: Column, sig: Column) -> Column:
     return F.array(*kids)
 
 
-def line_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle) of texts that are one line each."""
+def line_shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every shingle of texts that are one line each."""
     lower = tb._LOWER[raw]
     solid = np.flatnonzero(~tb._SPACE[lower])
     lo, hi = np.searchsorted(solid, off[:-1]), np.searchsorted(solid, off[1:])
@@ -142,8 +142,7 @@ def line_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     start, end = solid[lo[has]], solid[hi[has] - 1] + 1
     long = end - start >= SHINGLE
     value, first = _shingles(raw, start[long], end[long])
-    row, value, _ = tb.distinct(np.repeat(has[long], np.diff(first)), value, len(off) - 1)
-    return row, value
+    return np.repeat(has[long], np.diff(first)), value
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +155,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [parts[i] for i in lines]
         picked = pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
         for first, end, raw, off in tb.blocks(picked.column(1)):
-            row, value = line_sets(raw, off)
-            starts = np.searchsorted(row, np.arange(end - first + 1))
+            _, value, starts = tb.distinct(*line_shingles(raw, off), end - first)
             sketch = tb.minhash(value, starts, SKETCH).astype(np.uint8)
             part = picked.slice(first, end - first)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(starts)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rec", "text", "size", "sketch"])
@@ -196,7 +194,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     met = scratch.store(reps.join(leaf.select("rec").distinct(), "rec", "left_semi"), "met")
     per_doc = met.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
     texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(_pick, "rec long, text string, size long, sketch binary").dropDuplicates(["rec"]), "texts")
-    comp = linked(scratch, leaf, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), line_sets, PERCENT, LOW)
+    comp = linked(scratch, leaf, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), line_shingles, PERCENT, LOW)
     member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
     member = scratch.store(member, "members")
     keeper = member.groupBy("component").agg(F.min("at").alias("keep"))

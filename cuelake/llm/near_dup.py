@@ -42,10 +42,9 @@ LEVELS = 7
 LOW = 0.65
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle hash) of each text."""
+def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every shingle of each text."""
     row, _, value = tb.Words(raw, off).grams(WORDS, short_whole=True)
-    row, value, _ = tb.distinct(row, value, len(off) - 1)
     return row, value
 
 
@@ -99,7 +98,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     if not feats.groupBy("doc_id").count().where("count > 1").isEmpty():
         wanted = wanted.mapInArrow(_with_record, "rec long, text string").dropDuplicates(["rec"])
     wanted = scratch.store(wanted.select("rec", "text"), "texts")
-    comp = linked(scratch, leaf, reps.select("rec", "size", "sketch"), wanted, shingle_sets, PERCENT, LOW)
+    comp = linked(scratch, leaf, reps.select("rec", "size", "sketch"), wanted, shingles, PERCENT, LOW)
     member = scratch.store(klass.join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "doc_id", F.coalesce("component", "rec").alias("component")), "members")
     first = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = member.join(first, "component").select("rec", "component_id")

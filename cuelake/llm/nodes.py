@@ -116,11 +116,20 @@ def _compare(low: float, percent: int, first: bool) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, sets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
+#: The low bits of a key, which hold the row of a slice of 256.
+_ROW = np.int64(255)
+
+
+def _keys(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Distinct (value, row) as one sorted number each: 56 bits of the value and 8 of the row."""
+    return np.unique(value.view(np.int64) & ~_ROW | row)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    ``texts`` has (rec, text); ``sets(bytes, offsets)`` gives the distinct
-    (row, element) of each text.
+    ``texts`` has (rec, text); ``shingles(bytes, offsets)`` gives the
+    (row, hash) of every shingle of each text, repeats included.
     """
     both = pairs.join(texts.select(F.col("rec").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("rec").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -129,21 +138,18 @@ def confirm(pairs: DataFrame, texts: DataFrame, sets: Callable[[np.ndarray, np.n
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                row_a, value_a = sets(*tb.string_buffers(part.column(2)))
-                row_b, value_b = sets(*tb.string_buffers(part.column(3)))
-                row, value, n = np.concatenate([row_a, row_b]), np.concatenate([value_a, value_b]), part.num_rows
-                order = np.lexsort((value, row))
-                row, value = row[order], value[order]
-                same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-                shared = np.bincount(row[1:][same], minlength=n)
-                union = np.bincount(row, minlength=n) - shared
+                sides = [_keys(*shingles(*tb.string_buffers(part.column(k)))) for k in (2, 3)]
+                size = [np.bincount(x & _ROW, minlength=part.num_rows) for x in sides]
+                keys = np.sort(np.concatenate(sides))
+                shared = np.bincount(keys[1:][keys[1:] == keys[:-1]] & _ROW, minlength=part.num_rows)
+                union = size[0] + size[1] - shared
                 yield part.select([0, 1]).filter(pa.array((100 * shared >= percent * union) & (union > 0)))
 
     return both.mapInArrow(run, "a long, b long")
 
 
 def linked(
-    scratch: Scratch, leaf: DataFrame, sketches: DataFrame, texts: DataFrame, sets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], percent: int, low: float
+    scratch: Scratch, leaf: DataFrame, sketches: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], percent: int, low: float
 ) -> DataFrame:
     """(node, component) of records linked through any chain of confirmed pairs.
 
@@ -166,8 +172,8 @@ def linked(
         return out.where("size(rows) > 1 and array_min(rows.component) < array_max(rows.component)").select("rows", "leaf")
 
     pairs = scratch.store(groups(None).mapInArrow(_compare(low, percent, True), "a long, b long").distinct(), "pairs")
-    sure = scratch.store(confirm(pairs, texts, sets, percent), "links")
+    sure = scratch.store(confirm(pairs, texts, shingles, percent), "links")
     so_far = components(scratch, sure)
     rest = groups(so_far).mapInArrow(_compare(low, percent, False), "a long, b long").join(pairs, ["a", "b"], "left_anti")
-    more = scratch.store(confirm(scratch.store(rest, "pairs"), texts, sets, percent), "links")
+    more = scratch.store(confirm(scratch.store(rest, "pairs"), texts, shingles, percent), "links")
     return components(scratch, sure.unionByName(more))
