@@ -62,3 +62,17 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def merged(scratch: Scratch, so_far: DataFrame, more: DataFrame) -> DataFrame:
+    """``so_far``, a result of ``components``, after the links (a, b) of ``more``.
+
+    Only the components that ``more`` links are contracted, each as one node.
+    """
+    if more.isEmpty():
+        return so_far
+    ends = [so_far.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+    lifted = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    top = components(scratch, lifted).withColumnsRenamed({"node": "inner", "component": "outer"})
+    moved = so_far.join(top, F.col("component") == F.col("inner"), "left").select("node", F.coalesce("outer", "component").alias("component"))
+    return moved.unionByName(top.select(F.col("inner").alias("node"), F.col("outer").alias("component")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import textblock as tb
 from .common import Scratch
-from .components import components
+from .components import components, merged
 
 #: A node of at most so many records is compared exhaustively.
 LEAF = 400
@@ -176,4 +176,4 @@ def linked(
     so_far = components(scratch, sure)
     rest = groups(so_far).mapInArrow(_compare(low, percent, False), "a long, b long").join(pairs, ["a", "b"], "left_anti")
     more = scratch.store(confirm(scratch.store(rest, "pairs"), texts, shingles, percent), "links")
-    return components(scratch, sure.unionByName(more))
+    return merged(scratch, so_far, more)

@@ -139,7 +139,11 @@ def span_hash(text: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.nda
 
 def distinct(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, value), sorted by both, and the start of each row (rows + 1 entries)."""
-    order = np.lexsort((value, row))
+    order = np.argsort(value)
+    if rows <= 1 << 16:  # the second, stable sort is then by counting
+        order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(row[order], kind="stable")]
     row, value = row[order], value[order]
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])

@@ -48,6 +48,17 @@ def test_components_of_a_chain_a_star_and_repeats(spark):
     assert components.components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_merged_components_equal_those_of_all_links(spark):
+    rng = np.random.default_rng(4)
+    edges = rng.integers(0, 300, (240, 2)).tolist()
+    first, more = (spark.createDataFrame(x, "a long, b long").repartition(4) for x in (edges[:170], edges[170:]))
+    scratch = Scratch(spark, "t")
+    so_far = components.components(scratch, first)
+    got = {tuple(r) for r in components.merged(scratch, so_far, more).collect()}
+    assert got == {tuple(r) for r in components.components(scratch, first.unionByName(more)).collect()}
+    assert {tuple(r) for r in components.merged(scratch, so_far, more.limit(0)).collect()} == {tuple(r) for r in so_far.collect()}
+
+
 def test_near_duplicates_defined_cases(spark):
     rows = near_dup.near_duplicates(spark, _docs(spark, EDGES)).collect()
     assert len(rows) == len(EDGES)
