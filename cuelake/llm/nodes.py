@@ -22,6 +22,8 @@ from .components import components, merged
 LEAF = 400
 #: A larger node is split into blocks at once up to this size, each record then being in at most 2 * FEW / LEAF leaves of it.
 FEW = 4 * LEAF
+#: Shingles of the records of a leaf that are compared exactly with those of another run, or their own, in one row.
+RUN = 1 << 17
 
 
 def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Callable[[Column, Column], Column], levels: int) -> DataFrame:
@@ -59,63 +61,132 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
     return scratch.store(out, "leaves")
 
 
-def _estimates(sketch: np.ndarray, i: int) -> np.ndarray:
-    return (sketch[i + 1 :] == sketch[i]).mean(axis=1)
+def _agreement(sketch: np.ndarray, i: int) -> np.ndarray:
+    """Share of the bytes in which each sketch after the i-th agrees with it."""
+    same = (sketch[i + 1 :] == sketch[i]).view(np.uint64)  # eight truth values a number
+    return np.bitwise_count(same).sum(axis=1, dtype=np.int32) / sketch.shape[1]
 
 
-def _compare(low: float, percent: int, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of each leaf whose sketches agree in a share of at least ``low``.
+def _likely(rows: pa.StructArray, low: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreement) of the pairs of one leaf that sketches and sizes do not rule out and that are not yet connected."""
+    size, group = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("size", "component"))
+    sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(size), -1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(len(size) - 1):
+        near = _agreement(sketch, i)
+        fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
+        at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]) & fits)
+        if len(at):
+            found.append((np.full(len(at), i), at + i + 1, near[at]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    First pass: a maximum spanning forest of each leaf, the pairs most likely
-    to be links.  Second pass: every pair whose records are not yet connected,
-    in the first only of the leaves that hold both.  A pair whose sizes alone
-    rule it out is skipped.
-    """
+
+def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """First pass: (a, b) of a maximum spanning forest of each leaf, the pairs most likely to be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
+            for row in batch.column(0):
+                rec = row.values.field("rec").to_numpy(zero_copy_only=False)
+                i, j, near = _likely(row.values, low, percent)
+                parent, keep = list(range(len(rec))), []
+                for k in np.argsort(-near, kind="stable"):
+                    a, b = int(i[k]), int(j[k])
+                    while parent[a] != a:
+                        parent[a] = a = parent[parent[a]]
+                    while parent[b] != b:
+                        parent[b] = b = parent[parent[b]]
+                    if a != b:
+                        parent[b] = a
+                        keep.append(k)
+                        if len(keep) == len(rec) - 1:
+                            break
+                i, j = rec[i[keep]], rec[j[keep]]
+                out_a.append(np.minimum(i, j))
+                out_b.append(np.maximum(i, j))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return run
+
+
+def _open_pairs(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Second pass: the pairs of each leaf whose records are not yet connected.
+
+    A pair is taken in the first only of the leaves that hold both.  A leaf's
+    records are cut into runs of about RUN shingles; each two runs make a row:
+    the records with pairs, and the pairs as places among them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, part, recs, pairs = [], [], [], []
             for number, row in enumerate(batch.column(0)):
                 rows = row.values
+                i, j, _ = _likely(rows, low, percent)
+                here, held = batch.column(1)[number].as_py(), [set(x) for x in rows.field("leaves").to_pylist()]
+                mine = np.array([min(held[a] & held[b]) == here for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[mine], j[mine]
                 rec = rows.field("rec").to_numpy(zero_copy_only=False)
-                size = rows.field("size").to_numpy(zero_copy_only=False)
-                group = rows.field("component").to_numpy(zero_copy_only=False)
-                sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(rec), -1)
-                found = []
-                for i in range(len(rec) - 1):
-                    near = _estimates(sketch, i)
-                    fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
-                    at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]) & fits)
-                    if len(at):
-                        found.append((np.full(len(at), i), at + i + 1, near[at]))
-                if not found:
-                    continue
-                i, j, near = (np.concatenate(x) for x in zip(*found, strict=True))
-                if first:
-                    order = np.argsort(-near, kind="stable")
-                    parent, keep = list(range(len(rec))), []
-                    for k in order:
-                        a, b = int(i[k]), int(j[k])
-                        while parent[a] != a:
-                            parent[a] = a = parent[parent[a]]
-                        while parent[b] != b:
-                            parent[b] = b = parent[parent[b]]
-                        if a != b:
-                            parent[b] = a
-                            keep.append(k)
-                    i, j = i[keep], j[keep]
-                else:
-                    here, held = batch.column(1)[number].as_py(), [set(x) for x in rows.field("leaves").to_pylist()]
-                    keep = [k for k in range(len(i)) if min(held[i[k]] & held[j[k]]) == here]
-                    i, j = i[keep], j[keep]
-                out_a.append(np.minimum(rec[i], rec[j]))
-                out_b.append(np.maximum(rec[i], rec[j]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                run_of = np.cumsum(rows.field("size").to_numpy(zero_copy_only=False)) // RUN
+                cell = np.unique(run_of, return_inverse=True)[1]
+                cell = cell[i] * len(rec) + cell[j]
+                for c in np.unique(cell):
+                    ends = np.stack([i[cell == c], j[cell == c]], axis=1)
+                    used, place = np.unique(ends, return_inverse=True)
+                    leaf.append(here)
+                    part.append(int(c))
+                    recs.append(rec[used])
+                    pairs.append(place.astype(np.uint16).tobytes())
+            if leaf:
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part, pa.int64()), pa.array(recs, pa.list_(pa.int64())), pa.array(pairs, pa.binary())], ["leaf", "part", "recs", "pairs"])
 
     return run
 
 
+def _shared(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair of bit sets."""
+    out, step = np.zeros(len(i), np.int64), max(1, (16 << 20) // max(1, bits.shape[1] * 8))
+    for k in range(0, len(i), step):
+        out[k : k + step] = np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def confirm_cells(cells: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
+    """The links (a, b) among the pairs of each row of ``_open_pairs``, by exact similarity of full sets.
+
+    Each record's text comes once a row and its set is made once; a pair costs one intersection of bit sets.
+    """
+    members = cells.select("leaf", "part", F.posexplode("recs").alias("place", "rec")).join(texts, "rec")
+    members = members.groupBy("leaf", "part").agg(F.sort_array(F.collect_list(F.struct("place", "rec", "text"))).alias("rows"))
+    both = members.join(cells.select("leaf", "part", "pairs"), ["leaf", "part"]).select("rows", "pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, pairs in zip(batch.column(0), batch.column(1), strict=True):
+                rec, n = rows.values.field("rec").to_numpy(zero_copy_only=False), len(rows.values)
+                row, value, starts = tb.distinct(*shingles(*tb.string_buffers(rows.values.field("text"))), n)
+                order = np.argsort(value)
+                fresh = np.append(True, np.diff(value[order].view(np.int64)) != 0)[: len(order)]
+                token = np.empty(len(order), np.int64)
+                token[order] = np.cumsum(fresh) - 1
+                often = np.bincount(token) > 1  # others are in no intersection
+                place = (np.cumsum(often) - 1)[token]
+                common = often[token]
+                held = np.zeros((n, -(-int(often.sum()) // 64) * 64), bool)
+                held[row[common], place[common]] = True
+                bits, size = np.packbits(held, axis=1).view(np.uint64), np.diff(starts)
+                i, j = np.frombuffer(pairs.as_py(), np.uint16).reshape(-1, 2).astype(np.int64).T
+                shared = _shared(bits, i, j)
+                union = size[i] + size[j] - shared
+                links = (100 * shared >= percent * union) & (union > 0)
+                a, b = rec[i[links]], rec[j[links]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 #: The low bits of a key, which hold the row of a slice of 256.
 _ROW = np.int64(255)
 
@@ -155,7 +226,7 @@ def linked(
 
     ``sketches`` has (rec, size, sketch); ``size`` is that of the full set.  Two passes over the leaves: spanning pairs
     first; then every remaining pair between records that those have not
-    connected.  Both are confirmed on full sets.
+    connected.  Both are confirmed on full sets, the few of the first pass pair by pair, the rest leaf by leaf.
     """
 
     sketches = scratch.store(sketches.join(leaf.select("rec").distinct(), "rec", "left_semi"), "sketches")
@@ -171,9 +242,9 @@ def linked(
         out = rows.groupBy("leaf").agg(F.collect_list(F.struct(*fields)).alias("rows"))
         return out.where("size(rows) > 1 and array_min(rows.component) < array_max(rows.component)").select("rows", "leaf")
 
-    pairs = scratch.store(groups(None).mapInArrow(_compare(low, percent, True), "a long, b long").distinct(), "pairs")
+    pairs = scratch.store(groups(None).mapInArrow(_spanning(low, percent), "a long, b long").distinct(), "pairs")
     sure = scratch.store(confirm(pairs, texts, shingles, percent), "links")
     so_far = components(scratch, sure)
-    rest = groups(so_far).mapInArrow(_compare(low, percent, False), "a long, b long").join(pairs, ["a", "b"], "left_anti")
-    more = scratch.store(confirm(scratch.store(rest, "pairs"), texts, shingles, percent), "links")
+    cells = scratch.store(groups(so_far).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary"), "cells")
+    more = scratch.store(confirm_cells(cells, texts, shingles, percent), "links")
     return merged(scratch, so_far, more)
