@@ -151,14 +151,24 @@ def distinct(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
     return row, value, np.searchsorted(row, np.arange(rows + 1))
 
 
+#: Values whose products with all multipliers are made while they are in a core's cache.
+_CHUNK = 1 << 15
+
+
 def minhash(value: np.ndarray, starts: np.ndarray, slots: int, seed: int = 1) -> np.ndarray:
     """uint32 minimum of ``slots`` hash functions over each run of ``value``; empty runs give the largest value."""
-    rows = len(starts) - 1
-    out = np.full((rows, slots), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(starts) - 1, slots), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(starts) > 0)
-    if len(full) == 0:
-        return out
-    mult = mix64(np.arange(1, slots + 1, dtype=np.uint64) * _P + np.uint64(seed)) | np.uint64(1)
-    for k in range(slots):
-        out[full, k] = np.minimum.reduceat(((value * mult[k]) >> np.uint64(32)).astype(np.uint32), starts[:-1][full])
+    mult = (mix64(np.arange(1, slots + 1, dtype=np.uint64) * _P + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    high = (value >> np.uint64(32)).astype(np.uint32)
+    first = 0
+    while first < len(full):
+        end = max(first + 1, int(np.searchsorted(starts[full], starts[full[first]] + _CHUNK)))
+        rows = full[first:end]
+        part, at = high[starts[rows[0]] : starts[rows[-1] + 1]], starts[rows] - starts[rows[0]]
+        low = np.empty((slots, len(rows)), np.uint32)
+        for k in range(slots):
+            np.minimum.reduceat(part * mult[k], at, out=low[k])
+        out[rows] = low.T
+        first = end
     return out
