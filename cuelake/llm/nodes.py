@@ -67,18 +67,28 @@ def _agreement(sketch: np.ndarray, i: int) -> np.ndarray:
     return np.bitwise_count(same).sum(axis=1, dtype=np.int32) / sketch.shape[1]
 
 
-def _likely(rows: pa.StructArray, low: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, agreement) of the pairs of one leaf that sketches and sizes do not rule out and that are not yet connected."""
-    size, group = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("size", "component"))
-    sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(size), -1)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for i in range(len(size) - 1):
-        near = _agreement(sketch, i)
-        fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
-        at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]) & fits)
-        if len(at):
-            found.append((np.full(len(at), i), at + i + 1, near[at]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+class _Leaves:
+    """The leaves of one batch of (rows, ...): their records' columns as arrays over all leaves."""
+
+    def __init__(self, column: pa.ListArray):
+        self.flat, at = column.flatten(), column.offsets.to_numpy()
+        self.ends = at - at[0]
+        self.rec, self.size, self.group = (self.flat.field(x).to_numpy(zero_copy_only=False) for x in ("rec", "size", "component"))
+        self.sketch = tb.string_buffers(self.flat.field("sketch"))[0].reshape(len(self.rec), -1) if len(self.rec) else None
+
+    def likely(self, low: float, percent: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(leaf, its first and end row, i, j, agreement): pairs that sketches and sizes do not rule out and that are not yet connected."""
+        for number, (first, end) in enumerate(zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)):
+            size, group, sketch = self.size[first:end], self.group[first:end], self.sketch[first:end]
+            found = []
+            for i in range(end - first - 1):
+                near = _agreement(sketch, i)
+                fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
+                at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]) & fits)
+                if len(at):
+                    found.append((np.full(len(at), i), at + i + 1, near[at]))
+            if found:
+                yield number, first, end, *(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -87,9 +97,9 @@ def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for row in batch.column(0):
-                rec = row.values.field("rec").to_numpy(zero_copy_only=False)
-                i, j, near = _likely(row.values, low, percent)
+            found_in = _Leaves(batch.column(0))
+            for _, first, end, i, j, near in found_in.likely(low, percent):
+                rec = found_in.rec[first:end]
                 parent, keep = list(range(len(rec))), []
                 for k in np.argsort(-near, kind="stable"):
                     a, b = int(i[k]), int(j[k])
@@ -122,14 +132,13 @@ def _open_pairs(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf, part, recs, pairs = [], [], [], []
-            for number, row in enumerate(batch.column(0)):
-                rows = row.values
-                i, j, _ = _likely(rows, low, percent)
-                here, held = batch.column(1)[number].as_py(), [set(x) for x in rows.field("leaves").to_pylist()]
+            found_in = _Leaves(batch.column(0))
+            for number, first, end, i, j, _ in found_in.likely(low, percent):
+                here, held = batch.column(1)[number].as_py(), [set(x) for x in found_in.flat.field("leaves").slice(first, end - first).to_pylist()]
                 mine = np.array([min(held[a] & held[b]) == here for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
                 i, j = i[mine], j[mine]
-                rec = rows.field("rec").to_numpy(zero_copy_only=False)
-                run_of = np.cumsum(rows.field("size").to_numpy(zero_copy_only=False)) // RUN
+                rec = found_in.rec[first:end]
+                run_of = np.cumsum(found_in.size[first:end]) // RUN
                 cell = np.unique(run_of, return_inverse=True)[1]
                 cell = cell[i] * len(rec) + cell[j]
                 for c in np.unique(cell):
