@@ -113,15 +113,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(code), blob], ["doc_id", "line", "code", "blob"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rec, node) for each band of each signature."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, BANDS)
-        # A band is four values of 16 bits: one number.
-        node = tb.mix64(tb.mix64(sig) + np.arange(BANDS, dtype=np.uint64) * tb._P)
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], ["node", "rec"])
+def _bands(sig: Column) -> Column:
+    """The node of each band of a signature: its number and its ROWS values of two bytes."""
+    return F.array(*(F.xxhash64(F.lit(k), F.substring(sig, 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)))
 
 
 def _branch(node: Column, sig: Column) -> Column:
@@ -189,7 +183,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     lines = scratch.store(known.mapInArrow(_lines, "doc_id long, line int, code long, blob binary"), "lines")
     reps = lines.groupBy("code").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.any_value("blob").alias("blob"))
     reps = scratch.store(reps.select(F.col("code").alias("rec"), "at", "blob"), "records")
-    nodes = reps.select("rec", "blob").mapInArrow(_bands, "node long, rec long")
+    nodes = reps.select(F.explode(_bands(F.col("blob"))).alias("node"), "rec")
     leaf = leaves(scratch, nodes, reps.select("rec", F.col("blob").alias("sig")), _branch, 3)
     met = scratch.store(reps.join(leaf.select("rec").distinct(), "rec", "left_semi"), "met")
     per_doc = met.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
