@@ -4,8 +4,8 @@ Lines are the parts of a text between line feeds.  Lines of at least
 MIN_CHARS bytes, compared after A-Z lower-casing and without white space at
 their ends, are sets of SHINGLE-byte shingles.  Equal lines form one class.
 Class records meet by banding (BANDS bands of ROWS minwise values: a pair of
-similarity 0.75 is missed with probability 0.05, one of 0.85 with 0.003, one
-of 0.9 with 0.0002), are confirmed
+similarity 0.75 is missed with probability 0.0014, one of 0.8 with 0.0002), are
+confirmed
 by exact Jaccard similarity on their full sets, and distributed union-find
 joins them.  Of each component the line of the smallest (doc_id, line number)
 stays; the others are removed.  Shorter lines always stay.
@@ -33,12 +33,14 @@ from .nodes import leaves, linked
 MIN_CHARS = 40
 SHINGLE = 8
 PERCENT = 75
-ROWS = 4
-BANDS = 8
+ROWS = 3
+BANDS = 12
 SLOTS = ROWS * BANDS
-#: Minwise values, a byte each, of lines that meet others; the least share of equal ones for an exact comparison: 0.75 less 2.8 standard errors.
+#: Children of a band that is too large: a pair of similarity 0.75 is in none with probability 0.25 to this power.
+KIDS = 4
+#: Minwise values, a byte each, of lines that meet others; the least share of equal ones for an exact comparison: 0.75 less 4 standard errors.
 SKETCH = 64
-LOW = 0.60
+LOW = 0.53
 
 
 def _line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +86,7 @@ def _signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One-permutation minwise values of 16 bits: each shingle falls into one slot; empty slots borrow from a full one."""
     rows = len(first) - 1
     key = np.repeat(np.arange(rows, dtype=np.int64) * SLOTS, np.diff(first))
-    key += (value >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+    key += ((value >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
     sig = np.full(rows * SLOTS, 0xFFFFFFFF, np.uint32)
     np.minimum.at(sig, key, (value >> np.uint64(20)).astype(np.uint32))
     sig = sig.reshape(rows, SLOTS)
@@ -119,9 +121,9 @@ def _bands(sig: Column) -> Column:
 
 
 def _branch(node: Column, sig: Column) -> Column:
-    """Two children of a band that is too large: one more minwise value each, chosen by the node's hash."""
+    """KIDS children of a band that is too large: one more minwise value each, chosen by the node's hash."""
     kids = []
-    for k in (1, 2):
+    for k in range(1, KIDS + 1):
         slot = F.pmod(F.xxhash64(node, F.lit(k)), F.lit(SLOTS)).cast("int")
         kids.append(F.xxhash64(node, slot, F.substring(sig, slot * 2 + 1, F.lit(2))))
     return F.array(*kids)

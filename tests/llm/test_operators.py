@@ -145,6 +145,35 @@ def test_lines_equal_brute_force(spark):
     assert got <= want and len(want - got) <= 0.02 * len(want)
 
 
+def _close_lines(n):
+    """Pairs of random lines of similarity 0.75 to 0.8."""
+    rng, pairs = np.random.default_rng(1), []
+    while len(pairs) < n:
+        a = rng.integers(97, 123, rng.integers(63, 250)).astype(np.uint8)
+        b = a.copy()
+        b[rng.integers(0, len(a), 1 + int(rng.integers(0, len(a) // 45)))] = 65
+        s, t = ({x[i : i + line_dedup.SHINGLE].tobytes().lower() for i in range(len(x) - line_dedup.SHINGLE + 1)} for x in (a, b))
+        if 75 <= 100 * len(s & t) / len(s | t) < 80:
+            pairs.append((a, b))
+    return pairs
+
+
+def test_lines_of_the_threshold_meet(spark):
+    signed, sketched = [], []
+    for side in zip(*_close_lines(2000), strict=True):
+        raw, off = np.concatenate(side), np.concatenate([[0], np.cumsum([len(x) for x in side])])
+        value, first = line_dedup._shingles(raw, off[:-1], off[1:])
+        signed.append(line_dedup._signatures(value, first))
+        sketched.append(line_dedup.tb.minhash(value, first, line_dedup.SKETCH).astype(np.uint8))
+    bands = [x.reshape(len(x), line_dedup.BANDS, line_dedup.ROWS) for x in signed]
+    assert np.mean((bands[0] == bands[1]).all(axis=2).any(axis=1)) >= 0.995
+    assert np.mean((sketched[0] == sketched[1]).mean(axis=1) >= line_dedup.LOW) >= 0.999
+    # A pair that meets in a large band meets in one of its children too.
+    blobs = spark.createDataFrame([(i, x.tobytes(), y.tobytes()) for i, (x, y) in enumerate(zip(*signed, strict=True))], "node long, x binary, y binary")
+    together = F.arrays_overlap(line_dedup._branch(F.col("node"), F.col("x")), line_dedup._branch(F.col("node"), F.col("y")))
+    assert blobs.where(together).count() >= 0.985 * 2000
+
+
 def test_contamination(spark):
     item = "Where was the old bridge over the quiet river built, and by which of the masons of the town?"
     other = " ".join(PROSE[3].split()[:25])
