@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items and texts are words as everywhere here, A-Z lower-cased, compared
 without ASCII punctuation at their ends.  Seeds are the 3-word runs of the
-items.  Their occurrences are counted over the whole corpus, and an item uses
-those that are rare: found in at most a share RARE of the documents, or no
-more frequent than the item's median seed, so an item that leaked into
-a large part of the corpus keeps seeds too.  Texts that share a seed with an
-item are candidates; each stretch of text around its seeds is aligned with the
-item (match 2, mismatch -1, gap -1).  The score is the best alignment divided
-by that of the item with itself; a text is contaminated from MIN_SCORE on.
+items, however often they occur.  Texts that share a seed with an item are
+candidates; each stretch of text around its seeds that has enough of the
+item's words to reach MIN_SCORE is aligned with the item (match 2, mismatch
+-1, gap -1), and so is what lies before and behind a passage found.  The score
+is the best alignment divided by that of the item with itself; a text is
+contaminated from MIN_SCORE on.
 
 Seeds of the items are broadcast while they are fewer than MAX_BROADCAST;
 beyond that texts' runs and seeds meet in a shuffled join.
@@ -32,7 +31,6 @@ from . import textblock as tb
 from .common import Scratch
 
 SEED = 3
-RARE = 1e-4
 MIN_SCORE = 0.5
 MAX_BROADCAST = 2_000_000
 GAP, MISMATCH, MATCH = 1, 1, 2
@@ -110,6 +108,22 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def passages(item: np.ndarray, text: np.ndarray) -> list[tuple[float, int, int]]:
+    """(score, first word, end word) of the passages of ``item`` in ``text`` that reach MIN_SCORE: the best one, then those beside it."""
+    found, spans = [], [(0, len(text))]
+    while spans:
+        lo, hi = spans.pop()
+        # No alignment has more matches than the item has words that occur here.
+        if np.isin(item, text[lo:hi]).sum() < MIN_SCORE * len(item):
+            continue
+        best, first, end = align(item, text[lo:hi])
+        score = best / (MATCH * len(item))
+        if score >= MIN_SCORE:
+            found.append((score, lo + first, lo + end))
+            spans += [(lo, lo + first), (lo + end, hi)]
+    return found
+
+
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, hits): hits are (item_id, words, positions in the text)."""
     for batch in batches:
@@ -118,7 +132,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = batch.slice(i, 1)
             words = _words(*tb.string_buffers(one.column(1))).hash.view(np.int64)
             doc = one.column(0)[0].as_py()
-            memo: dict[tuple, tuple[int, int, int]] = {}
+            memo: dict[tuple, list[tuple[float, int, int]]] = {}
             for hit in one.column(2)[0].as_py():
                 item = np.array(hit["words"], np.int64)
                 reach = len(item) + len(item) // 2
@@ -127,9 +141,8 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lo, hi = max(0, int(part[0]) - reach), int(part[-1]) + SEED + reach
                     key = (item.tobytes(), lo, hi)
                     if key not in memo:
-                        memo[key] = align(item, words[lo:hi])
-                    score, first, end = memo[key]
-                    found.append((doc, hit["item_id"], score / (MATCH * len(item)), lo + first, lo + end))
+                        memo[key] = passages(item, words[lo:hi])
+                    found += [(doc, hit["item_id"], score, lo + first, lo + end) for score, first, end in memo[key]]
         cols = list(zip(*found, strict=True)) if found else [[]] * 5
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
@@ -149,15 +162,10 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     else:
         hits = text.mapInArrow(_seed_hits(None), "doc_id long, pos int, seed long").join(distinct, "seed", "left_semi").select("doc_id", "pos", "seed")
     hits = scratch.store(hits, "hits")
-    total = docs.count()
-    spread = hits.groupBy("seed", "doc_id").count().groupBy("seed").agg(F.count("*").alias("df"))
-    counted = seeds.select("item_id", "seed", "words").distinct().join(spread, "seed", "left").fillna(0, ["df"])
-    limit = counted.groupBy("item_id", "words").agg(F.percentile("df", 0.5).alias("middle"))
-    rare = counted.join(limit, ["item_id", "words"]).where((F.col("df") <= F.lit(max(1.0, RARE * total))) | (F.col("df") <= F.col("middle")))
-    rare = scratch.store(rare.where("df > 0").select("seed", "item_id", "words"), "rare")
-    meet = hits.join(rare.select("seed", "item_id", F.xxhash64("words").alias("code")), "seed").groupBy("doc_id", "item_id", "code").agg(F.collect_set("pos").alias("positions"))
-    names = rare.select("item_id", F.xxhash64("words").alias("code"), "words").distinct()
+    coded = seeds.select("seed", "item_id", F.xxhash64("words").alias("code"), "words")
+    meet = hits.join(coded.select("seed", "item_id", "code").distinct(), "seed").groupBy("doc_id", "item_id", "code").agg(F.collect_set("pos").alias("positions"))
+    names = coded.select("item_id", "code", "words").distinct()
     by_doc = meet.join(names, ["item_id", "code"]).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "positions")).alias("hits"))
     found = text.join(by_doc, text.doc_id.eqNullSafe(by_doc.doc_id)).select(text.doc_id, "text", "hits")
     out = found.mapInArrow(_score, "doc_id long, item_id long, score double, first_word int, end_word int")
-    return scratch.store(out.where(F.col("score") >= MIN_SCORE).distinct(), "passages")
+    return scratch.store(out.distinct(), "passages")

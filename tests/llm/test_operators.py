@@ -188,6 +188,23 @@ def test_contamination(spark):
     assert decontaminate.contamination(spark, _docs(spark, []), items).count() == 0
 
 
+def test_contamination_of_groups_equals_brute_force(spark):
+    items = [PROSE[k].split()[:38] for k in range(4)]
+    fifth = lambda words: [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+    texts = [PROSE[8 + i % 4].split() for i in range(12)]
+    # Equal edited copies that keep few seeds; one whole copy beside many of one edited version; two passages in one text; a passage beside a stray seed.
+    texts += [PROSE[8].split() + fifth(items[0]) + PROSE[9].split()] * 3 + [items[1]] + [fifth(items[1]) + [f"y{i}"] for i in range(40)]
+    texts += [items[2] + PROSE[10].split() + items[2][:3] + PROSE[9].split() + fifth(items[2])] + [items[3][:3] + PROSE[11].split() * 9 + fifth(items[3])] * 5
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    code = {w: i for i, w in enumerate({w for t in texts + items for w in t})}
+    number = lambda words: np.array([code[w] for w in words])
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if decontaminate.align(number(x), number(t))[0] >= decontaminate.MIN_SCORE * decontaminate.MATCH * len(x)}
+    got = decontaminate.contamination(spark, docs, table).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) == 50
+    assert sum(r.item_id == 2 for r in got) == 2
+
+
 def test_alignment_equals_the_plain_recurrence():
     for _ in range(30):
         a, b = RNG.integers(0, 4, 9), RNG.integers(0, 4, 14)
