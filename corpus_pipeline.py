@@ -16,7 +16,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that has lost all of its text goes with them."""
-    clean, _ = line_dedup.dedup_lines(spark, docs)
+    clean, _ = line_dedup.dedup_lines(spark, docs, shingle=line_dedup.FINE, short=True)
     emptied = (F.col("n_removed_") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     clean = clean.where(~F.coalesce(emptied, F.lit(False)))
     changed = F.when(F.col("n_removed_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

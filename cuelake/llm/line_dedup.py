@@ -2,13 +2,20 @@
 
 Lines are the parts of a text between line feeds.  Lines of at least
 MIN_CHARS bytes, compared after A-Z lower-casing and without white space at
-their ends, are sets of SHINGLE-byte shingles.  Equal lines form one class.
+their ends, are sets of shingles of ``shingle`` bytes.  Equal lines form one class.
 Class records meet by banding (BANDS bands of ROWS minwise values: a pair of
 similarity 0.75 is missed with probability 0.0014, one of 0.8 with 0.0002), are
 confirmed
 by exact Jaccard similarity on their full sets, and distributed union-find
 joins them.  Of each component the line of the smallest (doc_id, line number)
-stays; the others are removed.  Shorter lines always stay.
+stays; the others are removed.  With ``short``, shorter lines that are equal
+(compared in the same way) form classes too, of which the first stays; without
+it they all stay, as blank lines always do.
+
+op7_line_dedup and the pipeline run with ``short`` and FINE-byte shingles: one
+replaced character then leaves a line of 40 bytes above the threshold, where
+with SHINGLE bytes, the default, it takes 63.  Edited lines under MIN_CHARS
+bytes are not linked.
 
 Defined cases: null text stays null, with 0 lines; an empty text is one short
 line.  Rows that repeat a doc_id: lines of equal (doc_id, line number) are one
@@ -20,6 +27,7 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,7 @@ from .nodes import leaves, linked
 
 MIN_CHARS = 40
 SHINGLE = 8
+FINE = 5
 PERCENT = 75
 ROWS = 3
 BANDS = 12
@@ -43,8 +52,8 @@ SKETCH = 64
 LOW = 0.53
 
 
-def _line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number, start, end) of every line of MIN_CHARS bytes or more, ends trimmed."""
+def _line_spans(raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, start, end) of every line of ``least`` bytes or more, ends trimmed."""
     if len(raw) == 0:
         return (np.zeros(0, np.int64),) * 4
     text = tb._LOWER[raw]
@@ -60,23 +69,27 @@ def _line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     has = hi > lo
     row, number, lo, hi = row[has], number[has], lo[has], hi[has]
     start, end = solid[lo], solid[hi - 1] + 1
-    big = end - start >= MIN_CHARS
+    big = end - start >= least
     return row[big], number[big], start[big], end[big]
 
 
-def _shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each span, and where each span's begin."""
-    count = end - start - SHINGLE + 1
+def _shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each span, and where each span's begin; shingles have eight bytes at most."""
+    count = end - start - shingle + 1
     first = np.concatenate([[0], np.cumsum(count)])
-    text = np.ascontiguousarray(tb._LOWER[raw])
+    text = np.zeros(len(raw) + 8, np.uint8)
+    text[: len(raw)] = tb._LOWER[raw]
     if len(start) == 0:
         return np.zeros(0, np.uint64), first
     inside = np.zeros(len(text) + 1, np.int8)
     inside[start] += 1
     inside[start + count] -= 1
     at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-    # Every eight neighbouring bytes as one number.
-    value = np.ndarray((len(text) - SHINGLE + 1,), "<u8", text, strides=(1,))[at] * tb._Q
+    # Every eight neighbouring bytes as one number, of which the first ones count.
+    value = np.ndarray((len(raw),), "<u8", text, strides=(1,))[at]
+    if shingle < 8:
+        value &= np.uint64((1 << 8 * shingle) - 1)
+    value *= tb._Q
     value ^= value >> np.uint64(31)
     value *= tb._P
     return value, first
@@ -102,16 +115,20 @@ def _signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (sig * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], shingle: int, short: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, code, blob) of each line; blob, the signature, is null for those under MIN_CHARS bytes."""
     for batch in batches:
         for first, end, raw, off in tb.blocks(batch.column(1)):
-            row, number, lo, hi = _line_spans(raw, off)
+            row, number, lo, hi = _line_spans(raw, off, 1 if short else MIN_CHARS)
             if len(row) == 0:
                 continue
             ids = batch.column(0).slice(first, end - first)
             code = tb.span_hash(tb._LOWER[raw], lo, hi).view(np.int64)
-            sig = _signatures(*_shingles(raw, lo, hi))
-            blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SLOTS), len(row), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())]).cast(pa.binary())
+            big = hi - lo >= MIN_CHARS
+            sig = _signatures(*_shingles(raw, lo[big], hi[big], shingle))
+            blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SLOTS), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())]).cast(pa.binary())
+            if len(sig) < len(row):
+                blob = blob.take(pa.array(np.cumsum(big) - 1, mask=~big))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(code), blob], ["doc_id", "line", "code", "blob"])
 
 
@@ -129,19 +146,19 @@ def _branch(node: Column, sig: Column) -> Column:
     return F.array(*kids)
 
 
-def line_shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def line_shingles(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every shingle of texts that are one line each."""
     lower = tb._LOWER[raw]
     solid = np.flatnonzero(~tb._SPACE[lower])
     lo, hi = np.searchsorted(solid, off[:-1]), np.searchsorted(solid, off[1:])
     has = np.flatnonzero(hi > lo)
     start, end = solid[lo[has]], solid[hi[has] - 1] + 1
-    long = end - start >= SHINGLE
-    value, first = _shingles(raw, start[long], end[long])
+    long = end - start >= shingle
+    value, first = _shingles(raw, start[long], end[long], shingle)
     return np.repeat(has[long], np.diff(first)), value
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """(rec, text, size, sketch) of the wanted lines of each text: columns text, lines, recs."""
     for batch in batches:
         rec, out = [], []
@@ -151,7 +168,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [parts[i] for i in lines]
         picked = pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
         for first, end, raw, off in tb.blocks(picked.column(1)):
-            _, value, starts = tb.distinct(*line_shingles(raw, off), end - first)
+            _, value, starts = tb.distinct(*line_shingles(raw, off, shingle), end - first)
             sketch = tb.minhash(value, starts, SKETCH).astype(np.uint8)
             part = picked.slice(first, end - first)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(starts)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rec", "text", "size", "sketch"])
@@ -173,7 +190,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))])
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """``docs`` with deduplicated texts and two more columns, and the removed lines.
 
     The first result has the columns of ``docs`` and n_lines_, n_removed_; the
@@ -182,20 +199,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "lines")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = text.where("doc_id is not null")
-    lines = scratch.store(known.mapInArrow(_lines, "doc_id long, line int, code long, blob binary"), "lines")
+    every = scratch.store(known.mapInArrow(partial(_lines, shingle=shingle, short=short), "doc_id long, line int, code long, blob binary"), "lines")
+    lines = every.where("blob is not null")
     reps = lines.groupBy("code").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.any_value("blob").alias("blob"))
     reps = scratch.store(reps.select(F.col("code").alias("rec"), "at", "blob"), "records")
     nodes = reps.select(F.explode(_bands(F.col("blob"))).alias("node"), "rec")
     leaf = leaves(scratch, nodes, reps.select("rec", F.col("blob").alias("sig")), _branch, 3)
     met = scratch.store(reps.join(leaf.select("rec").distinct(), "rec", "left_semi"), "met")
     per_doc = met.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
-    texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(_pick, "rec long, text string, size long, sketch binary").dropDuplicates(["rec"]), "texts")
-    comp = linked(scratch, leaf, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), line_shingles, PERCENT, LOW)
+    texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary").dropDuplicates(["rec"]), "texts")
+    comp = linked(scratch, leaf, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW)
     member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
     member = scratch.store(member, "members")
     keeper = member.groupBy("component").agg(F.min("at").alias("keep"))
     member = member.join(keeper, "component").select(F.col("rec").alias("code"), "keep")
     gone = lines.select("doc_id", "line", "code").join(member, "code").where(F.struct("doc_id", "line") != F.col("keep"))
+    if short:
+        brief = every.where("blob is null").select("doc_id", "line", "code")
+        again = brief.groupBy("code").agg(F.min(F.struct("doc_id", "line")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("code", "keep")
+        gone = gone.unionByName(brief.join(again, "code").where(F.struct("doc_id", "line") != F.col("keep")))
     gone = scratch.store(gone.select("doc_id", "line", F.col("keep.doc_id").alias("keeper_doc"), F.col("keep.line").alias("keeper_line")).distinct(), "removed")
     drop = gone.groupBy("doc_id").agg(F.collect_list("line").alias("gone_"))
     names = docs.columns

@@ -48,7 +48,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, _ = line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=line_dedup.FINE, short=True)
     return docs.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.length("text").alias("clean_chars"), F.md5("text").alias("clean_md5"))
 
 

@@ -145,6 +145,43 @@ def test_lines_equal_brute_force(spark):
     assert got <= want and len(want - got) <= 0.02 * len(want)
 
 
+def test_query_removes_short_and_slightly_edited_lines(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    line = "Lines of forty-four bytes with one new word."
+    more = [(-3, f"Menu\n\n{line}\nx"), (-2, f" menu \n\n{line.replace('new', 'neW')}\nY"), (-1, line.replace("bytes", "bites") + "\nMENU\n\nx\nx")]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    lines: dict = {}
+    for r in docs.collect():
+        for i, x in enumerate(r.text.split("\n")):
+            x = "".join(c.lower() if "A" <= c <= "Z" else c for c in x).strip(" \t\n\v\f\r").encode()
+            if x:
+                lines.setdefault(x, []).append((r.doc_id, i))
+    keys = [k for k in lines if len(k) >= line_dedup.MIN_CHARS]
+    sets, comp = [{k[i : i + 5] for i in range(len(k) - 4)} for k in keys], list(range(len(keys)))
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i in range(len(keys)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                comp[root(i)] = root(j)
+    groups: dict = {k: list(v) for k, v in lines.items() if len(k) < line_dedup.MIN_CHARS}
+    for i, k in enumerate(keys):
+        groups.setdefault(root(i), []).extend(lines[k])
+    want: dict = {}
+    for g in groups.values():
+        for d, _ in set(g) - {min(g)}:
+            want[d] = want.get(d, 0) + 1
+    got = {r.doc_id: r.n_removed for r in queries()["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert (got[-3], got[-2], got[-1]) == (0, 2, 4)
+    assert all(n <= want.get(d, 0) for d, n in got.items()) and sum(got.values()) >= 0.995 * sum(want.values())
+
+
 def _close_lines(n):
     """Pairs of random lines of similarity 0.75 to 0.8."""
     rng, pairs = np.random.default_rng(1), []
