@@ -1,7 +1,8 @@
 """Licence scans by sentence-rule recognition.
 
 Texts are cut into sentences (at line feeds, and after . ! ? ; before white
-space).  A sentence is normalised: lower case, everything but letters and
+space); neighbouring lines that only together are a known sentence, with no
+blank line and no end of a sentence between, are one too.  A sentence is normalised: lower case, everything but letters and
 digits collapsed to single spaces, articles dropped.  Known sentences map to identifiers; a
 text becomes the sequence of its sentences' identifiers.  Ordered rules then
 match identifier sequences: a rule takes every place where its identifiers
@@ -48,6 +49,13 @@ SENTENCES = {
     "BSD.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "General.rights": "All rights reserved",
 }
+#: The whole sentences of licences of which SENTENCES has the beginning.
+WHOLE = {
+    "MIT.grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "MIT.as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+}
+#: Every known sentence matches this; texts that don't are not searched for wrapped ones.
+HINT = "(?i)licen|software|permission|program|redistribution|rights"
 RULES = [
     ("Apache-2.0", ["Apache.dont-use", "Apache.may-not", "Apache.obtain", "Apache.url", "Apache.as-is", "Apache.see"]),
     ("GPL-3.0-or-later", ["GPL.free", "GPL.hope", "GPL.copy"]),
@@ -81,18 +89,42 @@ def _normal_text(sentence: str) -> str:
 
 
 def _cut(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"([.!?;])[ \t\r]+", "$1\n"), r"[\n]+")
+    return F.split(F.regexp_replace(text, r"([.!?;])[ \t\r]+", "$1\n"), r"\n")
+
+
+def _wrapped(rows: DataFrame, known: DataFrame, texts: list[str]) -> DataFrame:
+    """(doc_id, row_, place, last, name) of the known sentences, ``texts``, that run over the lines from ``place`` to ``last``."""
+
+    def begins(line: Column) -> Column:
+        any_of = F.lit(False)
+        for s in texts:
+            any_of |= (F.length(line) < len(s)) & F.lit(s).startswith(line)
+        return (line != "") & any_of
+
+    some = rows.where(F.col("text").rlike(HINT)).select("doc_id", "row_", _cut(F.col("text")).alias("lines"))
+    first = F.transform("lines", lambda x, i: F.struct(i.alias("place"), F.regexp_replace(normal(x), r" ?\b(the|a|an)$", "").alias("line")))
+    some = some.where("size(lines) > 1").select("doc_id", "row_", "lines", F.explode(F.filter(first, lambda x: begins(x.line)).place).alias("place"))
+    # A line holds one word at least.
+    runs = some.select("doc_id", "row_", "place", F.slice("lines", F.col("place") + 1, max(len(s.split()) for s in texts)).alias("run")).where("size(run) > 1")
+    goes_on = lambda line: line.rlike("[A-Za-z0-9]") & ~line.rlike(r"[.!?;]\s*$")
+    ends = F.filter(F.sequence(F.lit(2), F.size("run")), lambda n: F.forall(F.slice("run", 1, n - 1), goes_on))
+    runs = runs.select("doc_id", "row_", "place", "run", F.explode(ends).alias("n"))
+    runs = runs.select("doc_id", "row_", "place", (F.col("place") + F.col("n") - 1).alias("last"), normal(F.array_join(F.slice("run", F.lit(1), F.col("n")), " ")).alias("sentence"))
+    return runs.join(F.broadcast(known), "sentence").select("doc_id", "row_", "place", "last", "name")
 
 
 def sentences(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_, doc_id, place, name) of the known sentences of each text; ``row_`` tells rows apart."""
-    known = spark.createDataFrame([(_normal_text(s), n) for n, s in SENTENCES.items()], "sentence string, name string")
+    """(row_, doc_id, place, name) of the known sentences of each text, the longest of those that begin in one place; ``row_`` tells rows apart."""
+    table = [(_normal_text(s), n) for x in (SENTENCES, WHOLE) for n, s in x.items()]
+    known = spark.createDataFrame(table, "sentence string, name string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("row_"), F.col(text_col).cast("string").alias("text"))
     parts = rows.select("doc_id", "row_", F.posexplode(_cut(F.col("text"))).alias("place", "sentence"))
     # Normalising never makes a sentence longer: shorter ones than the shortest known one can't match.
     parts = parts.where(F.length("sentence") >= min(len(_normal_text(s)) for s in SENTENCES.values()))
     parts = parts.withColumn("sentence", normal(F.col("sentence")))
-    return parts.join(F.broadcast(known), "sentence").select("doc_id", "row_", "place", "name")
+    found = parts.join(F.broadcast(known), "sentence").select("doc_id", "row_", "place", F.col("place").alias("last"), "name")
+    found = found.unionByName(_wrapped(rows, known, [s for s, _ in table]))
+    return found.groupBy("doc_id", "row_", "place").agg(F.max(F.struct("last", "name")).alias("best")).select("doc_id", "row_", "place", "best.name")
 
 
 def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +133,7 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     ``licenses`` are the distinct licences in the order of the rules, joined by
     commas ("" for none), ``unmatched`` the known sentences left over.
     """
-    found = sentences(spark, docs, id_col, text_col).distinct()
+    found = sentences(spark, docs, id_col, text_col)
     names, codes = F.array(*map(F.lit, CODES)), F.array(*map(F.lit, CODES.values()))
     found = found.withColumn("code", F.element_at(F.map_from_arrays(names, codes), F.col("name")))
     chain = found.groupBy("doc_id", "row_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x.code), "").alias("chain"))

@@ -1,6 +1,7 @@
 """Each operator on small tables: defined cases, and results held against brute force."""
 
 import hashlib
+import textwrap
 import zlib
 
 import duckdb
@@ -320,6 +321,49 @@ def test_licenses(spark):
     assert licenses.scan(spark, _docs(spark, [])).count() == 0
 
 
+NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "MIT": """Copyright (c) 2020 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+}
+
+
+def test_wrapped_licences(spark):
+    rows, want = [], []
+    for k, (title, text) in enumerate(NOTICES.items()):
+        for width in (40, 70, 79, 10_000):
+            lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+            for mark in ("", " * "):
+                rows.append((len(rows), "Prose before.\n\n" + "\n".join(mark + x for x in lines) + "\nProse after"))
+                want.append((title, [6, 3, 3, 3][k], 0))
+    # Neither a blank line nor the end of a sentence is crossed; five short phrases are known in two lines as well.
+    rows += [(100, "Released under\n\nthe MIT License"), (101, "Released under the.\nMIT License"), (102, "Released under the\nMIT License.\nAll rights\nreserved."), (103, "Licensed under the Apache License, Version 2.0\n(the \"License\");")]
+    want += [("", 0, 0), ("", 0, 0), ("MIT,All-rights-reserved", 2, 0), ("Apache-2.0", 1, 0)]
+    got = {r.doc_id: (r.licenses, r.n_known, r.unmatched) for r in licenses.scan(spark, _docs(spark, rows)).collect()}
+    assert [got[r[0]] for r in rows] == want
+    texts = [*licenses.SENTENCES.values(), *licenses.WHOLE.values()]
+    assert spark.createDataFrame([(s,) for s in texts], "s string").where(F.col("s").rlike(licenses.HINT)).count() == len(texts)
+
+
 def test_mixing_targets_and_copies(spark):
     rows = [(i, " ".join(["w"] * (i % 7)), s) for i, s in enumerate(["a"] * 300 + ["b"] * 20 + ["é"] * 30 + [None] * 10)]
     docs = spark.createDataFrame([(*r, 5) for r in [*rows, (0, None, "a"), (7, "", "only empty")]], "doc_id long, text string, source string, size int")
