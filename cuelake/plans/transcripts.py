@@ -380,3 +380,22 @@ def audio_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods = read(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id")).distinct().select("media_id", F.explode(pair).alias("p")).select("media_id", "p.*")
     rows = audio.cut_samples(chunks, periods).select("media_id", "seg_idx", "first_sample", F.posexplode("samples").alias("k", "sample"))
     return rows.select("media_id", "seg_idx", (F.col("first_sample") + F.col("k")).alias("sample_idx"), "sample")
+
+
+#: Of every so many chunks of a medium, audio_clip_all takes two periods.
+EVERY = 16
+
+
+@_query(
+    f"SELECT media_id, seg_idx, CAST(place AS BIGINT) AS sample_idx, CAST(v AS DOUBLE) AS sample FROM (SELECT media_id, 64 * chunk_idx + generate_subscripts(embedding, 1) - 1 AS place, unnest(embedding) AS v FROM ({_PCM})) AS s"
+    f" JOIN (SELECT media_id, 2 * k + which AS seg_idx, {64 * EVERY} * k + a AS a, {64 * EVERY} * k + b AS b FROM (SELECT DISTINCT media_id, chunk_idx // {EVERY} AS k FROM ({_PCM})), (VALUES (0, 10, 200), (1, 100, 130)) AS v(which, a, b)) AS p USING (media_id)"
+    " WHERE place >= a AND place < b"
+)
+def audio_clip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periods of ``audio_clip`` over the whole length of each medium."""
+    chunks = src.audio_chunks(spark, sf_dir)
+    k, step = F.col("k"), 64 * EVERY
+    pair = F.array(*(F.struct((2 * k + which).alias("seg_idx"), (step * k + a).alias("start_sample"), (step * k + b).alias("end_sample")) for which, a, b in ((0, 10, 200), (1, 100, 130))))
+    periods = chunks.select("media_id", F.floor(F.col("chunk_idx") / EVERY).cast("long").alias("k")).distinct().select("media_id", F.explode(pair).alias("p")).select("media_id", "p.*")
+    rows = audio.cut_samples(chunks, periods).select("media_id", F.col("seg_idx").cast("int").alias("seg_idx"), "first_sample", F.posexplode("samples").alias("k", "sample"))
+    return rows.select("media_id", "seg_idx", (F.col("first_sample") + F.col("k")).alias("sample_idx"), "sample")

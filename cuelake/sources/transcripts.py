@@ -16,6 +16,8 @@ from .scratch import folder
 
 SAMPLES_PER_MS = 16
 CHUNK = 64
+#: Ranges of ids within which chunks are numbered.
+RANGES = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,8 +81,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media_id, chunk_idx, start_sample, samples."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return read(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), place.alias("chunk_idx"), (place.cast("long") * CHUNK).alias("start_sample"), F.col("embedding").cast("array<double>").alias("samples"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), "vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    # Numbered in two levels, so that no task holds a medium: by the chunks in earlier ranges of ids, and within the range.
+    ends = rows.agg(F.min("vec_id").cast("double").alias("lo"), F.max("vec_id").cast("double").alias("hi"))
+    part = F.floor((F.col("vec_id").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * RANGES)
+    rows = rows.crossJoin(F.broadcast(ends)).select("media_id", "vec_id", "samples", part.alias("part"))
+    earlier = Window.partitionBy("m").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col("media_id").alias("m"), F.col("part").alias("p")).agg(F.count("*").alias("n")).select("m", "p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("media_id", "part").orderBy("vec_id")) - 1
+    rows = rows.withColumn("own", own).join(counts, F.col("media_id").eqNullSafe(F.col("m")) & F.col("part").eqNullSafe(F.col("p")))
+    place = F.col("before") + F.col("own")
+    return rows.select("media_id", place.cast("int").alias("chunk_idx"), (place * CHUNK).alias("start_sample"), "samples")
 
 
 def write_sentences(table: DataFrame, path: str, buckets: int = 8) -> None:

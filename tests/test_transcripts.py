@@ -11,6 +11,7 @@ from cuelake import plans
 from cuelake.functions.text import detokenize, normalize_phrase, tokenize
 from cuelake.functions.timecode import format_time, parse_time
 from cuelake.operators import audio, clip, match, prompts
+from cuelake.sources import transcripts as src_transcripts
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +116,28 @@ def test_manifest_and_routing(spark):
     assert [(r.modality, r.reason) for r in prompts.media_manifest(files).orderBy("media_id").collect()] == [("audio", None), ("video", "no audio track"), (None, "unsupported file")]
     models = spark.createDataFrame([("g4f-gpt-4",), ("deepseek-x",), ("other",)], "model string")
     assert [(r.provider, r.sent_model, r.base_url) for r in prompts.routed(models).collect()] == [("g4f", "gpt-4", None), ("openai", "deepseek-x", prompts.DEEPSEEK), (None, None, None)]
+
+
+def test_chunks_are_numbered_without_a_task_a_medium(spark, tmp_path):
+    rows = [(i * 7 - 500, i % 2 if i % 11 else None, [float(i), 0.5]) for i in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    chunks = src_transcripts.audio_chunks(spark, str(tmp_path))
+    want = {}
+    for _, label, samples in rows:
+        want.setdefault(label, []).append(samples[0])
+    got = {(r.media_id, r.chunk_idx, r.start_sample, r.samples[0]) for r in chunks.collect()}
+    assert got == {(m, i, 64 * i, x) for m, xs in want.items() for i, x in enumerate(xs)} and chunks.count() == 3000
+    # Within a medium, rows are windowed by range of ids; only the ranges' counts by medium alone.
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert all("part#" in x for x in plan.split("\n") if "row_number" in x and "windowspec" in x)
+
+
+def test_clips_grow_with_their_media(spark):
+    sizes = [plans.queries()["audio_clip_all"](spark, f"/root/testdata/{sf}").count() for sf in ("sf0.001", "sf0.01")]
+    n = [spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").count() for sf in ("sf0.001", "sf0.01")]
+    assert sizes[0] < sizes[1] or n[0] == n[1]
+    assert audio.cut_samples(_whole(spark), spark.createDataFrame([(1, 0, -5, 1 << 60)], "media_id int, seg_idx int, start_sample long, end_sample long")).selectExpr("sum(size(samples))").first()[0] == 64 * 500
+
+
+def _whole(spark):
+    return spark.range(500).selectExpr("1 AS media_id", "cast(id AS int) AS chunk_idx", "64 * id AS start_sample", "array_repeat(0.5D, 64) AS samples")
