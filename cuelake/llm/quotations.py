@@ -2,11 +2,12 @@
 
 A line that begins with quote marks (">", also repeated and spaced) is quoted,
 at the level of their number.  Neighbouring lines of one level are a passage.
-Passages and the unquoted bodies of messages, whole and line by line, are
+Passages and the unquoted bodies of messages, whole, by paragraph, by line and
+by sentence (of joined lines, after . ! ? before white space), are
 normalised (lower case, white space collapsed, edges trimmed) and hashed; a
 passage is joined to the first message of its conversation that wrote it
 before.  A passage that no message wrote as a whole goes to the earlier
-message that wrote most of its lines.  The shallowest linked passage names
+message that wrote most of its lines and sentences.  The shallowest linked passage names
 the message replied to; a message without one starts a thread.  Messages are
 ordered by their path of replies, and the quoted lines are gone.
 
@@ -34,6 +35,15 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _sentences(text: Column) -> Column:
+    """The sentences of a text, over single line feeds."""
+    return F.flatten(F.transform(_paragraphs(text), lambda x: F.split(F.regexp_replace(x, r"([.!?])\s+", "$1\u0000"), "\u0000")))
+
+
+def _paragraphs(text: Column) -> Column:
+    return F.split(text, r"\n\s*\n")
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, passage, part, line, text) of the quoted lines; rows of messages (conv_id, turn, text)."""
     quoted = messages.where("conv_id is not null and turn is not null").where(F.col("text").rlike("(?m)" + MARKS)).dropDuplicates(["conv_id", "turn", "text"])
@@ -61,10 +71,13 @@ def links(messages: DataFrame) -> DataFrame:
     keys = ["conv_id", "turn", "row", "level", "passage"]
     whole = quote.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x.text), " ").alias("text"))
     asked = whole.select(*keys, F.lit(1).alias("whole"), F.md5("text").alias("hash")).unionByName(quote.select(*keys, F.lit(0).alias("whole"), F.md5("text").alias("hash")))
+    # A sentence that is a line as well, or the whole passage, has one vote as such.
+    by_sentence = whole.select(*keys, F.explode(_sentences(F.col("text"))).alias("text")).where("text <> ''").select(*keys, F.lit(0).alias("whole"), F.md5("text").alias("hash"))
+    asked = asked.unionByName(by_sentence.join(asked.drop("whole"), [*keys, "hash"], "left_anti"))
     # Only conversations with quotes are searched for originals.
     wrote = messages.where("conv_id is not null and turn is not null").join(quote.select("conv_id").distinct(), "conv_id", "left_semi")
     wrote = bodies(wrote).select("conv_id", "turn", "body")
-    pieces = wrote.select("conv_id", "turn", F.explode(F.concat(F.array("body"), F.split("body", "\n"))).alias("text"))
+    pieces = wrote.select("conv_id", "turn", F.explode(F.concat(F.array("body"), _paragraphs(F.col("body")), F.split("body", "\n"), _sentences(F.col("body")))).alias("text"))
     pieces = pieces.withColumn("text", _normal(F.col("text"))).where("text <> ''")
     first = pieces.groupBy("conv_id", F.md5("text").alias("hash")).agg(F.min("turn").alias("origin"))
     met = asked.join(first, ["conv_id", "hash"]).where("origin < turn")

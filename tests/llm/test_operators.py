@@ -313,6 +313,16 @@ def test_quotations(spark):
     assert quotations.link_quotations(spark, table.limit(0)).count() == 0
 
 
+def test_quoted_sentences_and_rewrapped_paragraphs_are_linked(spark):
+    paragraph = "The boat leaves at nine from the lower pier, and whoever is late will have to take the train instead"
+    rows = [
+        (1, 0, "user", "Good morning. Who has the keys? I left mine at home."), (1, 1, "assistant", f"Hello.\n\n{paragraph}.\n\nBye."), (1, 2, "user", "> Who has the keys?\nAnna."),
+        (1, 3, "user", "> " + paragraph[:48] + "\n> " + paragraph[48:] + ".\nFine."), (1, 4, "user", "> Who has\n> the keys? I left mine\n> elsewhere.\nNobody."), (1, 5, "user", "> keys\nNo sentence."),
+    ]
+    got = {r.turn: r.reply_to for r in quotations.link_quotations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: 1, 4: 0, 5: None}
+
+
 def test_licenses(spark):
     apache = ". ".join(licenses.SENTENCES[i] for i in licenses.RULES[0][1]) + "."
     rows = [(1, f"Some prose here. {apache}\nMore."), (2, "Released under the MIT License.\nAll rights reserved."), (3, licenses.SENTENCES["Apache.see"]), (4, None), (5, ""), (6, LONG), (2, "Licensed under CC BY-NC 4.0."), (None, "Released under the MIT License")]
