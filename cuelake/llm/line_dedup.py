@@ -12,7 +12,7 @@ stays; the others are removed.  With ``short``, shorter lines that are equal
 (compared in the same way) form classes too, of which the first stays; without
 it they all stay, as blank lines always do.
 
-op7_line_dedup and the pipeline run with ``short`` and FINE-byte shingles: one
+op7_line_dedup runs with ``short`` and FINE-byte shingles: one
 replaced character then leaves a line of 40 bytes above the threshold, where
 with SHINGLE bytes, the default, it takes 63.  Edited lines under MIN_CHARS
 bytes are not linked.
