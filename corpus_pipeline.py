@@ -24,19 +24,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id."""
-    found = near_dup.near_duplicates(spark, docs.select("doc_id", "text"))
-    found = Scratch(spark, "kept").store(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "kept")
-    out = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    if found.where("n > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null"))
+    """One document of each group of near duplicates stays, the one of the smallest doc_id; further texts of one doc_id count after all others."""
+    rows = docs.where("doc_id is not null")
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = docs.withColumn("key_", F.col("doc_id").cast("long"))
+    else:
+        rows = rows.dropDuplicates(["doc_id", "text"]).withColumn("hash_", F.xxhash64("text"))
+        first, last = rows.groupBy("doc_id").agg(F.min("hash_").alias("first_")), rows.agg(F.max("doc_id").cast("long").alias("last_"))
+        key = F.when(F.col("hash_") == F.col("first_"), F.col("doc_id").cast("long")).otherwise(F.col("last_") + 1 + F.monotonically_increasing_id())
+        rows = rows.join(first, "doc_id").crossJoin(F.broadcast(last)).select(*docs.columns, key.alias("key_"))
+        rows = Scratch(spark, "keyed").store(rows.unionByName(docs.where("doc_id is null").withColumn("key_", F.lit(None).cast("long"))), "keyed")
+    found = near_dup.near_duplicates(spark, rows.select(F.col("key_").alias("doc_id"), "text"))
+    return rows.join(found.where("not kept").select(F.col("doc_id").alias("key_")), "key_", "left_anti").select(docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    found = decontaminate.contamination(spark, docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a passage of a benchmark item go, row by row, whether their ids are null or repeat."""
+    rows = docs.withColumn("key_", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    found = decontaminate.contamination(spark, rows.select("key_", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key_")
+    return rows.join(found.select(F.col("doc_id").alias("key_")).distinct(), "key_", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

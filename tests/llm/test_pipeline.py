@@ -29,3 +29,18 @@ def test_stages(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     position = [r.position_ for r in out.collect()]
     assert position == sorted(position) and {r.doc_id for r in out.collect()} <= {r.doc_id for r in before.collect()}
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_by_themselves(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    prose = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = prose[0].replace("a59", "other")
+    rows = [(None, item), (None, prose[1]), (1, prose[0]), (2, prose[2]), (2, item), (3, prose[3]), (3, near), (1, near), (4, ""), (4, ""), (5, item + " more")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n_chars int")
+    clean = corpus_pipeline.decontaminate_documents(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and {r.n_chars for r in clean.collect()} == {1, 2, 3, 5, 6, 7, 8, 9}
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, docs, str(tmp_path)).collect()]
+    ones = [x for x in kept if x[1] in (prose[0], near)]
+    assert len(ones) == 1 and ones[0][0] == 1
+    assert {(None, item), (None, prose[1]), (2, prose[2]), (3, prose[3]), (4, "")} <= set(kept) and kept.count((4, "")) == 1
