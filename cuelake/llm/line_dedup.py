@@ -204,11 +204,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     reps = lines.groupBy("code").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.any_value("blob").alias("blob"))
     reps = scratch.store(reps.select(F.col("code").alias("rec"), "at", "blob"), "records")
     nodes = reps.select(F.explode(_bands(F.col("blob"))).alias("node"), "rec")
-    leaf = leaves(scratch, nodes, reps.select("rec", F.col("blob").alias("sig")), _branch, 3)
-    met = scratch.store(reps.join(leaf.select("rec").distinct(), "rec", "left_semi"), "met")
+    leaf, dense = leaves(scratch, nodes, reps.select("rec", F.col("blob").alias("sig")), _branch, 3)
+    meeting = leaf.select("rec") if dense is None else leaf.select("rec").unionByName(dense.select("rec"))
+    met = scratch.store(reps.join(meeting.distinct(), "rec", "left_semi"), "met")
     per_doc = met.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
     texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary").dropDuplicates(["rec"]), "texts")
-    comp = linked(scratch, leaf, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW)
+    comp = linked(scratch, leaf, dense, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW)
     member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
     member = scratch.store(member, "members")
     keeper = member.groupBy("component").agg(F.min("at").alias("keep"))

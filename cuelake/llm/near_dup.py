@@ -7,8 +7,8 @@ with equal sets form one class; the search runs over one document a class.
 Search: in each of ``trees`` independent trees the root and every node too
 large to compare pick two of the minwise tokens, by the node's own hash, and
 branch into one child per token value.  Two sets of similarity 0.75 stay
-together down any number of levels with probability 0.88 a tree, so six
-trees miss such a pair with probability 3e-6.  Small nodes are compared
+together down any number of levels with probability 0.88 a tree, so eight
+trees miss such a pair with probability 2e-8 but for what the sketches miss.  Small nodes are compared
 exhaustively on sketches of one byte a token; the pairs that matter are
 confirmed on full sets.
 
@@ -36,7 +36,7 @@ PERCENT = 75
 #: Minwise tokens a document: the first TOKENS choose paths, one byte of each of SKETCH makes the sketch.
 TOKENS = 128
 SKETCH = 256
-TREES = 6
+TREES = 8
 LEVELS = 7
 #: Least share of agreeing sketch bytes for a pair to be confirmed: 0.75 less 3.7 standard errors.
 LOW = 0.65
@@ -93,12 +93,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     reps = scratch.store(full.join(klass, ["rec", "doc_id"]).dropDuplicates(["rec"]).select("rec", "doc_id", "f1", F.col("n_shingles").alias("size"), "sig", "sketch"), "records")
     roots = F.array(*(F.xxhash64(F.lit(t), F.lit("tree")) for t in range(TREES)))
     nodes = reps.select(F.explode(F.array_distinct(F.flatten(F.transform(roots, lambda r: _branch(r, F.col("sig")))))).alias("node"), "rec")
-    leaf = leaves(scratch, nodes, reps, _branch, LEVELS)
-    wanted = texts.join(reps.select("rec", "doc_id", "f1").join(leaf.select("rec").distinct(), "rec", "left_semi"), "doc_id").select("rec", "f1", "text")
+    leaf, dense = leaves(scratch, nodes, reps, _branch, LEVELS)
+    met = leaf.select("rec") if dense is None else leaf.select("rec").unionByName(dense.select("rec"))
+    wanted = texts.join(reps.select("rec", "doc_id", "f1").join(met.distinct(), "rec", "left_semi"), "doc_id").select("rec", "f1", "text")
     if not feats.groupBy("doc_id").count().where("count > 1").isEmpty():
         wanted = wanted.mapInArrow(_with_record, "rec long, text string").dropDuplicates(["rec"])
     wanted = scratch.store(wanted.select("rec", "text"), "texts")
-    comp = linked(scratch, leaf, reps.select("rec", "size", "sketch"), wanted, shingles, PERCENT, LOW)
+    comp = linked(scratch, leaf, dense, reps.select("rec", "size", "sketch"), wanted, shingles, PERCENT, LOW)
     member = scratch.store(klass.join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "doc_id", F.coalesce("component", "rec").alias("component")), "members")
     first = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = member.join(first, "component").select("rec", "component_id")

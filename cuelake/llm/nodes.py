@@ -20,27 +20,31 @@ from .components import components, merged
 
 #: A node of at most so many records is compared exhaustively.
 LEAF = 400
-#: A larger node is split into blocks at once up to this size, each record then being in at most 2 * FEW / LEAF leaves of it.
+#: A larger node doesn't branch again up to this size.
 FEW = 4 * LEAF
 #: Shingles of the records of a leaf that are compared exactly with those of another run, or their own, in one row.
 RUN = 1 << 17
 
 
-def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Callable[[Column, Column], Column], levels: int) -> DataFrame:
-    """(leaf, rec): small groups of records to compare.
+def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Callable[[Column, Column], Column], levels: int, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(leaf, rec): small groups of records to compare; and (node, rec, n) of the nodes that stay large.
 
     ``nodes`` has (node, rec).  Nodes of one record vanish; nodes over LEAF
     branch again by ``branch(node, sig)``, an array of child nodes, for at most
     ``levels`` levels.  A large node that keeps more than half of its parent's
     records is dense: branching would not thin it out.  Dense nodes, nodes of
-    at most FEW records and what is large on the last level are split into
-    blocks of which every two meet in one leaf, so no pair of a node is lost.
+    at most FEW records and what is large on the last level stay as they are
+    and are left to ``linked``.  ``sized``, if given, is (node, rec, n) of the
+    first level's nodes of two records or more.
     """
     done = dense = None
-    nodes = nodes.withColumn("above", F.lit(None).cast("long"))
     for level in range(levels):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = scratch.store(nodes.join(sizes, "node"), "nodes")
+        if level or sized is None:
+            sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+            sized = nodes.join(sizes, "node")
+        if "above" not in sized.columns:
+            sized = sized.withColumn("above", F.lit(None).cast("long"))
+        sized = scratch.store(sized, "nodes")
         small = sized.where(F.col("n") <= LEAF).select("node", "rec")
         done = small if done is None else done.unionByName(small)
         big = sized.where(F.col("n") > LEAF)
@@ -51,14 +55,32 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
         dense = full if dense is None else dense.unionByName(full)
         nodes = big.where(~stuck).join(signatures.select("rec", "sig"), "rec").select(F.explode(F.array_distinct(branch(F.col("node"), F.col("sig")))).alias("node"), "rec", F.col("n").alias("above"))
     sets = done.groupBy("node").agg(F.sort_array(F.collect_list("rec")).alias("members")).select("members").distinct()
-    out = sets.select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rec"))
-    if dense is not None:
-        blocks = F.ceil(F.col("n") * 2 / LEAF).cast("long")
-        own = F.pmod(F.xxhash64("rec"), blocks)
-        cut = dense.select("node", "rec", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-        pair = cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "rec")
-        out = out.unionByName(pair)
-    return scratch.store(out, "leaves")
+    return scratch.store(sets.select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rec")), "leaves"), dense
+
+
+def _samples(dense: DataFrame) -> DataFrame:
+    """(leaf, rec): each large node dealt into blocks of about LEAF records, one row a record."""
+    block = F.pmod(F.xxhash64("node", "rec"), F.ceil(F.col("n") / LEAF).cast("long"))
+    return dense.select(F.xxhash64("node", block).alias("leaf"), "rec")
+
+
+def _across(dense: DataFrame, component: DataFrame) -> DataFrame:
+    """(leaf, rec): of each large node, what its largest component lacks meets all of it.
+
+    Nodes that are one component by now vanish.  Of the others every record
+    outside the largest component is in a leaf with every record of the node;
+    pairs within the largest component need no comparison.
+    """
+    rows = dense.join(component.withColumnRenamed("node", "rec"), "rec", "left").select("node", "rec", "n", F.coalesce("component", "rec").alias("component"))
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
+    top = parts.groupBy("node").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(top.select("node", "top"), "node")
+    half = LEAF // 2
+    outer, every = (F.ceil(x / half).cast("long") for x in (F.col("n") - F.col("top.k"), F.col("n")))
+    own = F.pmod(F.xxhash64("rec", "node"), outer)
+    outside = rows.where("component <> top.component").select("node", "rec", own.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), every - 1)).alias("q"))
+    others = rows.select("node", "rec", F.explode(F.sequence(F.lit(0).cast("long"), outer - 1)).alias("p"), F.pmod(F.xxhash64("node", "rec"), every).alias("q"))
+    return outside.unionByName(others).select(F.xxhash64("node", "p", "q").alias("leaf"), "rec").distinct()
 
 
 def _agreement(sketch: np.ndarray, i: int) -> np.ndarray:
@@ -229,31 +251,39 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray,
 
 
 def linked(
-    scratch: Scratch, leaf: DataFrame, sketches: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], percent: int, low: float
+    scratch: Scratch,
+    leaf: DataFrame,
+    dense: DataFrame | None,
+    sketches: DataFrame,
+    texts: DataFrame,
+    shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+    percent: int,
+    low: float,
 ) -> DataFrame:
     """(node, component) of records linked through any chain of confirmed pairs.
 
-    ``sketches`` has (rec, size, sketch); ``size`` is that of the full set.  Two passes over the leaves: spanning pairs
-    first; then every remaining pair between records that those have not
-    connected.  Both are confirmed on full sets, the few of the first pass pair by pair, the rest leaf by leaf.
+    ``leaf`` and ``dense`` come from ``leaves``.  ``sketches`` has (rec, size, sketch); ``size`` is that of the full set.
+    Two passes: spanning pairs of the leaves, and of blocks dealt from the large nodes, first, which contract a group of
+    copies to one component in a number of rows that grows with the group, not with its square; then every remaining
+    pair between records that those have not connected, of large nodes too.  Both are confirmed on full sets, the few of
+    the first pass pair by pair, the rest leaf by leaf.
     """
-
-    sketches = scratch.store(sketches.join(leaf.select("rec").distinct(), "rec", "left_semi"), "sketches")
-
-    def groups(component: DataFrame | None) -> DataFrame:
-        rows, fields = leaf.join(sketches, "rec"), ["rec", "component", "size", "sketch"]
-        if component is None:
-            rows = rows.withColumn("component", F.col("rec"))
-        else:
-            rows = rows.join(component.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
-            rows = rows.join(leaf.groupBy("rec").agg(F.collect_set("leaf").alias("leaves")), "rec")
-            fields.append("leaves")
-        out = rows.groupBy("leaf").agg(F.collect_list(F.struct(*fields)).alias("rows"))
-        return out.where("size(rows) > 1 and array_min(rows.component) < array_max(rows.component)").select("rows", "leaf")
-
-    pairs = scratch.store(groups(None).mapInArrow(_spanning(low, percent), "a long, b long").distinct(), "pairs")
-    sure = scratch.store(confirm(pairs, texts, shingles, percent), "links")
-    so_far = components(scratch, sure)
-    cells = scratch.store(groups(so_far).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary"), "cells")
-    more = scratch.store(confirm_cells(cells, texts, shingles, percent), "links")
+    first = leaf if dense is None else leaf.unionByName(_samples(dense))
+    sketches = scratch.store(sketches.join(first.select("rec").distinct(), "rec", "left_semi"), "sketches")
+
+    def groups(rows: DataFrame, fields: list[str]) -> DataFrame:
+        out = rows.join(sketches, "rec").groupBy("leaf").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+        return out.where("size(rows) > 1").select("rows", "leaf")
+
+    fields = ["rec", "component", "size", "sketch"]
+    pairs = scratch.store(groups(first.withColumn("component", F.col("rec")), fields).mapInArrow(_spanning(low, percent), "a long, b long").distinct(), "pairs")
+    so_far = components(scratch, scratch.store(confirm(pairs, texts, shingles, percent), "links"))
+    # What is left to compare: leaves that hold more than one component.
+    second = leaf if dense is None else leaf.unionByName(_across(dense, so_far))
+    second = second.join(so_far.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
+    open_ = second.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leaf")
+    second = scratch.store(second.join(open_, "leaf"), "open")
+    held = second.groupBy("rec").agg(F.collect_set("leaf").alias("leaves"))
+    cells = groups(second.join(held, "rec"), [*fields, "leaves"]).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary")
+    more = scratch.store(confirm_cells(scratch.store(cells, "cells"), texts, shingles, percent), "links")
     return merged(scratch, so_far, more)
