@@ -20,7 +20,7 @@ from .components import components, merged
 
 #: A node of at most so many records is compared exhaustively.
 LEAF = 400
-#: A larger node doesn't branch again up to this size.
+#: A larger node doesn't branch again up to this size; what is left of it to compare is cut into parts of this size.
 FEW = 4 * LEAF
 #: Shingles of the records of a leaf that are compared exactly with those of another run, or their own, in one row.
 RUN = 1 << 17
@@ -75,8 +75,7 @@ def _across(dense: DataFrame, component: DataFrame) -> DataFrame:
     parts = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
     top = parts.groupBy("node").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     rows = rows.join(top.select("node", "top"), "node")
-    half = LEAF // 2
-    outer, every = (F.ceil(x / half).cast("long") for x in (F.col("n") - F.col("top.k"), F.col("n")))
+    outer, every = (F.ceil(x / FEW).cast("long") for x in (F.col("n") - F.col("top.k"), F.col("n")))
     own = F.pmod(F.xxhash64("rec", "node"), outer)
     outside = rows.where("component <> top.component").select("node", "rec", own.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), every - 1)).alias("q"))
     others = rows.select("node", "rec", F.explode(F.sequence(F.lit(0).cast("long"), outer - 1)).alias("p"), F.pmod(F.xxhash64("node", "rec"), every).alias("q"))
@@ -99,27 +98,43 @@ class _Leaves:
         self.sketch = tb.string_buffers(self.flat.field("sketch"))[0].reshape(len(self.rec), -1) if len(self.rec) else None
 
     def likely(self, low: float, percent: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(leaf, its first and end row, i, j, agreement): pairs that sketches and sizes do not rule out and that are not yet connected."""
+        """(leaf, its first and end row, i, j, agreement), for leaves of three records or more: pairs that sketches and sizes do not rule out and that are not yet connected."""
         for number, (first, end) in enumerate(zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)):
-            size, group, sketch = self.size[first:end], self.group[first:end], self.sketch[first:end]
+            if end - first == 2:
+                continue
+            # Records outside the leaf's largest component come first: pairs within it need no look.
+            group = self.group[first:end]
+            values, counts = np.unique(group, return_counts=True)
+            inside = group == values[np.argmax(counts)] if counts.max() > 1 else np.zeros(len(group), bool)
+            order = np.argsort(inside, kind="stable")
+            size, group, sketch = self.size[first:end][order], group[order], self.sketch[first:end][order]
             found = []
-            for i in range(end - first - 1):
+            for i in range(min(len(order) - 1, int(len(order) - inside.sum()))):
                 near = _agreement(sketch, i)
                 fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
                 at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]) & fits)
                 if len(at):
-                    found.append((np.full(len(at), i), at + i + 1, near[at]))
+                    found.append((np.full(len(at), order[i]), order[at + i + 1], near[at]))
             if found:
                 yield number, first, end, *(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+    def couples(self, low: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The records of the leaves of two that sketches and sizes do not rule out."""
+        i = self.ends[:-1][np.diff(self.ends) == 2]
+        near = np.bitwise_count((self.sketch[i] == self.sketch[i + 1]).view(np.uint64)).sum(axis=1, dtype=np.int32) / self.sketch.shape[1] if len(i) else np.zeros(0)
+        i = i[(near >= low) & (100 * np.minimum(self.size[i], self.size[i + 1]) >= percent * np.maximum(self.size[i], self.size[i + 1]))]
+        return self.rec[i], self.rec[i + 1]
+
+
 def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """First pass: (a, b) of a maximum spanning forest of each leaf, the pairs most likely to be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
             found_in = _Leaves(batch.column(0))
+            i, j = found_in.couples(low, percent)
+            out_a, out_b = [np.minimum(i, j)], [np.maximum(i, j)]
             for _, first, end, i, j, near in found_in.likely(low, percent):
                 rec = found_in.rec[first:end]
                 parent, keep = list(range(len(rec))), []
@@ -137,8 +152,7 @@ def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
                 i, j = rec[i[keep]], rec[j[keep]]
                 out_a.append(np.minimum(i, j))
                 out_b.append(np.maximum(i, j))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     return run
 
@@ -224,7 +238,7 @@ _ROW = np.int64(255)
 
 def _keys(row: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Distinct (value, row) as one sorted number each: 56 bits of the value and 8 of the row."""
-    return np.unique(value.view(np.int64) & ~_ROW | row)
+    return tb.sorted_distinct(value.view(np.int64) & ~_ROW | row)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
@@ -278,10 +292,10 @@ def linked(
     fields = ["rec", "component", "size", "sketch"]
     pairs = scratch.store(groups(first.withColumn("component", F.col("rec")), fields).mapInArrow(_spanning(low, percent), "a long, b long").distinct(), "pairs")
     so_far = components(scratch, scratch.store(confirm(pairs, texts, shingles, percent), "links"))
-    # What is left to compare: leaves that hold more than one component.
+    # What is left to compare: leaves that hold more than one component; of leaves of two the first pass has seen the only pair.
     second = leaf if dense is None else leaf.unionByName(_across(dense, so_far))
     second = second.join(so_far.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
-    open_ = second.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leaf")
+    open_ = second.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("leaf")
     second = scratch.store(second.join(open_, "leaf"), "open")
     held = second.groupBy("rec").agg(F.collect_set("leaf").alias("leaves"))
     cells = groups(second.join(held, "rec"), [*fields, "leaves"]).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary")
