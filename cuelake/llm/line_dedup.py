@@ -4,10 +4,9 @@ Lines are the parts of a text between line feeds.  Lines of at least
 MIN_CHARS bytes, compared after A-Z lower-casing and without white space at
 their ends, are sets of shingles of ``shingle`` bytes.  Equal lines form one class.
 Class records meet by banding (BANDS bands of ROWS minwise values: a pair of
-similarity 0.75 is missed with probability 0.0014, one of 0.8 with 0.0002), are
-confirmed
-by exact Jaccard similarity on their full sets, and distributed union-find
-joins them.  Of each component the line of the smallest (doc_id, line number)
+similarity 0.75 is missed with probability 0.0015, one of 0.8 with 0.0001), are
+confirmed by exact Jaccard similarity on their full sets, and distributed
+union-find joins them.  Of each component the line of the smallest (doc_id, line number)
 stays; the others are removed.  With ``short``, shorter lines that are equal
 (compared in the same way) form classes too, of which the first stays; without
 it they all stay, as blank lines always do.
@@ -17,9 +16,17 @@ replaced character then leaves a line of 40 bytes above the threshold, where
 with SHINGLE bytes, the default, it takes 63.  Edited lines under MIN_CHARS
 bytes are not linked.
 
+Bands meet in buckets: tasks deal the (band, line) entries of a block of text
+into arrays by bucket, so that a shuffle moves few rows, and a bucket keeps
+the bands that hold two lines or more.  There are as many buckets as it takes
+for BUCKET entries each on average; bands that a sample of the lines shows to
+hold very many are dealt by line instead, so no bucket holds a large one.
+
 Defined cases: null text stays null, with 0 lines; an empty text is one short
-line.  Rows that repeat a doc_id: lines of equal (doc_id, line number) are one
-line, so all of them stay or go alike.  A null doc_id is never touched.  An
+line.  Rows that repeat a doc_id with other texts have lines of their own, of
+which those of the smaller line number, then of the smaller hash of the text
+count as earlier; rows equal in id and text keep and lose the same lines.  A
+null doc_id is never touched.  A very long text or line is handled whole.  An
 empty table gives an empty result.  Other columns pass through, whatever
 their names.
 """
@@ -31,6 +38,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +50,18 @@ MIN_CHARS = 40
 SHINGLE = 8
 FINE = 5
 PERCENT = 75
-ROWS = 3
-BANDS = 12
+ROWS = 5
+BANDS = 24
 SLOTS = ROWS * BANDS
 #: Children of a band that is too large: a pair of similarity 0.75 is in none with probability 0.25 to this power.
 KIDS = 4
 #: Minwise values, a byte each, of lines that meet others; the least share of equal ones for an exact comparison: 0.75 less 4 standard errors.
 SKETCH = 64
 LOW = 0.53
+#: Entries of a bucket, and of one hot band's part, on average.
+BUCKET = 1 << 18
+#: One line in so many shows which bands are hot: those of HOT_SEEN sampled lines or more, at most HOT_MAX of them.
+SAMPLE, HOT_SEEN, HOT_MAX = 64, 64, 2_000_000
 
 
 def _line_spans(raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +70,7 @@ def _line_spans(raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarra
         return (np.zeros(0, np.int64),) * 4
     text = tb._LOWER[raw]
     cut = np.flatnonzero(text == 10)
-    start = np.union1d(off[:-1], cut + 1)  # an empty text shares its start with the next one
+    start = tb.sorted_distinct(np.concatenate([off[:-1], cut + 1]))  # an empty text shares its start with the next one
     start = start[start < len(text)]
     end = np.append(start[1:], len(text))
     row = np.searchsorted(off, start, "right") - 1
@@ -74,7 +86,7 @@ def _line_spans(raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarra
 
 
 def _shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each span, and where each span's begin; shingles have eight bytes at most."""
+    """Hashes of the shingles of each span, and where each span's begin; spans come in the order of the text, shingles have eight bytes at most."""
     count = end - start - shingle + 1
     first = np.concatenate([[0], np.cumsum(count)])
     text = np.zeros(len(raw) + 8, np.uint8)
@@ -115,26 +127,101 @@ def _signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (sig * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16)
 
 
+def _band_nodes(sig: np.ndarray) -> np.ndarray:
+    """64-bit hash of each band of each signature: its number and its ROWS values."""
+    bands = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    value = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2]).copy()
+    for k in range(ROWS):
+        value = (value ^ bands[:, :, k]) * tb._P
+        value ^= value >> np.uint64(29)
+    return tb.mix64(value)
+
+
 def _lines(batches: Iterator[pa.RecordBatch], shingle: int, short: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, code, blob) of each line; blob, the signature, is null for those under MIN_CHARS bytes."""
+    """(doc_id, twin, line, code, long, nodes) of each line of (doc_id, twin, text); nodes are the bands of the sampled long lines."""
     for batch in batches:
-        for first, end, raw, off in tb.blocks(batch.column(1)):
+        for first, end, raw, off in tb.blocks(batch.column(2)):
             row, number, lo, hi = _line_spans(raw, off, 1 if short else MIN_CHARS)
             if len(row) == 0:
                 continue
-            ids = batch.column(0).slice(first, end - first)
-            code = tb.span_hash(tb._LOWER[raw], lo, hi).view(np.int64)
+            code = tb.span_hash(tb._LOWER[raw], lo, hi)
             big = hi - lo >= MIN_CHARS
-            sig = _signatures(*_shingles(raw, lo[big], hi[big], shingle))
-            blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SLOTS), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())]).cast(pa.binary())
-            if len(sig) < len(row):
-                blob = blob.take(pa.array(np.cumsum(big) - 1, mask=~big))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(code), blob], ["doc_id", "line", "code", "blob"])
+            seen = big & (tb.mix64(code) % np.uint64(SAMPLE) == 0)
+            sig = _signatures(*_shingles(raw, lo[seen], hi[seen], shingle))
+            count = np.concatenate([[0], np.cumsum(seen)]).astype(np.int32) * BANDS
+            nodes = pa.ListArray.from_arrays(pa.array(count), pa.array(_band_nodes(sig).view(np.int64).ravel()))
+            ids = batch.slice(first, end - first).select([0, 1]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(number.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(big), nodes], ["doc_id", "twin", "line", "code", "long", "nodes"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(bucket, nodes, recs): the bands of all long lines, dealt by bucket; those of hot bands by line, into buckets below 0.
+
+    Within a bucket the low half of a node's hash stands for it: nodes that
+    share it merge, which costs comparisons but never a link.
+    """
+    often = hot.value
+    for batch in batches:
+        for _, _, raw, off in tb.blocks(batch.column(0)):
+            _, _, lo, hi = _line_spans(raw, off, MIN_CHARS)
+            code = tb.span_hash(tb._LOWER[raw], lo, hi)
+            one = np.sort(tb.first_of_each(code)[1])  # shingles are taken in the order of the text
+            if len(one) == 0:
+                continue
+            code = code[one]
+            node = _band_nodes(_signatures(*_shingles(raw, lo[one], hi[one], shingle))).ravel()
+            rec = np.repeat(code, BANDS)
+            bucket = ((node >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            if len(often):
+                spot = np.minimum(np.searchsorted(often, node), len(often) - 1)
+                bucket = np.where(often[spot] == node, -1 - (tb.mix64(rec ^ node) % np.uint64(buckets)).astype(np.int64), bucket)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            at = pa.array(np.append(cut, len(bucket)).astype(np.int32))
+            # A hot node is told from others by its place in the broadcast list.
+            name = node[order] & np.uint64(0xFFFFFFFF) if not len(often) else np.where(bucket < 0, np.searchsorted(often, node[order]).astype(np.uint64), node[order] & np.uint64(0xFFFFFFFF))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cut]), pa.ListArray.from_arrays(at, pa.array(name.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(at, pa.array(rec[order].view(np.int64)))], ["bucket", "nodes", "recs"]
+            )
+
+
+def _meeting(table: pa.Table) -> pa.Table:
+    """(node, rec, n) of the nodes of a bucket that hold two records or more; hot nodes, whose records lie in many buckets, have n null."""
+    bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+    node, rec = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("nodes", "recs"))
+    order = np.argsort(node, kind="stable")
+    node, rec = node[order], rec[order]
+    if bucket >= 0:
+        same = node[1:] == node[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        node, rec = node[shared], rec[shared]
+    order = np.lexsort((rec, node))
+    node, rec = node[order], rec[order]
+    fresh = np.append(True, (node[1:] != node[:-1]) | (rec[1:] != rec[:-1]))[: len(node)]
+    node, rec = node[fresh], rec[fresh]
+    start = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+    n = np.repeat(np.diff(np.append(start, len(node))), np.diff(np.append(start, len(node))))
+    if bucket >= 0:
+        node, rec, n = node[n > 1], rec[n > 1], n[n > 1]
+    name = tb.mix64(node.view(np.uint32).astype(np.uint64) | np.uint64(max(bucket, -1) + 1) << np.uint64(32)).view(np.int64)
+    return pa.table([pa.array(name), pa.array(rec), pa.array(n.astype(np.int64), mask=np.full(len(n), bucket < 0))], names=["node", "rec", "n"])
 
 
-def _bands(sig: Column) -> Column:
-    """The node of each band of a signature: its number and its ROWS values of two bytes."""
-    return F.array(*(F.xxhash64(F.lit(k), F.substring(sig, 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)))
+def _sized(spark: SparkSession, scratch: Scratch, known: DataFrame, long: DataFrame, shingle: int) -> DataFrame:
+    """(node, rec, n) of the bands that two distinct long lines or more share."""
+    buckets = max(1, -(-long.count() * BANDS // BUCKET))
+    sampled = long.where("size(nodes) > 0").select("code", F.explode("nodes").alias("node")).distinct().groupBy("node").agg(F.count("*").alias("n"))
+    sampled = scratch.store(sampled.where(F.col("n") >= HOT_SEEN), "hot")
+    # At most HOT_MAX nodes: each counts for a HOT_MAX-th of the sampled entries or more.
+    least = max(HOT_SEEN, buckets * BUCKET // SAMPLE // HOT_MAX)
+    hot = np.sort(np.array([r.node for r in sampled.where(F.col("n") >= least).select("node").toLocalIterator()], np.int64).view(np.uint64))
+    dealt = known.select("text").mapInArrow(partial(_entries, shingle=shingle, buckets=buckets, hot=spark.sparkContext.broadcast(hot)), "bucket long, nodes array<int>, recs array<long>")
+    met = scratch.store(dealt.groupBy("bucket").applyInArrow(_meeting, "node long, rec long, n long"), "bands")
+    if len(hot) == 0:
+        return met
+    wide = met.where("n is null").select("node", "rec")
+    return met.where("n is not null").unionByName(wide.join(F.broadcast(wide.groupBy("node").agg(F.count("*").alias("n"))), "node").where("n > 1"))
 
 
 def _branch(node: Column, sig: Column) -> Column:
@@ -159,7 +246,7 @@ def line_shingles(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> t
 
 
 def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(rec, text, size, sketch) of the wanted lines of each text: columns text, lines, recs."""
+    """(rec, text, size, sketch, sig) of the wanted lines of each text: columns text, lines, recs."""
     for batch in batches:
         rec, out = [], []
         for text, lines, recs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -168,10 +255,12 @@ def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             out += [parts[i] for i in lines]
         picked = pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
         for first, end, raw, off in tb.blocks(picked.column(1)):
-            _, value, starts = tb.distinct(*line_shingles(raw, off, shingle), end - first)
+            row, value = line_shingles(raw, off, shingle)
+            sig = _signatures(value, np.searchsorted(row, np.arange(end - first + 1)))
+            _, value, starts = tb.distinct(row, value, end - first)
             sketch = tb.minhash(value, starts, SKETCH).astype(np.uint8)
             part = picked.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(starts)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rec", "text", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(starts)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (sketch, sig))], ["rec", "text", "size", "sketch", "sig"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,37 +283,39 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """``docs`` with deduplicated texts and two more columns, and the removed lines.
 
     The first result has the columns of ``docs`` and n_lines_, n_removed_; the
-    second (doc_id, line, keeper_doc, keeper_line) for each removed line.
+    second (doc_id, twin, line, keeper_doc, keeper_line) for each removed line,
+    where twin is the xxhash64 of the text.
     """
     scratch = Scratch(spark, "lines")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = text.where("doc_id is not null")
-    every = scratch.store(known.mapInArrow(partial(_lines, shingle=shingle, short=short), "doc_id long, line int, code long, blob binary"), "lines")
-    lines = every.where("blob is not null")
-    reps = lines.groupBy("code").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.any_value("blob").alias("blob"))
-    reps = scratch.store(reps.select(F.col("code").alias("rec"), "at", "blob"), "records")
-    nodes = reps.select(F.explode(_bands(F.col("blob"))).alias("node"), "rec")
-    leaf, dense = leaves(scratch, nodes, reps.select("rec", F.col("blob").alias("sig")), _branch, 3)
-    meeting = leaf.select("rec") if dense is None else leaf.select("rec").unionByName(dense.select("rec"))
-    met = scratch.store(reps.join(meeting.distinct(), "rec", "left_semi"), "met")
-    per_doc = met.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
-    texts = scratch.store(known.join(per_doc, "doc_id").select("text", "lines", "recs").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary").dropDuplicates(["rec"]), "texts")
+    known = text.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("twin"), "text")
+    every = scratch.store(known.mapInArrow(partial(_lines, shingle=shingle, short=short), "doc_id long, twin long, line int, code long, long boolean, nodes array<long>"), "lines")
+    lines = every.where("long")
+    reps = scratch.store(lines.groupBy(F.col("code").alias("rec")).agg(F.min(F.struct("doc_id", "line", "twin")).alias("at")), "records")
+    sized = scratch.store(_sized(spark, scratch, known, lines, shingle), "nodes")
+    per_doc = reps.join(sized.select("rec").distinct(), "rec", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
+    per_doc = per_doc.agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
+    texts = known.join(per_doc, ["doc_id", "twin"]).select("text", "lines", "recs").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary, sig binary")
+    if not known.groupBy("doc_id", "twin").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["rec"])
+    texts = scratch.store(texts, "texts")
+    leaf, dense = leaves(scratch, sized, texts, _branch, 3, sized)
     comp = linked(scratch, leaf, dense, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW)
     member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
     member = scratch.store(member, "members")
     keeper = member.groupBy("component").agg(F.min("at").alias("keep"))
     member = member.join(keeper, "component").select(F.col("rec").alias("code"), "keep")
-    gone = lines.select("doc_id", "line", "code").join(member, "code").where(F.struct("doc_id", "line") != F.col("keep"))
+    gone = lines.select("doc_id", "twin", "line", "code").join(member, "code").where(F.struct("doc_id", "line", "twin") != F.col("keep"))
     if short:
-        brief = every.where("blob is null").select("doc_id", "line", "code")
-        again = brief.groupBy("code").agg(F.min(F.struct("doc_id", "line")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("code", "keep")
-        gone = gone.unionByName(brief.join(again, "code").where(F.struct("doc_id", "line") != F.col("keep")))
-    gone = scratch.store(gone.select("doc_id", "line", F.col("keep.doc_id").alias("keeper_doc"), F.col("keep.line").alias("keeper_line")).distinct(), "removed")
-    drop = gone.groupBy("doc_id").agg(F.collect_list("line").alias("gone_"))
+        brief = every.where("not long").select("doc_id", "twin", "line", "code")
+        again = brief.groupBy("code").agg(F.min(F.struct("doc_id", "line", "twin")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("code", "keep")
+        gone = gone.unionByName(brief.join(again, "code").where(F.struct("doc_id", "line", "twin") != F.col("keep")))
+    gone = scratch.store(gone.select("doc_id", "twin", "line", F.col("keep.doc_id").alias("keeper_doc"), F.col("keep.line").alias("keeper_line")).distinct(), "removed")
+    drop = gone.groupBy("doc_id", "twin").agg(F.collect_list("line").alias("gone_"))
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at, key = names.index(text_col), F.col(f"c{names.index(id_col)}").cast("long")
-    joined = plain.join(drop, key == drop.doc_id, "left")
+    joined = plain.join(drop, (key == drop.doc_id) & (F.xxhash64(F.col(f"c{at}").cast("string")) == drop.twin), "left")
     others = [i for i in range(len(names)) if i != at]
     order = [f"c{i}" for i in others]
     fields = ", ".join(f"c{k} {plain.schema[i].dataType.simpleString()}" for k, i in enumerate(others))

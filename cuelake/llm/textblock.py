@@ -151,6 +151,20 @@ def distinct(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
     return row, value, np.searchsorted(row, np.arange(rows + 1))
 
 
+def sorted_distinct(value: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted: by one sort, which is many times faster here than a hash table."""
+    value = np.sort(value)
+    return value[np.append(True, value[1:] != value[:-1])[: len(value)]]
+
+
+def first_of_each(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and a place of each."""
+    order = np.argsort(value)
+    value = value[order]
+    fresh = np.append(True, value[1:] != value[:-1])[: len(value)]
+    return value[fresh], order[fresh]
+
+
 #: Values whose products with all multipliers are made while they are in a core's cache.
 _CHUNK = 1 << 15
 
