@@ -45,8 +45,8 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), F.lit(4)) == 2
 
 
-def _places(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, place) of the features of each text."""
+def _places(raw: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, place) of the features of each text; with ``wanted``, a truth value a place, of those only."""
     words = tb.Words(raw, off, keep=_KEEP)
     row, code = [words.doc], [words.hash]
     for gap in (1, 2):
@@ -54,8 +54,11 @@ def _places(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = first[words.doc[first] == words.doc[first + gap]]
         row.append(words.doc[first])
         code.append(tb.mix64(words.hash[first] * tb._Q + words.hash[first + gap] + np.uint64(gap)))
-    key = np.concatenate(row).astype(np.int64) << BITS | (np.concatenate(code) >> np.uint64(64 - BITS)).astype(np.int64)
-    key = np.unique(key)
+    row, place = np.concatenate(row).astype(np.int64), (np.concatenate(code) >> np.uint64(64 - BITS)).astype(np.int64)
+    if wanted is not None:
+        use = wanted[place]
+        row, place = row[use], place[use]
+    key = tb.sorted_distinct(row << BITS | place)
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
@@ -125,7 +128,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, np.ndar
         for batch in batches:
             parts = [np.zeros(0)]
             for first, end, raw, off in tb.blocks(batch.column(1)):
-                row, at = _places(raw, off)
+                row, at = _places(raw, off, table != 0)  # places without a weight add nothing
                 margin = np.bincount(row, table[at], end - first) + table[-1]
                 parts.append(1 / (1 + np.exp(-np.clip(margin, -35, 35))) if len(place) else np.zeros(end - first))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], ["doc_id", "score"])
