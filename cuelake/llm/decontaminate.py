@@ -2,7 +2,7 @@
 
 Test items and texts are words as everywhere here, A-Z lower-cased, compared
 without ASCII punctuation at their ends.  Seeds are the 3-word runs of the
-items, however often they occur.  Texts that share a seed with an item are
+items, however often they occur; an item of fewer words is one seed.  Texts that share a seed with an item are
 candidates; each stretch of text around its seeds that has enough of the
 item's words to reach MIN_SCORE is aligned with the item (match 2, mismatch
 -1, gap -1), and so is what lies before and behind a passage found.  The score
@@ -12,10 +12,12 @@ contaminated from MIN_SCORE on.
 Seeds of the items are broadcast while they are fewer than MAX_BROADCAST;
 beyond that texts' runs and seeds meet in a shuffled join.
 
-Defined cases: null or empty texts are clean; items with fewer than 3 words
-are no item.  Rows that repeat a doc_id count as one text each and give one row a
-passage; a null id is reported as null.  Repeated items are all reported.
-Empty tables give an empty result.
+Defined cases: null or empty texts are clean; items without words are no item;
+those of one or two words are found where they stand as they are.  Rows that
+repeat a doc_id count as one text each and give one row a passage; a null id is
+reported as null, its texts are told apart by their hash.  Repeated items are
+all reported.  A very long text is aligned around its seeds, wherever they are.
+Empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,35 +49,40 @@ def _words(raw: np.ndarray, off: np.ndarray) -> tb.Words:
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, pos, seed, words) per seed of an item; words: the hashes of all its words."""
+    """(item_id, size, seed, words) per seed of an item; size: the seed's words, words: the hashes of all of the item's."""
     for batch in batches:
         for first, end, raw, off in tb.blocks(batch.column(1)):
             words = _words(raw, off)
-            row, at, value = words.grams(SEED)
+            count = np.diff(words.first)
+            parts = []
+            for n in range(1, SEED + 1):
+                row, _, value = words.grams(n)
+                own = count[row] == n if n < SEED else np.ones(len(row), bool)
+                parts.append((row[own], np.full(own.sum(), n, np.int32), value[own]))
+            row, size, value = (np.concatenate(x) for x in zip(*parts, strict=True))
             ids = batch.column(0).slice(first, end - first)
             lists = [words.hash[a:b].view(np.int64).tolist() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row)), pa.array((at - words.first[row]).astype(np.int32)), pa.array(value.view(np.int64)), pa.array([lists[i] for i in row], pa.list_(pa.int64()))], ["item_id", "pos", "seed", "words"]
-            )
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(size), pa.array(value.view(np.int64)), pa.array([lists[i] for i in row], pa.list_(pa.int64()))], ["item_id", "size", "seed", "words"])
 
 
-def _seed_hits(known: np.ndarray | None):
-    """(doc, code, pos, seed) of the runs of each text, of those in ``known`` if given."""
+def _seed_hits(known: Broadcast | None, sizes: list[int]):
+    """(doc_id, twin, pos, seed) of the runs of ``sizes`` words of each text, of those in ``known`` if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value if known is not None else None
         for batch in batches:
-            for first, end, raw, off in tb.blocks(batch.column(1)):
+            for first, end, raw, off in tb.blocks(batch.column(2)):
                 words = _words(raw, off)
-                row, at, value = words.grams(SEED)
-                if table is not None:
+                for n in sizes:
+                    row, at, value = words.grams(n)
                     value = value.view(np.int64)
-                    spot = np.minimum(np.searchsorted(table, value), len(table) - 1)
-                    hit = table[spot] == value
-                    row, at, value = row[hit], at[hit], value[hit]
-                if len(row):
-                    ids = batch.column(0).slice(first, end - first)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array((at - words.first[row]).astype(np.int32)), pa.array(value.view(np.int64))], ["doc_id", "pos", "seed"])
+                    if table is not None:
+                        spot = np.minimum(np.searchsorted(table, value), len(table) - 1)
+                        hit = table[spot] == value
+                        row, at, value = row[hit], at[hit], value[hit]
+                    if len(row):
+                        ids = batch.slice(first, end - first).select([0, 1]).take(pa.array(row))
+                        yield pa.RecordBatch.from_arrays([*ids.columns, pa.array((at - words.first[row]).astype(np.int32)), pa.array(value)], ["doc_id", "twin", "pos", "seed"])
 
     return run
 
@@ -151,21 +159,24 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) for each passage of an item found in a text."""
     scratch = Scratch(spark, "decontaminate")
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("twin"), "text")
     item = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    seeds = scratch.store(item.mapInArrow(_item_seeds, "item_id long, pos int, seed long, words array<long>"), "seeds")
+    seeds = scratch.store(item.mapInArrow(_item_seeds, "item_id long, size int, seed long, words array<long>"), "seeds")
     distinct = seeds.select("seed").distinct()
     count = distinct.count()
+    # At most SEED numbers.
+    sizes = sorted(r.size for r in seeds.select("size").distinct().collect())
+    schema = "doc_id long, twin long, pos int, seed long"
     if count <= MAX_BROADCAST:
         table = spark.sparkContext.broadcast(np.sort(np.array(distinct.toPandas()["seed"], np.int64)))
-        hits = text.mapInArrow(_seed_hits(table), "doc_id long, pos int, seed long") if count else spark.createDataFrame([], "doc_id long, pos int, seed long")
+        hits = text.mapInArrow(_seed_hits(table, sizes), schema) if count else spark.createDataFrame([], schema)
     else:
-        hits = text.mapInArrow(_seed_hits(None), "doc_id long, pos int, seed long").join(distinct, "seed", "left_semi").select("doc_id", "pos", "seed")
+        hits = text.mapInArrow(_seed_hits(None, sizes), schema).join(distinct, "seed", "left_semi").select("doc_id", "twin", "pos", "seed")
     hits = scratch.store(hits, "hits")
     coded = seeds.select("seed", "item_id", F.xxhash64("words").alias("code"), "words")
-    meet = hits.join(coded.select("seed", "item_id", "code").distinct(), "seed").groupBy("doc_id", "item_id", "code").agg(F.collect_set("pos").alias("positions"))
+    meet = hits.join(coded.select("seed", "item_id", "code").distinct(), "seed").groupBy("doc_id", "twin", "item_id", "code").agg(F.collect_set("pos").alias("positions"))
     names = coded.select("item_id", "code", "words").distinct()
-    by_doc = meet.join(names, ["item_id", "code"]).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "positions")).alias("hits"))
-    found = text.join(by_doc, text.doc_id.eqNullSafe(by_doc.doc_id)).select(text.doc_id, "text", "hits")
+    by_doc = meet.join(names, ["item_id", "code"]).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("item_id", "words", "positions")).alias("hits"))
+    found = text.join(by_doc, text.doc_id.eqNullSafe(by_doc.doc_id) & (text.twin == by_doc.twin)).select(text.doc_id, "text", "hits")
     out = found.mapInArrow(_score, "doc_id long, item_id long, score double, first_word int, end_word int")
     return scratch.store(out.distinct(), "passages")
