@@ -5,21 +5,25 @@ multiple of 64, into an unsigned 8-bit mono WAV file and puts it, deflated,
 into a ZIP archive as one member a row.
 
 ``MediaArchives`` is a Spark data source.  It plans partitions of byte ranges
-over the archives of a listing; a task reads an archive's directory (the part
-of it at the file's end), takes the members whose headers start inside its
-range, and streams payload batches through Arrow.  Each member is read on its
-own from its offset, and retried there on its own; a member that fails for
-good gives a row with its error rather than failing its neighbours.
+over the archives of a folder or of a stored listing, as Spark's own file
+sources do, at most MAX_PARTITIONS of them; a task reads an archive's directory
+(the part of it at the file's end), takes the members whose headers start inside
+its range, and streams payload batches through Arrow.  Each member is read on
+its own from its offset, and retried there on its own; a member that fails for
+good, or is packed in another way than stored or deflated, gives a row with its
+error rather than failing its neighbours, and so does a file that is no archive.
+Members of other writers, whose names say no id and length, have null for both.
 
 Defined cases: null and empty texts have 64 zero bytes; a null id is kept;
-rows that repeat an id are members of their own; an empty table gives no
-archive and an empty result; other columns are ignored.
+rows that repeat an id are members of their own; a very long text is one member,
+which its task holds whole; an empty table gives no archive and an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
+import re
 import struct
 import zipfile
 import zlib
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +45,11 @@ UNIT = 64
 FILE_BYTES = 64 << 20
 SPLIT_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
+#: Beyond so many byte ranges a partition holds several.
+MAX_PARTITIONS = 100_000
+_NAME = re.compile(r"(null|-?\d+)_(\d+)_\d+\.wav")
 _WAV = struct.Struct("<4sI4s4sIHHIIHH4sI")
-_SCHEMA = pa.schema([("member_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("archive", pa.string()), ("offset", pa.int64()), ("error", pa.string())])
+_SCHEMA = pa.schema([("member_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("archive", pa.string()), ("offset", pa.int64()), ("error", pa.string()), ("name", pa.string())])
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -103,20 +111,22 @@ def write_media(docs: DataFrame, folder: str, scratch: Scratch, id_col: str = "d
     return scratch.store(rows.mapInArrow(_writer(folder), "path string, size long, members long"), "archives")
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+class ByteRanges(InputPartition):
+    """(path, first, last) of the byte ranges of one task."""
+
+    def __init__(self, cuts: list[tuple[str, int, int]]):
+        self.cuts = cuts
 
 
 class MediaArchives(DataSource):
-    """Options: path, a folder of ZIP archives; files (a JSON list of names) to leave out others; splitBytes."""
+    """Options: path, a folder of ZIP archives; listing, a Parquet table (path, size) of those that count; splitBytes."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archives"
 
     def schema(self) -> str:
-        return "member_id long, n_bytes long, media binary, archive string, offset long, error string"
+        return "member_id long, n_bytes long, media binary, archive string, offset long, error string, name string"
 
     def reader(self, schema):
         return MediaReader(self.options)
@@ -125,47 +135,71 @@ class MediaArchives(DataSource):
 class MediaReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.split = options["path"], int(options.get("splitbytes") or options.get("splitBytes") or SPLIT_BYTES)
-        self.names = json.loads(options["files"]) if options.get("files") else None
-
-    def partitions(self) -> list[ByteRange]:
-        system, base = filesystem(self.folder)
-        found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        wanted = None if self.names is None else set(self.names)
-        files = [(x.base_name, x.size) for x in found if x.base_name.endswith(".zip") and (wanted is None or x.base_name in wanted)]
-        if wanted is not None and len(files) != len(wanted):
-            raise FileNotFoundError(f"{len(wanted) - len(files)} archives are missing in {self.folder}")
-        cuts = [ByteRange(f"{self.folder.rstrip('/')}/{name}", at, min(at + self.split, size)) for name, size in sorted(files) for at in range(0, size, self.split)]
-        return cuts or [ByteRange("", 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        system, path = filesystem(partition.path)
-
-        def directory() -> list[zipfile.ZipInfo]:
-            with system.open_input_file(path) as source, zipfile.ZipFile(source) as archive:
-                return [x for x in archive.infolist() if partition.first <= x.header_offset < partition.last]
-
+        self.listing = options.get("listing")
+
+    def archives(self) -> Iterator[tuple[str, int]]:
+        """Path and size of each archive."""
+        system, base = filesystem(self.listing or self.folder)
+        if self.listing:
+            parts = [x.path for x in system.get_file_info(fs.FileSelector(base)) if x.base_name.endswith(".parquet")]
+            for part in sorted(parts):
+                table = pq.read_table(part, columns=["path", "size"], filesystem=system)
+                yield from zip(table.column("path").to_pylist(), table.column("size").to_pylist(), strict=True)
+        else:
+            found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+            yield from sorted((f"{self.folder.rstrip('/')}/{x.base_name}", x.size) for x in found if x.base_name.endswith(".zip"))
+
+    def partitions(self) -> list[ByteRanges]:
+        cuts = [(path, at, min(at + self.split, size)) for path, size in self.archives() for at in range(0, size, self.split)]
+        each = -(-len(cuts) // MAX_PARTITIONS)
+        return [ByteRanges(cuts[k : k + each]) for k in range(0, len(cuts), each)] if cuts else [ByteRanges([])]
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         held = 0
-        source = retried(lambda: system.open_input_file(path))
-        try:
-            for info in retried(directory):
-                key, length, _ = info.filename.removesuffix(".wav").split("_")
-                row = {"member_id": None if key == "null" else int(key), "n_bytes": int(length), "media": None, "archive": partition.path, "offset": info.header_offset, "error": None}
-                try:
-                    row["media"] = retried(lambda: _member(source, info))  # noqa: B023
-                except (OSError, zlib.error, zipfile.BadZipFile, struct.error) as e:
-                    row["error"] = f"{type(e).__name__}: {e}"
+        for path, first, last in partition.cuts:
+            for row in _members(path, first, last):
                 rows.append(row)
-                held += info.file_size
+                held += len(row["media"] or b"")
                 if held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                     rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-        finally:
-            source.close()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+
+
+#: What a damaged or foreign archive may raise.
+_FAULTS = (OSError, ValueError, NotImplementedError, zlib.error, zipfile.BadZipFile, struct.error, EOFError)
+
+
+def _members(path: str, first: int, last: int) -> Iterator[dict]:
+    """A row for each member of an archive whose header starts in [first, last)."""
+    empty = dict.fromkeys(_SCHEMA.names) | {"archive": path}
+    system, name = filesystem(path)
+
+    def directory() -> list[zipfile.ZipInfo]:
+        with system.open_input_file(name) as source, zipfile.ZipFile(source) as archive:
+            return [x for x in archive.infolist() if first <= x.header_offset < last and not x.is_dir()]
+
+    try:
+        found = retried(directory)
+    except _FAULTS as e:
+        if first == 0:  # one row a file, not one a range
+            yield empty | {"error": f"{type(e).__name__}: {e}"}
+        return
+    source = retried(lambda: system.open_input_file(name))
+    try:
+        for info in found:
+            known = _NAME.fullmatch(info.filename)
+            key, length = known.groups() if known else ("null", None)
+            row = empty | {"member_id": None if key == "null" else int(key), "n_bytes": None if length is None else int(length), "offset": info.header_offset, "name": info.filename}
+            try:
+                row["media"] = retried(lambda: _member(source, info))  # noqa: B023
+            except _FAULTS as e:
+                row["error"] = f"{type(e).__name__}: {e}"
+            yield row
+    finally:
+        source.close()
 
 
 def _member(source, info: zipfile.ZipInfo) -> bytes:
@@ -174,23 +208,29 @@ def _member(source, info: zipfile.ZipInfo) -> bytes:
     head = source.read(30)
     if head[:4] != b"PK\x03\x04":
         raise zipfile.BadZipFile(f"no member at {info.header_offset}")
+    if info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise NotImplementedError(f"member at {info.header_offset} is encrypted or packed by method {info.compress_type}")
     names = struct.unpack_from("<HH", head, 26)
     source.seek(info.header_offset + 30 + sum(names))
-    media = zlib.decompress(source.read(info.compress_size), -15)
+    packed = source.read(info.compress_size)
+    media = zlib.decompress(packed, -15) if info.compress_type == zipfile.ZIP_DEFLATED else packed
     if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
         raise zipfile.BadZipFile(f"damaged member at {info.header_offset}")
     return media
 
 
-def read_media(spark: SparkSession, folder: str, files: DataFrame | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The members of the archives in ``folder``; of those that ``files`` (path) lists, if given.
+def read_media(spark: SparkSession, folder: str, files: DataFrame | None = None, split_bytes: int = SPLIT_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """The members of the archives in ``folder``; of those that the table ``files`` (path, size) lists, if given.
 
-    The listing holds one entry for each archive of up to FILE_BYTES, none for members.
+    The listing has a row for each archive of up to FILE_BYTES, none for members; it goes to the source as a stored table.
     """
     spark.dataSource.register(MediaArchives)
     source = spark.read.format("media_archives").option("path", folder).option("splitBytes", str(split_bytes))
     if files is not None:
-        source = source.option("files", json.dumps(sorted(r.path.rsplit("/", 1)[1] for r in files.select("path").toLocalIterator())))
+        scratch = scratch or Scratch(spark, "listing")
+        listing = scratch.path("listing")
+        files.select("path", "size").write.parquet(listing)
+        source = source.option("listing", listing)
     return source.load()
 
 
