@@ -3,30 +3,36 @@
 The text view counts hashed words and word endings of the whole text.  The
 metadata view has what is known about the page: language, source, size, line
 layout and shares of character classes.  Each view has its own logistic
-regression.  In each round, both score a pool of documents, and what one is
-confident about becomes training rows of the other.  Both are calibrated on
-labelled rows that no round trains on, and a blend of the calibrated log-odds,
-fitted on those rows too, scores every document.
-
-Fitting uses at most MAX_LABELLED labelled and MAX_POOL other documents, the
-first by a hash of the id; these bounds are parameters.  Scoring takes all
-rows and whole texts, in one pass without a shuffle.
+regression, first fitted on labelled rows.  In each round a pass over all
+documents lets both views label what they are confident about, and each view
+learns from the other's labels: every task takes gradient steps over its
+blocks, and the tasks' weights are averaged by their numbers of rows.  A fit on
+the labelled rows, drawn to that average, ends the round.  Both views are
+calibrated on labelled rows that no fit trains on, and a blend of the
+calibrated log-odds, fitted on those rows too, scores every document.
+
+The fit on labelled rows takes at most MAX_LABELLED of them, the first by a
+hash of the id; the bound is a parameter.  Pseudo-labels come from all rows
+and whole texts, and so do scores; neither pass shuffles a text.
 
 Defined cases: a null text counts as empty; an empty text has zero features and gets
 the score of its metadata and the intercepts; null language or source is a
 value of its own; null sizes are taken from the text; rows that repeat an id
 are scored alike if they are equal, and only one of them trains; labels that
 contradict each other count as their smallest; if one class has no labels,
-every score is the share of class 1 (1 without labels).  An empty table gives
-an empty result.  Other columns are ignored or, in ``keep_good``, pass through.
+every score is the share of class 1 (1 without labels).  A very long text is
+a block of its own.  An empty table gives an empty result.  Other columns are
+ignored or, in ``keep_good``, pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +40,12 @@ from . import textblock as tb
 from .common import Scratch
 
 MAX_LABELLED = 6000
-MAX_POOL = 6000
 ROUNDS = 3
 CONFIDENT = 0.95
+#: Gradient steps over each block of pseudo-labelled rows, and how strongly the labelled fit is drawn to what they give.
+POOL_STEPS, PULL = 5, 1e-3
+#: Rows that are held as a dense matrix at once.
+DENSE_ROWS = 512
 #: Documents below this score are rejected.
 MIN_SCORE = 0.5
 WORDS = ENDINGS = 512
@@ -111,34 +120,51 @@ def _views(batch: pa.RecordBatch):
         yield first, end, _text_terms(raw, off), _meta_matrix(raw, off, lang, source, n_chars)
 
 
+def _dense(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, text matrix, metadata matrix) of runs of at most DENSE_ROWS rows."""
+    for first, end, (row, feature, value), meta in _views(batch):
+        for lo in range(0, end - first, DENSE_ROWS):
+            hi = min(lo + DENSE_ROWS, end - first)
+            part = (row >= lo) & (row < hi)
+            text = np.bincount((row[part] - lo) * TEXT_DIMS + feature[part], value[part], (hi - lo) * TEXT_DIMS).astype(np.float32)
+            yield first + lo, first + hi, text.reshape(hi - lo, TEXT_DIMS), meta[lo:hi]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dense features of the bounded training sample, with its labels (column 5, may be null)."""
+    """Dense features of the bounded labelled sample, with its labels (column 5)."""
     for batch in batches:
-        for first, end, (row, feature, value), meta in _views(batch):
-            for lo in range(0, end - first, 512):
-                hi = min(lo + 512, end - first)
-                part = (row >= lo) & (row < hi)
-                text = np.bincount((row[part] - lo) * TEXT_DIMS + feature[part], value[part], (hi - lo) * TEXT_DIMS).astype(np.float32)
-                both = [pa.array([x.tobytes() for x in m], pa.binary()) for m in (text.reshape(hi - lo, TEXT_DIMS), meta[lo:hi])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + lo, hi - lo), batch.column(5).slice(first + lo, hi - lo), *both], ["doc_id", "label", "text", "meta"])
+        for first, end, *views in _dense(batch):
+            both = [pa.array([x.tobytes() for x in m], pa.binary()) for m in views]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(5).slice(first, end - first), *both], ["doc_id", "label", "text", "meta"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 150, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch Adam; both classes weigh the same."""
-    w, b, x = np.zeros(x.shape[1]), 0.0, x.astype(np.float32, copy=False)
-    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    for t in range(1, steps + 1):
-        miss = (_sigmoid(x @ w.astype(np.float32) + b) - y) * weight
-        g = np.append(miss.astype(np.float32) @ x + decay * w, miss.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+class _Logistic:
+    """Weights and intercept by Adam; both classes weigh the same."""
+
+    def __init__(self, dims: int, start: tuple[np.ndarray, float] | None = None, rate: float = 0.05):
+        self.w, self.b = (np.zeros(dims), 0.0) if start is None else (start[0].copy(), start[1])
+        self.m, self.v, self.t, self.rate = np.zeros(dims + 1), np.zeros(dims + 1), 0, rate
+
+    def step(self, x: np.ndarray, y: np.ndarray, decay: float = 1e-4, pull: float = 0.0, to: np.ndarray | None = None) -> None:
+        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+        miss = (_sigmoid(x @ self.w.astype(np.float32) + self.b) - y) * weight
+        g = np.append(miss.astype(np.float32) @ x + decay * self.w + (pull * (self.w - to) if to is not None else 0), miss.sum())
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        move = self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+        self.w, self.b = self.w - move[:-1], self.b - float(move[-1])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, start: tuple[np.ndarray, float] | None = None, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights and intercept on all rows at once, drawn to ``start`` if given."""
+    x, model = x.astype(np.float32, copy=False), _Logistic(x.shape[1], start)
+    for _ in range(steps):
+        model.step(x, y, pull=PULL, to=None if start is None else start[0])
+    return model.w, model.b
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -154,62 +180,89 @@ def calibrate(margins: np.ndarray, y: np.ndarray) -> np.ndarray:
     return theta
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray) -> dict:
-    """Both views' weights.  ``label`` is 0, 1 or -1 (pool); ``held`` marks labelled rows for calibration."""
-    known = label >= 0
-    if len(np.unique(label[known & ~held])) < 2 or len(np.unique(label[known & held])) < 2:
-        share = float(label[known].mean()) if known.any() else 1.0
+def fit_labelled(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, start: list | None = None) -> dict:
+    """Both views' weights on the labelled rows, calibrated and blended on those that ``held`` marks."""
+    if len(np.unique(label[~held])) < 2 or len(np.unique(label[held])) < 2:
+        share = float(label.mean()) if len(label) else 1.0
         return {"constant": min(max(share, 0.0), 1.0)}
     views = [text, meta]
-    own = [np.where(known & ~held, label, -1) for _ in views]
-    models = []
-    for turn in range(ROUNDS + 1):
-        models = [fit_logistic(x[y >= 0], y[y >= 0].astype(float)) for x, y in zip(views, own, strict=True)]
-        if turn == ROUNDS:
-            break
-        chance = [_sigmoid(x @ w + b) for x, (w, b) in zip(views, models, strict=True)]
-        for k in (0, 1):
-            p = chance[1 - k]
-            sure = ~known & (np.maximum(p, 1 - p) >= CONFIDENT)
-            own[k] = np.where(known, own[k], np.where(sure, (p >= 0.5).astype(int), -1))
-    at = known & held
-    scale = [calibrate(x[at] @ w + b, label[at].astype(float)) for x, (w, b) in zip(views, models, strict=True)]
-    odds = np.column_stack([s * (x[at] @ w + b) + t for x, (w, b), (s, t) in zip(views, models, scale, strict=True)])
-    return {"models": models, "scale": scale, "blend": calibrate(odds, label[at].astype(float))}
-
-
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    models = [fit_logistic(x[~held], label[~held].astype(float), None if start is None else start[k]) for k, x in enumerate(views)]
+    y = label[held].astype(float)
+    margins = [x[held] @ w + b for x, (w, b) in zip(views, models, strict=True)]
+    scale = [calibrate(m, y) for m in margins]
+    odds = np.column_stack([s * m + t for m, (s, t) in zip(margins, scale, strict=True)])
+    return {"models": models, "scale": scale, "blend": calibrate(odds, y)}
+
+
+def _fit(start: list | None):
     """One row (model): the fit on all rows of the bounded sample."""
-    import pickle
 
-    rows = [x for batch in batches for x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
-    rows.sort(key=lambda r: (r[0], r[1] is None, r[2]))
-    if rows:
-        text, meta = (np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), -1) for k in (2, 3))
-        label = np.array([-1 if r[1] is None else r[1] for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for batch in batches for x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        text, meta = (np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), dims) for k, dims in ((2, TEXT_DIMS), (3, META_DIMS)))
+        label = np.array([r[1] for r in rows], np.int64)
         held = tb.mix64(np.array([r[0] for r in rows], np.int64).view(np.uint64)) % np.uint64(5) == 0
-        model = co_train(text, meta, label, held)
-    else:
-        model = {"constant": 1.0}
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_labelled(text, meta, label, held, start))], pa.binary())], ["model"])
 
+    return run
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict:
+
+def _exchange(models: Broadcast):
+    """(view, place, total): over a task's rows, each view's weights after steps on the other's confident labels, times their number; the intercept comes last, then the number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = models.value
+        own, count = [_Logistic(len(w), (w, b), 0.01) for w, b in given], [0, 0]
+        for batch in batches:
+            for _, _, *views in _dense(batch):
+                chance = [_sigmoid(x @ w + b) for x, (w, b) in zip(views, given, strict=True)]
+                for k in (0, 1):
+                    p = chance[1 - k]
+                    sure = np.maximum(p, 1 - p) >= CONFIDENT
+                    if sure.any():
+                        x, y = views[k][sure], (p[sure] >= 0.5).astype(float)
+                        for _ in range(POOL_STEPS):
+                            own[k].step(x, y)
+                        count[k] += int(sure.sum())
+        total = [np.append(np.append(m.w, m.b) * n, n) for m, n in zip(own, count, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat([0, 1], [len(t) for t in total])), pa.array(np.concatenate([np.arange(len(t)) for t in total])), pa.array(np.concatenate(total).astype(float))], ["view", "place", "total"]
+        )
+
+    return run
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> dict:
     """The model from ``docs`` (doc_id, text, lang, source, n_chars) and ``labels`` (doc_id, quality)."""
     scratch = Scratch(spark, "quality")
-    rows = _columns(docs).where("doc_id is not null")
+    rows = _columns(docs)
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
-    ids = rows.select("doc_id").join(marks, "doc_id", "left").distinct()
-    place = F.xxhash64("doc_id", F.lit("quality"))
-    chosen = [ids.where(x).orderBy(place, "doc_id").limit(n) for x, n in (("label is not null", max_labelled), ("label is null", max_pool))]
-    chosen = scratch.store(chosen[0].unionByName(chosen[1]), "chosen")
-    # At most max_labelled + max_pool ids.
+    ids = marks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = scratch.store(ids.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_labelled), "chosen")
+    # At most max_labelled ids.
     sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "label").dropDuplicates(["doc_id"])
     sample = scratch.store(sample.mapInArrow(_features, "doc_id long, label int, text binary, meta binary"), "sample")
-    import pickle
 
-    # The sample is bounded by its two parameters, so one task holds it.
-    return pickle.loads(sample.coalesce(1).mapInArrow(_fit, "model binary").first().model)
+    def labelled(start: list | None) -> dict:
+        # The sample is bounded by its parameter, so one task holds it.
+        found = sample.coalesce(1).mapInArrow(_fit(start), "model binary").first()
+        return {"constant": 1.0} if found is None else pickle.loads(found.model)
+
+    model = labelled(None)
+    for _ in range(rounds):
+        if "constant" in model:
+            break
+        parts = rows.mapInArrow(_exchange(spark.sparkContext.broadcast(model["models"])), "view long, place long, total double")
+        # A fixed number of rows, one a weight.
+        sums = [np.array([r.total for r in part]) for part in _by_view(parts.groupBy("view", "place").agg(F.sum("total").alias("total")).collect())]
+        start = [(x[:-2] / x[-1], float(x[-2] / x[-1])) if len(x) and x[-1] > 0 else m for x, m in zip(sums, model["models"], strict=True)]
+        model = labelled(start)
+    return model
+
+
+def _by_view(rows: list) -> list[list]:
+    return [sorted((r for r in rows if r.view == k), key=lambda r: r.place) for k in (0, 1)]
 
 
 def _columns(docs: DataFrame) -> DataFrame:
