@@ -15,8 +15,8 @@ of this module, a few dozen rows, and are broadcast.
 
 Defined cases: null and empty texts have no sentences and give no row in
 ``sentences`` and a row without licences in ``scan``; rows that repeat a
-doc_id are scanned each; a null id is kept; an empty table gives an empty
-result; other columns are ignored.
+doc_id are scanned each; a null id is kept; a very long text is scanned whole;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +48,21 @@ SENTENCES = {
     "BSD.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "BSD.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "General.rights": "All rights reserved",
+    "BSD.names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "ISC.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "MPL.terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "MPL.copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "LGPL.library": "This library is free software",
+    "LGPL.free": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL.version": "either version 2.1 of the License, or (at your option) any later version",
+    "AGPL.free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "AGPL.copy": "You should have received a copy of the GNU Affero General Public License along with this program",
+    "Unlicense.free": "This is free and unencumbered software released into the public domain",
+    "Unlicense.anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "CC0.dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "CC0.licensed": "Licensed under CC0 1.0",
+    "CC-BY-SA.licensed": "Licensed under CC BY-SA 4.0",
+    "CC-BY-SA.work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 #: The whole sentences of licences of which SENTENCES has the beginning.
 WHOLE = {
@@ -55,12 +70,13 @@ WHOLE = {
     "MIT.as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
 }
 #: Every known sentence matches this; texts that don't are not searched for wrapped ones.
-HINT = "(?i)licen|software|permission|program|redistribution|rights"
+HINT = "(?i)licen|software|permission|program|redistribution|rights|redistribute|mpl"
 RULES = [
     ("Apache-2.0", ["Apache.dont-use", "Apache.may-not", "Apache.obtain", "Apache.url", "Apache.as-is", "Apache.see"]),
     ("GPL-3.0-or-later", ["GPL.free", "GPL.hope", "GPL.copy"]),
     ("GPL-3.0-or-later", ["GPL.free"]),
     ("MIT", ["MIT.grant", "MIT.notice", "MIT.as-is"]),
+    ("BSD-3-Clause", ["BSD.redistribution", "BSD.source", "BSD.binary", "BSD.names"]),
     ("BSD-2-Clause", ["BSD.redistribution", "BSD.source", "BSD.binary"]),
     ("Apache-2.0", ["Apache.licensed"]),
     ("Apache-2.0", ["Apache.dont-use"]),
@@ -70,6 +86,18 @@ RULES = [
     ("CC-BY-NC-4.0", ["CC-BY-NC.licensed"]),
     ("CC-BY-4.0", ["CC-BY.licensed"]),
     ("All-rights-reserved", ["General.rights"]),
+    ("ISC", ["ISC.grant"]),
+    ("MPL-2.0", ["MPL.terms", "MPL.copy"]),
+    ("MPL-2.0", ["MPL.terms"]),
+    ("LGPL-2.1-or-later", ["LGPL.library", "LGPL.free", "LGPL.version"]),
+    ("AGPL-3.0-or-later", ["AGPL.free", "GPL.hope", "AGPL.copy"]),
+    ("AGPL-3.0-or-later", ["AGPL.free"]),
+    ("Unlicense", ["Unlicense.free", "Unlicense.anyone"]),
+    ("Unlicense", ["Unlicense.free"]),
+    ("CC0-1.0", ["CC0.dedicated"]),
+    ("CC0-1.0", ["CC0.licensed"]),
+    ("CC-BY-SA-4.0", ["CC-BY-SA.licensed"]),
+    ("CC-BY-SA-4.0", ["CC-BY-SA.work"]),
 ]
 #: Each identifier in a sequence is one character, so that rules are plain substrings.
 CODES = {name: chr(0x100 + i) for i, name in enumerate(SENTENCES)}
