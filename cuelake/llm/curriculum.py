@@ -17,26 +17,28 @@ time at which the cumulative demand reaches its middle.  The result is
 range-sorted by position.
 
 Running sums run in two levels, over hash buckets of a source and within a
-bucket, so that a source that holds most rows is still spread over all tasks.
+bucket, so that a source that holds most rows is still spread over all tasks;
+there are as many buckets as a bucket has rows on average.
 Only built-in functions are used.
 
 Defined cases: null or empty texts have size 0 and are taken 0 times; sources
 without words have target 0; a null source is a source of its own; rows that
 repeat a doc_id are rows of their own; ties in the order are rows of equal id
-and size, whose positions may change places.  An empty table gives an empty
+and size, whose positions may change places; a null id is placed like the
+empty id; a very long text is one document.  An empty table gives an empty
 result.  Other columns pass through in ``mixture``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, word_count
 
 MAX_EPOCHS = 3
-#: Documents that one bucket of a source's hash order holds on average.
-BUCKET_ROWS = 2000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -93,13 +95,18 @@ def placed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
     ``positions`` holds a training position for each copy that is taken.
     """
-    scratch = Scratch(spark, "mixture")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    return _placed(spark, docs, id_col, text_col, source_col).drop("twin")
+
+
+def _placed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """What ``placed`` gives, and twin, the hash of the text."""
+    scratch, text = Scratch(spark, "mixture"), F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("twin"))
     rows = scratch.store(rows.withColumn("at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     goal = targets(rows).withColumn("n_sources", F.count("*").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     goal = scratch.store(goal, "targets")
     # Hash buckets: the first 28 bits of the document's place, scaled to the table.
-    buckets = max(1, rows.count() // BUCKET_ROWS)
+    buckets = max(1, math.isqrt(rows.count()))
     spot = (F.conv(F.substring("at", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)).cast("long")
     rows = rows.withColumn("bucket", spot)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
@@ -115,21 +122,20 @@ def placed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     weights = schedule(F.col("rank"), F.col("n_sources"))
     rows = rows.withColumn("middles", copies).withColumn("weights", weights)
     rows = rows.withColumn("positions", F.transform("middles", lambda m: invert_demand(F.col("weights"), m / F.col("target"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions")
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions", "twin")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The training sequence: the columns of ``docs`` and epoch_, position_, a row per copy, range-sorted."""
-    where = placed(spark, docs, id_col, text_col, source_col)
-    keys = ["doc_id", "source", "size"]
-    # Rows that repeat (id, source, size) are told apart by their number, on both sides alike.
+    where, keys = _placed(spark, docs, id_col, text_col, source_col), ["doc_id", "source", "twin"]
+    # Rows that repeat (id, source, text) are told apart by their number, on both sides alike.
     where = where.groupBy(*keys).agg(F.flatten(F.collect_list("positions")).alias("positions_"), F.count("*").alias("same_"))
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     col = {n: F.col(f"c{docs.columns.index(n)}") for n in (id_col, text_col, source_col)}
-    plain = plain.withColumns({"id_": col[id_col].cast("long"), "source_": col[source_col].cast("string"), "size_": word_count(col[text_col].cast("string"))})
-    hit = plain.id_.eqNullSafe(where.doc_id) & plain.source_.eqNullSafe(where.source) & (plain.size_ == where["size"])
-    joined = plain.join(where, hit)
-    several = joined.where("same_ > 1").withColumn("k_", F.row_number().over(Window.partitionBy("id_", "source_", "size_").orderBy(F.xxhash64(*(f"c{i}" for i in range(len(docs.columns))))))) if docs.columns else joined
+    plain = plain.withColumns({"id_": col[id_col].cast("long"), "source_": col[source_col].cast("string"), "twin_": F.xxhash64(col[text_col].cast("string"))})
+    joined = plain.join(where, plain.id_.eqNullSafe(where.doc_id) & plain.source_.eqNullSafe(where.source) & (plain.twin_ == where.twin))
+    number = F.row_number().over(Window.partitionBy("id_", "source_", "twin_").orderBy(F.xxhash64(*(f"c{i}" for i in range(len(docs.columns))))))
+    several = joined.where("same_ > 1").withColumn("k_", number)
     several = several.withColumn("mine_", F.filter(F.sort_array("positions_"), lambda x, i: F.pmod(i, F.col("same_")) == F.col("k_") - 1)).drop("k_")
     every = joined.where("same_ = 1").withColumn("mine_", F.sort_array("positions_")).unionByName(several)
     out = every.select(*(F.col(f"c{i}") for i in range(len(docs.columns))), F.posexplode("mine_").alias("epoch_", "position_"))
