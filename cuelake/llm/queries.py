@@ -35,12 +35,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "media")
     folder = scratch.path("archives")
     files = media.write_media(_table(spark, sf_dir, "documents"), folder, scratch)
-    return media.media_features(media.read_media(spark, folder, files))
+    return media.media_features(media.read_media(spark, folder, files, scratch=scratch))
 
 
 def op5_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quotations.link_quotations(spark, _table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", F.md5("body").alias("body_md5"), F.length("body").alias("body_chars"), "reply_to", "thread", "depth", F.array_join("path", ">").alias("path"))
+    threads = quotations.conversations(quotations.link_quotations(spark, _table(spark, sf_dir, "conversations")))
+    rows = threads.select("conv_id", "thread", F.posexplode("messages").alias("place", "m")).select("conv_id", "thread", "place", "m.*")
+    return rows.select("conv_id", "turn", "role", F.md5("content").alias("body_md5"), F.length("content").alias("body_chars"), "reply_to", "thread", "depth", F.array_join("path", ">").alias("path"), "place")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op6_licenses": licenses.oracle(), "op10_mixing": curriculum.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op5_quotations": quotations.ORACLE, "op6_licenses": licenses.oracle(), "op10_mixing": curriculum.ORACLE}

@@ -18,7 +18,11 @@ Defined cases: a null text is an empty message; null conversation ids or turns
 are never linked and start threads; rows that repeat a (conversation, turn)
 are all returned, and can be replied to as one message; empty passages and
 lines link nothing.  Quotes of what nobody wrote are removed and link
-nothing.  An empty table gives an empty result; other columns are ignored.
+nothing.  A very long message is handled whole.  An empty table gives an empty
+result; other columns are ignored, whatever their names.
+
+A path repeats the turns above a message, so a chain of n replies holds
+n * (n + 1) / 2 turns in all: conversations are taken to be of bounded depth.
 """
 
 from __future__ import annotations
@@ -107,7 +111,79 @@ def link_quotations(spark: SparkSession, messages: DataFrame, conv_col: str = "c
 
 
 def conversations(linked: DataFrame) -> DataFrame:
-    """(conv_id, thread, messages): reply-ordered (role, content) lists, one row a thread."""
-    item = F.struct("path", "role", "body")
-    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x.role.alias("role"), x.body.alias("content")))
-    return linked.groupBy("conv_id", "thread").agg(ordered.alias("messages"))
+    """(conv_id, thread, messages): reply-ordered messages without quotes, one row a thread.
+
+    A message is (turn, role, content, reply_to, depth, path).  Messages
+    without a conversation or a turn are threads of their own.
+    """
+    item = F.struct("path", "turn", "role", F.col("body").alias("content"), "reply_to", "depth")
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    threads = linked.where(known).groupBy("conv_id", "thread").agg(F.array_sort(F.collect_list(item)).alias("messages"))
+    threads = threads.unionByName(linked.where(~known).select("conv_id", "thread", F.array(item).alias("messages")))
+    message = lambda x: F.struct(*(x[c].alias(c) for c in ("turn", "role", "content", "reply_to", "depth", "path")))
+    return threads.select("conv_id", "thread", F.transform("messages", message).alias("messages"))
+
+
+_WS = r"[ \t\n\v\f\r]"
+_MARKS = r"^[ \t]*>[ \t>]*"
+
+
+def _sql_normal(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '{_WS}+', ' ', 'g'), ' ')"
+
+
+def _sql_sentences(text: str) -> str:
+    return f"flatten(list_transform(regexp_split_to_array({text}, '\\n{_WS}*\\n'), lambda x: string_split(regexp_replace(x, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1))))"
+
+
+#: The result of op5_quotations in DuckDB's SQL.
+ORACLE = rf"""
+WITH RECURSIVE split AS (
+  SELECT conv_id, turn, md5(text) AS row_, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line, unnest(l) AS text
+  FROM (SELECT DISTINCT conv_id, turn, text, regexp_split_to_array(text, '\r?\n') AS l FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+),
+marked AS (
+  SELECT conv_id, turn, row_, line, length(regexp_replace(regexp_extract(text, '{_MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(text, '{_MARKS}', '') AS text
+  FROM split WHERE regexp_matches(text, '{_MARKS}')
+),
+placed AS (SELECT *, line - row_number() OVER (PARTITION BY conv_id, turn, row_, level ORDER BY line) AS passage FROM marked),
+quoted AS (SELECT * FROM (SELECT conv_id, turn, row_, level, passage, line, {_sql_normal("text")} AS text FROM placed) WHERE text <> ''),
+whole AS (SELECT conv_id, turn, row_, level, passage, string_agg(text, ' ' ORDER BY line) AS text FROM quoted GROUP BY ALL),
+lines_ AS (SELECT conv_id, turn, row_, level, passage, 1 AS whole, md5(text) AS hash FROM whole UNION ALL SELECT conv_id, turn, row_, level, passage, 0, md5(text) FROM quoted),
+parts AS (SELECT * FROM (SELECT conv_id, turn, row_, level, passage, unnest({_sql_sentences("text")}) AS text FROM whole) WHERE text <> ''),
+asked AS (
+  SELECT * FROM lines_
+  UNION ALL SELECT conv_id, turn, row_, level, passage, 0, md5(text) FROM parts p
+  WHERE NOT EXISTS (SELECT 1 FROM lines_ l WHERE (l.conv_id, l.turn, l.row_, l.level, l.passage, l.hash) = (p.conv_id, p.turn, p.row_, p.level, p.passage, md5(p.text)))
+),
+bodies AS (
+  SELECT conv_id, turn, role, regexp_replace(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: NOT regexp_matches(x, '{_MARKS}')), chr(10)), '^{_WS}+|{_WS}+$', '', 'g') AS body, text
+  FROM conversations
+),
+own AS (
+  SELECT conv_id, turn, role, CASE WHEN coalesce(len(list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_matches(x, '{_MARKS}'))), 0) > 0 THEN body ELSE regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g') END AS body
+  FROM bodies
+),
+pieces AS (
+  SELECT conv_id, turn, {_sql_normal("piece")} AS text
+  FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n{_WS}*\n'), string_split(body, chr(10)), {_sql_sentences("body")})) AS piece FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+),
+origins AS (SELECT conv_id, md5(text) AS hash, min(turn) AS origin FROM pieces WHERE text <> '' GROUP BY ALL),
+votes AS (
+  SELECT a.conv_id, a.turn, a.row_, level, passage, whole, origin, count(*) AS n
+  FROM asked a JOIN origins o ON a.conv_id = o.conv_id AND a.hash = o.hash WHERE origin < a.turn GROUP BY ALL
+),
+best AS (SELECT conv_id, turn, origin AS reply_to FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, whole DESC, n DESC, passage, origin) = 1),
+walk AS (
+  SELECT conv_id, turn, reply_to AS up, [turn] AS path FROM best
+  UNION ALL
+  SELECT w.conv_id, w.turn, b.reply_to, list_prepend(w.up, w.path) FROM walk w LEFT JOIN best b ON b.conv_id = w.conv_id AND b.turn = w.up WHERE w.up IS NOT NULL
+),
+linked AS (
+  SELECT o.conv_id, o.turn, role, body, reply_to, coalesce(path, [o.turn]) AS path
+  FROM own o LEFT JOIN best b ON b.conv_id = o.conv_id AND b.turn = o.turn LEFT JOIN (SELECT * FROM walk WHERE up IS NULL) w ON w.conv_id = o.conv_id AND w.turn = o.turn
+)
+SELECT conv_id, turn, role, md5(body) AS body_md5, CAST(length(body) AS INT) AS body_chars, reply_to, path[1] AS thread, CAST(len(path) - 1 AS INT) AS depth, coalesce(array_to_string(path, '>'), '') AS path,
+       CAST(CASE WHEN conv_id IS NULL OR turn IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY conv_id, path[1] ORDER BY path, turn, role NULLS FIRST, body) - 1 END AS INT) AS place
+FROM linked
+"""
