@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+
 #: Words everywhere in this subpackage: runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,17 +15,12 @@ class Scratch:
     """Tables of one run in the folder that the cluster names in spark.checkpoint.dir.
 
     A stored table cuts the lineage like a checkpoint, is written once, and is
-    still there when an executor is lost.  Only where the setting is absent
-    (tests, local mode) a temporary folder is set in its place.
+    still there when an executor is lost.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="spark-cuelake-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/cuelake-{label}-{uuid.uuid4().hex}"
+        self.root = folder(spark, f"cuelake-{label}")
         self._n = 0
 
     def path(self, name: str) -> str:

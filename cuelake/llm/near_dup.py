@@ -14,8 +14,9 @@ confirmed on full sets.
 
 Defined cases: null or empty text, or text without words: empty set, own
 component, kept.  Rows that repeat a doc_id are each returned, each with the
-component of its own text.  A null doc_id is never linked and is kept.  An empty table gives an empty result.  Columns other than
-the id and the text are ignored.
+component of its own text.  A null doc_id is never linked and is kept.  A very
+long text is a block of its own and counts whole.  An empty table gives an empty
+result.  Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
