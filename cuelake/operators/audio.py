@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def pcm_to_float(samples: Column, kind: str) -> Column:
-    """Samples of a declared type as doubles in [-1, 1): 8-bit ones are unsigned and shifted first."""
+    """Samples of a declared type as doubles in [-1, 1); 8-bit ones are shifted by -128 first, as if unsigned, which gives [-2, 0) for the signed type."""
     if kind in ("float", "double"):
         return samples.cast("array<double>")
     if kind not in ("tinyint", "smallint", "int"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenize, trim_marks
@@ -30,18 +30,31 @@ def bounds(segments: DataFrame, moded: DataFrame) -> DataFrame:
     return rows.select("request_id", "media_id", "modality", "seg_idx", "cut_start_ms", "cut_end_ms", "cut_start_sample", "cut_end_sample", "cue_start_ms", "cue_end_ms")
 
 
-def partial_sentences(cut: DataFrame, tokens: DataFrame) -> DataFrame:
+#: Periods and sentences meet in blocks of so many milliseconds.
+BLOCK_MS = 60_000
+
+
+def partial_sentences(cut: DataFrame, sentences: DataFrame) -> DataFrame:
     """request_id, modality, seg_idx, sent_idx, rel_start_ms, rel_end_ms, text: the tokens of each sentence that end inside a period.
 
-    An equi join on the medium with the range as a residual; media with many
-    tokens are split by Spark where the join is skewed.
+    Periods meet the sentences of the minutes that they touch, each in the
+    first minute of both, and take their part of the sentence's tokens; no
+    period is held against a whole medium.
     """
-    first = Window.partitionBy("media_id", "sent_idx")
-    timed = tokens.withColumn("sent_start", F.min("start_ms").over(first)).select("media_id", "sent_idx", "tok_idx", "token", F.col("start_ms").alias("t_start"), F.col("end_ms").alias("t_end"), "sent_start")
-    met = cut.join(timed, "media_id").where("t_end > cue_start_ms and t_end <= cue_end_ms and sent_start < cue_end_ms")
-    words = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x.token)
-    grouped = met.groupBy("request_id", "modality", "seg_idx", "sent_idx", "cue_start_ms").agg(F.min_by("t_start", "tok_idx").alias("a"), F.max_by("t_end", "tok_idx").alias("b"), words.alias("words"))
-    return grouped.select("request_id", "modality", "seg_idx", "sent_idx", (F.col("a") - F.col("cue_start_ms")).alias("rel_start_ms"), (F.col("b") - F.col("cue_start_ms")).alias("rel_end_ms"), detokenize(F.col("words")).alias("text"))
+    block = lambda ms: F.floor(ms / F.lit(BLOCK_MS))
+    timed = sentences.select("media_id", "sent_idx", "tokens", "timestamp", F.element_at("timestamp", 1).start_ms.alias("s_start"), F.array_max(F.transform("timestamp", lambda t: t.end_ms)).alias("s_end"))
+    timed = timed.withColumn("s_block", block(F.col("s_start"))).withColumn("block", F.explode(F.sequence("s_block", block(F.col("s_end")))))
+    # No token ends beyond its medium, so periods need not reach further.
+    reach = sentences.groupBy("media_id").agg(F.max(F.array_max(F.transform("timestamp", lambda t: t.end_ms))).alias("last"))
+    asked = cut.select("request_id", "media_id", "modality", "seg_idx", "cue_start_ms", "cue_end_ms").join(reach, "media_id").where("cue_start_ms < cue_end_ms and cue_start_ms < last and cue_end_ms > 0")
+    asked = asked.withColumn("p_block", block(F.greatest("cue_start_ms", F.lit(0)))).withColumn("block", F.explode(F.sequence("p_block", block(F.least("cue_end_ms", "last")))))
+    met = asked.join(timed, ["media_id", "block"]).where("s_end > cue_start_ms and s_start < cue_end_ms").where(F.col("block") == F.greatest("p_block", "s_block"))
+    items = F.arrays_zip(F.col("tokens").alias("token"), F.col("timestamp").alias("t"))
+    part = F.filter(items, lambda x: (x.t.end_ms > F.col("cue_start_ms")) & (x.t.end_ms <= F.col("cue_end_ms")))
+    met = met.withColumn("part", part).where("size(part) > 0")
+    a, b = F.element_at("part", 1).t.start_ms, F.element_at("part", -1).t.end_ms
+    text = detokenize(F.transform("part", lambda x: x.token))
+    return met.select("request_id", "modality", "seg_idx", "sent_idx", (a - F.col("cue_start_ms")).alias("rel_start_ms"), (b - F.col("cue_start_ms")).alias("rel_end_ms"), text.alias("text"))
 
 
 def timeline(cut: DataFrame, partial: DataFrame) -> DataFrame:
@@ -100,6 +113,16 @@ def write_srt(table: DataFrame, path: str, key: str, buckets: int = 8) -> None:
     table.select("srt", F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")).write.partitionBy("bucket").text(path)
 
 
+def write_srt_documents(table: DataFrame, path: str, key: str, buckets: int = 8) -> None:
+    """Subtitle documents as JSON lines (key, srt), so that each can be traced, in a few folders by a hash of the key."""
+    table.select(key, "srt", F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")).write.partitionBy("bucket").json(path)
+
+
+def read_srt_documents(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, srt) of what ``write_srt_documents`` has written."""
+    return spark.read.schema(f"{key} long, srt string").json(path).select(key, "srt")
+
+
 def log(moded: DataFrame, cut: DataFrame, line: DataFrame, pieces: DataFrame, found: DataFrame) -> DataFrame:
     """request_id, n_periods, message: how many periods a request has, and what was cut, in seconds."""
     seconds = lambda c: F.format_string("%.3f", F.col(c) / 1000.0)
@@ -108,8 +131,8 @@ def log(moded: DataFrame, cut: DataFrame, line: DataFrame, pieces: DataFrame, fo
     texts = shown.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", span.alias("s")))), lambda x: x.s), ", ").alias("spans"))
     counts = cut.groupBy("request_id").agg(F.count("*").alias("n_periods"))
     hits = found.groupBy("request_id", "piece_idx").agg(F.count("*").alias("hits"))
-    last = pieces.join(hits, ["request_id", "piece_idx"], "left").groupBy("request_id").agg(F.max(F.struct("piece_idx", "bracket_failed", "offset_b", "offset_e", "hits")).alias("p"))
-    note = F.when(F.col("p.bracket_failed"), FAILED).when(((F.col("p.offset_b") != 0) | (F.col("p.offset_e") != 0)) & (F.col("p.hits") > 1), SEVERAL).otherwise("")
+    last = pieces.join(hits, ["request_id", "piece_idx"], "left").groupBy("request_id").agg(F.max(F.struct("piece_idx", "bracket_failed", "bracket_matched", "hits")).alias("p"))
+    note = F.when(F.col("p.bracket_failed"), FAILED).when(F.col("p.bracket_matched") & (F.col("p.hits") > 1), SEVERAL).otherwise("")
     notes = last.select("request_id", note.alias("note"))
     rows = moded.select("request_id", "modality", "mode").join(counts, "request_id", "left").join(texts, "request_id", "left").join(notes, "request_id", "left")
     place = F.when(F.col("modality") == "audio", "speech").otherwise("audio")

@@ -9,37 +9,48 @@ from ..functions.text import filled, normalize_phrase, tokenize
 from ..functions.timecode import parse_time
 
 MIN_SPEAKER_MS = 999
+# How offsets and time ranges are written.
 _PAIR = r"\[(\d+),\s*(\d+)\]"
 _CLOCK = r"\d{2}:\d{2}:\d{2},\d{2,3}"
 _RANGE = rf"\[({_CLOCK})\s*-\s*({_CLOCK})\]"
 
 
 def request_pieces(requests: DataFrame) -> DataFrame:
-    """request_id, media_id, piece_idx, phrase, offset_b, offset_e, bracket_failed: the parts between "#" with text."""
+    """request_id, media_id, piece_idx, phrase, offset_b, offset_e, bracket_failed, bracket_matched: the parts between "#" with text."""
     piece = requests.where("dest_text is not null").select("request_id", "media_id", F.posexplode(F.split("dest_text", "#")).alias("piece_idx", "piece"))
     offset = lambda i: F.coalesce(F.regexp_extract("piece", _PAIR, i).try_cast("int"), F.lit(0))
     failed = F.contains("piece", F.lit("[")) & ~F.col("piece").rlike(_PAIR)
     phrase = normalize_phrase(F.element_at(F.split("piece", r"\["), 1))
-    out = piece.select("request_id", "media_id", "piece_idx", phrase.alias("phrase"), offset(1).alias("offset_b"), offset(2).alias("offset_e"), failed.alias("bracket_failed"))
+    out = piece.select("request_id", "media_id", "piece_idx", phrase.alias("phrase"), offset(1).alias("offset_b"), offset(2).alias("offset_e"), failed.alias("bracket_failed"), F.col("piece").rlike(_PAIR).alias("bracket_matched"))
     return out.where(filled(F.col("phrase")))
 
 
 def request_mode(requests: DataFrame, media: DataFrame) -> DataFrame:
-    """Requests with ``mode``: given ranges, else speakers if named and known, else phrases."""
-    known = requests.join(media.select("media_id", "modality", "has_spk", "n_ms"), "media_id")
-    mode = F.when(F.col("llm_response").isNotNull(), "ranges").when(filled(F.col("dest_spk")) & F.col("has_spk"), "speaker").otherwise("phrase")
+    """Requests with ``mode``: given ranges, else speakers if named and known, else phrases.
+
+    Requests on media that are not known, or hold no token, stay, with null
+    for what is known of media: they find nothing, and the log says so.
+    """
+    known = requests.join(media.select("media_id", "modality", "has_spk", "n_ms"), "media_id", "left")
+    mode = F.when(F.col("llm_response").isNotNull(), "ranges").when(filled(F.col("dest_spk")) & F.coalesce("has_spk", F.lit(False)), "speaker").otherwise("phrase")
     return known.withColumn("mode", mode)
 
 
+def _words(phrase: Column) -> Column:
+    """Number of words of a phrase: blanks at its ends and double ones make none."""
+    return F.size(F.filter(F.split(phrase, r"\s+"), lambda x: x != ""))
+
+
 def phrase_starts(raw: Column, phrase: Column) -> Column:
     """Tokens before each hit of a phrase, left to right.
 
     After a hit the next one starts at least as many characters on as the
-    phrase has tokens.  The text is cut before every hit, also overlapping
+    phrase has words.  The text is cut before every hit, also overlapping
     ones, and one pass over the pieces counts characters and spaces.
     """
-    pieces = F.split(raw, F.concat(F.lit("(?=\\Q"), phrase, F.lit("\\E)")), -1)
-    gap = F.size(F.split(phrase, " "))
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split(raw, quoted, -1)
+    gap = _words(phrase)
     state = F.struct(F.lit(0).alias("c"), F.lit(0).alias("sp"), F.lit(0).alias("nx"), F.array().cast("array<int>").alias("hits"))
 
     def step(s: Column, piece: Column) -> Column:
@@ -52,20 +63,38 @@ def phrase_starts(raw: Column, phrase: Column) -> Column:
     return F.aggregate(pieces, state, step, lambda s: s.hits)
 
 
-def phrase_match(pieces: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """``pieces`` with occurrence, start_ms, end_ms: a row for each hit in the piece's own medium."""
-    met = transcripts.join(pieces, "media_id").where(F.contains("raw_text", "phrase") & ~F.contains("phrase", F.lit("\\E")))
-    hits = met.withColumn("at", phrase_starts(F.col("raw_text"), F.col("phrase"))).withColumn("n", F.size(F.split("phrase", " ")))
+def _phrase_hits(pieces: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``pieces`` with occurrence, start_ms, end_ms of each hit, null where the transcript has no such token time."""
+    met = transcripts.join(pieces, "media_id").where(F.contains("raw_text", "phrase"))
+    hits = met.withColumn("at", phrase_starts(F.col("raw_text"), F.col("phrase"))).withColumn("n", _words(F.col("phrase")))
     ends = F.transform("at", lambda i: F.struct(F.try_element_at("timestamp", i + 1).start_ms.alias("start_ms"), F.try_element_at("timestamp", i + F.col("n")).end_ms.alias("end_ms")))
     rows = hits.withColumn("times", ends).select(*pieces.columns, F.posexplode("times").alias("occurrence", "t"))
-    return rows.select(*pieces.columns, "occurrence", "t.start_ms", "t.end_ms").where("start_ms is not null and end_ms is not null")
+    return rows.select(*pieces.columns, "occurrence", "t.start_ms", "t.end_ms")
+
+
+def phrase_match(pieces: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``pieces`` with occurrence, start_ms, end_ms: a row for each hit in the piece's own medium."""
+    return _phrase_hits(pieces, transcripts).where("start_ms is not null and end_ms is not null")
+
+
+def phrase_rejects(pieces: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``pieces`` with occurrence and reason: the hits that ``phrase_match`` leaves out."""
+    lost = _phrase_hits(pieces, transcripts).where("start_ms is null or end_ms is null")
+    return lost.select(*pieces.columns, "occurrence", F.lit("no time for a token of the hit").alias("reason"))
 
 
 def corpus_search(docs: DataFrame, phrases: DataFrame, words: int) -> DataFrame:
-    """item_id, doc_id, tok_idx: where each phrase of ``words`` tokens stands in any text, by an equi join of token runs."""
+    """item_id, doc_id, tok_idx: where each phrase of ``words`` tokens stands in any text.
+
+    An equi join of the 64-bit hashes of runs of tokens, with their first and
+    last tokens for a check: no run is written out, and no row carries a text.
+    """
     tokens = docs.select("doc_id", tokenize(F.col("text")).alias("t")).where(F.size("t") >= words)
-    runs = tokens.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - (words - 1)), lambda i: F.array_join(F.slice("t", i, words), " "))).alias("tok_idx", "phrase"))
-    return runs.join(phrases, "phrase").select("item_id", "doc_id", "tok_idx")
+    place = lambda i: F.struct(F.xxhash64(F.slice("t", i, words)).alias("run"), F.element_at("t", i).alias("first"), F.element_at("t", i + (words - 1)).alias("last"))
+    runs = tokens.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - (words - 1)), place)).alias("tok_idx", "at")).select("doc_id", "tok_idx", "at.*")
+    asked = phrases.withColumn("t", F.split("phrase", " ")).where(F.size("t") == words)
+    asked = asked.select("item_id", F.xxhash64("t").alias("run"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+    return runs.join(asked, ["run", "first", "last"]).select("item_id", "doc_id", "tok_idx")
 
 
 def speaker_match(requests: DataFrame, envelopes: DataFrame) -> DataFrame:

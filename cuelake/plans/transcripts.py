@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenize, normalize_phrase, tokenize
 from ..functions.timecode import format_time, parse_time
-from ..operators import audio, clip, match, prompts
+from ..operators import audio, checks, clip, match, prompts
 from ..sources import transcripts as src
+from ..sources.scratch import folder
 from ..sources.transcripts import SQL, SQL_REQUESTS, read, sql_parse, sql_time
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,9 +23,9 @@ SYSTEM = "You edit talks."
 MODELS = ["qwen_plus", "gpt-3.5-turbo", "gpt-4", "moonshot-v1-8k", "deepseek-chat", "g4f-gpt-4", "llama"]
 
 
-def _query(sql: str):
+def _query(sql: str, name: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        QUERIES[name or f.__name__], ORACLES[name or f.__name__] = f, sql
         return f
 
     return register
@@ -38,17 +40,59 @@ def oracle_sql() -> dict[str, str]:
 
 
 class _Clips:
-    """The tables of a clip run."""
+    """The tables of a clip run, made when first asked for.
+
+    What several others derive from (tokens, sentences, requests, segments) is
+    written once to shared scratch storage and read from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.tokens, self.sentences, self.transcripts = (f(spark, sf_dir) for f in (src.tokens, src.sentences, src.transcripts))
-        self.media = src.media(spark, sf_dir)
-        self.moded = match.request_mode(src.requests(spark, sf_dir), self.media)
-        self.segments = match.segments(self.moded, self.transcripts, self.sentences)
-        self.cut = clip.bounds(self.segments, self.moded)
-        self.partial = clip.partial_sentences(self.cut, self.tokens)
-        self.timeline = clip.timeline(self.cut, self.partial)
-        self.cues = clip.cues(self.partial, self.timeline)
+        self.spark, self.sf_dir = spark, sf_dir
+        self.folder = folder(spark, "clips")
+
+    def _stored(self, table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(table.schema).parquet(f"{self.folder}/{name}")
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return self._stored(src.tokens(self.spark, self.sf_dir), "tokens")
+
+    @cached_property
+    def sentences(self) -> DataFrame:
+        return self._stored(src.sentences(self.spark, self.sf_dir, self.tokens), "sentences")
+
+    @cached_property
+    def transcripts(self) -> DataFrame:
+        return self._stored(src.transcripts(self.spark, self.sf_dir, self.tokens), "transcripts")
+
+    @cached_property
+    def media(self) -> DataFrame:
+        return src.media(self.spark, self.sf_dir, self.tokens)
+
+    @cached_property
+    def moded(self) -> DataFrame:
+        return self._stored(match.request_mode(src.requests(self.spark, self.sf_dir, self.transcripts, self.sentences), self.media), "requests")
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return self._stored(match.segments(self.moded, self.transcripts, self.sentences), "segments")
+
+    @cached_property
+    def cut(self) -> DataFrame:
+        return clip.bounds(self.segments, self.moded)
+
+    @cached_property
+    def partial(self) -> DataFrame:
+        return self._stored(clip.partial_sentences(self.cut, self.sentences), "partial")
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        return clip.timeline(self.cut, self.partial)
+
+    @cached_property
+    def cues(self) -> DataFrame:
+        return clip.cues(self.partial, self.timeline)
 
 
 # Detokenising and the phrase rules in SQL.
@@ -65,21 +109,21 @@ _PIECES = rf"""
 pieces AS (
   SELECT request_id, media_id, piece_idx, {_sql_normalize("string_split(piece, '[')[1]")} AS phrase,
          coalesce(TRY_CAST(regexp_extract(piece, '\[(\d+),\s*(\d+)\]', 1) AS INT), 0) AS offset_b, coalesce(TRY_CAST(regexp_extract(piece, '\[(\d+),\s*(\d+)\]', 2) AS INT), 0) AS offset_e,
-         contains(piece, '[') AND NOT regexp_matches(piece, '\[(\d+),\s*(\d+)\]') AS bracket_failed
+         contains(piece, '[') AND NOT regexp_matches(piece, '\[(\d+),\s*(\d+)\]') AS bracket_failed, regexp_matches(piece, '\[(\d+),\s*(\d+)\]') AS bracket_matched
   FROM (SELECT request_id, media_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS piece_idx, unnest(p) AS piece FROM (SELECT request_id, media_id, string_split(dest_text, '#') AS p FROM reqs WHERE dest_text IS NOT NULL))
   WHERE length(trim({_sql_normalize("string_split(piece, '[')[1]")})) > 0
 )"""
 _MODED = """
 moded AS (
-  SELECT r.*, modality, has_spk, n_ms, CASE WHEN llm_response IS NOT NULL THEN 'ranges' WHEN coalesce(length(trim(dest_spk)) > 0, false) AND has_spk THEN 'speaker' ELSE 'phrase' END AS mode
-  FROM reqs r JOIN med USING (media_id)
+  SELECT r.*, modality, has_spk, n_ms, CASE WHEN llm_response IS NOT NULL THEN 'ranges' WHEN coalesce(length(trim(dest_spk)) > 0, false) AND coalesce(has_spk, false) THEN 'speaker' ELSE 'phrase' END AS mode
+  FROM reqs r LEFT JOIN med USING (media_id)
 )"""
-_HITS = """
+_HITS = r"""
 asked AS (SELECT p.* REPLACE (CASE WHEN modality = 'video' THEN lower(phrase) ELSE phrase END AS phrase) FROM pieces p JOIN moded USING (request_id) WHERE mode = 'phrase'),
 hits AS (
   SELECT request_id, piece_idx, media_id, offset_b, offset_e, start AS place, starts[sp + 1] AS start_ms, ends[sp + n] AS end_ms
   FROM (
-    SELECT *, length(substr(raw_text, 1, start)) - length(replace(substr(raw_text, 1, start), ' ', '')) AS sp, len(string_split(phrase, ' ')) AS n
+    SELECT *, length(substr(raw_text, 1, start)) - length(replace(substr(raw_text, 1, start), ' ', '')) AS sp, len(list_filter(regexp_split_to_array(phrase, '\s+'), lambda x: x <> '')) AS n
     FROM (SELECT a.*, raw_text, starts, ends, unnest(range(length(raw_text))) AS start FROM asked a JOIN raws USING (media_id) WHERE contains(raw_text, phrase))
     WHERE substr(raw_text, start + 1, length(phrase)) = phrase
   ) WHERE starts[sp + 1] IS NOT NULL AND ends[sp + n] IS NOT NULL
@@ -182,67 +226,81 @@ def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.tokens(spark, sf_dir).select("media_id", "sent_idx", "tok_idx", parse_time(format_time(F.col("end_ms"))).alias("ms"))
 
 
-@_query(f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{src.TOKEN}') AS t FROM documents)")
+@_query(f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{src.TOKEN}') AS t FROM documents)", "tokenize")
 def tokenize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", tokenize(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-QUERIES["tokenize"], ORACLES["tokenize"] = QUERIES.pop("tokenize_texts"), ORACLES.pop("tokenize_texts")
-
-
-@_query(f"SELECT doc_id, md5({_sql_detokenize('t')}) AS text_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{src.TOKEN}') AS t FROM documents)")
+@_query(f"SELECT doc_id, md5({_sql_detokenize('t')}) AS text_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{src.TOKEN}') AS t FROM documents)", "detokenize")
 def detokenize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(detokenize(tokenize(F.col("text")))).alias("text_md5"))
 
 
-QUERIES["detokenize"], ORACLES["detokenize"] = QUERIES.pop("detokenize_texts"), ORACLES.pop("detokenize_texts")
-
-
-@_query(f"SELECT doc_id, md5({_sql_normalize('text')}) AS phrase_md5 FROM documents")
+@_query(f"SELECT doc_id, md5({_sql_normalize('text')}) AS phrase_md5 FROM documents", "normalize_phrase")
 def normalize_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(normalize_phrase(F.col("text"))).alias("phrase_md5"))
 
 
-QUERIES["normalize_phrase"], ORACLES["normalize_phrase"] = QUERIES.pop("normalize_phrases"), ORACLES.pop("normalize_phrases")
+@_query(_with(*_TO_REQUESTS) + " SELECT request_id, media_id, dest_text, dest_spk, CASE WHEN llm_response IS NOT NULL THEN 'Take ' || llm_response END AS llm_response, start_ost, end_ost FROM reqs")
+def clip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from JSON files, which leave out nulls and offsets of 0, with answers of a model from a table of their own."""
+    c, path = _Clips(spark, sf_dir), folder(spark, "requests")
+    given = src.requests(spark, sf_dir, c.transcripts, c.sentences)
+    given.select(*(F.when(F.col(x) != 0, F.col(x)).alias(x) if x.endswith("_ost") else F.col(x) for x in given.columns if x != "llm_response")).write.json(path)
+    answers = given.where("llm_response is not null").select("request_id", F.concat(F.lit("Take "), "llm_response").alias("response"))
+    return src.with_responses(src.read_requests(spark, path), answers)
+
+
+@_query(
+    _with(SQL) + ", n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY length(text), sent_idx) AS place FROM sents),"
+    " l AS (SELECT media_id, place, tokens, regexp_split_to_array(text, '[ \n]+') AS words, start_ms < lag(start_ms) OVER (PARTITION BY media_id ORDER BY place) AS early FROM n)"
+    " SELECT media_id, CAST(place AS INT) AS sent_idx, 'starts before the sentence ahead' AS reason FROM l WHERE early"
+    " UNION ALL SELECT media_id, CAST(place AS INT), 'tokens and times differ in number' FROM l WHERE len(words) <> len(tokens)"
+)
+def transcript_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of a table whose sentences are numbered by their length instead of their time, and whose words are cut at blanks."""
+    place = F.row_number().over(Window.partitionBy("media_id").orderBy(F.length("text"), "sent_idx"))
+    rows = _Clips(spark, sf_dir).sentences.withColumn("place", place).withColumn("tokens", F.split("text", "[ \\n]+"))
+    return checks.transcript_faults(rows.select("media_id", F.col("place").alias("sent_idx"), "tokens", "timestamp"))
 
 
 @_query(_with(*_TO_REQUESTS, _PIECES) + " SELECT * FROM pieces")
 def request_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.request_pieces(src.requests(spark, sf_dir))
+    return match.request_pieces(_Clips(spark, sf_dir).moded)
 
 
 @_query(_with(*_TO_REQUESTS, _MODED) + " SELECT request_id, media_id, modality, mode FROM moded")
 def request_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.request_mode(src.requests(spark, sf_dir), src.media(spark, sf_dir)).select("request_id", "media_id", "modality", "mode")
+    return _Clips(spark, sf_dir).moded.select("request_id", "media_id", "modality", "mode")
 
 
 @_query(_with(*_TO_REQUESTS, _MODED, _PIECES, _HITS) + " SELECT request_id, piece_idx, CAST(row_number() OVER (PARTITION BY request_id, piece_idx ORDER BY place) - 1 AS INT) AS occurrence, start_ms, end_ms FROM hits")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = src.media(spark, sf_dir)
-    asked = match.request_mode(src.requests(spark, sf_dir), media).where("mode = 'phrase'")
-    pieces = match.lower_for_video(match.request_pieces(asked), media)
-    return match.phrase_match(pieces, src.transcripts(spark, sf_dir)).select("request_id", "piece_idx", "occurrence", "start_ms", "end_ms")
+    c = _Clips(spark, sf_dir)
+    pieces = match.lower_for_video(match.request_pieces(c.moded.where("mode = 'phrase'")), c.media)
+    return match.phrase_match(pieces, c.transcripts).select("request_id", "piece_idx", "occurrence", "start_ms", "end_ms")
 
 
 @_query(
     f"WITH c AS (SELECT doc_id, regexp_extract_all(text, '{src.TOKEN}') AS t FROM documents), p AS (SELECT item_id, array_to_string(regexp_extract_all(text, '{src.TOKEN}')[1:6], ' ') AS phrase FROM benchmark),"
     " r AS (SELECT doc_id, CAST(i AS INT) AS tok_idx, array_to_string(t[i + 1:i + 6], ' ') AS phrase FROM (SELECT *, unnest(range(len(t) - 5)) AS i FROM c WHERE len(t) >= 6)) SELECT item_id, doc_id, tok_idx FROM r JOIN p USING (phrase)"
 )
-def phrase_corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(tokenize(F.col("text")), 1, 6), " ").alias("phrase"))
-    return match.corpus_search(read(spark, sf_dir, "documents"), phrases, 6)
+def phrase_corpus_search(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
+    """The first ``words`` tokens of each item as a phrase."""
+    phrases = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(tokenize(F.col("text")), 1, words), " ").alias("phrase"))
+    return match.corpus_search(read(spark, sf_dir, "documents"), phrases, words)
 
 
 @_query(_with(*_TO_REQUESTS, _MODED, _SPOKEN) + " SELECT request_id, piece_idx, sent_idx AS occurrence, start_ms, end_ms FROM spoken")
 def speaker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = match.request_mode(src.requests(spark, sf_dir), src.media(spark, sf_dir)).where("mode = 'speaker'")
-    return match.speaker_match(asked, match.envelopes(src.sentences(spark, sf_dir))).select("request_id", "piece_idx", "occurrence", "start_ms", "end_ms")
+    c = _Clips(spark, sf_dir)
+    return match.speaker_match(c.moded.where("mode = 'speaker'"), match.envelopes(c.sentences)).select("request_id", "piece_idx", "occurrence", "start_ms", "end_ms")
 
 
 @_query(_with(*_TO_REQUESTS, _RANGES) + " SELECT * FROM ranges")
 def llm_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.text_ranges(src.requests(spark, sf_dir))
+    return match.text_ranges(_Clips(spark, sf_dir).moded)
 
 
 @_query(_with(*_TO_SEGMENTS) + " SELECT * FROM segs")
@@ -292,7 +350,7 @@ srts AS (
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = src.sentences(spark, sf_dir)
+    sentences = _Clips(spark, sf_dir).sentences
     return clip.full_srt(sentences, match.envelopes(sentences))
 
 
@@ -301,6 +359,14 @@ def srt_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _full(spark, sf_dir)
 
 
+@_query(_with(SQL, _FULL) + " SELECT * FROM srts")
+def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full subtitles, written to the subtitle sink and read back by their key."""
+    path = folder(spark, "srt")
+    clip.write_srt_documents(_full(spark, sf_dir), path, "media_id")
+    return clip.read_srt_documents(spark, path, "media_id")
+
+
 @_query(
     _with(SQL, _FULL) + f", m AS (SELECT *, CASE media_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE '{SYSTEM}' END AS system FROM srts)"
     f" SELECT media_id, CAST(0 AS INT) AS msg_idx, 'system' AS role, system AS content FROM m WHERE length(trim(system)) > 0"
@@ -328,7 +394,7 @@ spans AS (SELECT request_id, string_agg('from ' || printf('%.3f', cut_start_ms /
   FROM (SELECT request_id, seg_idx, cut_start_ms, cut_end_ms FROM cut WHERE modality = 'audio' UNION ALL SELECT request_id, seg_idx, cut_start_ms, cut_end_ms FROM line) GROUP BY request_id),
 ns AS (SELECT request_id, count(*) AS n FROM cut GROUP BY request_id),
 last AS (SELECT * FROM pieces QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY piece_idx DESC) = 1),
-notes AS (SELECT request_id, CASE WHEN bracket_failed THEN '{clip.FAILED}' WHEN (offset_b <> 0 OR offset_e <> 0) AND (SELECT count(*) FROM hits h WHERE h.request_id = last.request_id AND h.piece_idx = last.piece_idx) > 1 THEN '{clip.SEVERAL}' ELSE '' END AS note FROM last)
+notes AS (SELECT request_id, CASE WHEN bracket_failed THEN '{clip.FAILED}' WHEN bracket_matched AND (SELECT count(*) FROM hits h WHERE h.request_id = last.request_id AND h.piece_idx = last.piece_idx) > 1 THEN '{clip.SEVERAL}' ELSE '' END AS note FROM last)
 SELECT m.request_id, coalesce(n, 0) AS n_periods,
        CASE WHEN n IS NULL THEN CASE WHEN modality = 'audio' THEN '{clip.NOTHING.format("speech")}' ELSE '{clip.NOTHING.format("audio")}' END
             ELSE n || ' periods found in the ' || CASE WHEN modality = 'audio' THEN 'speech' ELSE 'audio' END || ': ' || spans || CASE WHEN modality = 'audio' AND mode = 'phrase' THEN coalesce(note, '') ELSE '' END END AS message

@@ -16,6 +16,8 @@ from .scratch import folder
 
 SAMPLES_PER_MS = 16
 CHUNK = 64
+#: Media with ids from here on are named by requests but not there.
+UNKNOWN = 10**12
 #: Ranges of ids within which chunks are numbered.
 RANGES = 1024
 
@@ -36,45 +38,55 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("end_ms", end).select("media_id", "sent_idx", "spk", "tok_idx", "token", (F.col("end_ms") - length).alias("start_ms"), "end_ms")
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_id, sent_idx, spk, text, tokens, timestamp; sentences without tokens are none."""
-    item = F.array_sort(F.collect_list(F.struct("tok_idx", "token", "start_ms", "end_ms")))
-    grouped = tokens(spark, sf_dir).groupBy("media_id", "sent_idx").agg(F.first("spk").alias("spk"), item.alias("items"))
+def _items(*first: str) -> F.Column:
+    """Tokens of a group in order, as structs led by their place."""
+    return F.array_sort(F.collect_list(F.struct(*first, "token", "start_ms", "end_ms")))
+
+
+def _times(items: str) -> F.Column:
+    return F.transform(items, lambda x: F.struct(x.start_ms.alias("start_ms"), x.end_ms.alias("end_ms")))
+
+
+def sentences(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
+    """media_id, sent_idx, spk, text, tokens, timestamp; sentences without tokens are none.  ``toks``: what ``tokens`` has given, if at hand."""
+    toks = tokens(spark, sf_dir) if toks is None else toks
+    grouped = toks.groupBy("media_id", "sent_idx").agg(F.first("spk").alias("spk"), _items("tok_idx").alias("items"))
     text = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("sent_idx"), "text")
-    times = F.transform("items", lambda x: F.struct(x.start_ms.alias("start_ms"), x.end_ms.alias("end_ms")))
-    return grouped.join(text, ["media_id", "sent_idx"]).select("media_id", "sent_idx", "spk", "text", F.transform("items", lambda x: x.token).alias("tokens"), times.alias("timestamp"))
+    return grouped.join(text, ["media_id", "sent_idx"]).select("media_id", "sent_idx", "spk", "text", F.transform("items", lambda x: x.token).alias("tokens"), _times("items").alias("timestamp"))
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transcripts(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
     """media_id, raw_text, timestamp: one row a medium, one space between tokens."""
-    item = F.array_sort(F.collect_list(F.struct("sent_idx", "tok_idx", "token", "start_ms", "end_ms")))
-    grouped = tokens(spark, sf_dir).groupBy("media_id").agg(item.alias("items"))
-    times = F.transform("items", lambda x: F.struct(x.start_ms.alias("start_ms"), x.end_ms.alias("end_ms")))
-    return grouped.select("media_id", F.array_join(F.transform("items", lambda x: x.token), " ").alias("raw_text"), times.alias("timestamp"))
+    toks = tokens(spark, sf_dir) if toks is None else toks
+    grouped = toks.groupBy("media_id").agg(_items("sent_idx", "tok_idx").alias("items"))
+    return grouped.select("media_id", F.array_join(F.transform("items", lambda x: x.token), " ").alias("raw_text"), _times("items").alias("timestamp"))
 
 
-def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+def media(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
     """media_id, path, modality, has_spk, n_ms."""
-    ends = tokens(spark, sf_dir).groupBy("media_id").agg(F.max("end_ms").alias("n_ms"), F.max(F.col("spk").isNotNull()).alias("has_spk"))
+    toks = tokens(spark, sf_dir) if toks is None else toks
+    ends = toks.groupBy("media_id").agg(F.max("end_ms").alias("n_ms"), F.max(F.col("spk").isNotNull()).alias("has_spk"))
     even = F.col("media_id") % 2 == 0
     return ends.select("media_id", F.concat(F.lit("talks/conv"), "media_id", F.when(even, ".wav").otherwise(".MP4")).alias("path"), F.when(even, "audio").otherwise("video").alias("modality"), "has_spk", "n_ms")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """request_id, media_id, dest_text, dest_spk, llm_response, start_ost, end_ost: seven requests a medium."""
+def requests(spark: SparkSession, sf_dir: str, scripts: DataFrame | None = None, sents: DataFrame | None = None) -> DataFrame:
+    """request_id, media_id, dest_text, dest_spk, llm_response, start_ost, end_ost: eight requests a medium, and one on a medium that there is not."""
+    scripts, sents = transcripts(spark, sf_dir) if scripts is None else scripts, sentences(spark, sf_dir) if sents is None else sents
     head = F.array_join(F.slice(F.split("raw_text", " "), 1, 2), " ")
-    base = transcripts(spark, sf_dir).select("media_id", head.alias("head"))
-    two = sentences(spark, sf_dir).where("sent_idx < 2").select("media_id", "sent_idx", "text", F.element_at("timestamp", 1).start_ms.alias("a"), F.element_at("timestamp", -1).end_ms.alias("b"))
+    base = scripts.select("media_id", head.alias("head"))
+    two = sents.where("sent_idx < 2").select("media_id", "sent_idx", "text", F.element_at("timestamp", 1).start_ms.alias("a"), F.element_at("timestamp", -1).end_ms.alias("b"))
     line = F.concat((F.col("sent_idx") + 1).cast("string"), F.lit(". ["), format_time(F.col("a") + 333), F.when(F.col("sent_idx") == 0, "-").otherwise(" - "), format_time(F.col("b") + 1500), F.lit("] "), "text")
     reply = two.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", line.alias("line")))), lambda x: x.line), "\n").alias("reply"))
     none = F.lit(None).cast("string")
 
-    def row(k: int, text, spk, reply_col, b: int, e: int):
-        return F.struct((F.col("media_id") * 10 + k).alias("request_id"), "media_id", text.alias("dest_text"), spk.alias("dest_spk"), reply_col.alias("llm_response"), F.lit(b).alias("start_ost"), F.lit(e).alias("end_ost"))
+    def row(k: int, text, spk, reply_col, b: int, e: int, medium=None):
+        return F.struct((F.col("media_id") * 10 + k).alias("request_id"), (F.col("media_id") if medium is None else medium).alias("media_id"), text.alias("dest_text"), spk.alias("dest_spk"), reply_col.alias("llm_response"), F.lit(b).alias("start_ost"), F.lit(e).alias("end_ost"))
 
     rows = F.array(
         row(0, none, F.lit("spk1"), none, -100, 200), row(1, none, F.lit("spk0#spk1"), none, 0, 0), row(2, F.lit("en"), none, none, 0, 100), row(3, F.lit("the"), F.lit(" "), none, -50, 50),
         row(4, F.col("head"), none, none, 0, 0), row(5, F.concat("head", F.lit("[10, 20]#the[x]##en[5,30]")), none, none, -20, 0), row(6, none, none, F.col("reply"), 0, 0),
+        row(7, F.lit(" en#the  #en[0, 0]"), none, none, 0, 0), row(8, F.lit("en"), F.lit("spk1"), none, 0, 0, F.col("media_id") + UNKNOWN),
     )
     return base.join(reply, "media_id", "left").select(F.explode(rows).alias("r")).select("r.*")
 
@@ -94,6 +106,32 @@ def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("media_id", place.cast("int").alias("chunk_idx"), (place * CHUNK).alias("start_sample"), "samples")
 
 
+#: What a request source may leave out, and what then holds.
+REQUEST = "request_id long, media_id long, dest_text string, dest_spk string, llm_response string, start_ost int, end_ost int"
+
+
+def read_requests(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Clip requests from files of any of Spark's formats: columns that are not there are null, offsets that are not given 0."""
+    reader = spark.read.format(kind)
+    return complete_requests((reader.option("header", "true") if kind == "csv" else reader.schema(REQUEST) if kind == "json" else reader).load(path))
+
+
+def complete_requests(given: DataFrame) -> DataFrame:
+    """Requests with all columns; those given need request_id and media_id only."""
+    def column(field: str) -> F.Column:
+        name, kind = field.split()
+        return (F.col(name).cast(kind) if name in given.columns else F.lit(None).cast(kind)).alias(name)
+
+    rows = given.select(*map(column, REQUEST.split(", ")))
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("start_ost", "end_ost")})
+
+
+def with_responses(given: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests with the answers of language models (request_id, response), the greatest where several came; others keep what they have."""
+    answers = responses.groupBy("request_id").agg(F.max("response").alias("response"))
+    return given.join(answers, "request_id", "left").withColumn("llm_response", F.coalesce("response", "llm_response")).select(given.columns)
+
+
 def write_sentences(table: DataFrame, path: str, buckets: int = 8) -> None:
     """Parquet in a few folders by a hash of the medium, not one folder a medium."""
     table.withColumn("bucket", F.pmod(F.xxhash64("media_id"), F.lit(buckets))).write.partitionBy("bucket").parquet(path)
@@ -152,8 +190,8 @@ replies AS (
 ),
 heads AS (SELECT media_id, array_to_string(string_split(raw_text, ' ')[1:2], ' ') AS head FROM raws),
 reqs AS (
-  SELECT media_id * 10 + k AS request_id, media_id, CASE k WHEN 2 THEN 'en' WHEN 3 THEN 'the' WHEN 4 THEN head WHEN 5 THEN head || '[10, 20]#the[x]##en[5,30]' END AS dest_text,
-         CASE k WHEN 0 THEN 'spk1' WHEN 1 THEN 'spk0#spk1' WHEN 3 THEN ' ' END AS dest_spk, CASE WHEN k = 6 THEN reply END AS llm_response,
+  SELECT media_id * 10 + k AS request_id, CASE WHEN k = 8 THEN media_id + {UNKNOWN} ELSE media_id END AS media_id, CASE k WHEN 2 THEN 'en' WHEN 3 THEN 'the' WHEN 4 THEN head WHEN 5 THEN head || '[10, 20]#the[x]##en[5,30]' WHEN 7 THEN ' en#the  #en[0, 0]' WHEN 8 THEN 'en' END AS dest_text,
+         CASE k WHEN 0 THEN 'spk1' WHEN 1 THEN 'spk0#spk1' WHEN 3 THEN ' ' WHEN 8 THEN 'spk1' END AS dest_spk, CASE WHEN k = 6 THEN reply END AS llm_response,
          CASE k WHEN 0 THEN -100 WHEN 3 THEN -50 WHEN 5 THEN -20 ELSE 0 END AS start_ost, CASE k WHEN 0 THEN 200 WHEN 2 THEN 100 WHEN 3 THEN 50 ELSE 0 END AS end_ost
-  FROM heads LEFT JOIN replies USING (media_id), range(7) AS r(k)
+  FROM heads LEFT JOIN replies USING (media_id), range(9) AS r(k)
 )"""

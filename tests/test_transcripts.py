@@ -10,7 +10,7 @@ import __spark_entry__
 from cuelake import plans
 from cuelake.functions.text import detokenize, normalize_phrase, tokenize
 from cuelake.functions.timecode import format_time, parse_time
-from cuelake.operators import audio, clip, match, prompts
+from cuelake.operators import audio, checks, clip, match, prompts
 from cuelake.sources import transcripts as src_transcripts
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +141,73 @@ def test_clips_grow_with_their_media(spark):
 
 def _whole(spark):
     return spark.range(500).selectExpr("1 AS media_id", "cast(id AS int) AS chunk_idx", "64 * id AS start_sample", "array_repeat(0.5D, 64) AS samples")
+
+
+@pytest.mark.parametrize(("raw", "phrase"), [("a b c", "b "), ("a b c", " b"), (r"x \E y \E", r"\E"), (r"a\Eb", r"a\Eb"), ("a  b a  b", "a  b")])
+def test_blanks_and_quotes_in_phrases(spark, raw, phrase):
+    assert _one(spark, match.phrase_starts(F.col("r"), F.col("p")), r=raw, p=phrase) == _python_starts(raw, phrase)
+
+
+def test_blanks_around_a_phrase_make_no_token(spark):
+    times = [(1, 2), (3, 4), (5, 6)]
+    script = spark.createDataFrame([(1, "a b c", times)], "media_id long, raw_text string, timestamp array<struct<start_ms:long,end_ms:long>>")
+    pieces = spark.createDataFrame([(1, 1, "b "), (2, 1, "c d"), (3, 1, "c"), (4, 2, "a")], "request_id long, media_id long, phrase string")
+    assert [(r.request_id, r.start_ms, r.end_ms) for r in match.phrase_match(pieces, script).orderBy("request_id").collect()] == [(1, 3, 4), (3, 5, 6)]
+    short = script.withColumn("timestamp", F.slice("timestamp", 1, 2))
+    assert [(r.request_id, r.reason) for r in match.phrase_rejects(pieces, short).collect()] == [(3, "no time for a token of the hit")]
+
+
+def test_requests_on_unknown_media_are_answered(spark):
+    requests = src_transcripts.complete_requests(spark.createDataFrame([(1, 5, "x[0, 0]"), (2, 6, "a[0, 0]")], "request_id long, media_id long, dest_text string"))
+    assert [(r.start_ost, r.end_ost, r.dest_spk) for r in requests.collect()] == [(0, 0, None)] * 2
+    media = spark.createDataFrame([(6, "p.wav", "audio", False, 1000)], "media_id long, path string, modality string, has_spk boolean, n_ms long")
+    script = spark.createDataFrame([(6, "a a", [(1, 2), (3, 4)])], "media_id long, raw_text string, timestamp array<struct<start_ms:long,end_ms:long>>")
+    lines = spark.createDataFrame([(6, 0, None, "a a", ["a", "a"], [(1, 2), (3, 4)])], "media_id long, sent_idx long, spk int, text string, tokens array<string>, timestamp array<struct<start_ms:long,end_ms:long>>")
+    moded = match.request_mode(requests, media)
+    found = match.segments(moded, script, lines)
+    cut = clip.bounds(found, moded)
+    log = {r.request_id: (r.n_periods, r.message) for r in clip.log(moded, cut, clip.timeline(cut, clip.partial_sentences(cut, lines)), match.request_pieces(moded), found).collect()}
+    assert log[1] == (0, clip.NOTHING.format("audio")) and log[2][0] == 2 and log[2][1].endswith(clip.SEVERAL)
+
+
+def test_requests_from_files_and_responses(spark, tmp_path):
+    given = spark.createDataFrame([(1, 1, "a", 5), (2, 1, "b", None)], "request_id long, media_id long, dest_text string, end_ost int")
+    for kind in ("json", "csv", "parquet"):
+        writer = given.write.format(kind)
+        (writer.option("header", "true") if kind == "csv" else writer).save(str(tmp_path / kind))
+        back = src_transcripts.read_requests(spark, str(tmp_path / kind), kind)
+        assert sorted((r.request_id, r.dest_text, r.start_ost, r.end_ost, r.llm_response) for r in back.collect()) == [(1, "a", 0, 5, None), (2, "b", 0, 0, None)]
+    answered = src_transcripts.with_responses(back, spark.createDataFrame([(2, "[x]"), (2, "[y]"), (3, "[z]")], "request_id long, response string"))
+    assert sorted((r.request_id, r.llm_response or "") for r in answered.collect()) == [(1, ""), (2, "[y]")]
+
+
+def test_faults_of_transcripts(spark):
+    rows = [(1, 0, ["a"], [(0, 5)]), (1, 1, ["a", "b"], [(5, 9)]), (1, 2, ["a"], [(4, 9)]), (1, 3, ["a", "b"], [(20, 30), (25, 28)]), (2, 0, [], []), (2, 1, None, None), (2, 2, ["a"], [(7, 6)]), (3, 0, ["a", "b"], [(1, 2), (2, 3)])]
+    table = spark.createDataFrame(rows, "media_id long, sent_idx long, tokens array<string>, timestamp array<struct<start_ms:long,end_ms:long>>")
+    got = sorted((r.media_id, r.sent_idx, r.reason) for r in checks.transcript_faults(table).collect())
+    number, empty, falls, early = "tokens and times differ in number", "no token", "token times fall", "starts before the sentence ahead"
+    assert got == sorted([(1, 1, number), (1, 2, early), (1, 3, falls), (2, 0, empty), (2, 1, number), (2, 1, empty), (2, 2, falls)])
+    assert sorted((r.media_id, r.sent_idx) for r in checks.sound(table).collect()) == [(1, 0), (3, 0)]
+
+
+def test_srt_documents_keep_their_key(spark, tmp_path):
+    table = spark.createDataFrame([(1, "1\na --> b\nx\n"), (2, "1\nc --> d\ny\n")], "media_id long, srt string")
+    clip.write_srt_documents(table, str(tmp_path / "srt"), "media_id")
+    assert sorted(map(tuple, clip.read_srt_documents(spark, str(tmp_path / "srt"), "media_id").collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_sentences_meet_periods_in_every_minute(spark):
+    # One sentence of ten minutes, and short ones; periods inside, across and around them, against the rule on tokens.
+    tokens = [("t", s, e) for s, e in zip(range(0, 600_000, 7000), range(5000, 605_000, 7000), strict=False)]
+    sents = [(1, 0, tokens)] + [(1, k, [("u", 600_000 + 1000 * k, 600_000 + 1000 * k + 800)]) for k in range(1, 90)]
+    lines = spark.createDataFrame([(m, k, [t for t, _, _ in ts], [(a, b) for _, a, b in ts]) for m, k, ts in sents], "media_id long, sent_idx long, tokens array<string>, timestamp array<struct<start_ms:long,end_ms:long>>")
+    periods = [(-500, 700), (59_000, 61_000), (0, 10**9), (300_000, 300_000), (119_999, 480_001), (650_000, 655_500), (605_000, 604_000), (10**8, 10**9), (59_999, 60_000)]
+    cut = spark.createDataFrame([(k, 1, "video", 0, a, b) for k, (a, b) in enumerate(periods)], "request_id long, media_id long, modality string, seg_idx int, cue_start_ms long, cue_end_ms long")
+    got = sorted((r.request_id, r.sent_idx, r.rel_start_ms, r.rel_end_ms, r.text) for r in clip.partial_sentences(cut, lines).collect())
+    want = []
+    for k, (a, b) in enumerate(periods):
+        for _, s, ts in sents:
+            part = [t for t in ts if a < t[2] <= b] if ts[0][1] < b else []
+            if part:
+                want.append((k, s, part[0][1] - a, part[-1][2] - a, " ".join(t[0] for t in part)))
+    assert got == sorted(want)
