@@ -15,17 +15,18 @@ class Scratch:
     """Tables of one run in the folder that the cluster names in spark.checkpoint.dir.
 
     A stored table cuts the lineage like a checkpoint, is written once, and is
-    still there when an executor is lost.
+    still there when an executor is lost.  Tables that only led to a later one
+    are dropped once that is stored.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = folder(spark, f"cuelake-{label}")
-        self._n = 0
+        self.paths: list[str] = []
 
     def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
+        self.paths.append(f"{self.root}/{len(self.paths) + 1:03d}-{name}")
+        return self.paths[-1]
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the written table."""
@@ -33,6 +34,16 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def mark(self) -> int:
+        return len(self.paths)
+
+    def drop(self, mark: int) -> None:
+        """Delete what was stored since ``mark``, but for the last table."""
+        context = self.spark.sparkContext
+        for name in self.paths[mark:-1]:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty.
