@@ -92,6 +92,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     full = feats.where("n_shingles > 0 and doc_id is not null").withColumn("rec", F.xxhash64("f1", "f2", "n_shingles"))
     klass = scratch.store(full.groupBy("rec").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps = scratch.store(full.join(klass, ["rec", "doc_id"]).dropDuplicates(["rec"]).select("rec", "doc_id", "f1", F.col("n_shingles").alias("size"), "sig", "sketch"), "records")
+    mark = scratch.mark()
     roots = F.array(*(F.xxhash64(F.lit(t), F.lit("tree")) for t in range(TREES)))
     nodes = reps.select(F.explode(F.array_distinct(F.flatten(F.transform(roots, lambda r: _branch(r, F.col("sig")))))).alias("node"), "rec")
     leaf, dense = leaves(scratch, nodes, reps, _branch, LEVELS)
@@ -101,6 +102,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         wanted = wanted.mapInArrow(_with_record, "rec long, text string").dropDuplicates(["rec"])
     wanted = scratch.store(wanted.select("rec", "text"), "texts")
     comp = linked(scratch, leaf, dense, reps.select("rec", "size", "sketch"), wanted, shingles, PERCENT, LOW)
+    scratch.drop(mark)
     member = scratch.store(klass.join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "doc_id", F.coalesce("component", "rec").alias("component")), "members")
     first = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = member.join(first, "component").select("rec", "component_id")

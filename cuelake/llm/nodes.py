@@ -82,10 +82,14 @@ def _across(dense: DataFrame, component: DataFrame) -> DataFrame:
     return outside.unionByName(others).select(F.xxhash64("node", "p", "q").alias("leaf"), "rec").distinct()
 
 
-def _agreement(sketch: np.ndarray, i: int) -> np.ndarray:
-    """Share of the bytes in which each sketch after the i-th agrees with it."""
-    same = (sketch[i + 1 :] == sketch[i]).view(np.uint64)  # eight truth values a number
-    return np.bitwise_count(same).sum(axis=1, dtype=np.int32) / sketch.shape[1]
+#: Bytes of sketches that are compared at once.
+_BLOCK = 1 << 21
+
+
+def _agreement(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Share of the bytes in which each sketch of ``some`` agrees with each of ``others``."""
+    same = (some[:, None] == others[None]).view(np.uint64)  # eight truth values a number
+    return np.bitwise_count(same).sum(axis=2, dtype=np.int32) / some.shape[1]
 
 
 class _Leaves:
@@ -97,32 +101,43 @@ class _Leaves:
         self.rec, self.size, self.group = (self.flat.field(x).to_numpy(zero_copy_only=False) for x in ("rec", "size", "component"))
         self.sketch = tb.string_buffers(self.flat.field("sketch"))[0].reshape(len(self.rec), -1) if len(self.rec) else None
 
-    def likely(self, low: float, percent: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(leaf, its first and end row, i, j, agreement), for leaves of three records or more: pairs that sketches and sizes do not rule out and that are not yet connected."""
-        for number, (first, end) in enumerate(zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)):
-            if end - first == 2:
-                continue
-            # Records outside the leaf's largest component come first: pairs within it need no look.
-            group = self.group[first:end]
-            values, counts = np.unique(group, return_counts=True)
-            inside = group == values[np.argmax(counts)] if counts.max() > 1 else np.zeros(len(group), bool)
-            order = np.argsort(inside, kind="stable")
+    def likely(self, low: float, percent: int, joined: bool) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(leaf, its first and end row, i, j, agreement), for leaves of three records or more: pairs that sketches and sizes do not rule out and that are not yet connected.
+
+        ``joined`` says that some may be connected.
+        """
+        big = np.flatnonzero(np.diff(self.ends) > 2)
+        for number, first, end in zip(big.tolist(), self.ends[big].tolist(), self.ends[big + 1].tolist(), strict=True):
+            group, n = self.group[first:end], end - first
+            order, outside = np.arange(n), n
+            if joined:
+                # Records outside the leaf's largest component come first: pairs within it need no look.
+                values, counts = np.unique(group, return_counts=True)
+                if counts.max() > 1:
+                    inside = group == values[np.argmax(counts)]
+                    order, outside = np.argsort(inside, kind="stable"), int(n - inside.sum())
             size, group, sketch = self.size[first:end][order], group[order], self.sketch[first:end][order]
-            found = []
-            for i in range(min(len(order) - 1, int(len(order) - inside.sum()))):
-                near = _agreement(sketch, i)
-                fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
-                at = np.flatnonzero((near >= low) & (group[i + 1 :] != group[i]) & fits)
-                if len(at):
-                    found.append((np.full(len(at), order[i]), order[at + i + 1], near[at]))
+            found, step = [], max(1, _BLOCK // (n * sketch.shape[1]))
+            for lo in range(0, min(outside, n - 1), step):
+                hi = min(lo + step, outside)
+                near = _agreement(sketch[lo:hi], sketch[lo:])
+                a, b = size[lo:hi, None], size[None, lo:]
+                # Each pair once: of two rows of the block the later one is the other.
+                fits = (near >= low) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.arange(hi - lo)[:, None] < np.arange(n - lo))
+                if joined:
+                    fits &= group[lo:hi, None] != group[None, lo:]
+                i, j = np.nonzero(fits)
+                if len(i):
+                    found.append((order[lo + i], order[lo + j], near[i, j]))
             if found:
                 yield number, first, end, *(np.concatenate(x) for x in zip(*found, strict=True))
 
-
     def couples(self, low: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """The records of the leaves of two that sketches and sizes do not rule out."""
         i = self.ends[:-1][np.diff(self.ends) == 2]
-        near = np.bitwise_count((self.sketch[i] == self.sketch[i + 1]).view(np.uint64)).sum(axis=1, dtype=np.int32) / self.sketch.shape[1] if len(i) else np.zeros(0)
+        if len(i) == 0:
+            return self.rec[:0], self.rec[:0]
+        near = np.bitwise_count((self.sketch[i] == self.sketch[i + 1]).view(np.uint64)).sum(axis=1, dtype=np.int32) / self.sketch.shape[1]
         i = i[(near >= low) & (100 * np.minimum(self.size[i], self.size[i + 1]) >= percent * np.maximum(self.size[i], self.size[i + 1]))]
         return self.rec[i], self.rec[i + 1]
 
@@ -135,7 +150,7 @@ def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
             found_in = _Leaves(batch.column(0))
             i, j = found_in.couples(low, percent)
             out_a, out_b = [np.minimum(i, j)], [np.maximum(i, j)]
-            for _, first, end, i, j, near in found_in.likely(low, percent):
+            for _, first, end, i, j, near in found_in.likely(low, percent, False):
                 rec = found_in.rec[first:end]
                 parent, keep = list(range(len(rec))), []
                 for k in np.argsort(-near, kind="stable"):
@@ -169,7 +184,7 @@ def _open_pairs(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]]
         for batch in batches:
             leaf, part, recs, pairs = [], [], [], []
             found_in = _Leaves(batch.column(0))
-            for number, first, end, i, j, _ in found_in.likely(low, percent):
+            for number, first, end, i, j, _ in found_in.likely(low, percent, True):
                 here, held = batch.column(1)[number].as_py(), [set(x) for x in found_in.flat.field("leaves").slice(first, end - first).to_pylist()]
                 mine = np.array([min(held[a] & held[b]) == here for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
                 i, j = i[mine], j[mine]
@@ -273,17 +288,20 @@ def linked(
     shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
     percent: int,
     low: float,
+    narrow: bool = False,
 ) -> DataFrame:
     """(node, component) of records linked through any chain of confirmed pairs.
 
-    ``leaf`` and ``dense`` come from ``leaves``.  ``sketches`` has (rec, size, sketch); ``size`` is that of the full set.
+    ``leaf`` and ``dense`` come from ``leaves``.  ``sketches`` has (rec, size, sketch); ``size`` is that of the full set;
+    ``narrow`` says that it holds few records beside those of the nodes.
     Two passes: spanning pairs of the leaves, and of blocks dealt from the large nodes, first, which contract a group of
     copies to one component in a number of rows that grows with the group, not with its square; then every remaining
     pair between records that those have not connected, of large nodes too.  Both are confirmed on full sets, the few of
-    the first pass pair by pair, the rest leaf by leaf.
+    the first pass pair by pair, the rest leaf by leaf.  The result is a stored table.
     """
     first = leaf if dense is None else leaf.unionByName(_samples(dense))
-    sketches = scratch.store(sketches.join(first.select("rec").distinct(), "rec", "left_semi"), "sketches")
+    if not narrow:
+        sketches = scratch.store(sketches.join(first.select("rec").distinct(), "rec", "left_semi"), "sketches")
 
     def groups(rows: DataFrame, fields: list[str]) -> DataFrame:
         out = rows.join(sketches, "rec").groupBy("leaf").agg(F.collect_list(F.struct(*fields)).alias("rows"))
@@ -300,4 +318,4 @@ def linked(
     held = second.groupBy("rec").agg(F.collect_set("leaf").alias("leaves"))
     cells = groups(second.join(held, "rec"), [*fields, "leaves"]).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary")
     more = scratch.store(confirm_cells(scratch.store(cells, "cells"), texts, shingles, percent), "links")
-    return merged(scratch, so_far, more)
+    return scratch.store(merged(scratch, so_far, more), "components")
