@@ -4,8 +4,9 @@ Lines are the parts of a text between line feeds.  Lines of at least
 MIN_CHARS bytes, compared after A-Z lower-casing and without white space at
 their ends, are sets of shingles of ``shingle`` bytes.  Equal lines form one class.
 Class records meet by banding (BANDS bands of ROWS minwise values: a pair of
-similarity 0.75 is missed with probability 0.0015, one of 0.8 with 0.0001), are
-confirmed by exact Jaccard similarity on their full sets, and distributed
+similarity 0.75 is missed with probability 0.0015, one of 0.8 with 0.0001; two
+records that meet go on if BITS one-bit minwise values agree in ALIKE at least,
+which loses one more such pair in 2000), are confirmed by exact Jaccard similarity on their full sets, and distributed
 union-find joins them.  Of each component the line of the smallest (doc_id, line number)
 stays; the others are removed.  With ``short``, shorter lines that are equal
 (compared in the same way) form classes too, of which the first stays; without
@@ -18,7 +19,7 @@ bytes are not linked.
 
 Bands meet in buckets: tasks deal the (band, line) entries of a block of text
 into arrays by bucket, so that a shuffle moves few rows, and a bucket keeps
-the bands that hold two lines or more.  There are as many buckets as it takes
+of each band the lines that another line of it resembles.  There are as many buckets as it takes
 for BUCKET entries each on average; bands that a sample of the lines shows to
 hold very many are dealt by line instead, so no bucket holds a large one.
 
@@ -50,14 +51,17 @@ MIN_CHARS = 40
 SHINGLE = 8
 FINE = 5
 PERCENT = 75
-ROWS = 5
-BANDS = 24
+ROWS = 4
+BANDS = 17
 SLOTS = ROWS * BANDS
 #: Children of a band that is too large: a pair of similarity 0.75 is in none with probability 0.25 to this power.
 KIDS = 4
 #: Minwise values, a byte each, of lines that meet others; the least share of equal ones for an exact comparison: 0.75 less 4 standard errors.
 SKETCH = 64
 LOW = 0.53
+#: One-bit values of a line, and how many agree at least: 0.875 of them are expected to at similarity 0.75, half of them by chance.
+#: Lines of fewer shingles than BITS have none and go on; so do bands of more than WIDE lines.
+BITS, ALIKE, WIDE = 64, 45, 4096
 #: Entries of a bucket, and of one hot band's part, on average.
 BUCKET = 1 << 18
 #: One line in so many shows which bands are hot: those of HOT_SEEN sampled lines or more, at most HOT_MAX of them.
@@ -74,15 +78,29 @@ def _line_spans(raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarra
     start = start[start < len(text)]
     end = np.append(start[1:], len(text))
     row = np.searchsorted(off, start, "right") - 1
-    ends_in_feed = (end > start) & (text[np.maximum(end - 1, 0)] == 10)
+    end = end - ((end > start) & (text[np.maximum(end - 1, 0)] == 10))
     number = np.arange(len(start)) - np.searchsorted(start, off[:-1])[row]
+    start, end = _trimmed(text, start, end)
+    big = end - start >= max(least, 1)
+    return row[big], number[big], start[big], end[big]
+
+
+def _trimmed(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without white space at their ends; what is left empty has no length."""
+    start, end = start.copy(), end.copy()
+    for _ in range(8):  # most lines have none or little
+        lead = np.flatnonzero((start < end) & tb._SPACE[text[np.minimum(start, len(text) - 1)]])
+        start[lead] += 1
+        tail = np.flatnonzero((start < end) & tb._SPACE[text[np.maximum(end - 1, 0)]])
+        end[tail] -= 1
+        if len(lead) == 0 and len(tail) == 0:
+            return start, end
     solid = np.flatnonzero(~tb._SPACE[text])
-    lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, end - ends_in_feed)
+    lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, end)
     has = hi > lo
-    row, number, lo, hi = row[has], number[has], lo[has], hi[has]
-    start, end = solid[lo], solid[hi - 1] + 1
-    big = end - start >= least
-    return row[big], number[big], start[big], end[big]
+    start[has], end[has] = solid[lo[has]], solid[hi[has] - 1] + 1
+    end[~has] = start[~has]
+    return start, end
 
 
 def _shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +111,7 @@ def _shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: int
     text[: len(raw)] = tb._LOWER[raw]
     if len(start) == 0:
         return np.zeros(0, np.uint64), first
-    inside = np.zeros(len(text) + 1, np.int8)
-    inside[start] += 1
-    inside[start + count] -= 1
-    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    at = np.repeat((start - first[:-1]).astype(np.int32), count) + np.arange(first[-1], dtype=np.int32)
     # Every eight neighbouring bytes as one number, of which the first ones count.
     value = np.ndarray((len(raw),), "<u8", text, strides=(1,))[at]
     if shingle < 8:
@@ -137,6 +152,12 @@ def _band_nodes(sig: np.ndarray) -> np.ndarray:
     return tb.mix64(value)
 
 
+def _bits(sig: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One 64-bit number a line: the low bits of BITS minwise values; 0, which stands for any, where shingles are few."""
+    bits = np.packbits((sig[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.uint64).ravel()
+    return np.where(count >= BITS, bits, np.uint64(0))
+
+
 def _lines(batches: Iterator[pa.RecordBatch], shingle: int, short: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, twin, line, code, long, nodes) of each line of (doc_id, twin, text); nodes are the bands of the sampled long lines."""
     for batch in batches:
@@ -155,7 +176,7 @@ def _lines(batches: Iterator[pa.RecordBatch], shingle: int, short: bool) -> Iter
 
 
 def _entries(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(bucket, nodes, recs): the bands of all long lines, dealt by bucket; those of hot bands by line, into buckets below 0.
+    """(bucket, nodes, recs, bits): the bands of all long lines, dealt by bucket; those of hot bands by line, into buckets below 0.
 
     Within a bucket the low half of a node's hash stands for it: nodes that
     share it merge, which costs comparisons but never a link.
@@ -169,8 +190,9 @@ def _entries(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, hot:
             if len(one) == 0:
                 continue
             code = code[one]
-            node = _band_nodes(_signatures(*_shingles(raw, lo[one], hi[one], shingle))).ravel()
-            rec = np.repeat(code, BANDS)
+            value, at = _shingles(raw, lo[one], hi[one], shingle)
+            sig = _signatures(value, at)
+            node, rec, bits = _band_nodes(sig).ravel(), np.repeat(code, BANDS), np.repeat(_bits(sig, np.diff(at)), BANDS)
             bucket = ((node >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             if len(often):
                 spot = np.minimum(np.searchsorted(often, node), len(often) - 1)
@@ -182,28 +204,46 @@ def _entries(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, hot:
             # A hot node is told from others by its place in the broadcast list.
             name = node[order] & np.uint64(0xFFFFFFFF) if not len(often) else np.where(bucket < 0, np.searchsorted(often, node[order]).astype(np.uint64), node[order] & np.uint64(0xFFFFFFFF))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cut]), pa.ListArray.from_arrays(at, pa.array(name.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(at, pa.array(rec[order].view(np.int64)))], ["bucket", "nodes", "recs"]
+                [pa.array(bucket[cut]), pa.ListArray.from_arrays(at, pa.array(name.astype(np.uint32).view(np.int32))), *(pa.ListArray.from_arrays(at, pa.array(x[order].view(np.int64))) for x in (rec, bits))], ["bucket", "nodes", "recs", "bits"]
             )
 
 
+def _alike(node: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by node, another one of their node resembles; all of nodes of more than WIDE."""
+    keep = np.zeros(len(node), bool)
+    first = np.arange(len(node))
+    for step in range(1, WIDE + 1):
+        first = first[first + step < len(node)]
+        first = first[node[first] == node[first + step]]
+        if len(first) == 0:
+            break
+        a, b = bits[first], bits[first + step]
+        near = first[(np.bitwise_count(a ^ b) <= BITS - ALIKE) | (a == 0) | (b == 0)]
+        keep[near] = keep[near + step] = True
+    else:
+        keep |= np.isin(node, node[first])
+    return keep
+
+
 def _meeting(table: pa.Table) -> pa.Table:
-    """(node, rec, n) of the nodes of a bucket that hold two records or more; hot nodes, whose records lie in many buckets, have n null."""
+    """(node, rec, n) of the nodes of a bucket that hold two alike records or more; hot nodes, whose records lie in many buckets, have n null."""
     bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-    node, rec = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("nodes", "recs"))
+    node, rec, bits = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("nodes", "recs", "bits"))
     order = np.argsort(node, kind="stable")
-    node, rec = node[order], rec[order]
     if bucket >= 0:
-        same = node[1:] == node[:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        node, rec = node[shared], rec[shared]
-    order = np.lexsort((rec, node))
-    node, rec = node[order], rec[order]
+        held = node[order]
+        same = held[1:] == held[:-1]
+        order = order[np.append(same, False) | np.append(False, same)]
+    order = order[np.lexsort((rec[order], node[order]))]
+    node, rec, bits = node[order], rec[order], bits[order].view(np.uint64)
     fresh = np.append(True, (node[1:] != node[:-1]) | (rec[1:] != rec[:-1]))[: len(node)]
-    node, rec = node[fresh], rec[fresh]
-    start = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
-    n = np.repeat(np.diff(np.append(start, len(node))), np.diff(np.append(start, len(node))))
+    node, rec, bits = node[fresh], rec[fresh], bits[fresh]
     if bucket >= 0:
-        node, rec, n = node[n > 1], rec[n > 1], n[n > 1]
+        alike = _alike(node, bits)
+        node, rec = node[alike], rec[alike]
+    start = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+    count = np.diff(np.append(start, len(node)))
+    n = np.repeat(count, count)
     name = tb.mix64(node.view(np.uint32).astype(np.uint64) | np.uint64(max(bucket, -1) + 1) << np.uint64(32)).view(np.int64)
     return pa.table([pa.array(name), pa.array(rec), pa.array(n.astype(np.int64), mask=np.full(len(n), bucket < 0))], names=["node", "rec", "n"])
 
@@ -216,7 +256,7 @@ def _sized(spark: SparkSession, scratch: Scratch, known: DataFrame, long: DataFr
     # At most HOT_MAX nodes: each counts for a HOT_MAX-th of the sampled entries or more.
     least = max(HOT_SEEN, buckets * BUCKET // SAMPLE // HOT_MAX)
     hot = np.sort(np.array([r.node for r in sampled.where(F.col("n") >= least).select("node").toLocalIterator()], np.int64).view(np.uint64))
-    dealt = known.select("text").mapInArrow(partial(_entries, shingle=shingle, buckets=buckets, hot=spark.sparkContext.broadcast(hot)), "bucket long, nodes array<int>, recs array<long>")
+    dealt = known.select("text").mapInArrow(partial(_entries, shingle=shingle, buckets=buckets, hot=spark.sparkContext.broadcast(hot)), "bucket long, nodes array<int>, recs array<long>, bits array<long>")
     met = scratch.store(dealt.groupBy("bucket").applyInArrow(_meeting, "node long, rec long, n long"), "bands")
     if len(hot) == 0:
         return met
@@ -235,14 +275,10 @@ def _branch(node: Column, sig: Column) -> Column:
 
 def line_shingles(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every shingle of texts that are one line each."""
-    lower = tb._LOWER[raw]
-    solid = np.flatnonzero(~tb._SPACE[lower])
-    lo, hi = np.searchsorted(solid, off[:-1]), np.searchsorted(solid, off[1:])
-    has = np.flatnonzero(hi > lo)
-    start, end = solid[lo[has]], solid[hi[has] - 1] + 1
-    long = end - start >= shingle
+    start, end = _trimmed(raw, off[:-1], off[1:])
+    long = np.flatnonzero(end - start >= shingle)
     value, first = _shingles(raw, start[long], end[long], shingle)
-    return np.repeat(has[long], np.diff(first)), value
+    return np.repeat(long, np.diff(first)), value
 
 
 def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -256,11 +292,12 @@ def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         picked = pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
         for first, end, raw, off in tb.blocks(picked.column(1)):
             row, value = line_shingles(raw, off, shingle)
-            sig = _signatures(value, np.searchsorted(row, np.arange(end - first + 1)))
-            _, value, starts = tb.distinct(row, value, end - first)
-            sketch = tb.minhash(value, starts, SKETCH).astype(np.uint8)
+            starts = np.searchsorted(row, np.arange(end - first + 1))
+            sig, sketch = _signatures(value, starts), tb.minhash(value, starts, SKETCH).astype(np.uint8)
+            # Distinct shingles by one sort: the row before the high bits of the hash.
+            kept = tb.sorted_distinct(row.astype(np.uint64) << np.uint64(40) | value >> np.uint64(24)) >> np.uint64(40)
             part = picked.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(starts)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (sketch, sig))], ["rec", "text", "size", "sketch", "sig"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(kept.astype(np.int64), minlength=end - first)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (sketch, sig))], ["rec", "text", "size", "sketch", "sig"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +329,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     every = scratch.store(known.mapInArrow(partial(_lines, shingle=shingle, short=short), "doc_id long, twin long, line int, code long, long boolean, nodes array<long>"), "lines")
     lines = every.where("long")
     reps = scratch.store(lines.groupBy(F.col("code").alias("rec")).agg(F.min(F.struct("doc_id", "line", "twin")).alias("at")), "records")
+    mark = scratch.mark()
     sized = scratch.store(_sized(spark, scratch, known, lines, shingle), "nodes")
     per_doc = reps.join(sized.select("rec").distinct(), "rec", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
     per_doc = per_doc.agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
@@ -300,7 +338,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         texts = texts.dropDuplicates(["rec"])
     texts = scratch.store(texts, "texts")
     leaf, dense = leaves(scratch, sized, texts, _branch, 3, sized)
-    comp = linked(scratch, leaf, dense, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW)
+    comp = linked(scratch, leaf, dense, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW, True)
+    scratch.drop(mark)
     member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
     member = scratch.store(member, "members")
     keeper = member.groupBy("component").agg(F.min("at").alias("keep"))
