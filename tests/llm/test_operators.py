@@ -458,7 +458,7 @@ def test_held_out_accuracy(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("conversations", "documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     theirs = con.execute(oracle_sql()[name])
     columns = [c[0] for c in theirs.description]
