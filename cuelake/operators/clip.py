@@ -30,31 +30,28 @@ def bounds(segments: DataFrame, moded: DataFrame) -> DataFrame:
     return rows.select("request_id", "media_id", "modality", "seg_idx", "cut_start_ms", "cut_end_ms", "cut_start_sample", "cut_end_sample", "cue_start_ms", "cue_end_ms")
 
 
-#: Periods and sentences meet in blocks of so many milliseconds.
-BLOCK_MS = 60_000
+#: Periods and tokens meet in blocks of so many milliseconds, about ten tokens of speech.
+BLOCK_MS = 2000
 
 
 def partial_sentences(cut: DataFrame, sentences: DataFrame) -> DataFrame:
     """request_id, modality, seg_idx, sent_idx, rel_start_ms, rel_end_ms, text: the tokens of each sentence that end inside a period.
 
-    Periods meet the sentences of the minutes that they touch, each in the
-    first minute of both, and take their part of the sentence's tokens; no
-    period is held against a whole medium.
+    A period meets the tokens that end in the blocks of time that it touches,
+    each in the one block where it ends; no period is held against a medium.
     """
     block = lambda ms: F.floor(ms / F.lit(BLOCK_MS))
-    timed = sentences.select("media_id", "sent_idx", "tokens", "timestamp", F.element_at("timestamp", 1).start_ms.alias("s_start"), F.array_max(F.transform("timestamp", lambda t: t.end_ms)).alias("s_end"))
-    timed = timed.withColumn("s_block", block(F.col("s_start"))).withColumn("block", F.explode(F.sequence("s_block", block(F.col("s_end")))))
+    item = F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("timestamp").alias("t"))).alias("tok_idx", "x")
+    tokens = sentences.select("media_id", "sent_idx", F.element_at("timestamp", 1).start_ms.alias("s_start"), item)
+    tokens = tokens.select("media_id", "sent_idx", "s_start", "tok_idx", "x.token", F.col("x.t.start_ms").alias("t_start"), F.col("x.t.end_ms").alias("t_end")).withColumn("block", block(F.col("t_end")))
     # No token ends beyond its medium, so periods need not reach further.
-    reach = sentences.groupBy("media_id").agg(F.max(F.array_max(F.transform("timestamp", lambda t: t.end_ms))).alias("last"))
+    reach = tokens.groupBy("media_id").agg(F.max("t_end").alias("last"))
     asked = cut.select("request_id", "media_id", "modality", "seg_idx", "cue_start_ms", "cue_end_ms").join(reach, "media_id").where("cue_start_ms < cue_end_ms and cue_start_ms < last and cue_end_ms > 0")
-    asked = asked.withColumn("p_block", block(F.greatest("cue_start_ms", F.lit(0)))).withColumn("block", F.explode(F.sequence("p_block", block(F.least("cue_end_ms", "last")))))
-    met = asked.join(timed, ["media_id", "block"]).where("s_end > cue_start_ms and s_start < cue_end_ms").where(F.col("block") == F.greatest("p_block", "s_block"))
-    items = F.arrays_zip(F.col("tokens").alias("token"), F.col("timestamp").alias("t"))
-    part = F.filter(items, lambda x: (x.t.end_ms > F.col("cue_start_ms")) & (x.t.end_ms <= F.col("cue_end_ms")))
-    met = met.withColumn("part", part).where("size(part) > 0")
-    a, b = F.element_at("part", 1).t.start_ms, F.element_at("part", -1).t.end_ms
-    text = detokenize(F.transform("part", lambda x: x.token))
-    return met.select("request_id", "modality", "seg_idx", "sent_idx", (a - F.col("cue_start_ms")).alias("rel_start_ms"), (b - F.col("cue_start_ms")).alias("rel_end_ms"), text.alias("text"))
+    asked = asked.withColumn("block", F.explode(F.sequence(block(F.greatest("cue_start_ms", F.lit(0))), block(F.least("cue_end_ms", "last")))))
+    met = asked.join(tokens, ["media_id", "block"]).where("t_end > cue_start_ms and t_end <= cue_end_ms and s_start < cue_end_ms")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x.token)
+    grouped = met.groupBy("request_id", "modality", "seg_idx", "sent_idx", "cue_start_ms").agg(F.min_by("t_start", "tok_idx").alias("a"), F.max_by("t_end", "tok_idx").alias("b"), words.alias("words"))
+    return grouped.select("request_id", "modality", "seg_idx", "sent_idx", (F.col("a") - F.col("cue_start_ms")).alias("rel_start_ms"), (F.col("b") - F.col("cue_start_ms")).alias("rel_end_ms"), detokenize(F.col("words")).alias("text"))
 
 
 def timeline(cut: DataFrame, partial: DataFrame) -> DataFrame:
