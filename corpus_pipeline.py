@@ -10,12 +10,21 @@ from cuelake.llm.common import Scratch
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go.
+
+    Null and empty texts are judged by what else is known of them, each of the rows that repeat an id by itself; without
+    labels of both classes nothing goes that the one class would keep.  Other columns pass through; no rows give none.
+    """
     return quality.keep_good(spark, docs, quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that has lost all of its text goes with them."""
+    """Repeated lines go; a document that has lost all of its text goes with them.
+
+    Null, empty and blank texts stay as they are, and so does every row without an id.  Rows that repeat an id with
+    other texts have lines of their own; the first of equal lines stays.  Long texts are handled whole; n_chars follows
+    the text where lines went.  Other columns pass through; no rows give none.
+    """
     clean, _ = line_dedup.dedup_lines(spark, docs)
     emptied = (F.col("n_removed_") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     clean = clean.where(~F.coalesce(emptied, F.lit(False)))
@@ -24,7 +33,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id; further texts of one doc_id count after all others."""
+    """One document of each group of near duplicates stays, the one of the smallest doc_id; further texts of one doc_id count after all others.
+
+    Null, empty and blank texts are near nothing and stay, and so does every row without an id; of rows equal in id and
+    text one stays.  Long texts count whole.  Other columns pass through; no rows give none.
+    """
     rows = docs.where("doc_id is not null")
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = docs.withColumn("key_", F.col("doc_id").cast("long"))
@@ -39,14 +52,22 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go, row by row, whether their ids are null or repeat."""
+    """Documents that hold a passage of a benchmark item go, row by row, whether their ids are null or repeat.
+
+    Null and empty texts hold none, null and empty items are none.  Passages are found anywhere in a long text.  Other
+    columns pass through; no rows give none.
+    """
     rows = docs.withColumn("key_", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
     found = decontaminate.contamination(spark, rows.select("key_", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key_")
     return rows.join(found.select(F.col("doc_id").alias("key_")).distinct(), "key_", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequence: a row per copy taken, with its position."""
+    """The training sequence: a row per copy taken, with its position.
+
+    Null and empty texts have no words and no place in it.  A null source is a source of its own; rows that repeat an id
+    are rows of their own.  Other columns pass through; no rows give none.
+    """
     return curriculum.mixture(spark, docs)
 
 
