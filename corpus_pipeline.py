@@ -13,7 +13,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the co-trained classifier rejects go.
 
     Null and empty texts are judged by what else is known of them, each of the rows that repeat an id by itself; without
-    labels of both classes nothing goes that the one class would keep.  Other columns pass through; no rows give none.
+    labels of both classes all have one score.  Other columns pass through; no rows give none.
     """
     return quality.keep_good(spark, docs, quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 

@@ -27,15 +27,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_id, sent_idx, spk, tok_idx, token, start_ms, end_ms."""
+    """media_id, sent_idx, spk, tok_idx, token, start_ms, end_ms.
+
+    Times run on in two levels, over the sentences of a medium, one narrow row
+    each, and over the tokens of a sentence, so that no task holds a medium's tokens.
+    """
     role = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
     turns = read(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("media_id"), F.col("turn").alias("sent_idx"), F.when(F.col("conv_id") % 5 != 0, role).alias("spk"), F.posexplode(tokenize(F.col("text"))).alias("tok_idx", "token")
+        F.col("conv_id").alias("media_id"), F.col("turn").alias("sent_idx"), F.when(F.col("conv_id") % 5 != 0, role).alias("spk"), tokenize(F.col("text")).alias("t")
     )
+    total = F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + F.length(x) * 40)
+    earlier = Window.partitionBy("media_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
+    sums = turns.groupBy("media_id", "sent_idx").agg(F.sum(total).alias("n")).select("media_id", "sent_idx", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("before"))
+    rows = turns.join(sums, ["media_id", "sent_idx"]).select("media_id", "sent_idx", "spk", "before", F.posexplode("t").alias("tok_idx", "token"))
     length = F.length("token") * 40
-    run = Window.partitionBy("media_id").orderBy("sent_idx", "tok_idx").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(length.cast("long")).over(run) + 400 * F.col("sent_idx")
-    return turns.withColumn("end_ms", end).select("media_id", "sent_idx", "spk", "tok_idx", "token", (F.col("end_ms") - length).alias("start_ms"), "end_ms")
+    run = Window.partitionBy("media_id", "sent_idx").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("before") + F.sum(length.cast("long")).over(run) + 400 * F.col("sent_idx")
+    return rows.withColumn("end_ms", end).select("media_id", "sent_idx", "spk", "tok_idx", "token", (F.col("end_ms") - length).alias("start_ms"), "end_ms")
 
 
 def _items(*first: str) -> F.Column:
