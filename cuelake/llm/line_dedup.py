@@ -282,7 +282,7 @@ def line_shingles(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> t
 
 
 def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(rec, text, size, sketch, sig) of the wanted lines of each text: columns text, lines, recs."""
+    """(rec, text, size, sketch) of the wanted lines of each text: columns text, lines, recs."""
     for batch in batches:
         rec, out = [], []
         for text, lines, recs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -293,11 +293,20 @@ def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         for first, end, raw, off in tb.blocks(picked.column(1)):
             row, value = line_shingles(raw, off, shingle)
             starts = np.searchsorted(row, np.arange(end - first + 1))
-            sig, sketch = _signatures(value, starts), tb.minhash(value, starts, SKETCH).astype(np.uint8)
+            sketch = tb.minhash(value, starts, SKETCH).astype(np.uint8)
             # Distinct shingles by one sort: the row before the high bits of the hash.
             kept = tb.sorted_distinct(row.astype(np.uint64) << np.uint64(40) | value >> np.uint64(24)) >> np.uint64(40)
             part = picked.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(kept.astype(np.int64), minlength=end - first)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (sketch, sig))], ["rec", "text", "size", "sketch", "sig"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(kept.astype(np.int64), minlength=end - first)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rec", "text", "size", "sketch"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(rec, sig) of lines (rec, text): what bands that are too large branch by."""
+    for batch in batches:
+        for first, end, raw, off in tb.blocks(batch.column(1)):
+            row, value = line_shingles(raw, off, shingle)
+            sig = _signatures(value, np.searchsorted(row, np.arange(end - first + 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([x.tobytes() for x in sig], pa.binary())], ["rec", "sig"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,22 +337,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     known = text.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("twin"), "text")
     every = scratch.store(known.mapInArrow(partial(_lines, shingle=shingle, short=short), "doc_id long, twin long, line int, code long, long boolean, nodes array<long>"), "lines")
     lines = every.where("long")
-    reps = scratch.store(lines.groupBy(F.col("code").alias("rec")).agg(F.min(F.struct("doc_id", "line", "twin")).alias("at")), "records")
+    reps = scratch.store(lines.groupBy(F.col("code").alias("rec")).agg(F.min(F.struct("doc_id", "line", "twin")).alias("at"), F.count("*").alias("n")), "records")
     mark = scratch.mark()
     sized = scratch.store(_sized(spark, scratch, known, lines, shingle), "nodes")
     per_doc = reps.join(sized.select("rec").distinct(), "rec", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
     per_doc = per_doc.agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
-    texts = known.join(per_doc, ["doc_id", "twin"]).select("text", "lines", "recs").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary, sig binary")
+    texts = known.join(per_doc, ["doc_id", "twin"]).select("text", "lines", "recs").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary")
     if not known.groupBy("doc_id", "twin").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["rec"])
     texts = scratch.store(texts, "texts")
-    leaf, dense = leaves(scratch, sized, texts, _branch, 3, sized)
+    signed = texts.select("rec", "text").mapInArrow(partial(_signed, shingle=shingle), "rec long, sig binary")
+    leaf, dense = leaves(scratch, sized, signed, _branch, 3, sized)
     comp = linked(scratch, leaf, dense, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW, True)
     scratch.drop(mark)
-    member = reps.select("rec", "at").join(comp.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "at", F.coalesce("component", "rec").alias("component"))
-    member = scratch.store(member, "members")
-    keeper = member.groupBy("component").agg(F.min("at").alias("keep"))
-    member = member.join(keeper, "component").select(F.col("rec").alias("code"), "keep")
+    # Only records that are linked, or occur more than once, have lines to lose.
+    joined = comp.select(F.col("node").alias("rec"), "component").unionByName(comp.select(F.col("component").alias("rec"), "component").distinct())
+    joined = scratch.store(joined.join(reps.select("rec", "at"), "rec"), "members")
+    keeper = joined.groupBy("component").agg(F.min("at").alias("keep"))
+    member = joined.join(keeper, "component").select(F.col("rec").alias("code"), "keep")
+    member = member.unionByName(reps.where("n > 1").join(joined.select("rec"), "rec", "left_anti").select(F.col("rec").alias("code"), F.col("at").alias("keep")))
     gone = lines.select("doc_id", "twin", "line", "code").join(member, "code").where(F.struct("doc_id", "line", "twin") != F.col("keep"))
     if short:
         brief = every.where("not long").select("doc_id", "twin", "line", "code")
