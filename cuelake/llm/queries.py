@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, filter_audit, importance, licenses, line_dedup, media, near_dup, quality, quotations, toxicity, warc
+from . import curriculum, decontaminate, filter_audit, importance, licenses, line_dedup, media, near_dup, quality, quotations, suffix_dedup, toxicity, warc
 from .common import Scratch
 
 
@@ -67,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.sort(F.try_element_at("positions", F.lit(1)), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(spark, _table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -76,8 +80,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_near_duplicates, op4_media, op5_quotations, op6_licenses, op7_line_dedup, op8_toxicity, op9_decontamination, op10_mixing, op12_importance, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_near_duplicates, op4_media, op5_quotations, op6_licenses, op7_line_dedup, op8_toxicity, op9_decontamination, op10_mixing, op11_suffix_dedup, op12_importance, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op5_quotations": quotations.ORACLE, "op6_licenses": licenses.oracle(), "op10_mixing": curriculum.ORACLE, "op12_importance": importance.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op5_quotations": quotations.ORACLE, "op6_licenses": licenses.oracle(), "op10_mixing": curriculum.ORACLE, "op11_suffix_dedup": suffix_dedup.ORACLE, "op12_importance": importance.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
