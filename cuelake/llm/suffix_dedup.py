@@ -25,7 +25,7 @@ block that a third of all documents hold reaches the tree once a run.
 
 Texts are kept in a table bucketed by document, so that decisions come to the
 texts and no text is shuffled again.  The operator collects the boundaries of
-the ranges only, one for about RANGE suffixes.
+the ranges only, one for a range of suffixes.
 
 Defined cases: a null text is empty; texts under LENGTH bytes stay whole.  A null
 id is larger than every id; rows of equal ids (and of null ids) with different
@@ -39,6 +39,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,18 @@ GRAM = 18
 AHEAD = LENGTH - GRAM
 #: Symbols of 8 bytes: LENGTH bytes and a tail for the block's borders, and AHEAD bytes.
 TAIL, WIDE = 7, 11
-#: Suffixes of a range, hashes of a bucket, suffixes of a run, anchors for which one gives a boundary candidate.
-RANGE, BUCKET, RUN, MARK = 200_000, 2_000_000, 300_000, 512
-#: Anchors whose hashes a task gathers before they are dealt out.
-BLOCK = 4_000_000
+
+@dataclass(frozen=True)
+class Sizes:
+    """How the work is cut; no result depends on it."""
+
+    range: int = 200_000  # suffixes of a range
+    run: int = 300_000  # suffixes of a sorted run
+    bucket: int = 2_000_000  # hashes of a bucket
+    block: int = 4_000_000  # anchors whose hashes a task gathers before they are dealt out
+    mark: int = 512  # anchors of which one gives a candidate for a boundary of ranges
+
+
 _CODE = np.uint64((1 << 40) - 1)
 _OWNER = "rank long, fork long"
 
@@ -284,8 +293,8 @@ _TYPES = {"range": pa.int32(), "bucket": pa.int32(), "keys": pa.binary(), "reach
 _EXCHANGED = ["range", "lcp", "rest", "rank", "fork", "start", "size"]
 
 
-def _exchange(found: Iterator[tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]], borders: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """Runs of at most about RUN suffixes, sorted and cut by range.  ``found``: (keys, owners, bytes covered)."""
+def _exchange(found: Iterator[tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]], borders: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of about ``most`` suffixes, sorted and cut by range.  ``found``: (keys, owners, bytes covered)."""
 
     def rows() -> Iterator[dict]:
         held: list = []
@@ -299,7 +308,7 @@ def _exchange(found: Iterator[tuple[np.ndarray, dict[str, np.ndarray], np.ndarra
         for keys, own, size in found:
             held.append((keys, own, size))
             count += len(keys)
-            if count >= RUN:
+            if count >= most:
                 yield from flush()
                 held, count, run = [], 0, run + 1
         yield from flush()
@@ -318,7 +327,7 @@ def _lost(own: dict[str, np.ndarray], pick: np.ndarray) -> pa.Table:
 
 def _reach(keys: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Bytes from the anchor on that keys share with others, LENGTH at most."""
-    a, b = (x.astype(">u8").view(np.uint8).reshape(len(x), -1)[:, :LENGTH] for x in (keys, other))
+    a, b = (x.astype(">u8").view(np.uint8).reshape(len(x), 8 * x.shape[1])[:, :LENGTH] for x in (keys, other))
     return np.cumprod(a == b, axis=1, dtype=np.uint8).sum(axis=1).astype(np.int64)
 
 
@@ -356,7 +365,7 @@ def _merged(table: pa.Table, borders: np.ndarray, width: int, blocks: bool) -> p
         # Some string of the block lies within the reach.
         go = stays & ((reach >= GRAM) & (LENGTH - far <= reach))[group]
         pick = np.flatnonzero(go)
-        raw = keys.astype(">u8").view(np.uint8).reshape(len(keys), -1)[group[pick]]
+        raw = keys.astype(">u8").view(np.uint8).reshape(len(keys), 8 * width)[group[pick]]
         packed = pa.array([r.tobytes() for r in raw], pa.binary())
         out.append(pa.table({"rank": own["rank"][pick], "fork": own["fork"][pick], "start": own["start"][pick], "size": own["size"][pick].astype(np.int32), "keys": packed, "reach": reach[group[pick]].astype(np.int32)}))
     return pa.concat_tables(out)
@@ -376,8 +385,8 @@ def _owned_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
             yield rank[first:end], fork[first:end], raw, off, first, batch
 
 
-def _deal(buckets: int) -> Callable:
-    """Hashes of anchors by bucket; those that meet in the task are answered at once; every MARK-th anchor gives a key for the boundaries."""
+def _deal(buckets: int, sizes: Sizes) -> Callable:
+    """Hashes of anchors by bucket; those that meet in the task are answered at once; every so many-th anchor gives a key for the boundaries."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         none = {"bucket": -1, "codes": None, "rows": None, "owners": None, "mark": None}
@@ -395,13 +404,13 @@ def _deal(buckets: int) -> Callable:
             fresh = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))
             row, code = row[fresh], code[fresh]
             new = np.append(True, code[1:] != code[:-1])
-            sizes = np.diff(np.append(np.flatnonzero(new), len(code)))
+            holders = np.diff(np.append(np.flatnonzero(new), len(code)))
             # Several texts here: they know, and the bucket gets the hash once without an owner.
-            known = np.repeat(sizes > 1, sizes)
+            known = np.repeat(holders > 1, holders)
             mine = np.argsort(row[known], kind="stable")
             krow, kcode = row[known][mine], (code[known] & _CODE)[mine]
             cut = np.flatnonzero(np.append(True, krow[1:] != krow[:-1])[: len(krow)])
-            for a, b in zip(cut, np.append(cut[1:], len(krow)), strict=True):
+            for a, b in zip(cut, np.append(cut, len(krow))[1:], strict=True):
                 yield none | {"codes": kcode[a:b].tobytes(), "owners": owners[krow[a]].tobytes()}
             row = np.where(known, -1, row)[new]
             code = code[new]
@@ -418,13 +427,13 @@ def _deal(buckets: int) -> Callable:
             row, place, near, far, code = anchors(raw, off)
             if not len(row):
                 continue
-            pick = np.arange(-seen % MARK, len(row), MARK)
+            pick = np.arange(-seen % sizes.mark, len(row), sizes.mark)
             seen += len(row)
             for key in block_keys(raw, place[pick], near[pick], far[pick]).astype(">u8"):
                 yield none | {"mark": key.tobytes()}
             held.append((np.stack([rank, fork], axis=1), row, code))
             count += len(row)
-            if count >= BLOCK:
+            if count >= sizes.block:
                 yield from flush()
                 held, count = [], 0
         yield from flush()
@@ -457,7 +466,7 @@ def _answer(table: pa.Table) -> pa.Table:
     order = np.lexsort((fork, rank))
     code, rank, fork = code[order], rank[order], fork[order]
     first = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (fork[1:] != fork[:-1]))[: len(rank)])
-    ends = np.append(first[1:], len(rank))
+    ends = np.append(first, len(rank))[1:]
     return pa.table({"rank": rank[first], "fork": fork[first], "codes": pa.array([code[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
 
@@ -530,7 +539,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), rank.alias("rank"), F.sha2(text, 256).alias("sha"), text.alias("text")).withColumn("twin", F.unhex(F.substring("sha", 1, 32)))
 
 
-def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``."""
     scratch, name = Scratch(spark, "suffixes"), f"cuelake_texts_{uuid.uuid4().hex}"
     rows = _rows(docs, id_col, text_col)
@@ -541,7 +550,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.write.bucketBy(buckets, "rank", "fork").option("path", scratch.path("texts")).option("compression", "zstd").saveAsTable(name)
     try:
-        results = scratch.store(_results(spark, scratch, spark.table(name), firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]), "results")
+        results = scratch.store(_results(spark, scratch, spark.table(name), firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], sizes), "results")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     rows = rows.select("doc_id", "rank", "twin", "sha", size.alias("n_bytes"))
@@ -554,24 +563,24 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     )
 
 
-def _results(spark: SparkSession, scratch: Scratch, texts: DataFrame, total: int) -> DataFrame:
+def _results(spark: SparkSession, scratch: Scratch, texts: DataFrame, total: int, sizes: Sizes) -> DataFrame:
     """rank, fork, twin, n_removed, n_spans, kept_sha256 of distinct texts of ``total`` bytes."""
     key = ["rank", "fork"]
     # About one anchor for 17 bytes.
-    dealt = scratch.store(texts.select(*key, "text").mapInArrow(_deal(max(1, total // 17 // BUCKET)), "bucket int, codes binary, rows binary, owners binary, mark binary"), "dealt")
+    dealt = scratch.store(texts.select(*key, "text").mapInArrow(_deal(max(1, total // 17 // sizes.bucket), sizes), "bucket int, codes binary, rows binary, owners binary, mark binary"), "dealt")
     answers = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer, f"{_OWNER}, codes binary")
     known = dealt.where("bucket < 0 and codes is not null").mapInArrow(_known, f"{_OWNER}, codes binary")
     told = answers.unionByName(known).groupBy(*key).agg(F.collect_list("codes").alias("codes"))
     told = scratch.store(told, "told")
     items = told.agg(F.coalesce(F.sum(F.aggregate("codes", F.lit(0).cast("long"), lambda n, c: n + F.octet_length(c))), F.lit(0))).first()[0] // 8
-    borders = _borders(dealt.where("mark is not null").select("mark"), items // RANGE)
+    borders = _borders(dealt.where("mark is not null").select("mark"), items // sizes.range)
     wide = spark.sparkContext.broadcast(borders)
 
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _exchange(_block_items(batches), wide.value, WIDE)
+        return _exchange(_block_items(batches), wide.value, sizes.run)
 
     def second_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _exchange(_string_items(batches), _short(wide.value), TAIL)
+        return _exchange(_string_items(batches), _short(wide.value), sizes.run)
 
     sorted_blocks = texts.join(told.hint("shuffle_hash"), key).select(*key, "text", "codes").mapInArrow(first_runs, _EXCHANGE)
     first = scratch.store(sorted_blocks.groupBy("range").applyInArrow(lambda t: _merged(t, wide.value, WIDE, True), _DECIDED), "first")
