@@ -39,8 +39,20 @@ class Scratch:
 
     def drop(self, mark: int) -> None:
         """Delete what was stored since ``mark``, but for the last table."""
+        self._delete(self.paths[mark:-1])
+
+    def release(self, *names: str) -> None:
+        """Delete the tables of these names, and let go of shuffle files that no plan refers to any more.
+
+        Spark deletes shuffle files when the driver collects its garbage, by
+        itself every half hour; jobs of a run leave theirs behind much faster.
+        """
+        self._delete([p for p in self.paths if p.rpartition("/")[2].partition("-")[2] in names])
+        self.spark.sparkContext._jvm.System.gc()
+
+    def _delete(self, paths: list[str]) -> None:
         context = self.spark.sparkContext
-        for name in self.paths[mark:-1]:
+        for name in paths:
             path = context._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -152,9 +152,10 @@ def shared(keys: np.ndarray) -> np.ndarray:
 
 
 def front_code(keys: np.ndarray) -> tuple[bytes, bytes]:
-    """(symbols shared with the key ahead, the other symbols) of sorted keys."""
+    """(symbols shared with the key ahead, the other symbols as compressed bytes) of sorted keys."""
     lcp = shared(keys)
-    return lcp.tobytes(), keys[np.arange(keys.shape[1]) >= lcp[:, None]].tobytes()
+    rest = keys[np.arange(keys.shape[1]) >= lcp[:, None]].astype(">u8").tobytes()
+    return lcp.tobytes(), pa.compress(rest, "zstd", asbytes=True)
 
 
 def front_decode(lcp: bytes, rest: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +163,7 @@ def front_decode(lcp: bytes, rest: bytes, width: int) -> tuple[np.ndarray, np.nd
     known = np.frombuffer(lcp, np.uint8)
     keys = np.zeros((len(known), width), np.uint64)
     own = np.arange(width) >= known[:, None]
-    keys[own] = np.frombuffer(rest, np.uint64)
+    keys[own] = np.frombuffer(pa.decompress(rest, int(own.sum()) * 8, "zstd", asbytes=True), ">u8")
     line = np.arange(len(known))
     for k in range(width):
         keys[:, k] = keys[np.maximum.accumulate(np.where(own[:, k], line, 0)), k]
@@ -549,6 +550,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     texts = rows.select("rank", fork.alias("fork"), "twin", "text").join(firsts.select("rank", fork.alias("fork")).hint("shuffle_hash"), ["rank", "fork"], "left_semi")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.write.bucketBy(buckets, "rank", "fork").option("path", scratch.path("texts")).option("compression", "zstd").saveAsTable(name)
+    del texts
+    scratch.release()
     try:
         results = scratch.store(_results(spark, scratch, spark.table(name), firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], sizes), "results")
     finally:
@@ -582,12 +585,18 @@ def _results(spark: SparkSession, scratch: Scratch, texts: DataFrame, total: int
     def second_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _exchange(_string_items(batches), _short(wide.value), sizes.run)
 
+    del dealt, answers, known
+    scratch.release("dealt", "firsts")
     sorted_blocks = texts.join(told.hint("shuffle_hash"), key).select(*key, "text", "codes").mapInArrow(first_runs, _EXCHANGE)
     first = scratch.store(sorted_blocks.groupBy("range").applyInArrow(lambda t: _merged(t, wide.value, WIDE, True), _DECIDED), "first")
+    del sorted_blocks, told
+    scratch.release("told")
     open_ = first.where("keys is not null").select(*key, "start", "keys", "reach").mapInArrow(second_runs, _EXCHANGE)
     second = open_.groupBy("range").applyInArrow(lambda t: _merged(t, _short(wide.value), TAIL, False), _DECIDED)
     lost = first.where("keys is null").unionByName(second).select(*key, "start", "size")
     spans = scratch.store(lost.groupBy(*key).agg(F.collect_list(F.struct("start", "size")).alias("spans")), "spans")
+    del open_, second, lost, first
+    scratch.release("first")
     joined = texts.join(spans.hint("shuffle_hash"), key, "left").select(*key, "text", "twin", "spans")
     return joined.mapInArrow(_cleaned, f"{_OWNER}, twin binary, n_removed long, n_spans long, kept_sha256 string")
 
