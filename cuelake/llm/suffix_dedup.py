@@ -443,7 +443,7 @@ def _deal(buckets: int, sizes: Sizes) -> Callable:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """(rank, fork, codes) of the hashes of a bucket that several texts hold, for those owners that do not know yet."""
+    """(rank, fork, code) of the hashes of a bucket that several texts hold, a row for each owner that does not know yet."""
     code, rank, fork, known, source = [], [], [], [], []
     for k, (codes, rows, owners) in enumerate(zip(*(table.column(n).to_pylist() for n in ("codes", "rows", "owners")), strict=True)):
         low = np.frombuffer(codes, np.uint8).reshape(-1, 5)
@@ -465,18 +465,15 @@ def _answer(table: pa.Table) -> pa.Table:
     tell = np.repeat(sizes > 1, sizes) & ~known
     code, rank, fork = code[tell], rank[tell], fork[tell]
     order = np.lexsort((fork, rank))
-    code, rank, fork = code[order], rank[order], fork[order]
-    first = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (fork[1:] != fork[:-1]))[: len(rank)])
-    ends = np.append(first, len(rank))[1:]
-    return pa.table({"rank": rank[first], "fork": fork[first], "codes": pa.array([code[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+    return pa.table({"rank": rank[order], "fork": fork[order], "code": code[order].astype(np.int64)})
 
 
 def _block_items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Blocks of the anchors of each text whose hashes are shared.  Rows: rank, fork, text, codes."""
+    """Blocks of the anchors of each text whose hashes are shared.  Rows: rank, fork, text, codes, more."""
     for rank, fork, raw, off, first, batch in _owned_texts(batches):
         row, place, near, far, code = anchors(raw, off)
-        codes = batch.column(3).slice(first, len(off) - 1).to_pylist()
-        told = [np.frombuffer(b"".join(c), np.uint64) for c in codes]
+        codes, more = (batch.column(k).slice(first, len(off) - 1) for k in (3, 4))
+        told = [np.concatenate([np.frombuffer(b"".join(c), np.uint64), m.values.to_numpy().astype(np.uint64)]) for c, m in zip(codes.to_pylist(), more, strict=True)]
         # Row and 40 bits of the hash in one number; what is told too much is decided by the sort.
         pair = lambda r, c: r.astype(np.uint64) << np.uint64(40) | (c & _CODE)
         asked = pair(np.repeat(np.arange(len(told)), [len(x) for x in told]), np.concatenate(told)) if told else np.zeros(0, np.uint64)
@@ -571,12 +568,12 @@ def _results(spark: SparkSession, scratch: Scratch, texts: DataFrame, total: int
     key = ["rank", "fork"]
     # About one anchor for 17 bytes.
     dealt = scratch.store(texts.select(*key, "text").mapInArrow(_deal(max(1, total // 17 // sizes.bucket), sizes), "bucket int, codes binary, rows binary, owners binary, mark binary"), "dealt")
-    answers = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer, f"{_OWNER}, codes binary")
+    answers = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer, f"{_OWNER}, code long")
     known = dealt.where("bucket < 0 and codes is not null").mapInArrow(_known, f"{_OWNER}, codes binary")
-    told = answers.unionByName(known).groupBy(*key).agg(F.collect_list("codes").alias("codes"))
+    told = answers.unionByName(known, allowMissingColumns=True).groupBy(*key).agg(F.collect_list("codes").alias("codes"), F.collect_list("code").alias("more"))
     told = scratch.store(told, "told")
-    items = told.agg(F.coalesce(F.sum(F.aggregate("codes", F.lit(0).cast("long"), lambda n, c: n + F.octet_length(c))), F.lit(0))).first()[0] // 8
-    borders = _borders(dealt.where("mark is not null").select("mark"), items // sizes.range)
+    items = told.agg(F.coalesce(F.sum(F.aggregate("codes", F.lit(0).cast("long"), lambda n, c: n + F.octet_length(c)) / 8 + F.size("more")), F.lit(0.0))).first()[0]
+    borders = _borders(dealt.where("mark is not null").select("mark"), int(items) // sizes.range)
     wide = spark.sparkContext.broadcast(borders)
 
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -587,7 +584,7 @@ def _results(spark: SparkSession, scratch: Scratch, texts: DataFrame, total: int
 
     del dealt, answers, known
     scratch.release("dealt", "firsts")
-    sorted_blocks = texts.join(told.hint("shuffle_hash"), key).select(*key, "text", "codes").mapInArrow(first_runs, _EXCHANGE)
+    sorted_blocks = texts.join(told.hint("shuffle_hash"), key).select(*key, "text", "codes", "more").mapInArrow(first_runs, _EXCHANGE)
     first = scratch.store(sorted_blocks.groupBy("range").applyInArrow(lambda t: _merged(t, wide.value, WIDE, True), _DECIDED), "first")
     del sorted_blocks, told
     scratch.release("told")
