@@ -34,4 +34,4 @@ def normalize_phrase(text: Column) -> Column:
 
 def filled(text: Column) -> Column:
     """Whether there is any text but white space; null counts as none."""
-    return F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import detokenize, trim_marks
 from ..functions.timecode import format_time
 from ..sources.transcripts import SAMPLES_PER_MS
+from .intervals import points_in
 
 # The texts of the clip log.
 NOTHING = "No period found in the {}, return raw speech. You may check the recognition result and try other destination text."
@@ -30,25 +31,21 @@ def bounds(segments: DataFrame, moded: DataFrame) -> DataFrame:
     return rows.select("request_id", "media_id", "modality", "seg_idx", "cut_start_ms", "cut_end_ms", "cut_start_sample", "cut_end_sample", "cue_start_ms", "cue_end_ms")
 
 
-#: Periods and tokens meet in blocks of so many milliseconds, about ten tokens of speech.
+#: The shortest blocks of time in which periods and tokens meet, about ten tokens of speech.
 BLOCK_MS = 2000
 
 
 def partial_sentences(cut: DataFrame, sentences: DataFrame) -> DataFrame:
     """request_id, modality, seg_idx, sent_idx, rel_start_ms, rel_end_ms, text: the tokens of each sentence that end inside a period.
 
-    A period meets the tokens that end in the blocks of time that it touches,
-    each in the one block where it ends; no period is held against a medium.
+    A period meets the tokens that end in it by a few blocks of time, however
+    long it is; no period is held against a medium.
     """
-    block = lambda ms: F.floor(ms / F.lit(BLOCK_MS))
     item = F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("timestamp").alias("t"))).alias("tok_idx", "x")
     tokens = sentences.select("media_id", "sent_idx", F.element_at("timestamp", 1).start_ms.alias("s_start"), item)
-    tokens = tokens.select("media_id", "sent_idx", "s_start", "tok_idx", "x.token", F.col("x.t.start_ms").alias("t_start"), F.col("x.t.end_ms").alias("t_end")).withColumn("block", block(F.col("t_end")))
-    # No token ends beyond its medium, so periods need not reach further.
-    reach = tokens.groupBy("media_id").agg(F.max("t_end").alias("last"))
-    asked = cut.select("request_id", "media_id", "modality", "seg_idx", "cue_start_ms", "cue_end_ms").join(reach, "media_id").where("cue_start_ms < cue_end_ms and cue_start_ms < last and cue_end_ms > 0")
-    asked = asked.withColumn("block", F.explode(F.sequence(block(F.greatest("cue_start_ms", F.lit(0))), block(F.least("cue_end_ms", "last")))))
-    met = asked.join(tokens, ["media_id", "block"]).where("t_end > cue_start_ms and t_end <= cue_end_ms and s_start < cue_end_ms")
+    tokens = tokens.select("media_id", "sent_idx", "s_start", "tok_idx", "x.token", F.col("x.t.start_ms").alias("t_start"), F.col("x.t.end_ms").alias("t_end"))
+    asked = cut.select("request_id", "media_id", "modality", "seg_idx", "cue_start_ms", "cue_end_ms", (F.col("cue_start_ms") + 1).alias("low"), (F.col("cue_end_ms") + 1).alias("high"))
+    met = points_in(tokens, asked, "media_id", "t_end", "low", "high", BLOCK_MS).where("s_start < cue_end_ms")
     words = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x.token)
     grouped = met.groupBy("request_id", "modality", "seg_idx", "sent_idx", "cue_start_ms").agg(F.min_by("t_start", "tok_idx").alias("a"), F.max_by("t_end", "tok_idx").alias("b"), words.alias("words"))
     return grouped.select("request_id", "modality", "seg_idx", "sent_idx", (F.col("a") - F.col("cue_start_ms")).alias("rel_start_ms"), (F.col("b") - F.col("cue_start_ms")).alias("rel_end_ms"), detokenize(F.col("words")).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,12 @@ def request_mode(requests: DataFrame, media: DataFrame) -> DataFrame:
     for what is known of media: they find nothing, and the log says so.
     """
     known = requests.join(media.select("media_id", "modality", "has_spk", "n_ms"), "media_id", "left")
-    mode = F.when(F.col("llm_response").isNotNull(), "ranges").when(filled(F.col("dest_spk")) & F.coalesce("has_spk", F.lit(False)), "speaker").otherwise("phrase")
+    named = F.coalesce(F.col("dest_spk") != "", F.lit(False))  # blanks are a name, which no speaker has
+    mode = F.when(F.col("llm_response").isNotNull(), "ranges").when(named & F.coalesce("has_spk", F.lit(False)), "speaker").otherwise("phrase")
     return known.withColumn("mode", mode)
 
 
-def _words(phrase: Column) -> Column:
+def words(phrase: Column) -> Column:
     """Number of words of a phrase: blanks at its ends and double ones make none."""
     return F.size(F.filter(F.split(phrase, r"\s+"), lambda x: x != ""))
 
@@ -50,7 +53,7 @@ def phrase_starts(raw: Column, phrase: Column) -> Column:
     """
     quoted = F.concat(F.lit("(?=\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     pieces = F.split(raw, quoted, -1)
-    gap = _words(phrase)
+    gap = words(phrase)
     state = F.struct(F.lit(0).alias("c"), F.lit(0).alias("sp"), F.lit(0).alias("nx"), F.array().cast("array<int>").alias("hits"))
 
     def step(s: Column, piece: Column) -> Column:
@@ -66,7 +69,7 @@ def phrase_starts(raw: Column, phrase: Column) -> Column:
 def _phrase_hits(pieces: DataFrame, transcripts: DataFrame) -> DataFrame:
     """``pieces`` with occurrence, start_ms, end_ms of each hit, null where the transcript has no such token time."""
     met = transcripts.join(pieces, "media_id").where(F.contains("raw_text", "phrase"))
-    hits = met.withColumn("at", phrase_starts(F.col("raw_text"), F.col("phrase"))).withColumn("n", _words(F.col("phrase")))
+    hits = met.withColumn("at", phrase_starts(F.col("raw_text"), F.col("phrase"))).withColumn("n", words(F.col("phrase")))
     ends = F.transform("at", lambda i: F.struct(F.try_element_at("timestamp", i + 1).start_ms.alias("start_ms"), F.try_element_at("timestamp", i + F.col("n")).end_ms.alias("end_ms")))
     rows = hits.withColumn("times", ends).select(*pieces.columns, F.posexplode("times").alias("occurrence", "t"))
     return rows.select(*pieces.columns, "occurrence", "t.start_ms", "t.end_ms")
@@ -116,9 +119,13 @@ def envelopes(sentences: DataFrame) -> DataFrame:
     return sentences.select("media_id", "sent_idx", "spk", F.element_at("timestamp", 1).start_ms.alias("start_ms"), F.element_at("timestamp", -1).end_ms.alias("end_ms"))
 
 
-def segments(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame) -> DataFrame:
-    """request_id, media_id, piece_idx, seg_idx, start_ms, end_ms: each request's periods by its mode, duplicates kept."""
-    phrase = phrase_match(lower_for_video(request_pieces(moded.where("mode = 'phrase'")), moded.select("media_id", "modality").distinct()), transcripts)
+def segments(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame, matching: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """request_id, media_id, piece_idx, seg_idx, start_ms, end_ms: each request's periods by its mode, duplicates kept.
+
+    ``matching``: how pieces meet ``transcripts``; by default ``phrase_match``, a medium a row.
+    """
+    pieces = lower_for_video(request_pieces(moded.where("mode = 'phrase'")), moded.select("media_id", "modality").distinct())
+    phrase = (matching or phrase_match)(pieces, transcripts)
     phrase = phrase.select("request_id", "media_id", "piece_idx", F.col("occurrence").cast("long"), (F.col("start_ms") + F.col("offset_b")).alias("start_ms"), (F.col("end_ms") + F.col("offset_e")).alias("end_ms"))
     speaker = speaker_match(moded.where("mode = 'speaker'"), envelopes(sentences))
     ranges = text_ranges(moded.where("mode = 'ranges'")).withColumn("piece_idx", F.lit(0)).withColumn("occurrence", F.col("occurrence").cast("long"))

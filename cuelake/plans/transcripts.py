@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import detokenize, normalize_phrase, tokenize
 from ..functions.timecode import format_time, parse_time
-from ..operators import audio, checks, clip, match, prompts
+from ..operators import audio, checks, clip, match, phrase_index, prompts
 from ..sources import transcripts as src
 from ..sources.scratch import folder
 from ..sources.transcripts import SQL, SQL_REQUESTS, read, sql_parse, sql_time
@@ -50,7 +50,9 @@ class _Clips:
         self.spark, self.sf_dir = spark, sf_dir
         self.folder = folder(spark, "clips")
 
-    def _stored(self, table: DataFrame, name: str) -> DataFrame:
+    def _stored(self, table: DataFrame, name: str, key: str | None = None) -> DataFrame:
+        # Small tables are dealt to all cores: the next step is heavy for their bytes.
+        table = table.repartition(self.spark.sparkContext.defaultParallelism, key) if key else table
         table.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(table.schema).parquet(f"{self.folder}/{name}")
 
@@ -66,17 +68,21 @@ class _Clips:
     def transcripts(self) -> DataFrame:
         return self._stored(src.transcripts(self.spark, self.sf_dir, self.tokens), "transcripts")
 
+    @cached_property
+    def index(self) -> DataFrame:
+        return self._stored(phrase_index.positions(self.tokens), "index")
+
     @cached_property
     def media(self) -> DataFrame:
         return src.media(self.spark, self.sf_dir, self.tokens)
 
     @cached_property
     def moded(self) -> DataFrame:
-        return self._stored(match.request_mode(src.requests(self.spark, self.sf_dir, self.transcripts, self.sentences), self.media), "requests")
+        return self._stored(match.request_mode(src.requests(self.spark, self.sf_dir, None, self.sentences, src.heads(self.index)), self.media), "requests")
 
     @cached_property
     def segments(self) -> DataFrame:
-        return self._stored(match.segments(self.moded, self.transcripts, self.sentences), "segments")
+        return self._stored(match.segments(self.moded, self.index, self.sentences, phrase_index.phrase_match), "segments")
 
     @cached_property
     def cut(self) -> DataFrame:
@@ -111,11 +117,11 @@ pieces AS (
          coalesce(TRY_CAST(regexp_extract(piece, '\[(\d+),\s*(\d+)\]', 1) AS INT), 0) AS offset_b, coalesce(TRY_CAST(regexp_extract(piece, '\[(\d+),\s*(\d+)\]', 2) AS INT), 0) AS offset_e,
          contains(piece, '[') AND NOT regexp_matches(piece, '\[(\d+),\s*(\d+)\]') AS bracket_failed, regexp_matches(piece, '\[(\d+),\s*(\d+)\]') AS bracket_matched
   FROM (SELECT request_id, media_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS piece_idx, unnest(p) AS piece FROM (SELECT request_id, media_id, string_split(dest_text, '#') AS p FROM reqs WHERE dest_text IS NOT NULL))
-  WHERE length(trim({_sql_normalize("string_split(piece, '[')[1]")})) > 0
+  WHERE regexp_matches({_sql_normalize("string_split(piece, '[')[1]")}, '\S')
 )"""
 _MODED = """
 moded AS (
-  SELECT r.*, modality, has_spk, n_ms, CASE WHEN llm_response IS NOT NULL THEN 'ranges' WHEN coalesce(length(trim(dest_spk)) > 0, false) AND coalesce(has_spk, false) THEN 'speaker' ELSE 'phrase' END AS mode
+  SELECT r.*, modality, has_spk, n_ms, CASE WHEN llm_response IS NOT NULL THEN 'ranges' WHEN coalesce(dest_spk <> '', false) AND coalesce(has_spk, false) THEN 'speaker' ELSE 'phrase' END AS mode
   FROM reqs r LEFT JOIN med USING (media_id)
 )"""
 _HITS = r"""
@@ -246,7 +252,7 @@ def normalize_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests from JSON files, which leave out nulls and offsets of 0, with answers of a model from a table of their own."""
     c, path = _Clips(spark, sf_dir), folder(spark, "requests")
-    given = src.requests(spark, sf_dir, c.transcripts, c.sentences)
+    given = src.requests(spark, sf_dir, None, c.sentences, src.heads(c.index))
     given.select(*(F.when(F.col(x) != 0, F.col(x)).alias(x) if x.endswith("_ost") else F.col(x) for x in given.columns if x != "llm_response")).write.json(path)
     answers = given.where("llm_response is not null").select("request_id", F.concat(F.lit("Take "), "llm_response").alias("response"))
     return src.with_responses(src.read_requests(spark, path), answers)
@@ -279,7 +285,7 @@ def request_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _Clips(spark, sf_dir)
     pieces = match.lower_for_video(match.request_pieces(c.moded.where("mode = 'phrase'")), c.media)
-    return match.phrase_match(pieces, c.transcripts).select("request_id", "piece_idx", "occurrence", "start_ms", "end_ms")
+    return phrase_index.phrase_match(pieces, c.index).select("request_id", "piece_idx", "occurrence", "start_ms", "end_ms")
 
 
 @_query(
@@ -292,6 +298,17 @@ def phrase_corpus_search(spark: SparkSession, sf_dir: str, words: int = 6) -> Da
     return match.corpus_search(read(spark, sf_dir, "documents"), phrases, words)
 
 
+@_query(
+    f"WITH c AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '{src.TOKEN}'), ' ') AS raw FROM documents), p AS (SELECT item_id, array_to_string(regexp_extract_all(text, '{src.TOKEN}'), ' ') AS phrase FROM benchmark),"
+    " m AS (SELECT item_id, doc_id, raw, phrase, unnest(range(length(raw) - length(phrase) + 1)) AS i FROM c JOIN p ON phrase <> '' AND contains(raw, phrase))"
+    " SELECT item_id, doc_id, CAST(length(substr(raw, 1, i)) - length(replace(substr(raw, 1, i), ' ', '')) AS INT) AS tok_idx FROM m WHERE substr(raw, i + 1, length(phrase)) = phrase"
+)
+def phrase_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items as phrases, in all documents."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return phrase_index.corpus_phrases(read(spark, sf_dir, "documents"), items)
+
+
 @_query(_with(*_TO_REQUESTS, _MODED, _SPOKEN) + " SELECT request_id, piece_idx, sent_idx AS occurrence, start_ms, end_ms FROM spoken")
 def speaker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _Clips(spark, sf_dir)
@@ -331,8 +348,6 @@ def cue_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.rebased(_Clips(spark, sf_dir).partial)
 
 
-
-
 @_query(_with(*_TO_CUES) + f" SELECT request_id, string_agg(CAST(cue_no AS VARCHAR) || chr(10) || {sql_time('rel_start_ms')} || ' --> ' || {sql_time('rel_end_ms')} || chr(10) || text || chr(10), '' ORDER BY cue_no) AS srt FROM cues GROUP BY request_id")
 def srt_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.clip_srt(_Clips(spark, sf_dir).cues)
@@ -368,12 +383,13 @@ def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _with(SQL, _FULL) + f", m AS (SELECT *, CASE media_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE '{SYSTEM}' END AS system FROM srts)"
-    f" SELECT media_id, CAST(0 AS INT) AS msg_idx, 'system' AS role, system AS content FROM m WHERE length(trim(system)) > 0"
-    f" UNION ALL SELECT media_id, CAST(CASE WHEN length(trim(system)) > 0 THEN 1 ELSE 0 END AS INT), 'user', '{ASK}' || chr(10) || srt FROM m"
+    _with(SQL, _FULL) + f", m AS (SELECT *, CASE media_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 3 THEN chr(10) WHEN 4 THEN chr(9) || ' ' || chr(10) ELSE '{SYSTEM}' END AS system FROM srts)"
+    f" SELECT media_id, CAST(0 AS INT) AS msg_idx, 'system' AS role, system AS content FROM m WHERE regexp_matches(system, '\\S')"
+    f" UNION ALL SELECT media_id, CAST(CASE WHEN regexp_matches(system, '\\S') THEN 1 ELSE 0 END AS INT), 'user', '{ASK}' || chr(10) || srt FROM m"
 )
 def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    system = F.when(F.col("media_id") % 3 == 1, "  ").when(F.col("media_id") % 3 == 2, SYSTEM)
+    kind = F.col("media_id") % 6
+    system = F.when(kind == 1, "  ").when(kind == 3, "\n").when(kind == 4, "\t \n").when(kind != 0, SYSTEM)
     return prompts.messages(_full(spark, sf_dir), system, F.lit(ASK))
 
 

@@ -78,11 +78,21 @@ def media(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> Da
     return ends.select("media_id", F.concat(F.lit("talks/conv"), "media_id", F.when(even, ".wav").otherwise(".MP4")).alias("path"), F.when(even, "audio").otherwise("video").alias("modality"), "has_spk", "n_ms")
 
 
-def requests(spark: SparkSession, sf_dir: str, scripts: DataFrame | None = None, sents: DataFrame | None = None) -> DataFrame:
-    """request_id, media_id, dest_text, dest_spk, llm_response, start_ost, end_ost: eight requests a medium, and one on a medium that there is not."""
-    scripts, sents = transcripts(spark, sf_dir) if scripts is None else scripts, sentences(spark, sf_dir) if sents is None else sents
-    head = F.array_join(F.slice(F.split("raw_text", " "), 1, 2), " ")
-    base = scripts.select("media_id", head.alias("head"))
+def heads(index: DataFrame) -> DataFrame:
+    """media_id, head: the first two tokens of each medium, from ``index`` (media_id, pos, token)."""
+    two = index.where("pos < 2").groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
+    return two.select("media_id", F.array_join("x.token", " ").alias("head"))
+
+
+def requests(spark: SparkSession, sf_dir: str, scripts: DataFrame | None = None, sents: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    """request_id, media_id, dest_text, dest_spk, llm_response, start_ost, end_ost: nine requests a medium, and one on a medium that there is not.
+
+    ``base``: what ``heads`` has given, if at hand; else it is read off ``scripts``.
+    """
+    sents = sentences(spark, sf_dir) if sents is None else sents
+    if base is None:
+        scripts = transcripts(spark, sf_dir) if scripts is None else scripts
+        base = scripts.select("media_id", F.array_join(F.slice(F.split("raw_text", " "), 1, 2), " ").alias("head"))
     two = sents.where("sent_idx < 2").select("media_id", "sent_idx", "text", F.element_at("timestamp", 1).start_ms.alias("a"), F.element_at("timestamp", -1).end_ms.alias("b"))
     line = F.concat((F.col("sent_idx") + 1).cast("string"), F.lit(". ["), format_time(F.col("a") + 333), F.when(F.col("sent_idx") == 0, "-").otherwise(" - "), format_time(F.col("b") + 1500), F.lit("] "), "text")
     reply = two.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", line.alias("line")))), lambda x: x.line), "\n").alias("reply"))
@@ -95,6 +105,7 @@ def requests(spark: SparkSession, sf_dir: str, scripts: DataFrame | None = None,
         row(0, none, F.lit("spk1"), none, -100, 200), row(1, none, F.lit("spk0#spk1"), none, 0, 0), row(2, F.lit("en"), none, none, 0, 100), row(3, F.lit("the"), F.lit(" "), none, -50, 50),
         row(4, F.col("head"), none, none, 0, 0), row(5, F.concat("head", F.lit("[10, 20]#the[x]##en[5,30]")), none, none, -20, 0), row(6, none, none, F.col("reply"), 0, 0),
         row(7, F.lit(" en#the  #en[0, 0]"), none, none, 0, 0), row(8, F.lit("en"), F.lit("spk1"), none, 0, 0, F.col("media_id") + UNKNOWN),
+        row(9, F.lit("\t#the# \n"), F.lit("\t"), none, 0, 0),
     )
     return base.join(reply, "media_id", "left").select(F.explode(rows).alias("r")).select("r.*")
 
@@ -198,8 +209,8 @@ replies AS (
 ),
 heads AS (SELECT media_id, array_to_string(string_split(raw_text, ' ')[1:2], ' ') AS head FROM raws),
 reqs AS (
-  SELECT media_id * 10 + k AS request_id, CASE WHEN k = 8 THEN media_id + {UNKNOWN} ELSE media_id END AS media_id, CASE k WHEN 2 THEN 'en' WHEN 3 THEN 'the' WHEN 4 THEN head WHEN 5 THEN head || '[10, 20]#the[x]##en[5,30]' WHEN 7 THEN ' en#the  #en[0, 0]' WHEN 8 THEN 'en' END AS dest_text,
-         CASE k WHEN 0 THEN 'spk1' WHEN 1 THEN 'spk0#spk1' WHEN 3 THEN ' ' WHEN 8 THEN 'spk1' END AS dest_spk, CASE WHEN k = 6 THEN reply END AS llm_response,
+  SELECT media_id * 10 + k AS request_id, CASE WHEN k = 8 THEN media_id + {UNKNOWN} ELSE media_id END AS media_id, CASE k WHEN 2 THEN 'en' WHEN 3 THEN 'the' WHEN 4 THEN head WHEN 5 THEN head || '[10, 20]#the[x]##en[5,30]' WHEN 7 THEN ' en#the  #en[0, 0]' WHEN 8 THEN 'en' WHEN 9 THEN chr(9) || '#the# ' || chr(10) END AS dest_text,
+         CASE k WHEN 0 THEN 'spk1' WHEN 1 THEN 'spk0#spk1' WHEN 3 THEN ' ' WHEN 8 THEN 'spk1' WHEN 9 THEN chr(9) END AS dest_spk, CASE WHEN k = 6 THEN reply END AS llm_response,
          CASE k WHEN 0 THEN -100 WHEN 3 THEN -50 WHEN 5 THEN -20 ELSE 0 END AS start_ost, CASE k WHEN 0 THEN 200 WHEN 2 THEN 100 WHEN 3 THEN 50 ELSE 0 END AS end_ost
-  FROM heads LEFT JOIN replies USING (media_id), range(9) AS r(k)
+  FROM heads LEFT JOIN replies USING (media_id), range(10) AS r(k)
 )"""
