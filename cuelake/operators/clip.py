@@ -117,6 +117,18 @@ def read_srt_documents(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.schema(f"{key} long, srt string").json(path).select(key, "srt")
 
 
+def srt_names(names: DataFrame, media: DataFrame, clips: DataFrame, full: DataFrame) -> DataFrame:
+    """(file, srt): a medium's subtitles as total.srt in its own folder, a clip's beside it under its name.
+
+    ``names``: request_id, clip_file of video requests; clips of audio are result.wav of their request.
+    """
+    own = F.concat(F.regexp_extract("path", r"([^/]*?)(\.[^./]+)?$", 1), F.lit("/"))
+    total = full.join(media.select("media_id", "path"), "media_id").select(F.concat(own, F.lit("total.srt")).alias("file"), "srt")
+    clip_file = F.coalesce("clip_file", F.concat(F.lit("request"), F.col("request_id").cast("string"), F.lit("/result.wav")))
+    shown = clips.join(names.select("request_id", "clip_file"), "request_id", "left")
+    return total.unionByName(shown.select(F.concat(F.substring(clip_file, F.lit(1), F.length(clip_file) - 3), F.lit("srt")).alias("file"), "srt"))
+
+
 def log(moded: DataFrame, cut: DataFrame, line: DataFrame, pieces: DataFrame, found: DataFrame) -> DataFrame:
     """request_id, n_periods, message: how many periods a request has, and what was cut, in seconds."""
     seconds = lambda c: F.format_string("%.3f", F.col(c) / 1000.0)

@@ -13,6 +13,7 @@ from ..functions.timecode import format_time, parse_time
 from ..operators import audio, checks, clip, match, phrase_index, prompts
 from ..sources import transcripts as src
 from ..sources.scratch import folder
+from ..sources.srt_files import read_srt_files, write_srt_files
 from ..sources.transcripts import SQL, SQL_REQUESTS, read, sql_parse, sql_time
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,6 +433,22 @@ def clip_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.manifest(c.moded, c.media, c.cut)
 
 
+@_query(
+    _with(*_TO_CUES) + ", done AS (SELECT DISTINCT c.request_id, c.media_id FROM cut c WHERE c.modality = 'video'),"
+    " names AS (SELECT request_id, 'conv' || media_id || '_clip_no' || (row_number() OVER (PARTITION BY media_id ORDER BY request_id) - 1) || '.srt' AS file FROM done),"
+    " total AS (SELECT 'conv' || media_id || '/total.srt' AS file, CAST(row_number() OVER (PARTITION BY media_id ORDER BY sent_idx) AS INT) AS cue_no, CAST(spk AS VARCHAR) AS spk, start_ms, end_ms, regexp_replace(text, '[、。，]+$', '') AS text FROM sents),"
+    " clips AS (SELECT coalesce(file, 'request' || request_id || '/result.srt') AS file, cue_no, CAST(NULL AS VARCHAR) AS spk, CAST(rel_start_ms AS BIGINT) AS start_ms, CAST(rel_end_ms AS BIGINT) AS end_ms, text FROM cues LEFT JOIN names USING (request_id))"
+    " SELECT file, cue_no, spk, start_ms, end_ms, regexp_replace(text, '\n+$', '') AS text FROM (SELECT * FROM total UNION ALL SELECT * FROM clips)"
+)
+def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All subtitles, of media and of clips, written to files of their own and read back cue by cue."""
+    c, path = _Clips(spark, sf_dir), folder(spark, "srt-files")
+    full = clip.full_srt(c.sentences, match.envelopes(c.sentences))
+    names = clip.manifest(c.moded, c.media, c.cut)
+    write_srt_files(clip.srt_names(names, c.media, clip.clip_srt(c.cues), full), path)
+    return read_srt_files(spark, path)
+
+
 _PCM = "SELECT label AS media_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS chunk_idx, embedding FROM embeddings"
 
 
