@@ -12,8 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels in use: 2^40 base blocks are longer than anything that is cut.
-LEVELS = 40
+#: The highest level there can be: more base blocks than whole numbers of 64 bits can tell apart.
+LEVELS = 61
+
+
+def _base(x: Column, width: int) -> Column:
+    """The base block of a place, exact for all whole numbers."""
+    return F.call_function("div", x - F.pmod(x, F.lit(width)), F.lit(width))
+
+
+def _down(x: Column, level: Column) -> Column:
+    return F.call_function("shiftright", x, level)
 
 
 def cover(low: Column, high: Column, width: int) -> Column:
@@ -22,15 +31,13 @@ def cover(low: Column, high: Column, width: int) -> Column:
     An empty interval has none.  On each level what does not fill a block of the
     next level is taken: at most one block at either end.
     """
-    a, b = F.floor(low / F.lit(width)), F.floor((high - 1) / F.lit(width)) + 1
+    a, b = _base(low.cast("long"), width), _base(high.cast("long") - 1, width) + 1
     whole = F.lit(1).cast("long")
     levels = F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest(b - a, whole).cast("double"))).cast("int") + 1))
 
     def on(level: Column) -> Column:
-        step = F.call_function("shiftleft", whole, level)
-        up = lambda x, s: -F.floor(-x / s)
-        lo, hi = up(a, step), F.floor(b / step)
-        next_lo, next_hi = up(a, 2 * step), F.floor(b / (2 * step))
+        lo, hi = -_down(-a, level), _down(b, level)
+        next_lo, next_hi = -_down(-a, level + 1), _down(b, level + 1)
         inside = next_lo < next_hi
         left = F.when((lo < hi) & (~inside | (lo < 2 * next_lo)), lo)
         # Where the next level has nothing, at most two neighbouring blocks are left.
@@ -49,6 +56,5 @@ def points_in(points: DataFrame, intervals: DataFrame, key: str, point: str, low
     asked = asked.select("*", F.col("cover_.level").alias("level_"), F.col("cover_.block").alias("block_")).drop("cover_")
     used = asked.groupBy(F.col(key).alias("key_")).agg(F.sort_array(F.collect_set("level_")).alias("levels_"))
     placed = points.join(used, points[key] == used["key_"]).drop("key_").withColumn("level_", F.explode("levels_")).drop("levels_")
-    block = F.floor(F.floor(F.col(point) / F.lit(width)) / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level_")))
-    met = placed.withColumn("block_", block.cast("long")).join(asked, [key, "level_", "block_"]).drop("level_", "block_")
+    met = placed.withColumn("block_", _down(_base(F.col(point).cast("long"), width), F.col("level_"))).join(asked, [key, "level_", "block_"]).drop("level_", "block_")
     return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
