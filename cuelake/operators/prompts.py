@@ -31,10 +31,15 @@ def messages(srt: DataFrame, system: Column, user: Column) -> DataFrame:
     return srt.select("media_id", F.posexplode(both).alias("msg_idx", "m")).select("media_id", "msg_idx", "m.role", "m.content")
 
 
-def media_manifest(media: DataFrame) -> DataFrame:
-    """media_id, path, modality, reason: the modality by the suffix; others are kept with a reason."""
+def with_modality(files: DataFrame) -> DataFrame:
+    """Files with ``modality`` by the suffix of their path, and ``reason`` why they are no use."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(suffix.isin(AUDIO), "audio").when(suffix.isin(VIDEO), "video")
-    has = F.col("has_audio") if "has_audio" in media.columns else F.lit(True)
+    has = F.col("has_audio") if "has_audio" in files.columns else F.lit(True)
     reason = F.when(kind.isNull(), "unsupported file").when((kind == "video") & ~has, "no audio track")
-    return media.select("media_id", "path", kind.alias("modality"), reason.alias("reason"))
+    return files.withColumns({"modality": kind, "reason": reason})
+
+
+def media_manifest(media: DataFrame) -> DataFrame:
+    """media_id, path, modality, reason: the modality by the suffix; others are kept with a reason."""
+    return with_modality(media).select("media_id", "path", "modality", "reason")

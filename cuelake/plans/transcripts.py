@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import detokenize, normalize_phrase, tokenize
 from ..functions.timecode import format_time, parse_time
-from ..operators import audio, checks, clip, match, phrase_index, prompts
+from ..operators import audio, checks, clip, diarise, match, phrase_index, prompts
+from ..sources import media_files as on_disk
+from ..sources import states
 from ..sources import transcripts as src
 from ..sources.scratch import folder
 from ..sources.srt_files import read_srt_files, write_srt_files
@@ -310,6 +312,67 @@ def phrase_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.corpus_phrases(read(spark, sf_dir, "documents"), items)
 
 
+#: The diarisation of the given media cuts this much earlier than the sentences, so that a sentence's end may be the next speaker's.
+SHIFT_MS = 1500
+
+
+def _state(spark: SparkSession, sf_dir: str) -> states.State:
+    """The state of all media, written to files with damaged records among them, and read back.
+
+    By (media_id + sent_idx) mod 11: at 0 a sentence's record ends in the middle, at 1 it lacks its last time.
+    """
+    sentences, path = _Clips(spark, sf_dir).sentences, folder(spark, "state")
+    earlier = F.transform("timestamp", lambda t: F.struct((t.start_ms - SHIFT_MS).alias("start_ms"), (t.end_ms - SHIFT_MS).alias("end_ms")))
+    mark = (F.col("media_id") + F.col("sent_idx")) % 11
+    own = sentences.withColumn("timestamp", F.when(mark == 1, F.slice("timestamp", F.lit(1), F.size("timestamp") - 1)).otherwise(F.col("timestamp")))
+    lines = states.state_lines(own, sentences.where("spk is not null").withColumn("timestamp", earlier))
+    cut = F.concat(F.lit('{"media_id":'), "media_id", F.lit(',"sent_idx":'), "sent_idx", F.lit(',"te'))
+    states.write_state(lines.withColumn("value", F.when((F.col("list") == states.SENTENCES) & (mark == 0), cut).otherwise(F.col("value"))), path)
+    return states.read_state(spark, path)
+
+
+@_query(
+    _with(SQL) + f""",
+shared AS (SELECT s.media_id, s.sent_idx, t.spk, sum(least(s.end_ms, t.end_ms - {SHIFT_MS}) - greatest(s.start_ms, t.start_ms - {SHIFT_MS})) AS ms
+  FROM sents s JOIN sents t ON s.media_id = t.media_id AND t.spk IS NOT NULL AND s.start_ms < t.end_ms - {SHIFT_MS} AND s.end_ms > t.start_ms - {SHIFT_MS} GROUP BY ALL),
+most AS (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY media_id, sent_idx ORDER BY ms DESC, spk) = 1)
+SELECT media_id, sent_idx, m.spk, CAST(coalesce(ms, 0) AS BIGINT) AS overlap_ms, CAST(len(tokens) AS INT) AS n_tokens FROM sents LEFT JOIN most m USING (media_id, sent_idx) WHERE (media_id + sent_idx) % 11 > 1"""
+)
+def state_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of state files with the speakers that the diarised list of the same files gives them."""
+    state = _state(spark, sf_dir)
+    return diarise.with_speakers(state.sentences, state.diarised).select("media_id", "sent_idx", "spk", "overlap_ms", F.size("tokens").alias("n_tokens"))
+
+
+@_query(
+    _with(SQL) + """,
+marked AS (SELECT media_id, sent_idx, len(tokens) AS n, (media_id + sent_idx) % 11 AS mark FROM sents)
+SELECT 'sentences' AS list, CASE WHEN mark = 1 THEN media_id END AS media_id, CASE WHEN mark = 1 THEN sent_idx END AS sent_idx, CASE WHEN mark = 0 THEN 'not readable' ELSE 'tokens and times differ in number' END AS reason,
+       CASE WHEN mark = 0 THEN '{"media_id":' || media_id || ',"sent_idx":' || sent_idx || ',"te' END AS record
+FROM marked WHERE mark < 2"""
+)
+def state_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir).rejects
+
+
+#: Suffixes of the files that media_files writes, by turn.
+SUFFIXES = [".wav", ".MP3", ".mp4", ".mkv", ".txt", ""]
+
+
+@_query(
+    f"WITH f AS (SELECT 'conv' || conv_id || '/turn' || turn || {SUFFIXES}[(conv_id + turn) % 6 + 1] AS path, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM conversations),"
+    " k AS (SELECT *, CASE WHEN regexp_matches(lower(path), '\\.(wav|mp3|aac|m4a|flac)$') THEN 'audio' WHEN regexp_matches(lower(path), '\\.(mp4|avi|mkv|flv|mov|webm|ts|mpeg)$') THEN 'video' END AS modality FROM f)"
+    " SELECT path, n_bytes, modality, CASE WHEN modality IS NULL THEN 'unsupported file' END AS reason FROM k WHERE n_bytes > 0"
+)
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a turn, written to a folder, whose names and sizes are scanned."""
+    path = folder(spark, "media-files")
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    name = F.concat(F.lit("conv"), "conv_id", F.lit("/turn"), "turn", suffix)
+    write_srt_files(read(spark, sf_dir, "conversations").select(name.alias("file"), F.col("text").alias("srt")), path)
+    return on_disk.scan(spark, path).select("path", "n_bytes", "modality", "reason")
+
+
 @_query(_with(*_TO_REQUESTS, _MODED, _SPOKEN) + " SELECT request_id, piece_idx, sent_idx AS occurrence, start_ms, end_ms FROM spoken")
 def speaker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _Clips(spark, sf_dir)
