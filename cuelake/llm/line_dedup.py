@@ -2,7 +2,8 @@
 
 Lines are the parts of a text between line feeds.  Lines of at least
 MIN_CHARS bytes, compared after A-Z lower-casing and without white space at
-their ends, are sets of shingles of ``shingle`` bytes.  Equal lines form one class.
+their ends, are sets of shingles of ``shingle`` bytes.  Equal lines form one class: those
+of two equal 64-bit hashes, independent of each other; lines that share the first only stay apart.
 Class records meet by banding (BANDS bands of ROWS minwise values: a pair of
 similarity 0.75 is missed with probability 0.0015, one of 0.8 with 0.0001; two
 records that meet go on if BITS one-bit minwise values agree in ALIKE at least,
@@ -159,20 +160,20 @@ def _bits(sig: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch], shingle: int, short: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, twin, line, code, long, nodes) of each line of (doc_id, twin, text); nodes are the bands of the sampled long lines."""
+    """(doc_id, twin, line, code, check, long, nodes) of each line of (doc_id, twin, text); nodes are the bands of the sampled long lines."""
     for batch in batches:
         for first, end, raw, off in tb.blocks(batch.column(2)):
             row, number, lo, hi = _line_spans(raw, off, 1 if short else MIN_CHARS)
             if len(row) == 0:
                 continue
-            code = tb.span_hash(tb._LOWER[raw], lo, hi)
+            code, check = tb.span_codes(tb._LOWER[raw], lo, hi)
             big = hi - lo >= MIN_CHARS
             seen = big & (tb.mix64(code) % np.uint64(SAMPLE) == 0)
             sig = _signatures(*_shingles(raw, lo[seen], hi[seen], shingle))
             count = np.concatenate([[0], np.cumsum(seen)]).astype(np.int32) * BANDS
             nodes = pa.ListArray.from_arrays(pa.array(count), pa.array(_band_nodes(sig).view(np.int64).ravel()))
             ids = batch.slice(first, end - first).select([0, 1]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(number.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(big), nodes], ["doc_id", "twin", "line", "code", "long", "nodes"])
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(number.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (code, check)), pa.array(big), nodes], ["doc_id", "twin", "line", "code", "check", "long", "nodes"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def _entries(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, hot:
     for batch in batches:
         for _, _, raw, off in tb.blocks(batch.column(0)):
             _, _, lo, hi = _line_spans(raw, off, MIN_CHARS)
-            code = tb.span_hash(tb._LOWER[raw], lo, hi)
+            code, _ = tb.span_codes(tb._LOWER[raw], lo, hi)
             one = np.sort(tb.first_of_each(code)[1])  # shingles are taken in the order of the text
             if len(one) == 0:
                 continue
@@ -325,6 +326,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))])
 
 
+def repeats(lines: DataFrame) -> DataFrame:
+    """Lines equal in code and check to one before them, and ``keep``, the first."""
+    rows = lines.select("doc_id", "twin", "line", "code", "check")
+    place = F.struct("doc_id", "line", "twin", "check")
+    first = rows.groupBy("code", "check").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, ["code", "check"]).where(place != F.col("keep"))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """``docs`` with deduplicated texts and two more columns, and the removed lines.
 
@@ -335,9 +344,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "lines")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = text.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("twin"), "text")
-    every = scratch.store(known.mapInArrow(partial(_lines, shingle=shingle, short=short), "doc_id long, twin long, line int, code long, long boolean, nodes array<long>"), "lines")
+    every = scratch.store(known.mapInArrow(partial(_lines, shingle=shingle, short=short), "doc_id long, twin long, line int, code long, check long, long boolean, nodes array<long>"), "lines")
     lines = every.where("long")
-    reps = scratch.store(lines.groupBy(F.col("code").alias("rec")).agg(F.min(F.struct("doc_id", "line", "twin")).alias("at"), F.count("*").alias("n")), "records")
+    reps = scratch.store(lines.groupBy(F.col("code").alias("rec")).agg(F.min(F.struct("doc_id", "line", "twin", "check")).alias("at"), F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("mixed")), "records")
     mark = scratch.mark()
     sized = scratch.store(_sized(spark, scratch, known, lines, shingle), "nodes")
     per_doc = reps.join(sized.select("rec").distinct(), "rec", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
@@ -354,13 +363,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     joined = comp.select(F.col("node").alias("rec"), "component").unionByName(comp.select(F.col("component").alias("rec"), "component").distinct())
     joined = scratch.store(joined.join(reps.select("rec", "at"), "rec"), "members")
     keeper = joined.groupBy("component").agg(F.min("at").alias("keep"))
-    member = joined.join(keeper, "component").select(F.col("rec").alias("code"), "keep")
-    member = member.unionByName(reps.where("n > 1").join(joined.select("rec"), "rec", "left_anti").select(F.col("rec").alias("code"), F.col("at").alias("keep")))
-    gone = lines.select("doc_id", "twin", "line", "code").join(member, "code").where(F.struct("doc_id", "line", "twin") != F.col("keep"))
+    member = joined.join(keeper, "component").select(F.col("rec").alias("code"), F.col("at.check").alias("check"), "keep")
+    member = member.unionByName(reps.where("n > 1").join(joined.select("rec"), "rec", "left_anti").select(F.col("rec").alias("code"), F.col("at.check").alias("check"), F.col("at").alias("keep")))
+    place = F.struct("doc_id", "line", "twin", "check")
+    gone = lines.select("doc_id", "twin", "line", "code", "check").join(member, ["code", "check"]).where(place != F.col("keep"))
+    lost = ["doc_id", "twin", "line", "keep"]
+    gone = gone.select(lost)
+    if not reps.where("mixed").isEmpty():  # other lines of a record's code, told apart by the check, are classes of their own
+        odd = lines.join(reps.where("mixed").select(F.col("rec").alias("code"), F.col("at.check").alias("own")), "code").where("check != own")
+        gone = gone.unionByName(repeats(odd).select(lost))
     if short:
-        brief = every.where("not long").select("doc_id", "twin", "line", "code")
-        again = brief.groupBy("code").agg(F.min(F.struct("doc_id", "line", "twin")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("code", "keep")
-        gone = gone.unionByName(brief.join(again, "code").where(F.struct("doc_id", "line", "twin") != F.col("keep")))
+        gone = gone.unionByName(repeats(every.where("not long")).select(lost))
     gone = scratch.store(gone.select("doc_id", "twin", "line", F.col("keep.doc_id").alias("keeper_doc"), F.col("keep.line").alias("keeper_line")).distinct(), "removed")
     drop = gone.groupBy("doc_id", "twin").agg(F.collect_list("line").alias("gone_"))
     names = docs.columns

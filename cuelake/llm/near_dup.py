@@ -45,7 +45,7 @@ LOW = 0.65
 
 def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every shingle of each text."""
-    row, _, value = tb.Words(raw, off).grams(WORDS, short_whole=True)
+    row, _, value = tb.Words(raw, off, strong=True).grams(WORDS, short_whole=True)
     return row, value
 
 
@@ -53,7 +53,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, raw, off in tb.blocks(batch.column(1)):
             rows = end - first
-            row, _, value = tb.Words(raw, off).grams(WORDS, short_whole=True)
+            row, _, value = tb.Words(raw, off, strong=True).grams(WORDS, short_whole=True)
             row, value, starts = tb.distinct(row, value, rows)
             count = np.diff(starts)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(tb.mix64(value ^ np.uint64(salt)))]) for salt in (0, 0x5BD1E995)]

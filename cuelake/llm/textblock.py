@@ -8,6 +8,7 @@ Hashes depend only on the bytes, never on the batch, task or machine.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,10 +66,11 @@ class Words:
 
     ``doc`` is the row of each word, ``start``/``end`` its bytes, ``hash`` its
     64-bit hash, ``first`` the index of each row's first word (one more entry
-    than rows).  Rows without words have an empty range.
+    than rows).  Rows without words have an empty range.  ``strong``: words are
+    told apart by ``span_codes``, as equality asks for; features can do with ``span_hash``.
     """
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool = True, keep: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool = True, keep: np.ndarray | None = None, strong: bool = False):
         rows, n = len(off) - 1, len(raw)
         text = _LOWER[raw] if lower else raw
         inside = ~_SPACE[text] if keep is None else keep[text]
@@ -82,7 +84,11 @@ class Words:
         after[:-1] = inside[1:]
         after[edge[1:]] = False
         self.end = np.flatnonzero(inside & ~after) + 1
-        self.hash = span_hash(text, self.start, self.end)
+        if strong:
+            one, two = span_codes(text, self.start, self.end)
+            self.hash = mix64(one + two * _Q)
+        else:
+            self.hash = span_hash(text, self.start, self.end)
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(rows), np.diff(self.first))
         self.text = text
@@ -131,12 +137,48 @@ def prefix(text: np.ndarray) -> np.ndarray:
 
 
 def span_hash(text: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of each byte span ``text[start:end]``."""
+    """64-bit hash of each byte span ``text[start:end]``: good for features, but long spans can be made to collide."""
     sums = prefix(text) if sums is None else sums
     _, q = _powers(len(text) + 1)
     return mix64((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes up to which a span is hashed by array operations, all spans at once; longer ones go one by one.
+_LONG = 512
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_codes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each byte span, to be used where spans of equal hashes count as equal.
+
+    Eight bytes a step, each step with shifts and products between them, so no sum of spans
+    cancels as in ``span_hash``; spans of one to eight bytes never collide with others of their length.
+    """
+    size = end - start
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    eight = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+    steps = np.where(size > _LONG, 0, -(-size // 8))
+    order = np.argsort((_LONG // 8 - steps).astype(np.uint8), kind="stable")  # most steps first, sorted by counting
+    at, left = start[order], size[order]
+    one, two = (left.astype(np.uint64) + k for k in (_P, _Q))
+    more = len(order) - np.cumsum(np.bincount(steps, minlength=1))
+    for m in more[: len(more) - 1]:
+        chunk = eight[at[:m]] & _MASK[np.minimum(left[:m], 8)]
+        for lane, k in ((one, _P), (two, _Q)):
+            x = (lane[:m] ^ chunk) * k
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            lane[:m] = x ^ (x >> np.uint64(29))
+        at[:m] += 8
+        left[:m] -= 8
+    out = np.empty((2, len(order)), np.uint64)
+    out[0, order], out[1, order] = mix64(one), mix64(two)
+    for i in np.flatnonzero(size > _LONG):
+        out[:, i] = np.frombuffer(hashlib.blake2b(text[start[i] : end[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return out[0], out[1]
+
+
 def distinct(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, value), sorted by both, and the start of each row (rows + 1 entries)."""
     order = np.argsort(value)
