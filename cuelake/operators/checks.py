@@ -15,13 +15,15 @@ def transcript_faults(sentences: DataFrame) -> DataFrame:
     only, so a medium is not gathered, but sorted by ``sent_idx``.
     """
     start = F.try_element_at("timestamp", F.lit(1)).start_ms
-    rows = sentences.select("media_id", "sent_idx", "tokens", "timestamp", start.alias("start"), F.lag(start).over(Window.partitionBy("media_id").orderBy("sent_idx")).alias("before"))
     falls = F.transform("timestamp", lambda t, i: t.end_ms < F.greatest(t.start_ms, F.try_element_at("timestamp", F.when(i > 0, i)).end_ms))
     falls = F.exists(falls, lambda x: F.coalesce(x, F.lit(False)))
     number = F.coalesce(F.size("tokens") != F.size("timestamp"), F.lit(True))
     empty = F.coalesce(F.size("timestamp") <= 0, F.lit(True))
+    # Only what was found in the arrays goes through the sort, not the arrays.
+    rows = sentences.select("media_id", "sent_idx", start.alias("start"), number.alias("number"), empty.alias("empty"), (~empty & falls).alias("falls"))
+    rows = rows.withColumn("before", F.lag("start").over(Window.partitionBy("media_id").orderBy("sent_idx")))
     reasons = F.array_compact(F.array(
-        F.when(number, "tokens and times differ in number"), F.when(empty, "no token"), F.when(~empty & falls, "token times fall"), F.when(F.col("start") < F.col("before"), "starts before the sentence ahead"),
+        F.when(F.col("number"), "tokens and times differ in number"), F.when(F.col("empty"), "no token"), F.when(F.col("falls"), "token times fall"), F.when(F.col("start") < F.col("before"), "starts before the sentence ahead"),
     ))
     return rows.select("media_id", "sent_idx", F.explode(reasons).alias("reason"))
 

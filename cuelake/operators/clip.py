@@ -9,6 +9,7 @@ from ..functions.text import detokenize, trim_marks
 from ..functions.timecode import format_time
 from ..sources.transcripts import SAMPLES_PER_MS
 from .intervals import points_in
+from .running import numbered, running
 
 # The texts of the clip log.
 NOTHING = "No period found in the {}, return raw speech. You may check the recognition result and try other destination text."
@@ -58,24 +59,23 @@ def timeline(cut: DataFrame, partial: DataFrame) -> DataFrame:
     """
     counts = partial.groupBy("request_id", "seg_idx").agg(F.count("*").alias("n"))
     kept = cut.where("modality = 'video'").join(counts, ["request_id", "seg_idx"], "left").where("seg_idx = 0 or n > 0")
-    before = Window.partitionBy("request_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
-    out = F.coalesce(F.sum(F.col("cut_end_ms") - F.col("cut_start_ms")).over(before), F.lit(0).cast("long"))
-    return kept.select("request_id", "seg_idx", "cut_start_ms", "cut_end_ms", out.alias("out_start_ms"))
+    return running(kept, ["request_id"], "seg_idx", F.col("cut_end_ms") - F.col("cut_start_ms"), "out_start_ms").select("request_id", "seg_idx", "cut_start_ms", "cut_end_ms", "out_start_ms")
 
 
 def cues(partial: DataFrame, line: DataFrame) -> DataFrame:
     """Partial sentences numbered through each request, with times in the output (video) or the segment (audio)."""
-    order = Window.partitionBy("request_id").orderBy("seg_idx", "sent_idx")
-    rows = partial.join(line.select("request_id", "seg_idx", "out_start_ms"), ["request_id", "seg_idx"], "left").withColumn("out_start_ms", F.coalesce("out_start_ms", F.lit(0).cast("long")))
+    rows = numbered(partial, "request_id", "seg_idx", "sent_idx", "before")
+    rows = rows.join(line.select("request_id", "seg_idx", "out_start_ms"), ["request_id", "seg_idx"], "left").withColumn("out_start_ms", F.coalesce("out_start_ms", F.lit(0).cast("long")))
     return rows.select(
-        "request_id", "seg_idx", "sent_idx", F.row_number().over(order).alias("cue_no"), (F.col("rel_start_ms") + F.col("out_start_ms")).alias("rel_start_ms"), (F.col("rel_end_ms") + F.col("out_start_ms")).alias("rel_end_ms"), "text"
+        "request_id", "seg_idx", "sent_idx", (F.col("before") + 1).cast("int").alias("cue_no"), (F.col("rel_start_ms") + F.col("out_start_ms")).alias("rel_start_ms"), (F.col("rel_end_ms") + F.col("out_start_ms")).alias("rel_end_ms"), "text"
     )
 
 
 def rebased(partial: DataFrame) -> DataFrame:
     """Later video segments' subtitle times, so that the first one of each starts at 0."""
-    first = F.first("rel_start_ms").over(Window.partitionBy("request_id", "seg_idx").orderBy("sent_idx"))
-    return partial.where("modality = 'video' and seg_idx > 0").select("request_id", "seg_idx", "sent_idx", (F.col("rel_start_ms") - first).alias("start_ms"), (F.col("rel_end_ms") - first).alias("end_ms"))
+    later = partial.where("modality = 'video' and seg_idx > 0")
+    first = later.groupBy("request_id", "seg_idx").agg(F.min_by("rel_start_ms", "sent_idx").alias("first"))
+    return later.join(first, ["request_id", "seg_idx"]).select("request_id", "seg_idx", "sent_idx", (F.col("rel_start_ms") - F.col("first")).alias("start_ms"), (F.col("rel_end_ms") - F.col("first")).alias("end_ms"))
 
 
 def cue_block(start: Column, end: Column, text: Column) -> Column:
@@ -86,20 +86,45 @@ def _ordered(order: str, block: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b")))), lambda x: x.b), "")
 
 
-def clip_srt(numbered: DataFrame) -> DataFrame:
-    """request_id, srt: a request's subtitles."""
+#: Cues in one part of a document.
+PART = 1000
+
+
+def _parts(cues: DataFrame, key: str, number: str, block: Column, part: int) -> DataFrame:
+    """key, part, srt: the documents in parts of ``part`` cues; a document is its parts one after the other."""
+    place = F.call_function("div", F.col(number) - 1, F.lit(part)).cast("long")
+    return cues.withColumn("part", place).groupBy(key, "part").agg(_ordered(number, block).alias("srt"))
+
+
+def whole(parts: DataFrame, key: str) -> DataFrame:
+    """key, srt: each document in a row."""
+    return parts.groupBy(key).agg(_ordered("part", F.col("srt")).alias("srt"))
+
+
+def clip_srt_parts(numbered_cues: DataFrame, part: int = PART) -> DataFrame:
+    """request_id, part, srt: a request's subtitles in parts, so that no row holds a long document."""
     block = F.concat(F.col("cue_no").cast("string"), F.lit("\n"), cue_block(F.col("rel_start_ms"), F.col("rel_end_ms"), F.col("text")))
-    return numbered.groupBy("request_id").agg(_ordered("cue_no", block).alias("srt"))
+    return _parts(numbered_cues, "request_id", "cue_no", block, part)
 
 
-def full_srt(sentences: DataFrame, envelopes: DataFrame) -> DataFrame:
-    """media_id, srt: a medium's subtitles, with speakers where they are known."""
-    order = Window.partitionBy("media_id").orderBy("sent_idx")
-    rows = sentences.select("media_id", "sent_idx", "text").join(envelopes, ["media_id", "sent_idx"]).withColumn("no", F.row_number().over(order))
+def clip_srt(numbered_cues: DataFrame) -> DataFrame:
+    """request_id, srt: a request's subtitles."""
+    return whole(clip_srt_parts(numbered_cues), "request_id")
+
+
+def full_srt_parts(sentences: DataFrame, part: int = PART) -> DataFrame:
+    """media_id, part, srt: a medium's subtitles in parts, with speakers where they are known."""
+    spans = sentences.select("media_id", "sent_idx", "spk", "text", F.element_at("timestamp", 1).start_ms.alias("start_ms"), F.element_at("timestamp", -1).end_ms.alias("end_ms"))
+    rows = running(spans, ["media_id"], "sent_idx", F.lit(1), "before").withColumn("no", F.col("before") + 1)
     block = cue_block(F.col("start_ms"), F.col("end_ms"), trim_marks(F.col("text")))
     number = F.col("no").cast("string")
     line = F.when(F.col("spk").isNotNull(), F.concat(number, F.lit("  spk"), F.col("spk").cast("string"), F.lit("\n"), block)).otherwise(F.concat(number, F.lit("\n"), block, F.lit("\n")))
-    return rows.groupBy("media_id").agg(_ordered("no", line).alias("srt"))
+    return _parts(rows, "media_id", "no", line, part)
+
+
+def full_srt(sentences: DataFrame) -> DataFrame:
+    """media_id, srt: a medium's subtitles, with speakers where they are known."""
+    return whole(full_srt_parts(sentences), "media_id")
 
 
 def write_srt(table: DataFrame, path: str, key: str, buckets: int = 8) -> None:
@@ -118,15 +143,16 @@ def read_srt_documents(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def srt_names(names: DataFrame, media: DataFrame, clips: DataFrame, full: DataFrame) -> DataFrame:
-    """(file, srt): a medium's subtitles as total.srt in its own folder, a clip's beside it under its name.
+    """(file, part, srt): a medium's subtitles as total.srt in its own folder, a clip's beside it under its name.
 
-    ``names``: request_id, clip_file of video requests; clips of audio are result.wav of their request.
+    ``clips`` and ``full`` are documents in parts.  ``names``: request_id,
+    clip_file of video requests; clips of audio are result.wav of their request.
     """
     own = F.concat(F.regexp_extract("path", r"([^/]*?)(\.[^./]+)?$", 1), F.lit("/"))
-    total = full.join(media.select("media_id", "path"), "media_id").select(F.concat(own, F.lit("total.srt")).alias("file"), "srt")
+    total = full.join(media.select("media_id", "path"), "media_id").select(F.concat(own, F.lit("total.srt")).alias("file"), "part", "srt")
     clip_file = F.coalesce("clip_file", F.concat(F.lit("request"), F.col("request_id").cast("string"), F.lit("/result.wav")))
     shown = clips.join(names.select("request_id", "clip_file"), "request_id", "left")
-    return total.unionByName(shown.select(F.concat(F.substring(clip_file, F.lit(1), F.length(clip_file) - 3), F.lit("srt")).alias("file"), "srt"))
+    return total.unionByName(shown.select(F.concat(F.substring(clip_file, F.lit(1), F.length(clip_file) - 3), F.lit("srt")).alias("file"), "part", "srt"))
 
 
 def log(moded: DataFrame, cut: DataFrame, line: DataFrame, pieces: DataFrame, found: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, normalize_phrase, tokenize
 from ..functions.timecode import parse_time
+from .running import numbered
 
 MIN_SPEAKER_MS = 999
 # How offsets and time ranges are written.
@@ -119,8 +120,8 @@ def envelopes(sentences: DataFrame) -> DataFrame:
     return sentences.select("media_id", "sent_idx", "spk", F.element_at("timestamp", 1).start_ms.alias("start_ms"), F.element_at("timestamp", -1).end_ms.alias("end_ms"))
 
 
-def segments(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame, matching: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """request_id, media_id, piece_idx, seg_idx, start_ms, end_ms: each request's periods by its mode, duplicates kept.
+def periods(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame, matching: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """request_id, media_id, piece_idx, occurrence, start_ms, end_ms: each request's periods by its mode, duplicates kept.
 
     ``matching``: how pieces meet ``transcripts``; by default ``phrase_match``, a medium a row.
     """
@@ -129,9 +130,21 @@ def segments(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame, mat
     phrase = phrase.select("request_id", "media_id", "piece_idx", F.col("occurrence").cast("long"), (F.col("start_ms") + F.col("offset_b")).alias("start_ms"), (F.col("end_ms") + F.col("offset_e")).alias("end_ms"))
     speaker = speaker_match(moded.where("mode = 'speaker'"), envelopes(sentences))
     ranges = text_ranges(moded.where("mode = 'ranges'")).withColumn("piece_idx", F.lit(0)).withColumn("occurrence", F.col("occurrence").cast("long"))
-    every = phrase.unionByName(speaker).unionByName(ranges)
-    order = Window.partitionBy("request_id").orderBy("piece_idx", "occurrence")
-    return every.withColumn("seg_idx", F.row_number().over(order) - 1).select("request_id", "media_id", "piece_idx", "seg_idx", "start_ms", "end_ms")
+    return phrase.unionByName(speaker).unionByName(ranges)
+
+
+def segments(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame, matching: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The periods of ``periods``, numbered by ``numbered_segments``."""
+    return numbered_segments(periods(moded, transcripts, sentences, matching))
+
+
+def numbered_segments(found: DataFrame) -> DataFrame:
+    """request_id, media_id, piece_idx, seg_idx, start_ms, end_ms: periods numbered through each request.
+
+    ``found``: what ``periods`` gives, best as a stored table, for it is read several times.
+    """
+    rows = numbered(found, "request_id", "piece_idx", "occurrence", "seg_idx")
+    return rows.select("request_id", "media_id", "piece_idx", F.col("seg_idx").cast("int").alias("seg_idx"), "start_ms", "end_ms")
 
 
 def lower_for_video(pieces: DataFrame, media: DataFrame) -> DataFrame:

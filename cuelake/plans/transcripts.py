@@ -85,7 +85,8 @@ class _Clips:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return self._stored(match.segments(self.moded, self.index, self.sentences, phrase_index.phrase_match), "segments")
+        found = self._stored(match.periods(self.moded, self.index, self.sentences, phrase_index.phrase_match), "periods")
+        return self._stored(match.numbered_segments(found), "segments")
 
     @cached_property
     def cut(self) -> DataFrame:
@@ -417,6 +418,16 @@ def srt_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.clip_srt(_Clips(spark, sf_dir).cues)
 
 
+#: Cues in a part of srt_parts, so that the given requests have several.
+PART_CUES = 8
+
+
+@_query(_with(*_TO_CUES) + f" SELECT request_id, CAST((cue_no - 1) // {PART_CUES} AS BIGINT) AS part, string_agg(CAST(cue_no AS VARCHAR) || chr(10) || {sql_time('rel_start_ms')} || ' --> ' || {sql_time('rel_end_ms')} || chr(10) || text || chr(10), '' ORDER BY cue_no) AS srt FROM cues GROUP BY ALL")
+def srt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of srt_clip in parts, none of which holds a long document."""
+    return clip.clip_srt_parts(_Clips(spark, sf_dir).cues, PART_CUES)
+
+
 _FULL = f"""
 srts AS (
   SELECT media_id, string_agg(CASE WHEN spk IS NOT NULL THEN no || '  spk' || spk || chr(10) || block ELSE no || chr(10) || block || chr(10) END, '' ORDER BY sent_idx) AS srt
@@ -429,8 +440,7 @@ srts AS (
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = _Clips(spark, sf_dir).sentences
-    return clip.full_srt(sentences, match.envelopes(sentences))
+    return clip.full_srt(_Clips(spark, sf_dir).sentences)
 
 
 @_query(_with(SQL, _FULL) + " SELECT * FROM srts")
@@ -506,9 +516,8 @@ def clip_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All subtitles, of media and of clips, written to files of their own and read back cue by cue."""
     c, path = _Clips(spark, sf_dir), folder(spark, "srt-files")
-    full = clip.full_srt(c.sentences, match.envelopes(c.sentences))
     names = clip.manifest(c.moded, c.media, c.cut)
-    write_srt_files(clip.srt_names(names, c.media, clip.clip_srt(c.cues), full), path)
+    write_srt_files(clip.srt_names(names, c.media, clip.clip_srt_parts(c.cues), clip.full_srt_parts(c.sentences)), path)
     return read_srt_files(spark, path)
 
 

@@ -8,7 +8,10 @@ second one.  Mode "overwrite" replaces files of the same name and leaves others
 
 Defined cases: a null document is an empty file; a null or empty name, one that
 leaves the folder, and two rows of one name in a task are errors, and of two
-rows of one name in different tasks too; nothing is then written.
+rows of one name in different tasks too; nothing is then written.  Rows (file,
+part, srt) are parts of documents: those of one name come one after the other
+in rising order of ``part`` and are written as they come, so that no document is held
+whole; a null part, one that comes twice or one that comes late is an error.
 """
 
 from __future__ import annotations
@@ -46,8 +49,8 @@ class Written(WriterCommitMessage):
 
 
 class SrtWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, parts: bool = False):
+        self.path, self.parts = path.rstrip("/"), parts
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator[Row]) -> Written:
@@ -56,18 +59,29 @@ class SrtWriter(DataSourceWriter):
         store.create_dir(folder, recursive=True)
         names: list[str] = []
         seen: set[str] = set()
+        out, last = None, None
         try:
             for row in rows:
                 name = posixpath.normpath(row.file) if row.file else ""
                 if not name or name.startswith(("/", "..", "_staging")) or name == ".":
                     raise ValueError(f"no name for a file: {row.file!r}")
-                if name in seen:
-                    raise ValueError(f"two documents for {name}")
-                seen.add(name)
-                names.append(name)
-                with store.open_output_stream(f"{folder}/{len(names)}") as out:
-                    out.write((row.srt or "").encode())
+                if self.parts and row.part is None:
+                    raise ValueError(f"a part of {name} without a number")
+                if not (self.parts and names and name == names[-1] and row.part > last):
+                    if name in seen:
+                        raise ValueError(f"two documents for {name}")
+                    if out is not None:
+                        out.close()
+                    seen.add(name)
+                    names.append(name)
+                    out = store.open_output_stream(f"{folder}/{len(names)}")
+                last = row.part if self.parts else None
+                out.write((row.srt or "").encode())
+            if out is not None:
+                out.close()
         except BaseException:
+            if out is not None and not out.closed:
+                out.close()
             store.delete_dir(folder)
             raise
         return Written(folder, names)
@@ -106,15 +120,19 @@ class SrtFiles(DataSource):
         return SCHEMA
 
     def writer(self, schema: StructType, overwrite: bool) -> SrtWriter:
-        if schema.fieldNames() != ["file", "srt"]:
-            raise ValueError(f"rows (file, srt) are expected, not {schema.fieldNames()}")
-        return SrtWriter(self.options["path"])
+        if schema.fieldNames() not in (["file", "srt"], ["file", "part", "srt"]):
+            raise ValueError(f"rows (file, srt) or (file, part, srt) are expected, not {schema.fieldNames()}")
+        return SrtWriter(self.options["path"], "part" in schema.fieldNames())
 
 
 def write_srt_files(table: DataFrame, path: str) -> None:
-    """Each document of ``table`` (file, srt) in the file of its name under ``path``."""
+    """Each document of ``table`` (file, srt) in the file of its name under ``path``; with a column ``part``, each from its parts."""
     table.sparkSession.dataSource.register(SrtFiles)
-    table.select("file", "srt").write.format("srt_files").mode("append").option("path", path).save()
+    if "part" in table.columns:
+        table = table.select("file", F.col("part").cast("long"), "srt").repartition("file").sortWithinPartitions("file", "part")
+    else:
+        table = table.select("file", "srt")
+    table.write.format("srt_files").mode("append").option("path", path).save()
 
 
 def read_srt_files(spark: SparkSession, path: str) -> DataFrame:
