@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import detokenize, normalize_phrase, tokenize
 from ..functions.timecode import format_time, parse_time
 from ..operators import audio, checks, clip, diarise, match, phrase_index, prompts
+from ..sources import audited, media_table
 from ..sources import media_files as on_disk
 from ..sources import states
 from ..sources import transcripts as src
@@ -220,6 +222,10 @@ def sentence_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT media_id, path, modality, CASE WHEN modality IS NULL THEN 'unsupported file' WHEN modality = 'video' AND NOT has_audio THEN 'no audio track' END AS reason FROM k"
 )
 def media_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir)
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.element_at(F.array(*map(F.lit, [".wav", ".MP3", ".mp4", ".mkv", ".txt", ""])), (F.col("doc_id") % 6 + 1).cast("int"))
     files = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.concat("source", F.lit("/"), "doc_id", suffix).alias("path"), (F.col("doc_id") % 7 != 0).alias("has_audio"))
     return prompts.media_manifest(files)
@@ -275,6 +281,32 @@ def transcript_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.transcript_faults(rows.select("media_id", F.col("place").alias("sent_idx"), "tokens", "timestamp"))
 
 
+@_query(
+    _with(SQL) + ", m AS (SELECT doc_id, lower(source || '/' || doc_id || ['.wav', '.MP3', '.mp4', '.mkv', '.txt', ''][doc_id % 6 + 1]) AS path FROM documents),"
+    " k AS (SELECT doc_id, CASE WHEN NOT regexp_matches(path, '\\.(wav|mp3|aac|m4a|flac|mp4|avi|mkv|flv|mov|webm|ts|mpeg)$') THEN 'unsupported file' WHEN regexp_matches(path, '\\.(mp4|mkv)$') AND doc_id % 7 = 0 THEN 'no audio track' END AS reason FROM m)"
+    """ SELECT 'media' AS "table", '{"media_id":' || doc_id || '}' AS key, reason FROM k WHERE reason IS NOT NULL"""
+    """ UNION ALL SELECT 'sentences', '{"media_id":' || media_id || ',"sent_idx":' || sent_idx || '}', 'tokens and times differ in number' FROM sents WHERE len(regexp_split_to_array(text, '[ \n]+')) <> len(tokens)"""
+)
+def reject_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What media and sentences whose words are cut at blanks are rejected for, each told from the accepted rows in one pass."""
+    path = folder(spark, "audited")
+    media = audited.split_rows(_manifest(spark, sf_dir), F.col("reason"), ["media_id"], "media", f"{path}/media")
+    words = _Clips(spark, sf_dir).sentences.withColumn("tokens", F.split("text", "[ \\n]+"))
+    return media.rejects.unionByName(audited.split_rows(words, checks.row_fault(), ["media_id", "sent_idx"], "sentences", f"{path}/sentences").rejects)
+
+
+@_query(
+    _with(SQL) + ", n AS (SELECT media_id, sent_idx, spk, text, media_id % 3 = 0 AND bool_or(sent_idx % 2 = 0) OVER (PARTITION BY media_id) AS again FROM sents)"
+    " SELECT media_id, sent_idx, spk, CASE WHEN again THEN 'again ' || text ELSE text END AS text FROM n WHERE NOT again OR sent_idx % 2 = 0"
+)
+def transcript_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucketed table of all sentences after every third medium was recognised again, with other sentences than before."""
+    c, name = _Clips(spark, sf_dir), f"sentences_{uuid.uuid4().hex}"
+    media_table.create_table(c.sentences, name, folder(spark, "media-table"), ["sent_idx"])
+    again = c.sentences.where("media_id % 3 = 0 and sent_idx % 2 = 0").withColumn("text", F.concat(F.lit("again "), "text"))
+    return media_table.replace_media(again, name).select("media_id", "sent_idx", "spk", "text")
+
+
 @_query(_with(*_TO_REQUESTS, _PIECES) + " SELECT * FROM pieces")
 def request_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.request_pieces(_Clips(spark, sf_dir).moded)
