@@ -17,13 +17,21 @@ FAILED = "(Bracket detected in dest_text but offset time matching failed)"
 SEVERAL = "(offsets detected but sub-sentence matched to several periods, offsets are applied to all periods)"
 
 
+#: What the bounds of a segment take from its request.
+REQUEST = ("modality", "start_ost", "end_ost", "n_ms")
+
+
 def bounds(segments: DataFrame, moded: DataFrame) -> DataFrame:
     """Segments with what is cut and what subtitles see.
 
     Audio: offsets apply once, clamped to the medium, to both.  Video: offsets
     apply to the cut without a clamp; subtitles see the bare period.
     """
-    rows = segments.join(moded.select("request_id", "modality", "start_ost", "end_ost", "n_ms"), "request_id")
+    return bounded(segments.join(moded.select("request_id", *REQUEST), "request_id"))
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``bounds`` of segments that have the columns REQUEST of their requests already."""
     audio = F.col("modality") == "audio"
     clamp = lambda x: F.when(audio, F.least(F.greatest(F.lit(0).cast("long"), x), F.col("n_ms"))).otherwise(x)
     rows = rows.withColumn("cut_start_ms", clamp(F.col("start_ms") + F.col("start_ost"))).withColumn("cut_end_ms", clamp(F.col("end_ms") + F.col("end_ost")))
@@ -32,24 +40,55 @@ def bounds(segments: DataFrame, moded: DataFrame) -> DataFrame:
     return rows.select("request_id", "media_id", "modality", "seg_idx", "cut_start_ms", "cut_end_ms", "cut_start_sample", "cut_end_sample", "cue_start_ms", "cue_end_ms")
 
 
-#: The shortest blocks of time in which periods and tokens meet, about ten tokens of speech.
-BLOCK_MS = 2000
+#: The blocks of time in which periods and tokens meet, about twenty tokens of speech.
+BLOCK_MS = 4000
+
+
+def _time_block(x: Column) -> Column:
+    return F.call_function("div", x - F.pmod(x, F.lit(BLOCK_MS)), F.lit(BLOCK_MS))
+
+
+def _runs(sentences: DataFrame) -> DataFrame:
+    """media_id, sent_idx, s_start, slot, items: the tokens of each sentence that end in one block of time, as one row; items: tok_idx, token, start_ms, end_ms."""
+    at = F.transform(F.col("timestamp.end_ms"), _time_block)
+    item = lambda x, i: F.struct(i.alias("tok_idx"), x.alias("token"), F.get("timestamp", i).start_ms.alias("start_ms"), F.get("timestamp", i).end_ms.alias("end_ms"))
+    rows = sentences.where("size(tokens) > 0").select("media_id", "sent_idx", F.get("timestamp", F.lit(0)).start_ms.alias("s_start"), F.transform("tokens", item).alias("items"), at.alias("at"))
+    # Where times fall inside a sentence, its tokens are brought together block by block.
+    both = F.array_sort(F.zip_with("at", "items", lambda b, x: F.struct(b.alias("b"), x.tok_idx.alias("i"), x.alias("x"))))
+    rows = rows.withColumn("rising", F.col("at") == F.array_sort("at"))
+    rows = rows.select("media_id", "sent_idx", "s_start", F.when(F.col("rising"), F.col("items")).otherwise(F.transform(both, lambda x: x.x)).alias("items"), F.array_sort("at").alias("at"))
+    ahead = F.concat(F.array(F.get("at", F.lit(0)) - 1), F.slice("at", F.lit(1), F.size("at") - 1))
+    begins = F.array_compact(F.transform(F.zip_with("at", ahead, lambda x, y: x != y), lambda c, i: F.when(c, i)))
+    rows = rows.select("media_id", "sent_idx", "s_start", "items", "at", begins.alias("begins"))
+    run = lambda b, k: F.struct(F.get("at", b).alias("slot"), F.slice("items", b + 1, F.coalesce(F.get("begins", k + 1), F.size("items")) - b).alias("items"))
+    return rows.select("media_id", "sent_idx", "s_start", F.explode(F.transform("begins", run)).alias("r")).select("media_id", "sent_idx", "s_start", "r.*")
 
 
 def partial_sentences(cut: DataFrame, sentences: DataFrame) -> DataFrame:
     """request_id, modality, seg_idx, sent_idx, rel_start_ms, rel_end_ms, text: the tokens of each sentence that end inside a period.
 
-    A period meets the tokens that end in it by a few blocks of time, however
-    long it is; no period is held against a medium.
+    Tokens are dealt by blocks of time, those of a sentence in one block as one
+    row.  A period inside a block meets its tokens there and is done; a longer
+    one meets them by a few larger blocks, however long it is, and what it takes of a
+    sentence is put together.  No period is held against a medium.
     """
-    item = F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("timestamp").alias("t"))).alias("tok_idx", "x")
-    tokens = sentences.select("media_id", "sent_idx", F.element_at("timestamp", 1).start_ms.alias("s_start"), item)
-    tokens = tokens.select("media_id", "sent_idx", "s_start", "tok_idx", "x.token", F.col("x.t.start_ms").alias("t_start"), F.col("x.t.end_ms").alias("t_end"))
-    asked = cut.select("request_id", "media_id", "modality", "seg_idx", "cue_start_ms", "cue_end_ms", (F.col("cue_start_ms") + 1).alias("low"), (F.col("cue_end_ms") + 1).alias("high"))
-    met = points_in(tokens, asked, "media_id", "t_end", "low", "high", BLOCK_MS).where("s_start < cue_end_ms")
-    words = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x.token)
-    grouped = met.groupBy("request_id", "modality", "seg_idx", "sent_idx", "cue_start_ms").agg(F.min_by("t_start", "tok_idx").alias("a"), F.max_by("t_end", "tok_idx").alias("b"), words.alias("words"))
-    return grouped.select("request_id", "modality", "seg_idx", "sent_idx", (F.col("a") - F.col("cue_start_ms")).alias("rel_start_ms"), (F.col("b") - F.col("cue_start_ms")).alias("rel_end_ms"), detokenize(F.col("words")).alias("text"))
+    runs = _runs(sentences)
+    asked = cut.select("request_id", "media_id", "modality", "seg_idx", "cue_start_ms", "cue_end_ms", _time_block(F.col("cue_start_ms") + 1).alias("low"), _time_block(F.col("cue_end_ms")).alias("high"))
+    asked = asked.where("cue_start_ms < cue_end_ms")
+    ends_in = lambda x: (x.end_ms > F.col("cue_start_ms")) & (x.end_ms <= F.col("cue_end_ms"))
+    key = ["request_id", "modality", "seg_idx", "sent_idx", "cue_start_ms"]
+    inside = asked.where("low = high").withColumnRenamed("low", "slot").drop("high").join(runs, ["media_id", "slot"])
+    longer = points_in(runs, asked.where("low < high").withColumn("high", F.col("high") + 1), "media_id", "slot", "low", "high", 1)
+
+    def taken(rows: DataFrame) -> DataFrame:
+        # One list or none, so that the tokens are looked through once.
+        some = F.filter(F.array(F.filter("items", ends_in)), lambda w: F.size(w) > 0)
+        return rows.where("s_start < cue_end_ms").select(*key, F.explode(some).alias("x"))
+
+    words = F.array_sort(F.flatten(F.collect_list("x")))
+    rows = taken(inside).unionByName(taken(longer).groupBy(*key).agg(words.alias("x")))
+    start, end = F.get("x", F.lit(0)).start_ms - F.col("cue_start_ms"), F.element_at("x", -1).end_ms - F.col("cue_start_ms")
+    return rows.select("request_id", "modality", "seg_idx", "sent_idx", start.alias("rel_start_ms"), end.alias("rel_end_ms"), detokenize(F.col("x.token")).alias("text"))
 
 
 def timeline(cut: DataFrame, partial: DataFrame) -> DataFrame:
@@ -57,15 +96,25 @@ def timeline(cut: DataFrame, partial: DataFrame) -> DataFrame:
 
     A later segment without subtitles is left out; the first one always stays.
     """
-    counts = partial.groupBy("request_id", "seg_idx").agg(F.count("*").alias("n"))
-    kept = cut.where("modality = 'video'").join(counts, ["request_id", "seg_idx"], "left").where("seg_idx = 0 or n > 0")
-    return running(kept, ["request_id"], "seg_idx", F.col("cut_end_ms") - F.col("cut_start_ms"), "out_start_ms").select("request_id", "seg_idx", "cut_start_ms", "cut_end_ms", "out_start_ms")
+    return timed(shown(cut, partial))
+
+
+def shown(cut: DataFrame, partial: DataFrame) -> DataFrame:
+    """request_id, seg_idx, cut_start_ms, cut_end_ms of the segments in the edit list."""
+    counts = partial.where("modality = 'video'").groupBy("request_id", "seg_idx").agg(F.count("*").alias("n"))
+    kept = cut.where("modality = 'video'").select("request_id", "seg_idx", "cut_start_ms", "cut_end_ms")
+    return kept.join(counts, ["request_id", "seg_idx"], "left").where("seg_idx = 0 or n > 0").drop("n")
+
+
+def timed(kept: DataFrame) -> DataFrame:
+    """The edit list of what ``shown`` has given, best as a stored table."""
+    return running(kept, ["request_id"], "seg_idx", F.col("cut_end_ms") - F.col("cut_start_ms"), "out_start_ms", nulls=False).select("request_id", "seg_idx", "cut_start_ms", "cut_end_ms", "out_start_ms")
 
 
 def cues(partial: DataFrame, line: DataFrame) -> DataFrame:
     """Partial sentences numbered through each request, with times in the output (video) or the segment (audio)."""
-    rows = numbered(partial, "request_id", "seg_idx", "sent_idx", "before")
-    rows = rows.join(line.select("request_id", "seg_idx", "out_start_ms"), ["request_id", "seg_idx"], "left").withColumn("out_start_ms", F.coalesce("out_start_ms", F.lit(0).cast("long")))
+    rows = numbered(partial, "request_id", "seg_idx", "sent_idx", "before", nulls=False, beside=line.select("request_id", "seg_idx", "out_start_ms"))
+    rows = rows.withColumn("out_start_ms", F.coalesce("out_start_ms", F.lit(0).cast("long")))
     return rows.select(
         "request_id", "seg_idx", "sent_idx", (F.col("before") + 1).cast("int").alias("cue_no"), (F.col("rel_start_ms") + F.col("out_start_ms")).alias("rel_start_ms"), (F.col("rel_end_ms") + F.col("out_start_ms")).alias("rel_end_ms"), "text"
     )

@@ -18,13 +18,13 @@ _CLOCK = r"\d{2}:\d{2}:\d{2},\d{2,3}"
 _RANGE = rf"\[({_CLOCK})\s*-\s*({_CLOCK})\]"
 
 
-def request_pieces(requests: DataFrame) -> DataFrame:
-    """request_id, media_id, piece_idx, phrase, offset_b, offset_e, bracket_failed, bracket_matched: the parts between "#" with text."""
-    piece = requests.where("dest_text is not null").select("request_id", "media_id", F.posexplode(F.split("dest_text", "#")).alias("piece_idx", "piece"))
+def request_pieces(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """request_id, media_id, piece_idx, phrase, offset_b, offset_e, bracket_failed, bracket_matched: the parts between "#" with text, and the columns of requests to ``keep``."""
+    piece = requests.where("dest_text is not null").select("request_id", "media_id", *keep, F.posexplode(F.split("dest_text", "#")).alias("piece_idx", "piece"))
     offset = lambda i: F.coalesce(F.regexp_extract("piece", _PAIR, i).try_cast("int"), F.lit(0))
     failed = F.contains("piece", F.lit("[")) & ~F.col("piece").rlike(_PAIR)
     phrase = normalize_phrase(F.element_at(F.split("piece", r"\["), 1))
-    out = piece.select("request_id", "media_id", "piece_idx", phrase.alias("phrase"), offset(1).alias("offset_b"), offset(2).alias("offset_e"), failed.alias("bracket_failed"), F.col("piece").rlike(_PAIR).alias("bracket_matched"))
+    out = piece.select("request_id", "media_id", *keep, "piece_idx", phrase.alias("phrase"), offset(1).alias("offset_b"), offset(2).alias("offset_e"), failed.alias("bracket_failed"), F.col("piece").rlike(_PAIR).alias("bracket_matched"))
     return out.where(filled(F.col("phrase")))
 
 
@@ -101,18 +101,18 @@ def corpus_search(docs: DataFrame, phrases: DataFrame, words: int) -> DataFrame:
     return runs.join(asked, ["run", "first", "last"]).select("item_id", "doc_id", "tok_idx")
 
 
-def speaker_match(requests: DataFrame, envelopes: DataFrame) -> DataFrame:
+def speaker_match(requests: DataFrame, envelopes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """request_id, media_id, piece_idx, occurrence, start_ms, end_ms: sentences over 999 ms of the named speakers."""
-    named = requests.select("request_id", "media_id", F.posexplode(F.split("dest_spk", "#")).alias("piece_idx", "name")).withColumn("who", F.substring("name", 4, 1 << 20))
+    named = requests.select("request_id", "media_id", *keep, F.posexplode(F.split("dest_spk", "#")).alias("piece_idx", "name")).withColumn("who", F.substring("name", 4, 1 << 20))
     spoken = envelopes.where(F.col("spk").isNotNull() & (F.col("end_ms") - F.col("start_ms") > MIN_SPEAKER_MS)).withColumn("who", F.col("spk").cast("string"))
-    return named.join(spoken, ["media_id", "who"]).select("request_id", "media_id", "piece_idx", F.col("sent_idx").alias("occurrence"), "start_ms", "end_ms")
+    return named.join(spoken, ["media_id", "who"]).select("request_id", "media_id", "piece_idx", F.col("sent_idx").alias("occurrence"), "start_ms", "end_ms", *keep)
 
 
-def text_ranges(requests: DataFrame) -> DataFrame:
+def text_ranges(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """request_id, media_id, occurrence, start_ms, end_ms: the time ranges in brackets in a response."""
     both = F.arrays_zip(*(F.regexp_extract_all("llm_response", F.lit(_RANGE), F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"))))
-    rows = requests.where("llm_response is not null").select("request_id", "media_id", F.posexplode(both).alias("occurrence", "r"))
-    return rows.select("request_id", "media_id", "occurrence", parse_time(F.col("r.a")).alias("start_ms"), parse_time(F.col("r.b")).alias("end_ms"))
+    rows = requests.where("llm_response is not null").select("request_id", "media_id", *keep, F.posexplode(both).alias("occurrence", "r"))
+    return rows.select("request_id", "media_id", "occurrence", parse_time(F.col("r.a")).alias("start_ms"), parse_time(F.col("r.b")).alias("end_ms"), *keep)
 
 
 def envelopes(sentences: DataFrame) -> DataFrame:
@@ -133,18 +133,30 @@ def periods(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame, matc
     return phrase.unionByName(speaker).unionByName(ranges)
 
 
+def placed_periods(moded: DataFrame, hits: DataFrame, sentences: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``periods`` with the columns of requests to ``keep``, which ``hits`` has too; ``occurrence`` of a hit is its place in the medium.
+
+    ``hits``: the hits of phrases that ``phrase_index.whole_hits`` gives.
+    """
+    phrase = hits.where("start_ms is not null and end_ms is not null")
+    phrase = phrase.select("request_id", "media_id", "piece_idx", F.col("at").alias("occurrence"), (F.col("start_ms") + F.col("offset_b")).alias("start_ms"), (F.col("end_ms") + F.col("offset_e")).alias("end_ms"), *keep)
+    speaker = speaker_match(moded.where("mode = 'speaker'"), envelopes(sentences), keep)
+    ranges = text_ranges(moded.where("mode = 'ranges'"), keep).withColumn("piece_idx", F.lit(0)).withColumn("occurrence", F.col("occurrence").cast("long"))
+    return phrase.unionByName(speaker).unionByName(ranges)
+
+
 def segments(moded: DataFrame, transcripts: DataFrame, sentences: DataFrame, matching: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """The periods of ``periods``, numbered by ``numbered_segments``."""
     return numbered_segments(periods(moded, transcripts, sentences, matching))
 
 
-def numbered_segments(found: DataFrame) -> DataFrame:
-    """request_id, media_id, piece_idx, seg_idx, start_ms, end_ms: periods numbered through each request.
+def numbered_segments(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """request_id, media_id, piece_idx, seg_idx, start_ms, end_ms and the columns to ``keep``: periods numbered through each request.
 
     ``found``: what ``periods`` gives, best as a stored table, for it is read several times.
     """
     rows = numbered(found, "request_id", "piece_idx", "occurrence", "seg_idx")
-    return rows.select("request_id", "media_id", "piece_idx", F.col("seg_idx").cast("int").alias("seg_idx"), "start_ms", "end_ms")
+    return rows.select("request_id", "media_id", "piece_idx", F.col("seg_idx").cast("int").alias("seg_idx"), "start_ms", "end_ms", *keep)
 
 
 def lower_for_video(pieces: DataFrame, media: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from .match import words
 CHAIN = 1 << 20
 #: Phrases whose anchors are put into the plan; with more, anchors are a table that is joined.
 MOST_ANCHORS = 10_000
+#: Neighbouring sentences that meet the phrases of their medium together.
+LINES = 64
 
 
 def positions(tokens: DataFrame) -> DataFrame:
@@ -97,7 +99,8 @@ def _period(phrase: Column) -> Column:
 
 def _spaced(hits: DataFrame) -> DataFrame:
     """The hits that count: of a chain, each period apart, every so many-th one."""
-    chained = hits.withColumn("period_", _period(F.col("phrase"))).withColumn("block_", F.floor(F.col("at") / CHAIN))
+    given = hits if "period_" in hits.columns else hits.withColumns({"period_": _period(F.col("phrase")), "words_": words(F.col("phrase"))})
+    chained = given.withColumn("block_", F.floor(F.col("at") / CHAIN))
     # The start of a hit's chain, in two levels: within blocks, and from block to block.
     key = ["request_id", "piece_idx"]
     near, blocks = Window.partitionBy(*key, "block_").orderBy("at"), Window.partitionBy(*key).orderBy("block_")
@@ -111,7 +114,7 @@ def _spaced(hits: DataFrame) -> DataFrame:
     upto = near.rowsBetween(Window.unboundedPreceding, 0)
     chained = chained.withColumn("own_", F.last("fresh_", ignorenulls=True).over(upto)).join(starts, [*key, "block_"])
     number = (F.col("at") - F.coalesce("own_", "carry_")) / F.col("period_")
-    return chained.where(F.pmod(number.cast("long"), F.ceil(words(F.col("phrase")) / F.col("period_"))) == 0).select(hits.columns)
+    return chained.where(F.pmod(number.cast("long"), F.ceil(F.col("words_") / F.col("period_"))) == 0).select(hits.columns)
 
 
 def _timed(pieces: DataFrame, index: DataFrame) -> DataFrame:
@@ -129,6 +132,70 @@ def phrase_match(pieces: DataFrame, index: DataFrame) -> DataFrame:
     return rows.where("start_ms is not null and end_ms is not null").select(*pieces.columns, "occurrence", "start_ms", "end_ms")
 
 
+def _line_block() -> Column:
+    return F.call_function("div", F.col("sent_idx"), F.lit(LINES))
+
+
+def sentence_hits(pieces: DataFrame, sentences: DataFrame) -> DataFrame:
+    """The hits of ``pieces`` (request_id, media_id, piece_idx, phrase, ...) in ``sentences`` as ``placed_sentences`` gives them, whole ones and those that a sentence cuts.
+
+    Phrases meet the sentences of their medium, LINES neighbouring ones in a
+    row's reach, and are looked for inside the array of a sentence's tokens.  Of a hit that
+    runs on into later sentences ``rest_`` holds the parts that are still to be checked.
+    Rows: the other columns of ``pieces`` with pos, at, inner, start_ms, end_ms and what ``whole_hits`` needs.
+    """
+    asked = pieces.withColumns({"parts_": F.split("phrase", " ", -1), "words_": words(F.col("phrase")), "period_": _period(F.col("phrase"))}).withColumn("last_", F.size("parts_") - 1)
+    asked = asked.join(sentences.select("media_id", _line_block().alias("block_")).distinct(), "media_id")
+    lines = sentences.where("size(tokens) > 0").select("media_id", _line_block().alias("block_"), "tokens", "places", F.col("timestamp.start_ms").alias("starts_"), F.col("timestamp.end_ms").alias("ends_"), "n_before", "chars_before", F.array_join("tokens", " ").alias("raw_"))
+    met = lines.join(asked, ["media_id", "block_"]).withColumn("in_", F.contains("raw_", "phrase")).where("in_ or last_ > 0")
+    n, last, parts = F.size("tokens"), F.col("last_"), F.col("parts_")
+
+    def begins(i: Column) -> Column:
+        later = lambda j: _fits(F.get("tokens", i + j), F.get(parts, j), j, last)
+        return F.endswith(F.get("tokens", i), F.get(parts, F.lit(0))) & ((i == n - 1) | F.forall(F.sequence(F.lit(1), F.least(last, F.greatest(n - 1 - i, F.lit(1)))), later))
+
+    def inners(token: Column) -> Column:
+        size, at = F.length("phrase"), lambda k: F.call_function("locate", F.col("phrase"), token, k)
+        every = F.filter(F.sequence(F.lit(0), F.length(token) - size), lambda k: F.substring(token, k + 1, size) == F.col("phrase"))
+        single = F.when(at(at(F.lit(1)) + 1) == 0, F.array(at(F.lit(1)) - 1)).otherwise(every)
+        return F.when(last == 0, single).otherwise(F.array(F.length(token) - F.length(F.get(parts, F.lit(0)))))
+
+    def hit(i: Column, inner: Column) -> Column:
+        rest = F.when(i + last >= n, F.slice(parts, n - i + 1, F.greatest(i + last + 1 - n, F.lit(0))))
+        return F.struct(
+            (F.col("n_before") + i).alias("pos"), (F.col("chars_before") + F.get("places", i) + inner).alias("at"), inner.alias("inner"),
+            F.get("starts_", i).alias("start_ms"), F.get("ends_", i + F.col("words_") - 1).alias("end_ms"), rest.alias("rest_"), (n - i).alias("had_"),
+        )
+
+    # A phrase that is not in the sentence can only begin in its last tokens.
+    low = F.when(F.col("in_"), F.lit(0)).otherwise(F.greatest(n - last, F.lit(0)))
+    holds = F.transform("tokens", lambda t, i: F.when(F.contains(t, F.col("phrase")), i))
+    found = F.when(last == 0, F.array_compact(holds)).otherwise(F.filter(F.sequence(low, n - 1), begins))
+    hits = F.flatten(F.transform(found, lambda i: F.transform(inners(F.get("tokens", i)), lambda k: hit(i, k))))
+    kept = [c for c in pieces.columns if c != "phrase"]
+    return met.select(*kept, "words_", "period_", "last_", F.explode(hits).alias("h")).select(*kept, "words_", "period_", "last_", "h.*")
+
+
+def whole_hits(hits: DataFrame, sentences: DataFrame) -> DataFrame:
+    """What ``sentence_hits`` has given, best as a stored table, with the cut hits checked to their end and only those that count."""
+    cut = hits.where("rest_ is not null")
+    # Only tokens near the beginning of a sentence can end a hit that was cut before it.
+    most = cut.groupBy("media_id").agg(F.max(F.size("rest_")).alias("most_")).join(sentences.select("media_id", _line_block().alias("block_")).distinct(), "media_id")
+    first = sentences.withColumn("block_", _line_block()).join(most, ["media_id", "block_"])
+    first = first.select("media_id", "n_before", F.col("timestamp.end_ms").alias("ends_"), F.posexplode(F.slice("tokens", F.lit(1), F.col("most_"))).alias("k", "token"))
+    first = first.select("media_id", (F.col("n_before") + F.col("k")).alias("place_"), "token", F.get("ends_", F.col("k")).alias("token_end_"))
+    asks = cut.select("media_id", "request_id", "piece_idx", "pos", "last_", "words_", F.size("rest_").alias("asked_"), "had_", F.posexplode("rest_").alias("k", "part_"))
+    asks = asks.withColumn("k", F.col("k") + F.col("had_")).withColumn("place_", F.col("pos") + F.col("k"))
+    good = asks.join(first, ["media_id", "place_"]).where(_fits(F.col("token"), F.col("part_"), F.col("k"), F.col("last_")))
+    good = good.groupBy("request_id", "piece_idx", "pos", "asked_").agg(F.count_distinct("k").alias("n_"), F.max(F.when(F.col("k") == F.col("words_") - 1, F.col("token_end_"))).alias("later_")).where("n_ = asked_")
+    checked = cut.join(good.select("request_id", "piece_idx", "pos", "later_"), ["request_id", "piece_idx", "pos"]).withColumn("end_ms", F.coalesce("end_ms", "later_"))
+    every = hits.where("rest_ is null").unionByName(checked.select(hits.columns))
+    # Phrases that can overlap themselves closely are few; mostly there is none.
+    if not hits.where("period_ is not null").isEmpty():
+        every = every.where("period_ is null").unionByName(_spaced(every.where("period_ is not null")))
+    return every.drop("words_", "period_", "last_", "rest_", "had_")
+
+
 def corpus_phrases(docs: DataFrame, phrases: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
     """item_id, doc_id, tok_idx: where phrases of any length stand in any text, also inside words at their ends.
 

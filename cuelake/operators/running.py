@@ -16,36 +16,55 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def _same(names: list[str], suffix: str) -> Column:
-    """Equal in all ``names``, nulls too, on the side whose columns end with ``suffix``."""
-    every = F.lit(True)
-    for n in names:
-        every &= F.col(n).eqNullSafe(F.col(n + suffix))
-    return every
+def _keyed(rows: DataFrame, keys: list[str], by: str, block: int, nulls: bool) -> tuple[DataFrame, list[str]]:
+    """``rows`` with what they are dealt by, and its names: the keys, and the block of the place, the least of all where there is none.
 
+    Null keys are told by a column of their own: windows and joins by plain
+    columns need one exchange, comparisons that are safe for nulls a second one.
+    """
+    whole, size = F.col(by).cast("long"), F.lit(block)
+    place = F.coalesce(F.call_function("div", whole - F.pmod(whole, size), size), F.lit(-(1 << 63)).cast("long"))
+    made = {"block_": place}
+    if nulls:
+        for i, k in enumerate(keys):
+            made |= {f"key{i}_": F.coalesce(F.col(k), F.lit("0").cast(rows.schema[k].dataType)), f"none{i}_": F.col(k).isNull()}
+        keys = [f"{x}{i}_" for i in range(len(keys)) for x in ("key", "none")]
+    return rows.withColumns(made), [*keys, "block_"]
+
+
+def _ahead(own: Window) -> Column:
+    return F.coalesce(F.sum("amount_").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-def running(rows: DataFrame, keys: list[str], by: str, amount: Column, name: str, block: int = BLOCK) -> DataFrame:
+
+def running(rows: DataFrame, keys: list[str], by: str, amount: Column, name: str, block: int = BLOCK, nulls: bool = True, then: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` and ``name``: the sum of ``amount`` over the rows of equal ``keys`` that come earlier along ``by``.
 
-    Null keys are a key, rows without a place come first, null amounts count as
-    0; of rows of one place any may come first.  ``rows`` is read twice, so it
-    should be a stored table.
+    Null keys are a key, or left out where ``nulls`` is false; rows without a
+    place come first, null amounts count as 0; of rows of one place those come first that are
+    first along ``then``.  ``rows`` is read twice, so it should be a stored table.
     """
-    whole, size = F.col(by).cast("long"), F.lit(block)
-    placed = rows.withColumn("amount_", F.coalesce(amount.cast("long"), F.lit(0))).withColumn("block_", F.call_function("div", whole - F.pmod(whole, size), size))
-    end = Window.unboundedPreceding, -1
-    where = [*keys, "block_"]
-    totals = placed.groupBy(*(F.col(k).alias(k + "of_") for k in where)).agg(F.sum("amount_").alias("total_"))
-    ahead = F.sum("total_").over(Window.partitionBy(*(k + "of_" for k in keys)).orderBy(F.col("block_of_").asc_nulls_first()).rowsBetween(*end))
-    totals = totals.select(*(k + "of_" for k in where), F.coalesce(ahead, F.lit(0)).alias("ahead_"))
-    own = F.sum("amount_").over(Window.partitionBy(*where).orderBy(by).rowsBetween(*end))
-    met = placed.withColumn("own_", F.coalesce(own, F.lit(0))).join(totals, _same(where, "of_"))
+    placed, where = _keyed(rows.withColumn("amount_", F.coalesce(amount.cast("long"), F.lit(0))), keys, by, block, nulls)
+    totals = placed.groupBy(*where).agg(F.sum("amount_").alias("amount_"))
+    totals = totals.select(*where, _ahead(Window.partitionBy(*where[:-1]).orderBy("block_")).alias("ahead_"))
+    met = placed.withColumn("own_", _ahead(Window.partitionBy(*where).orderBy(by, *then))).join(totals, where)
     return met.select(*rows.columns, (F.col("ahead_") + F.col("own_")).alias(name))
 
 
-def numbered(rows: DataFrame, key: str, outer: str, inner: str, name: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` and ``name``: 0, 1, 2 ... along (outer, inner) within ``key``, whatever the share of a key or of one ``outer``."""
-    counts = rows.groupBy(key, outer).agg(F.count("*").alias("n_"))
-    earlier = running(counts, [key], outer, F.col("n_"), "earlier_", block).select(*(F.col(k).alias(k + "at_") for k in (key, outer)), "earlier_")
-    own = running(rows, [key, outer], inner, F.lit(1), "within_", block)
-    return own.join(earlier, _same([key, outer], "at_")).select(*rows.columns, (F.col("earlier_") + F.col("within_")).alias(name))
+def numbered(rows: DataFrame, key: str, outer: str, inner: str, name: str, block: int = BLOCK, nulls: bool = True, beside: DataFrame | None = None) -> DataFrame:
+    """``rows`` and ``name``: 0, 1, 2 ... along (outer, inner) within ``key``, whatever the share of a key or of one ``outer``.
+
+    Rows go through one exchange; what lies ahead of a block of an ``outer`` is
+    summed over narrow rows.  ``beside``: a table by (key, outer) whose other columns the rows
+    get too, null where it has none; it meets the narrow rows.
+    """
+    placed, where = _keyed(rows.withColumn("amount_", F.lit(1).cast("long")), [key, outer], inner, block, nulls)
+    counts = placed.groupBy(key, outer, *(w for w in where if w not in (key, outer))).agg(F.count("*").alias("n_"))
+    counts = counts.withColumnRenamed("block_", "inner_")
+    counts = running(counts, [key], outer, F.col("n_"), "ahead_", block, nulls, ("inner_",)).withColumnRenamed("inner_", "block_")
+    more = []
+    if beside is not None:
+        more = [c for c in beside.columns if c not in (key, outer)]
+        counts = counts.join(beside, [key, outer], "left")
+    own = placed.withColumn("own_", _ahead(Window.partitionBy(*where).orderBy(inner)))
+    met = own.join(counts.select(*where, "ahead_", *more), where)
+    return met.select(*rows.columns, (F.col("ahead_") + F.col("own_")).alias(name), *more)
