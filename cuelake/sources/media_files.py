@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators.prompts import with_modality
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+#: Tasks for each core that list the folders.
+FOLDER_TASKS = 4
+
 
 def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """media_id, path, n_bytes, modality, reason of all files under ``path``, at any depth, whose names match ``glob``.
@@ -16,7 +20,13 @@ def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     the manifest.  Files and folders whose names begin with "_" or "." and empty files are
     left out, as in all of Spark's scans.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
+    # Listed a few folders a task: by itself Spark starts a task for each of up to 10,000 folders.
+    was = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(was), FOLDER_TASKS * spark.sparkContext.defaultParallelism)))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
+    finally:
+        spark.conf.set(LISTING, was)
     root = (path.partition("://")[2] or path.removeprefix("file:")).rstrip("/")
     full = F.col("path")
     name = F.substring(full, F.locate(root, full) + len(root) + 1, F.length(full))

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cuelake.operators import clip, phrase_index, running
+from cuelake.sources import media_files
 
 from test_long_media import PIECES, _plain
 
@@ -71,3 +72,18 @@ def test_rows_are_numbered_in_one_exchange(spark, tmp_path):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     assert wide == 1
+
+
+def test_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"conv{k}").mkdir()
+        (tmp_path / f"conv{k}" / "a.wav").write_bytes(b"x" * (k % 3 + 1))
+    before = spark.conf.get(media_files.LISTING)
+    spark.sparkContext.setJobGroup("scan", "scan")
+    found = media_files.scan(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("scan") for s in status.getJobInfo(j).stageIds]
+    assert sum(tasks) <= media_files.FOLDER_TASKS * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(media_files.LISTING) == before and found.count() == 300
+    assert {(r.path, r.n_bytes) for r in found.collect()} == {(f"conv{k}/a.wav", k % 3 + 1) for k in range(300)}
