@@ -16,11 +16,16 @@ whole; a null part, one that comes twice or one that comes late is an error.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial, reduce
+from itertools import batched
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +33,13 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 from ..functions.timecode import parse_time
+from .scratch import folder as scratch_folder
 
 SCHEMA = "file string, srt string"
+#: Moves of files that the driver has under way at a time.
+MOVERS = 16
+#: Tasks for each core that list folders and read files; names in a batch of a listing; bytes after which files read go on as a batch.
+FILE_TASKS, NAMES, READ_BYTES = 4, 10_000, 8 << 20
 # Fixed value: how a cue is written, its number with a speaker or without.
 _CUE = r"(\d+)(?:  spk(\S+))?\n(-?\d+:\d{2}:\d{2},\d{1,3}) --> (-?\d+:\d{2}:\d{2},\d{1,3})\n"
 
@@ -93,11 +103,13 @@ class SrtWriter(DataSourceWriter):
             self.abort(messages)
             raise ValueError("two documents for one file")
         store, root = _open(self.path)
-        for folder in {posixpath.dirname(n) for n in every if "/" in n}:
-            store.create_dir(f"{root}/{folder}", recursive=True)
-        for message in done:
-            for k, name in enumerate(message.names):
-                store.move(f"{message.folder}/{k + 1}", f"{root}/{name}")
+        folders = {posixpath.dirname(n) for n in every if "/" in n}
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(lambda folder: store.create_dir(f"{root}/{folder}", recursive=True), folders):
+                pass
+            for message in done:
+                for _ in pool.map(lambda k, name: store.move(f"{message.folder}/{k}", f"{root}/{name}"), range(1, len(message.names) + 1), message.names):  # noqa: B023
+                    pass
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -135,17 +147,66 @@ def write_srt_files(table: DataFrame, path: str) -> None:
     table.write.format("srt_files").mode("append").option("path", path).save()
 
 
+def _held(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Names in a folder, and whether each is a folder."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            yield from ((e.name, e.is_dir()) for e in entries)
+    else:
+        yield from ((i.base_name, i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(folder)))
+
+
+def _inside(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(file, deeper): the folders and the .srt files in each folder under ``path``; hidden names are left out, as in Spark's scans."""
+    store, root = _open(path)
+    every = ((f"{at}/{name}" if at else name, deeper) for batch in batches for at in batch.column(0).to_pylist() for name, deeper in _held(store, f"{root}/{at}") if not name.startswith(".") and (name[0] != "_" or "=" in name))
+    for some in batched((e for e in every if e[1] or e[0].endswith(".srt")), NAMES):
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in some], pa.string()), pa.array([e[1] for e in some], pa.bool_())], ["file", "deeper"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(file, value): the bytes of each file under ``path``."""
+    store, root = _open(path)
+    names, values, size = [], [], 0
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                names.append(name)
+                values.append(f.read())
+            size += len(values[-1])
+            if size >= READ_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], ["file", "value"])
+                names, values, size = [], [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], ["file", "value"])
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """file, value of all .srt files under ``path``, at any depth.
+
+    Folders are listed level by level and files read many to a task: Spark's own
+    scan lists by a task each for up to 10,000 folders, keeps all files on the
+    driver and reads 32 small ones a task.
+    """
+    path, listing = path.rstrip("/"), scratch_folder(spark, "listing")
+    tasks, found, level = FILE_TASKS * spark.sparkContext.defaultParallelism, [], spark.createDataFrame([("",)], "file string")
+    while not found or not level.isEmpty():
+        level.mapInArrow(partial(_inside, path=path), "file string, deeper boolean").write.parquet(f"{listing}/{len(found)}")
+        here = spark.read.schema("file string, deeper boolean").parquet(f"{listing}/{len(found)}")
+        found.append(here.where("not deeper").select("file"))
+        level = here.where("deeper").select("file").repartition(tasks, "file")
+    files = reduce(DataFrame.unionByName, found).repartition(tasks, "file")
+    return files.mapInArrow(partial(_contents, path=path), "file string, value binary").withColumn("value", F.col("value").cast("string"))
+
+
 def read_srt_files(spark: SparkSession, path: str) -> DataFrame:
     """file, cue_no, spk, start_ms, end_ms, text of the cues of all .srt files under ``path``; ``file`` is relative to it.
 
-    A cue's text runs to the next cue.  Files without cues give no row.
+    A cue's text runs to the next cue.  Files without cues give no row.  Files and folders whose names begin with "_" or "." are left out.
     """
-    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.srt").load(path).withColumn("full", F.col("_metadata.file_path"))
-    root = path.rstrip("/").partition("://")[2] or path.rstrip("/").removeprefix("file:")
-    name = F.substring(F.url_decode("full"), F.locate(root, F.url_decode("full")) + len(root) + 1, F.length("full"))
+    files = _documents(spark, path)
     # Every cue is put behind a mark that no text holds, and the document is cut there.
     cut = F.filter(F.split(F.regexp_replace("value", rf"(?m)^(?={_CUE})", "\u0001"), "\u0001"), lambda x: x.rlike(_CUE))
-    rows = files.select(name.alias("file"), F.explode(cut).alias("cue"))
+    rows = files.select("file", F.explode(cut).alias("cue"))
     part = lambda k: F.regexp_extract("cue", _CUE, k)
     text = F.regexp_replace(F.regexp_replace("cue", "^" + _CUE, ""), r"\n+\z", "")
     spk = F.when(part(2) != "", part(2))

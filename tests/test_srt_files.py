@@ -51,3 +51,21 @@ def test_times_of_files_parse_back(spark, tmp_path):
     srt_files.write_srt_files(times.select(F.concat(F.lit("k"), "a", F.lit(".srt")).alias("file"), doc.alias("srt")), str(tmp_path / "t"))
     got = srt_files.read_srt_files(spark, str(tmp_path / "t")).collect()
     assert len(got) == times.distinct().count() and all(r.file == f"k{r.start_ms}.srt" and r.end_ms == r.start_ms + 5 and r.text == "t" for r in got)
+
+
+def test_many_folders_are_read_in_few_tasks(spark, tmp_path):
+    """Folders are listed and files read many to a task, at any depth; hidden ones are left out."""
+    for k in range(300):
+        (tmp_path / f"conv{k}" / "a b").mkdir(parents=True)
+        (tmp_path / f"conv{k}" / "a b" / "x%20.srt").write_text(f"{k}\n00:00:00,000 --> 00:00:01,000\nt\n")
+    (tmp_path / "top.srt").write_text("900\n00:00:00,000 --> 00:00:01,000\nt\n")
+    (tmp_path / "_staging").mkdir()
+    for hidden in ("_staging/1.srt", ".y.srt", "notes.txt"):
+        (tmp_path / hidden).write_text("901\n00:00:00,000 --> 00:00:01,000\nt\n")
+    spark.sparkContext.setJobGroup("srt", "srt")
+    got = srt_files.read_srt_files(spark, f"file://{tmp_path}").collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("srt") for s in status.getJobInfo(j).stageIds}
+    assert sum(info.numTasks for info in map(status.getStageInfo, stages) if info) < 150
+    assert {(r.file, r.cue_no) for r in got} == {("top.srt", 900)} | {(f"conv{k}/a b/x%20.srt", k) for k in range(300)} and len(got) == 301
