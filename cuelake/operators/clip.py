@@ -68,27 +68,37 @@ def partial_sentences(cut: DataFrame, sentences: DataFrame) -> DataFrame:
     """request_id, modality, seg_idx, sent_idx, rel_start_ms, rel_end_ms, text: the tokens of each sentence that end inside a period.
 
     Tokens are dealt by blocks of time, those of a sentence in one block as one
-    row.  A period inside a block meets its tokens there and is done; a longer
-    one meets them by a few larger blocks, however long it is, and what it takes of a
-    sentence is put together.  No period is held against a medium.
+    row.  A period inside a block meets its tokens there and is done; of a longer
+    one it is told first, by a few larger blocks however long it is and over rows
+    without tokens, which blocks with tokens it has, and what it takes of a sentence is put
+    together.  So tokens go through one exchange, and no period is held against a medium.
     """
     runs = _runs(sentences)
     asked = cut.select("request_id", "media_id", "modality", "seg_idx", "cue_start_ms", "cue_end_ms", _time_block(F.col("cue_start_ms") + 1).alias("low"), _time_block(F.col("cue_end_ms")).alias("high"))
     asked = asked.where("cue_start_ms < cue_end_ms")
     ends_in = lambda x: (x.end_ms > F.col("cue_start_ms")) & (x.end_ms <= F.col("cue_end_ms"))
     key = ["request_id", "modality", "seg_idx", "sent_idx", "cue_start_ms"]
-    inside = asked.where("low = high").withColumnRenamed("low", "slot").drop("high").join(runs, ["media_id", "slot"])
-    longer = points_in(runs, asked.where("low < high").withColumn("high", F.col("high") + 1), "media_id", "slot", "low", "high", 1)
+    inside = asked.where("low = high").withColumnRenamed("low", "slot").drop("high")
+    blocks = F.array_distinct(F.transform(F.col("timestamp.end_ms"), _time_block))
+    held = sentences.where("size(tokens) > 0").select("media_id", F.explode(blocks).alias("slot")).distinct()
+    longer = points_in(held, asked.where("low < high").withColumn("high", F.col("high") + 1), "media_id", "slot", "low", "high", 1).drop("low", "high")
 
     def taken(rows: DataFrame) -> DataFrame:
         # One list or none, so that the tokens are looked through once.
         some = F.filter(F.array(F.filter("items", ends_in)), lambda w: F.size(w) > 0)
-        return rows.where("s_start < cue_end_ms").select(*key, F.explode(some).alias("x"))
+        return rows.join(runs, ["media_id", "slot"]).where("s_start < cue_end_ms").select(*key, F.explode(some).alias("x"))
 
-    words = F.array_sort(F.flatten(F.collect_list("x")))
-    rows = taken(inside).unionByName(taken(longer).groupBy(*key).agg(words.alias("x")))
-    start, end = F.get("x", F.lit(0)).start_ms - F.col("cue_start_ms"), F.element_at("x", -1).end_ms - F.col("cue_start_ms")
-    return rows.select("request_id", "modality", "seg_idx", "sent_idx", start.alias("rel_start_ms"), end.alias("rel_end_ms"), detokenize(F.col("x.token")).alias("text"))
+    first, last = F.get("x", F.lit(0)), F.element_at("x", -1)
+    alone = taken(inside).select(*key, first.start_ms.alias("start_ms"), last.end_ms.alias("end_ms"), F.col("x.token").alias("words"))
+    # Of a token of a longer period only its number and its text are gathered, of a run its first and its last time.
+    run = F.struct(F.col("x.tok_idx").alias("i"), F.col("x.token").alias("t"), first.start_ms.alias("a"), last.end_ms.alias("b"))
+    several = taken(longer).select(*key, run.alias("r")).groupBy(*key).agg(F.collect_list("r").alias("r"))
+    start = F.array_min(F.transform("r", lambda r: F.struct(F.get(r.i, F.lit(0)), r.a.alias("a")))).a
+    end = F.array_max(F.transform("r", lambda r: F.struct(F.element_at(r.i, -1), r.b.alias("b")))).b
+    words = F.transform(F.sort_array(F.flatten(F.transform("r", lambda r: F.arrays_zip(r.i.alias("i"), r.t.alias("t"))))), lambda w: w.t)
+    rows = alone.unionByName(several.select(*key, start.alias("start_ms"), end.alias("end_ms"), words.alias("words")))
+    begin = F.col("cue_start_ms")
+    return rows.select("request_id", "modality", "seg_idx", "sent_idx", (F.col("start_ms") - begin).alias("rel_start_ms"), (F.col("end_ms") - begin).alias("rel_end_ms"), detokenize(F.col("words")).alias("text"))
 
 
 def timeline(cut: DataFrame, partial: DataFrame) -> DataFrame:
@@ -132,7 +142,7 @@ def cue_block(start: Column, end: Column, text: Column) -> Column:
 
 
 def _ordered(order: str, block: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b")))), lambda x: x.b), "")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b")))), lambda x: x.b), "")
 
 
 #: Cues in one part of a document.

@@ -87,3 +87,25 @@ def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     assert sum(tasks) <= media_files.FOLDER_TASKS * spark.sparkContext.defaultParallelism
     assert spark.conf.get(media_files.LISTING) == before and found.count() == 300
     assert {(r.path, r.n_bytes) for r in found.collect()} == {(f"conv{k}/a.wav", k % 3 + 1) for k in range(300)}
+
+
+def test_tokens_of_cuts_are_exchanged_once(spark):
+    """However many levels the periods of a medium use, one exchange holds runs of tokens; long and short periods meet the same one."""
+    lines = spark.createDataFrame([(1, 0, ["a"], [(0, 100)])], "media_id long, sent_idx long, tokens array<string>, timestamp array<struct<start_ms:long,end_ms:long>>")
+    cut = spark.createDataFrame([(1, 1, "audio", 0, 0, 90_000)], "request_id long, media_id long, modality string, seg_idx int, cue_start_ms long, cue_end_ms long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = clip.partial_sentences(cut, lines)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    wide, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            wide += "items#" in node.output().toString()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert wide == 1
