@@ -233,9 +233,9 @@ def log(moded: DataFrame, cut: DataFrame, line: DataFrame, pieces: DataFrame, fo
     return rows.select("request_id", F.coalesce("n_periods", F.lit(0)).cast("long").alias("n_periods"), F.when(F.col("n_periods").isNull(), none).otherwise(some).alias("message"))
 
 
-def manifest(moded: DataFrame, media: DataFrame, cut: DataFrame) -> DataFrame:
-    """request_id, clip_file, temp_file: output names of video requests with a period, numbered in each medium."""
-    done = moded.where("modality = 'video'").select("request_id", "media_id").join(cut.select("request_id").distinct(), "request_id", "left_semi").join(media.select("media_id", "path"), "media_id")
+def manifest(moded: DataFrame, media: DataFrame, answered: DataFrame) -> DataFrame:
+    """request_id, clip_file, temp_file: output names of video requests with a period, those in ``answered``, numbered in each medium."""
+    done = moded.where("modality = 'video'").select("request_id", "media_id").join(answered.select("request_id").distinct(), "request_id", "left_semi").join(media.select("media_id", "path"), "media_id")
     no = (F.row_number().over(Window.partitionBy("media_id").orderBy("request_id")) - 1).cast("string")
     base = F.regexp_extract("path", r"([^/]*?)(\.[^./]+)?$", 1)
     return done.select("request_id", F.concat(base, F.lit("_clip_no"), no, F.lit(".mp4")).alias("clip_file"), F.concat(base, F.lit("_clip_tempaudio_no"), no, F.lit(".mp4")).alias("temp_file"))

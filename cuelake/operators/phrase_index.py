@@ -136,13 +136,16 @@ def _line_block() -> Column:
     return F.call_function("div", F.col("sent_idx"), F.lit(LINES))
 
 
-def sentence_hits(pieces: DataFrame, sentences: DataFrame) -> DataFrame:
+def sentence_hits(pieces: DataFrame, sentences: DataFrame, first: bool = False) -> DataFrame:
     """The hits of ``pieces`` (request_id, media_id, piece_idx, phrase, ...) in ``sentences`` as ``placed_sentences`` gives them, whole ones and those that a sentence cuts.
 
     Phrases meet the sentences of their medium, LINES neighbouring ones in a
     row's reach, and are looked for inside the array of a sentence's tokens.  Of a hit that
     runs on into later sentences ``rest_`` holds the parts that are still to be checked.
     Rows: the other columns of ``pieces`` with pos, at, inner, start_ms, end_ms and what ``whole_hits`` needs.
+
+    ``first``: where it is only asked whether a piece has a hit, a sentence gives its first one and those that
+    run on, unless that one has no time or the phrase can overlap itself closely.
     """
     asked = pieces.withColumns({"parts_": F.split("phrase", " ", -1), "words_": words(F.col("phrase")), "period_": _period(F.col("phrase"))}).withColumn("last_", F.size("parts_") - 1)
     asked = asked.join(sentences.select("media_id", _line_block().alias("block_")).distinct(), "media_id")
@@ -171,6 +174,10 @@ def sentence_hits(pieces: DataFrame, sentences: DataFrame) -> DataFrame:
     low = F.when(F.col("in_"), F.lit(0)).otherwise(F.greatest(n - last, F.lit(0)))
     holds = F.transform("tokens", lambda t, i: F.when(F.contains(t, F.col("phrase")), i))
     found = F.when(last == 0, F.array_compact(holds)).otherwise(F.filter(F.sequence(low, n - 1), begins))
+    if first:
+        timed = lambda i: F.get("starts_", i).isNotNull() & F.get("ends_", i + F.col("words_") - 1).isNotNull()
+        # A list of one list, so that the tokens are looked through once.
+        found = F.flatten(F.transform(F.array(found), lambda f: F.filter(f, lambda i, k: (k == 0) | (i + last >= n) | F.col("period_").isNotNull() | ~timed(F.get(f, F.lit(0))))))
     hits = F.flatten(F.transform(found, lambda i: F.transform(inners(F.get("tokens", i)), lambda k: hit(i, k))))
     kept = [c for c in pieces.columns if c != "phrase"]
     return met.select(*kept, "words_", "period_", "last_", F.explode(hits).alias("h")).select(*kept, "words_", "period_", "last_", "h.*")

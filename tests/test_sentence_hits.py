@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cuelake.operators import clip, phrase_index, running
+from cuelake.plans import transcripts
 from cuelake.sources import media_files
 
 from test_long_media import PIECES, _plain
@@ -42,6 +43,30 @@ def test_hits_equal_the_rule(spark):
     assert sorted(got) == _plain(media, pieces)
 
 
+def test_first_hits_tell_which_pieces_have_one(spark):
+    """With ``first`` the same pieces have a timed hit, in fewer rows."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join("abc"[k] for k in rng.integers(0, 3, int(rng.integers(1, 4))))
+    media = {m: [[word() for _ in range(int(rng.integers(1, 9)))] for _ in range(int(rng.integers(1, 70)))] for m in range(5)} | {20: [["a"] * 7, ["a"], ["a"] * 12, ["b", "a"]]}
+    texts = ["a", "ab", "a b", "c a", "aa b", " b", "a ", "b c a", "a a a", " a a", "abc cba", "cc\tb", "b a a a a b"]
+    pieces = [(100 * m + k, m, 0, p) for m in [*media, 30] for k, p in enumerate(texts)]
+    placed = _placed(spark, media).cache()
+    # The first of two hits has no time, the second one has.
+    placed = placed.withColumn("timestamp", F.when(F.expr("media_id = 3 and sent_idx % 2 = 0"), F.expr("transform(timestamp, (t, i) -> if(i < 3, null, t))")).otherwise(F.col("timestamp"))).cache()
+    rows = {first: phrase_index.sentence_hits(spark.createDataFrame(pieces, PIECES), placed, first).cache() for first in (False, True)}
+    found = {first: {r.request_id for r in phrase_index.whole_hits(rows[first], placed).where("start_ms is not null and end_ms is not null").collect()} for first in rows}
+    assert found[True] == found[False] and 0 < len(found[True]) < len(pieces)
+    assert rows[True].count() < rows[False].count()
+
+
+def test_manifest_is_made_of_video_alone(spark, tmp_path, monkeypatch):
+    """No sentence of audio is stored, no period numbered."""
+    monkeypatch.setattr(transcripts, "folder", lambda spark, label: str(tmp_path / label))
+    assert transcripts.clip_manifest(spark, "/root/testdata/sf0.001").count() > 0
+    assert {p.name for p in (tmp_path / "clips").iterdir()} == {"sentences", "requests", "hits"}
+    assert spark.read.parquet(str(tmp_path / "clips" / "sentences")).where("media_id % 2 = 0").isEmpty()
+
+
 def test_tokens_of_falling_times_are_put_together(spark):
     rng = np.random.default_rng(2)
     rows = [(1, s, [f"w{k}" for k in range(9)], [(int(t), int(t) + 100) for t in (rng.integers(0, 30_000, 9) if s % 2 else np.sort(rng.integers(0, 30_000, 9)))]) for s in range(8)]
