@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textblock as tb
 from .common import Scratch
-from .nodes import leaves, linked
+from .nodes import LEAF, leaves, linked
 
 MIN_CHARS = 40
 SHINGLE = 8
@@ -227,7 +227,7 @@ def _alike(node: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _meeting(table: pa.Table) -> pa.Table:
-    """(node, rec, n) of the nodes of a bucket that hold two alike records or more; hot nodes, whose records lie in many buckets, have n null."""
+    """(node, recs, n) of the nodes of a bucket that hold two alike records or more, a row each; hot nodes, whose records lie in many buckets, have n null."""
     bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
     node, rec, bits = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("nodes", "recs", "bits"))
     order = np.argsort(node, kind="stable")
@@ -243,14 +243,14 @@ def _meeting(table: pa.Table) -> pa.Table:
         alike = _alike(node, bits)
         node, rec = node[alike], rec[alike]
     start = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
-    count = np.diff(np.append(start, len(node)))
-    n = np.repeat(count, count)
-    name = tb.mix64(node.view(np.uint32).astype(np.uint64) | np.uint64(max(bucket, -1) + 1) << np.uint64(32)).view(np.int64)
-    return pa.table([pa.array(name), pa.array(rec), pa.array(n.astype(np.int64), mask=np.full(len(n), bucket < 0))], names=["node", "rec", "n"])
+    end = np.append(start[1:], len(node)) if len(start) else start
+    name = tb.mix64(node[start].view(np.uint32).astype(np.uint64) | np.uint64(max(bucket, -1) + 1) << np.uint64(32)).view(np.int64)
+    recs = pa.ListArray.from_arrays(pa.array(np.append(start, len(node)).astype(np.int32)), pa.array(rec))
+    return pa.table([pa.array(name), recs, pa.array((end - start).astype(np.int64), mask=np.full(len(start), bucket < 0))], names=["node", "recs", "n"])
 
 
-def _sized(spark: SparkSession, scratch: Scratch, known: DataFrame, long: DataFrame, shingle: int) -> DataFrame:
-    """(node, rec, n) of the bands that two distinct long lines or more share."""
+def _sized(spark: SparkSession, scratch: Scratch, known: DataFrame, long: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The bands that two distinct long lines or more share: (members) of those that are small enough to be compared at once, (node, rec, n) of others."""
     buckets = max(1, -(-long.count() * BANDS // BUCKET))
     sampled = long.where("size(nodes) > 0").select("code", F.explode("nodes").alias("node")).distinct().groupBy("node").agg(F.count("*").alias("n"))
     sampled = scratch.store(sampled.where(F.col("n") >= HOT_SEEN), "hot")
@@ -258,11 +258,13 @@ def _sized(spark: SparkSession, scratch: Scratch, known: DataFrame, long: DataFr
     least = max(HOT_SEEN, buckets * BUCKET // SAMPLE // HOT_MAX)
     hot = np.sort(np.array([r.node for r in sampled.where(F.col("n") >= least).select("node").toLocalIterator()], np.int64).view(np.uint64))
     dealt = known.select("text").mapInArrow(partial(_entries, shingle=shingle, buckets=buckets, hot=spark.sparkContext.broadcast(hot)), "bucket long, nodes array<int>, recs array<long>, bits array<long>")
-    met = scratch.store(dealt.groupBy("bucket").applyInArrow(_meeting, "node long, rec long, n long"), "bands")
+    met = scratch.store(dealt.groupBy("bucket").applyInArrow(_meeting, "node long, recs array<long>, n long"), "bands")
+    small, wide = met.where(F.col("n") <= LEAF).select(F.col("recs").alias("members")), met.select("node", F.explode("recs").alias("rec"), "n")
+    large = wide.where(F.col("n") > LEAF)
     if len(hot) == 0:
-        return met
-    wide = met.where("n is null").select("node", "rec")
-    return met.where("n is not null").unionByName(wide.join(F.broadcast(wide.groupBy("node").agg(F.count("*").alias("n"))), "node").where("n > 1"))
+        return small, large
+    wide = wide.where("n is null").select("node", "rec")
+    return small, large.unionByName(wide.join(F.broadcast(wide.groupBy("node").agg(F.count("*").alias("n"))), "node").where("n > 1"))
 
 
 def _branch(node: Column, sig: Column) -> Column:
@@ -283,12 +285,16 @@ def line_shingles(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> t
 
 
 def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(rec, text, size, sketch) of the wanted lines of each text: columns text, lines, recs."""
+    """(rec, text, size, sketch, sig) of the wanted lines of each text: columns text, lines, recs, wide.
+
+    sig, what bands that are too large branch by, is made for lines that are ``wide``, which such a band holds.
+    """
     for batch in batches:
-        rec, out = [], []
-        for text, lines, recs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        rec, out, wide = [], [], []
+        for text, lines, recs, large in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             parts = text.split("\n")
             rec += recs
+            wide += large
             out += [parts[i] for i in lines]
         picked = pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
         for first, end, raw, off in tb.blocks(picked.column(1)):
@@ -298,16 +304,10 @@ def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             # Distinct shingles by one sort: the row before the high bits of the hash.
             kept = tb.sorted_distinct(row.astype(np.uint64) << np.uint64(40) | value >> np.uint64(24)) >> np.uint64(40)
             part = picked.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(kept.astype(np.int64), minlength=end - first)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rec", "text", "size", "sketch"])
-
-
-def _signed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(rec, sig) of lines (rec, text): what bands that are too large branch by."""
-    for batch in batches:
-        for first, end, raw, off in tb.blocks(batch.column(1)):
-            row, value = line_shingles(raw, off, shingle)
-            sig = _signatures(value, np.searchsorted(row, np.arange(end - first + 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([x.tobytes() for x in sig], pa.binary())], ["rec", "sig"])
+            held = np.array(wide[first:end], bool)
+            made = iter(_signatures(value[held[row]], np.concatenate([[0], np.cumsum(np.diff(starts)[held])])))
+            sig = pa.array([next(made).tobytes() if x else None for x in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(kept.astype(np.int64), minlength=end - first)), pa.array([x.tobytes() for x in sketch], pa.binary()), sig], ["rec", "text", "size", "sketch", "sig"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,15 +348,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     lines = every.where("long")
     reps = scratch.store(lines.groupBy(F.col("code").alias("rec")).agg(F.min(F.struct("doc_id", "line", "twin", "check")).alias("at"), F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("mixed")), "records")
     mark = scratch.mark()
-    sized = scratch.store(_sized(spark, scratch, known, lines, shingle), "nodes")
-    per_doc = reps.join(sized.select("rec").distinct(), "rec", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
-    per_doc = per_doc.agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"))
-    texts = known.join(per_doc, ["doc_id", "twin"]).select("text", "lines", "recs").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary")
+    small, large = _sized(spark, scratch, known, lines, shingle)
+    large = scratch.store(large, "nodes")
+    met = small.select(F.explode("members").alias("rec"), F.lit(False).alias("wide")).unionByName(large.select("rec", F.lit(True).alias("wide")))
+    per_doc = reps.join(met.groupBy("rec").agg(F.max("wide").alias("wide")), "rec").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
+    per_doc = per_doc.agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"), F.collect_list("wide").alias("wide"))
+    texts = known.join(per_doc, ["doc_id", "twin"]).select("text", "lines", "recs", "wide").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary, sig binary")
     if not known.groupBy("doc_id", "twin").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["rec"])
     texts = scratch.store(texts, "texts")
-    signed = texts.select("rec", "text").mapInArrow(partial(_signed, shingle=shingle), "rec long, sig binary")
-    leaf, dense = leaves(scratch, sized, signed, _branch, 3, sized)
+    leaf, dense = leaves(scratch, large, texts.where("sig is not null").select("rec", "sig"), _branch, 3, large, small)
     comp = linked(scratch, leaf, dense, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW, True)
     scratch.drop(mark)
     # Only records that are linked, or occur more than once, have lines to lose.

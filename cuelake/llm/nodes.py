@@ -26,7 +26,7 @@ FEW = 4 * LEAF
 RUN = 1 << 17
 
 
-def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Callable[[Column, Column], Column], levels: int, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Callable[[Column, Column], Column], levels: int, sized: DataFrame | None = None, ready: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(leaf, rec): small groups of records to compare; and (node, rec, n) of the nodes that stay large.
 
     ``nodes`` has (node, rec).  Nodes of one record vanish; nodes over LEAF
@@ -35,7 +35,8 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
     records is dense: branching would not thin it out.  Dense nodes, nodes of
     at most FEW records and what is large on the last level stay as they are
     and are left to ``linked``.  ``sized``, if given, is (node, rec, n) of the
-    first level's nodes of two records or more.
+    first level's nodes of two records or more; ``ready``, if given, has further nodes, (members) with their
+    records sorted, of LEAF records at most: they meet no other node, so nothing of them is grouped again.
     """
     done = dense = None
     for level in range(levels):
@@ -54,7 +55,8 @@ def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Ca
         full = big.where(stuck).select("node", "rec", "n")
         dense = full if dense is None else dense.unionByName(full)
         nodes = big.where(~stuck).join(signatures.select("rec", "sig"), "rec").select(F.explode(F.array_distinct(branch(F.col("node"), F.col("sig")))).alias("node"), "rec", F.col("n").alias("above"))
-    sets = done.groupBy("node").agg(F.sort_array(F.collect_list("rec")).alias("members")).select("members").distinct()
+    sets = done.groupBy("node").agg(F.sort_array(F.collect_list("rec")).alias("members")).select("members")
+    sets = (sets if ready is None else sets.unionByName(ready)).distinct()
     return scratch.store(sets.select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rec")), "leaves"), dense
 
 
@@ -309,7 +311,8 @@ def linked(
 
     fields = ["rec", "component", "size", "sketch"]
     pairs = scratch.store(groups(first.withColumn("component", F.col("rec")), fields).mapInArrow(_spanning(low, percent), "a long, b long").distinct(), "pairs")
-    so_far = components(scratch, scratch.store(confirm(pairs, texts, shingles, percent), "links"))
+    links = scratch.store(confirm(pairs, texts, shingles, percent), "links")
+    so_far = components(scratch, links)
     # What is left to compare: leaves that hold more than one component; of leaves of two the first pass has seen the only pair.
     second = leaf if dense is None else leaf.unionByName(_across(dense, so_far))
     second = second.join(so_far.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
@@ -317,5 +320,6 @@ def linked(
     second = scratch.store(second.join(open_, "leaf"), "open")
     held = second.groupBy("rec").agg(F.collect_set("leaf").alias("leaves"))
     cells = groups(second.join(held, "rec"), [*fields, "leaves"]).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary")
-    more = scratch.store(confirm_cells(scratch.store(cells, "cells"), texts, shingles, percent), "links")
+    cells = scratch.store(cells, "cells")
+    more = scratch.store(confirm_cells(cells, texts, shingles, percent), "links")
     return scratch.store(merged(scratch, so_far, more), "components")
