@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def store_by(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """Like ``store``, in one file for each bucket of ``key``: joins on it read the table without an exchange."""
+        table, buckets = f"cuelake_{name}_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", self.path(name)).saveAsTable(table)
+        stored = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the name only; the files are not the catalogue's
+        return stored
+
     def mark(self) -> int:
         return len(self.paths)
 

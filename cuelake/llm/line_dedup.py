@@ -65,6 +65,8 @@ LOW = 0.53
 BITS, ALIKE, WIDE = 64, 45, 4096
 #: Entries of a bucket, and of one hot band's part, on average.
 BUCKET = 1 << 18
+#: Shingles of neighbouring lines that are signed at once, and bytes of lines that are sketched at once.
+STRETCH = 1 << 15
 #: One line in so many shows which bands are hot: those of HOT_SEEN sampled lines or more, at most HOT_MAX of them.
 SAMPLE, HOT_SEEN, HOT_MAX = 64, 64, 2_000_000
 
@@ -73,7 +75,7 @@ def _line_spans(raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarra
     """(row, number, start, end) of every line of ``least`` bytes or more, ends trimmed."""
     if len(raw) == 0:
         return (np.zeros(0, np.int64),) * 4
-    text = tb._LOWER[raw]
+    text = tb.lower(raw)
     cut = np.flatnonzero(text == 10)
     start = tb.sorted_distinct(np.concatenate([off[:-1], cut + 1]))  # an empty text shares its start with the next one
     start = start[start < len(text)]
@@ -109,7 +111,7 @@ def _shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: int
     count = end - start - shingle + 1
     first = np.concatenate([[0], np.cumsum(count)])
     text = np.zeros(len(raw) + 8, np.uint8)
-    text[: len(raw)] = tb._LOWER[raw]
+    text[: len(raw)] = tb.lower(raw)
     if len(start) == 0:
         return np.zeros(0, np.uint64), first
     at = np.repeat((start - first[:-1]).astype(np.int32), count) + np.arange(first[-1], dtype=np.int32)
@@ -130,17 +132,34 @@ def _signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     key += ((value >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
     sig = np.full(rows * SLOTS, 0xFFFFFFFF, np.uint32)
     np.minimum.at(sig, key, (value >> np.uint64(20)).astype(np.uint32))
-    sig = sig.reshape(rows, SLOTS)
     lack = sig == 0xFFFFFFFF
+    at = np.flatnonzero(lack)
     for turn in range(1, 200):
-        if not lack.any():
+        if len(at) == 0:
             break
         # Each empty slot asks the slots in an order of its own, alike in every line.
         ask = (tb.mix64(np.arange(SLOTS, dtype=np.uint64) * np.uint64(1009) + np.uint64(turn)) % np.uint64(SLOTS)).astype(np.int64)
-        given = ~lack[:, ask] & lack
-        sig = np.where(given, sig[:, ask] ^ np.uint32(turn * 0x9E3779B1 & 0xFFFFFFFF), sig)
-        lack &= ~given
-    return (sig * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16)
+        slot = at % SLOTS
+        asked = at - slot + ask[slot]
+        given = ~lack[asked]
+        full = at[given]
+        sig[full] = sig[asked[given]] ^ np.uint32(turn * 0x9E3779B1 & 0xFFFFFFFF)
+        lack[full] = False
+        at = at[~given]
+    return (sig * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16).reshape(rows, SLOTS)
+
+
+def _signed(raw: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signature and number of shingles of each span, by stretches of the text whose shingles a core's cache holds."""
+    count = end - start - shingle + 1
+    at = np.concatenate([[0], np.cumsum(count)])
+    out, first = np.zeros((len(start), SLOTS), np.uint16), 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + STRETCH, "right")) - 1)
+        lo, hi = start[first:last], end[first:last]
+        out[first:last] = _signatures(*_shingles(raw[lo[0] : hi[-1]], lo - lo[0], hi - lo[0], shingle))
+        first = last
+    return out, count
 
 
 def _band_nodes(sig: np.ndarray) -> np.ndarray:
@@ -166,10 +185,10 @@ def _lines(batches: Iterator[pa.RecordBatch], shingle: int, short: bool) -> Iter
             row, number, lo, hi = _line_spans(raw, off, 1 if short else MIN_CHARS)
             if len(row) == 0:
                 continue
-            code, check = tb.span_codes(tb._LOWER[raw], lo, hi)
+            code, check = tb.span_codes(tb.lower(raw), lo, hi)
             big = hi - lo >= MIN_CHARS
             seen = big & (tb.mix64(code) % np.uint64(SAMPLE) == 0)
-            sig = _signatures(*_shingles(raw, lo[seen], hi[seen], shingle))
+            sig, _ = _signed(raw, lo[seen], hi[seen], shingle)
             count = np.concatenate([[0], np.cumsum(seen)]).astype(np.int32) * BANDS
             nodes = pa.ListArray.from_arrays(pa.array(count), pa.array(_band_nodes(sig).view(np.int64).ravel()))
             ids = batch.slice(first, end - first).select([0, 1]).take(pa.array(row))
@@ -186,19 +205,18 @@ def _entries(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, hot:
     for batch in batches:
         for _, _, raw, off in tb.blocks(batch.column(0)):
             _, _, lo, hi = _line_spans(raw, off, MIN_CHARS)
-            code, _ = tb.span_codes(tb._LOWER[raw], lo, hi)
+            code, _ = tb.span_codes(tb.lower(raw), lo, hi)
             one = np.sort(tb.first_of_each(code)[1])  # shingles are taken in the order of the text
             if len(one) == 0:
                 continue
             code = code[one]
-            value, at = _shingles(raw, lo[one], hi[one], shingle)
-            sig = _signatures(value, at)
-            node, rec, bits = _band_nodes(sig).ravel(), np.repeat(code, BANDS), np.repeat(_bits(sig, np.diff(at)), BANDS)
+            sig, count = _signed(raw, lo[one], hi[one], shingle)
+            node, rec, bits = _band_nodes(sig).ravel(), np.repeat(code, BANDS), np.repeat(_bits(sig, count), BANDS)
             bucket = ((node >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             if len(often):
                 spot = np.minimum(np.searchsorted(often, node), len(often) - 1)
                 bucket = np.where(often[spot] == node, -1 - (tb.mix64(rec ^ node) % np.uint64(buckets)).astype(np.int64), bucket)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")  # of 16 bits by counting
             bucket = bucket[order]
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             at = pa.array(np.append(cut, len(bucket)).astype(np.int32))
@@ -230,7 +248,7 @@ def _meeting(table: pa.Table) -> pa.Table:
     """(node, recs, n) of the nodes of a bucket that hold two alike records or more, a row each; hot nodes, whose records lie in many buckets, have n null."""
     bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
     node, rec, bits = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("nodes", "recs", "bits"))
-    order = np.argsort(node, kind="stable")
+    order = np.argsort(node)
     if bucket >= 0:
         held = node[order]
         same = held[1:] == held[:-1]
@@ -252,7 +270,7 @@ def _meeting(table: pa.Table) -> pa.Table:
 def _sized(spark: SparkSession, scratch: Scratch, known: DataFrame, long: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """The bands that two distinct long lines or more share: (members) of those that are small enough to be compared at once, (node, rec, n) of others."""
     buckets = max(1, -(-long.count() * BANDS // BUCKET))
-    sampled = long.where("size(nodes) > 0").select("code", F.explode("nodes").alias("node")).distinct().groupBy("node").agg(F.count("*").alias("n"))
+    sampled = long.where("size(nodes) > 0").select("code", "nodes").dropDuplicates(["code"]).select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     sampled = scratch.store(sampled.where(F.col("n") >= HOT_SEEN), "hot")
     # At most HOT_MAX nodes: each counts for a HOT_MAX-th of the sampled entries or more.
     least = max(HOT_SEEN, buckets * BUCKET // SAMPLE // HOT_MAX)
@@ -297,17 +315,23 @@ def _pick(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             wide += large
             out += [parts[i] for i in lines]
         picked = pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(out, pa.string())], ["rec", "text"])
-        for first, end, raw, off in tb.blocks(picked.column(1)):
+        done = []
+        for first, end, raw, off in tb.blocks(picked.column(1), 8 * STRETCH):
             row, value = line_shingles(raw, off, shingle)
             starts = np.searchsorted(row, np.arange(end - first + 1))
             sketch = tb.minhash(value, starts, SKETCH).astype(np.uint8)
             # Distinct shingles by one sort: the row before the high bits of the hash.
-            kept = tb.sorted_distinct(row.astype(np.uint64) << np.uint64(40) | value >> np.uint64(24)) >> np.uint64(40)
+            kept = tb.sorted_distinct(row.astype(np.uint64) << np.uint64(40) | value >> np.uint64(24))
             part = picked.slice(first, end - first)
             held = np.array(wide[first:end], bool)
-            made = iter(_signatures(value[held[row]], np.concatenate([[0], np.cumsum(np.diff(starts)[held])])))
-            sig = pa.array([next(made).tobytes() if x else None for x in held], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(kept.astype(np.int64), minlength=end - first)), pa.array([x.tobytes() for x in sketch], pa.binary()), sig], ["rec", "text", "size", "sketch", "sig"])
+            sig = pa.nulls(end - first, pa.binary())
+            if held.any():
+                made = iter(_signatures(value[held[row]], np.concatenate([[0], np.cumsum(np.diff(starts)[held])])))
+                sig = pa.array([next(made).tobytes() if x else None for x in held], pa.binary())
+            size = np.diff(np.searchsorted(kept, np.arange(end - first + 1, dtype=np.uint64) << np.uint64(40)))
+            done.append(pa.RecordBatch.from_arrays([*part.columns, pa.array(size), pa.array([x.tobytes() for x in sketch], pa.binary()), sig], ["rec", "text", "size", "sketch", "sig"]))
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,10 +340,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, gone = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         clean, total, cut = [], [], []
         for text, lines in zip(texts, gone, strict=True):
-            parts = [] if text is None else text.split("\n")
             drop = set(lines or ())
-            clean.append("\n".join(x for i, x in enumerate(parts) if i not in drop) if drop else text)
-            total.append(len(parts))
+            clean.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text)
+            total.append(0 if text is None else text.count("\n") + 1)
             cut.append(len(drop))
         kept = [batch.column(i) for i in range(batch.num_columns - 2)]
         arrays = [*kept, pa.array(clean, pa.string()), pa.array(total, pa.int64()), pa.array(cut, pa.int64())]
@@ -353,10 +376,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     met = small.select(F.explode("members").alias("rec"), F.lit(False).alias("wide")).unionByName(large.select("rec", F.lit(True).alias("wide")))
     per_doc = reps.join(met.groupBy("rec").agg(F.max("wide").alias("wide")), "rec").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
     per_doc = per_doc.agg(F.collect_list(F.col("at.line")).alias("lines"), F.collect_list("rec").alias("recs"), F.collect_list("wide").alias("wide"))
-    texts = known.join(per_doc, ["doc_id", "twin"]).select("text", "lines", "recs", "wide").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary, sig binary")
-    if not known.groupBy("doc_id", "twin").count().where("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["rec"])
-    texts = scratch.store(texts, "texts")
+    # The lists of lines are put into hash tables: texts need no sort.
+    texts = known.join(per_doc.hint("shuffle_hash"), ["doc_id", "twin"]).select("text", "lines", "recs", "wide").mapInArrow(partial(_pick, shingle=shingle), "rec long, text string, size long, sketch binary, sig binary")
+    texts = scratch.store_by(texts, "rec", "texts")
+    if not texts.groupBy("rec").count().where("count > 1").isEmpty():  # a document that is there twice
+        texts = scratch.store_by(texts.dropDuplicates(["rec"]), "rec", "texts")
     leaf, dense = leaves(scratch, large, texts.where("sig is not null").select("rec", "sig"), _branch, 3, large, small)
     comp = linked(scratch, leaf, dense, texts.select("rec", "size", "sketch"), texts.select("rec", "text"), partial(line_shingles, shingle=shingle), PERCENT, LOW, True)
     scratch.drop(mark)
@@ -375,12 +399,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         gone = gone.unionByName(repeats(odd).select(lost))
     if short:
         gone = gone.unionByName(repeats(every.where("not long")).select(lost))
-    gone = scratch.store(gone.select("doc_id", "twin", "line", F.col("keep.doc_id").alias("keeper_doc"), F.col("keep.line").alias("keeper_line")).distinct(), "removed")
-    drop = gone.groupBy("doc_id", "twin").agg(F.collect_list("line").alias("gone_"))
+    gone = scratch.store(gone.select("doc_id", "twin", "line", F.col("keep.doc_id").alias("keeper_doc"), F.col("keep.line").alias("keeper_line")), "removed")
+    drop = gone.groupBy("doc_id", "twin").agg(F.collect_set("line").alias("gone_"))  # a document that is there twice names its lines twice
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at, key = names.index(text_col), F.col(f"c{names.index(id_col)}").cast("long")
-    joined = plain.join(drop, (key == drop.doc_id) & (F.xxhash64(F.col(f"c{at}").cast("string")) == drop.twin), "left")
+    joined = plain.join(drop.hint("shuffle_hash"), (key == drop.doc_id) & (F.xxhash64(F.col(f"c{at}").cast("string")) == drop.twin), "left")
     others = [i for i in range(len(names)) if i != at]
     order = [f"c{i}" for i in others]
     fields = ", ".join(f"c{k} {plain.schema[i].dataType.simpleString()}" for k, i in enumerate(others))
@@ -389,4 +413,4 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     out = joined.select(*order, F.col(f"c{at}").cast("string").alias("t_"), "gone_").mapInArrow(_cut, schema)
     back = {**{i: k for k, i in enumerate(others)}, at: n}
     out = out.select(*(F.col(f"c{back[i]}").alias(names[i]) for i in range(len(names))), F.col(f"c{n + 1}").alias("n_lines_"), F.col(f"c{n + 2}").alias("n_removed_"))
-    return out, gone
+    return out, gone.distinct()

@@ -24,6 +24,8 @@ LEAF = 400
 FEW = 4 * LEAF
 #: Shingles of the records of a leaf that are compared exactly with those of another run, or their own, in one row.
 RUN = 1 << 17
+#: Pairs beside its spanning forest, a record, that a leaf names in the first pass; a leaf of more is compared again in the second.
+REST = 4
 
 
 def leaves(scratch: Scratch, nodes: DataFrame, signatures: DataFrame, branch: Callable[[Column, Column], Column], levels: int, sized: DataFrame | None = None, ready: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -145,14 +147,17 @@ class _Leaves:
 
 
 def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """First pass: (a, b) of a maximum spanning forest of each leaf, the pairs most likely to be links."""
+    """First pass: (a, b, first) of the likely pairs of each leaf; ``first`` for those of a maximum spanning forest, the most likely to be links.
+
+    A leaf that has many other pairs gives its forest and, in place of them, its own name as a, with b null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_in = _Leaves(batch.column(0))
             i, j = found_in.couples(low, percent)
-            out_a, out_b = [np.minimum(i, j)], [np.maximum(i, j)]
-            for _, first, end, i, j, near in found_in.likely(low, percent, False):
+            out_a, out_b, forest, again = [np.minimum(i, j)], [np.maximum(i, j)], [np.ones(len(i), bool)], []
+            for number, first, end, i, j, near in found_in.likely(low, percent, False):
                 rec = found_in.rec[first:end]
                 parent, keep = list(range(len(rec))), []
                 for k in np.argsort(-near, kind="stable"):
@@ -166,10 +171,18 @@ def _spanning(low: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
                         keep.append(k)
                         if len(keep) == len(rec) - 1:
                             break
-                i, j = rec[i[keep]], rec[j[keep]]
+                of_forest = np.zeros(len(i), bool)
+                of_forest[keep] = True
+                if len(i) - len(keep) > REST * len(rec):
+                    again.append(batch.column(1)[number].as_py())
+                    i, j, of_forest = i[keep], j[keep], of_forest[keep]
+                i, j = rec[i], rec[j]
                 out_a.append(np.minimum(i, j))
                 out_b.append(np.maximum(i, j))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                forest.append(of_forest)
+            a, b, of_forest = (np.concatenate(x) for x in (out_a, out_b, forest))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(of_forest)], ["a", "b", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(again, pa.int64()), pa.nulls(len(again), pa.int64()), pa.array([False] * len(again), pa.bool_())], ["a", "b", "first"])
 
     return run
 
@@ -264,7 +277,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray,
     ``texts`` has (rec, text); ``shingles(bytes, offsets)`` gives the
     (row, hash) of every shingle of each text, repeats included.
     """
-    both = pairs.join(texts.select(F.col("rec").alias("a"), F.col("text").alias("text_a")), "a")
+    # Pairs are narrow, and a record has few: they are put into hash tables, and texts need no sort to be met the first time.
+    both = pairs.hint("shuffle_hash").join(texts.select(F.col("rec").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("rec").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +312,9 @@ def linked(
     ``narrow`` says that it holds few records beside those of the nodes.
     Two passes: spanning pairs of the leaves, and of blocks dealt from the large nodes, first, which contract a group of
     copies to one component in a number of rows that grows with the group, not with its square; then every remaining
-    pair between records that those have not connected, of large nodes too.  Both are confirmed on full sets, the few of
-    the first pass pair by pair, the rest leaf by leaf.  The result is a stored table.
+    pair between records that those have not connected, of large nodes too.  Most leaves have few likely pairs and name
+    them all in the first pass, so only leaves of many and large nodes are compared again.  Pairs are confirmed on full
+    sets, those that the first pass names pair by pair, the rest leaf by leaf.  The result is a stored table.
     """
     first = leaf if dense is None else leaf.unionByName(_samples(dense))
     if not narrow:
@@ -310,16 +325,24 @@ def linked(
         return out.where("size(rows) > 1").select("rows", "leaf")
 
     fields = ["rec", "component", "size", "sketch"]
-    pairs = scratch.store(groups(first.withColumn("component", F.col("rec")), fields).mapInArrow(_spanning(low, percent), "a long, b long").distinct(), "pairs")
-    links = scratch.store(confirm(pairs, texts, shingles, percent), "links")
+    likely = groups(first.withColumn("component", F.col("rec")), fields).mapInArrow(_spanning(low, percent), "a long, b long, first boolean")
+    likely = scratch.store(likely.groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
+    links = scratch.store(confirm(likely.where("first").select("a", "b"), texts, shingles, percent), "links")
     so_far = components(scratch, links)
-    # What is left to compare: leaves that hold more than one component; of leaves of two the first pass has seen the only pair.
-    second = leaf if dense is None else leaf.unionByName(_across(dense, so_far))
-    second = second.join(so_far.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
-    open_ = second.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("leaf")
-    second = scratch.store(second.join(open_, "leaf"), "open")
-    held = second.groupBy("rec").agg(F.collect_set("leaf").alias("leaves"))
-    cells = groups(second.join(held, "rec"), [*fields, "leaves"]).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary")
-    cells = scratch.store(cells, "cells")
-    more = scratch.store(confirm_cells(cells, texts, shingles, percent), "links")
-    return scratch.store(merged(scratch, so_far, more), "components")
+    ends = [so_far.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+    others = likely.where("not first and b is not null").select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    others = others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    more = confirm(others, texts, shingles, percent)
+    again = likely.where("b is null").select(F.col("a").alias("leaf"))
+    if dense is not None or not again.isEmpty():
+        # What is left to compare: leaves of many likely pairs that hold more than one component, and the large nodes.
+        second = leaf.join(again, "leaf", "left_semi")
+        second = second if dense is None else second.unionByName(_across(dense, so_far))
+        second = second.join(so_far.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
+        open_ = second.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leaf")
+        second = scratch.store(second.join(open_, "leaf"), "open")
+        held = second.groupBy("rec").agg(F.collect_set("leaf").alias("leaves"))
+        cells = groups(second.join(held, "rec"), [*fields, "leaves"]).mapInArrow(_open_pairs(low, percent), "leaf long, part long, recs array<long>, pairs binary")
+        cells = scratch.store(cells, "cells")
+        more = more.unionByName(confirm_cells(cells, texts, shingles, percent))
+    return scratch.store(merged(scratch, so_far, scratch.store(more, "links")), "components")

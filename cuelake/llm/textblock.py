@@ -51,12 +51,17 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about BLOCK_BYTES."""
+def lower(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased, in a copy: arithmetic on bytes is many times faster than a table."""
+    return raw | (raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
+
+
+def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of about ``size`` bytes."""
     raw, off = string_buffers(column)
     first, rows = 0, len(off) - 1
     while first < rows:
-        end = max(first + 1, int(np.searchsorted(off, off[first] + BLOCK_BYTES, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(off, off[first] + size, "right")) - 1)
         yield first, end, raw[off[first] : off[end]], off[first : end + 1] - off[first]
         first = end
 
