@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,9 +57,12 @@ class Scratch:
 
         Spark deletes shuffle files when the driver collects its garbage, by
         itself every half hour; jobs of a run leave theirs behind much faster.
+        The last job's go with a second collection only.
         """
         self._delete([p for p in self.paths if p.rpartition("/")[2].partition("-")[2] in names])
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, paths: list[str]) -> None:
         context = self.spark.sparkContext
